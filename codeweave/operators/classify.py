@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded_rows, broadcast_if_bounded
-from ..functions.text import softmax
+from ..functions.text import with_softmax
 
 MAX_CLASSES = 100_000
 MAX_MODEL_ROWS = 2_000_000
@@ -63,8 +63,9 @@ def score_linear_sparse(ids: DataFrame, x: DataFrame, classes: DataFrame, model:
         (F.coalesce(F.col("wsum"), F.lit(0.0)) * c["base"]
          + F.coalesce(F.element_at(F.col("m"), c["label"]), F.lit(0.0))
          + (c["prior"] if prior is not None else F.lit(0.0))).alias("jll")))
-    probs = softmax(F.transform(jll, lambda e: e["jll"]))
-    out = base.select("id", F.arrays_zip(jll.alias("j"), probs.alias("p")).alias("z"))
+    b = base.select("id", jll.alias("_j"))
+    b = with_softmax(b.withColumn("_v", F.transform("_j", lambda e: e["jll"])), "_v", "_p")
+    out = b.select("id", F.arrays_zip(F.col("_j").alias("j"), F.col("_p").alias("p")).alias("z"))
     return out.select("id", F.inline("z")).select(
         "id", F.col("j.label").alias("label"), F.col("j.jll").alias("jll"), F.col("p").alias("score"))
 
