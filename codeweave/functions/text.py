@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exprs import let
 from .hashing import _c
 
 # ASCII word class used for oracle-checkable tokenisation; the Unicode form
@@ -114,24 +115,16 @@ def concat_nullable(*cols) -> Column:
 
 
 def softmax(arr) -> Column:
-    """Numerically stable softmax over a numeric array."""
-    a = _c(arr).cast("array<double>")
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    """Numerically stable softmax over a numeric array (max and sum bound
+    once per row)."""
+    return let(_c(arr).cast("array<double>"), lambda a: let(F.array_max(a), lambda m: let(
+        F.transform(a, lambda x: F.exp(x - m)), lambda e: let(
+            F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda s: F.transform(e, lambda x: x / s)))))
 
 
 def with_softmax(df, arr_col: str, out_col: str):
-    """T18 for long arrays: staged so max and sum are computed once per row.
-    Each stage passes its column through, which keeps Catalyst from inlining the
-    aggregate back into the per-element lambda."""
-    d = df.withColumn("_sm_a", F.col(arr_col).cast("array<double>"))
-    d = d.withColumn("_sm_m", F.array_max("_sm_a"))
-    d = d.withColumn("_sm_e", F.transform("_sm_a", lambda x: F.exp(x - F.col("_sm_m"))))
-    d = d.withColumn("_sm_s", F.aggregate("_sm_e", F.lit(0.0), lambda acc, x: acc + x))
-    d = d.withColumn(out_col, F.transform("_sm_e", lambda x: x / F.col("_sm_s")))
-    return d.drop("_sm_a", "_sm_m", "_sm_e", "_sm_s")
+    """DataFrame form of :func:`softmax`."""
+    return df.withColumn(out_col, softmax(arr_col))
 
 
 def expit(x) -> Column:

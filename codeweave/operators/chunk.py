@@ -7,20 +7,15 @@ in a row (documents, not corpora, are the unit of work).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import let
 from ..functions.text import word_count
 
 
-def pack_units(df: DataFrame, id_cols: list, units_col: str, max_tokens: int) -> DataFrame:
-    """Rows (ids..., chunk_id, text, n_units).
-
-    A unit joins the current chunk while tokens(chunk)+tokens(unit) < max (strict);
-    otherwise it starts a new chunk (an over-long unit stands alone). The first
-    chunk keeps a leading space; an empty first chunk is dropped."""
-    u = df.select(*id_cols, F.col(units_col).alias("_u"))
-    u = u.select(*id_cols, "_u", F.transform("_u", lambda s: word_count(s)).alias("_n"))
+def chunk_assignments(units, max_tokens: int) -> Column:
+    """Chunk number of every unit (before dropping an empty first chunk)."""
     init = F.struct(F.lit(0).alias("c"), F.lit(0).alias("prev"), F.array().cast("array<int>").alias("ids"))
 
     def step(acc, t):
@@ -29,16 +24,30 @@ def pack_units(df: DataFrame, id_cols: list, units_col: str, max_tokens: int) ->
         prev = F.when(fits, acc["prev"] + t).otherwise(t)
         return F.struct(c.alias("c"), prev.alias("prev"), F.concat(acc["ids"], F.array(c)).alias("ids"))
 
-    a = u.select(*id_cols, "_u", F.aggregate("_n", init, step)["ids"].alias("_ids"))
-    a = a.select(*id_cols, F.arrays_zip(F.col("_ids").alias("c"), F.col("_u").alias("s")).alias("_z"),
-                 F.array_distinct("_ids").alias("_cs"))
-    chunks = F.transform("_cs", lambda c: F.struct(
-        c.alias("c"),
-        F.concat(F.when(c == 0, F.lit(" ")).otherwise(F.lit("")),
-                 F.concat_ws(" ", F.transform(F.filter("_z", lambda z: z["c"] == c), lambda z: z["s"]))).alias("text"),
-        F.size(F.filter("_z", lambda z: z["c"] == c)).alias("n_units")))
-    out = a.select(*id_cols, F.get(F.col("_cs"), 0).alias("_c0"), F.inline(chunks))
-    return out.select(*id_cols, (F.col("c") - F.col("_c0")).alias("chunk_id"), "text", "n_units")
+    return F.aggregate(F.transform(units, lambda s: word_count(s)), init, step)["ids"]
+
+
+def packed_chunks(units, max_tokens: int) -> Column:
+    """Array<struct<chunk_id, text, n_units>> for one row's ordered units."""
+    def build(z):
+        return let(F.array_distinct(F.transform(z, lambda e: e["c"])), lambda cs: F.transform(cs, lambda c: let(
+            F.filter(z, lambda e: e["c"] == c), lambda part: F.struct(
+                (c - F.get(cs, 0)).alias("chunk_id"),
+                F.concat(F.when(c == 0, F.lit(" ")).otherwise(F.lit("")),
+                         F.concat_ws(" ", F.transform(part, lambda e: e["s"]))).alias("text"),
+                F.size(part).alias("n_units")))))
+
+    return let(F.arrays_zip(chunk_assignments(units, max_tokens).alias("c"), units.alias("s")), build)
+
+
+def pack_units(df: DataFrame, id_cols: list, units_col: str, max_tokens: int) -> DataFrame:
+    """Rows (ids..., chunk_id, text, n_units).
+
+    A unit joins the current chunk while tokens(chunk)+tokens(unit) < max (strict);
+    otherwise it starts a new chunk (an over-long unit stands alone). The first
+    chunk keeps a leading space; an empty first chunk is dropped."""
+    out = df.select(*id_cols, F.inline_outer(packed_chunks(F.col(units_col), max_tokens)))
+    return out.filter(F.col("chunk_id").isNotNull())
 
 
 def chunk_count(chunks: DataFrame, id_cols: list) -> DataFrame:

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import let
 from ..session import spread
 from ..functions.text import ASCII_TOKENS, remove_words, tokens
 
@@ -32,24 +33,20 @@ def with_bigrams(toks) -> Column:
     return F.concat(toks, bi)
 
 
-def bag_of_terms(df: DataFrame, terms_col: str, keep: list) -> DataFrame:
-    """Distinct terms with counts, computed in-row: sort, find run starts, run
-    length = next start - start. Each intermediate array is its own column so
-    lambdas read a materialised value (lambda bodies get no subexpression reuse)."""
-    s = df.select(*keep, F.sort_array(F.col(terms_col)).alias("_s"))
-    s = s.select(*keep, "_s", F.size("_s").alias("_n"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1),
-                      lambda i: (i == 0) | (F.get(F.col("_s"), i) != F.get(F.col("_s"), i - 1)))
-    b = s.select(*keep, "_s", F.when(F.col("_n") > 0, F.concat(starts, F.array(F.col("_n"))))
-                 .otherwise(F.array().cast("array<int>")).alias("_b"))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("_b") - 2),
-        lambda j: F.struct(F.get(F.col("_s"), F.get(F.col("_b"), j)).alias("term"),
-                           (F.get(F.col("_b"), j + 1) - F.get(F.col("_b"), j)).cast("bigint").alias("tf")))
+def bag_of_terms(terms) -> Column:
+    """Array<struct<term, tf>> of distinct terms with counts, computed in-row in
+    O(n log n): sort, find run starts, run length = next start - start."""
+    def runs(srt, n):
+        starts = F.filter(F.sequence(F.lit(0), n - 1),
+                          lambda i: (i == 0) | (F.get(srt, i) != F.get(srt, i - 1)))
+        return let(F.concat(starts, F.array(n)), lambda b: F.transform(
+            F.sequence(F.lit(0), F.size(b) - 2),
+            lambda j: F.struct(F.get(srt, F.get(b, j)).alias("term"),
+                               (F.get(b, j + 1) - F.get(b, j)).cast("bigint").alias("tf"))))
+
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    # guarded expression, not a Filter: a pushed-down filter would inline the
-    # sort into the lambdas above and make the row quadratic.
-    return b.select(*keep, F.inline(F.when(F.size("_b") > 1, runs).otherwise(empty)))
+    return let(F.sort_array(terms), lambda srt: let(F.size(srt), lambda n: F.when(n > 0, runs(srt, n))
+                                                  .otherwise(empty)))
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop: list | None = None,
@@ -58,8 +55,11 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, stop: list | None = N
     t = spread(df.select(F.col(id_col).alias("id"), F.col(text_col)), "id")
     t = t.select("id", word_tokens(F.col(text_col), stop, pattern).alias("_t"))
     if ngram >= 2:
-        t = t.select("id", with_bigrams(F.col("_t")).alias("_t"))
-    return bag_of_terms(t, "_t", ["id"])
+        t = t.select("id", let(F.col("_t"), with_bigrams).alias("_t"))
+    # outer generator + null filter: a plain generator would make Catalyst infer
+    # a pre-filter that evaluates the whole bag expression a second time
+    return (t.select("id", F.inline_outer(bag_of_terms(F.col("_t"))))
+             .filter(F.col("term").isNotNull()))
 
 
 def fit_vocabulary(counts: DataFrame, max_features: int = 5000) -> DataFrame:

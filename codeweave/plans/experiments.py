@@ -68,3 +68,30 @@ def distant_run(spark: SparkSession, sf_dir: str, method: str = "mnb", **kw) ->
     s = distant_setup(spark, sf_dir, **kw)
     pred = distant_nb(s)
     return E.evaluate(s.gold, pred.filter("pred")).select(F.lit(method).alias("method"), "*")
+
+
+def fit_distant_nb(s: DistantSetup, alpha: float = 0.001):
+    train_y = s.desc_w.select("id").distinct().withColumn("label", F.col("id"))
+    return M.fit_multinomial_nb(s.desc_w, M.first_label(train_y), s.vocab_size, alpha)
+
+
+def score_texts(s: DistantSetup, texts: DataFrame, id_col: str, text_col: str, stop_sets: str = "ce",
+                alpha: float = 0.001) -> DataFrame:
+    """Score arbitrary text rows (chunks, turns) with the distant NB model:
+    (id, label, jll, score)."""
+    from ..operators.vectorize import term_counts as tc
+    classes, model = fit_distant_nb(s, alpha)
+    x = tfidf(tc(texts, id_col, text_col, stopword_list(stop_sets)), s.vocab)
+    ids = texts.select(F.col(id_col).alias("id"))
+    return M.score_linear_sparse(ids, x, classes, model)
+
+
+def turn_scores(spark: SparkSession, sf_dir: str, t: float = 0.1) -> DataFrame:
+    """Conversation turns as chunks, scored by the distant NB model:
+    (conv_id, turn, label, pred, score)."""
+    s = distant_setup(spark, sf_dir)
+    conv = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("tid"), "text")
+    sc = score_texts(s, conv, "tid", "text")
+    return sc.select(F.floor(F.col("id") / 100).cast("bigint").alias("conv_id"), (F.col("id") % 100).alias("turn"),
+                     "label", (F.col("score") > t).alias("pred"), "score")

@@ -45,16 +45,16 @@ def t05(spark, d):
     return _docs(spark, d).select("doc_id", T.remove_questions(T.remove_brackets("text")).alias("text"))
 
 
-def _t06_sql():
-    t = "text"
+def t06_expr(col: str = "text") -> str:
+    t = col
     for m in (".", "?", "!"):
         pat = f"([a-zA-Z])(\\{m}|\\s\\{m})([a-zA-Z])"
         for _ in range(2):  # two passes cover overlapping single-letter runs
             t = f"regexp_replace({t}, '{pat}', '\\1{m} \\3', 'g')"
-    return f"SELECT doc_id, {t} AS text FROM documents"
+    return t
 
 
-@query("t06_repair_sentence_breaks", _t06_sql())
+@query("t06_repair_sentence_breaks", f"SELECT doc_id, {t06_expr()} AS text FROM documents")
 def t06(spark, d):
     return _docs(spark, d).select("doc_id", T.repair_sentence_breaks("text").alias("text"))
 
