@@ -42,7 +42,7 @@ def remove_words(words, stop: list) -> Column:
 
 
 def remove_questions(text) -> Column:
-    """Drop lazy spans of word chars, '|' or whitespace ending in '?'.
+    r"""Drop lazy spans of word chars, '|' or whitespace ending in '?'.
     Same matches as the lazy pattern ``[\w|\s]*?\?`` (a match always starts at
     the start of the class run before the '?'), but the look-behind lets the
     Java engine skip non-run-start positions, so long texts without '?' stay linear."""

@@ -1,2 +1,2 @@
 """Importing this module registers every query."""
-from . import q_aggregate, q_core, q_relate, q_text  # noqa: F401
+from . import q_aggregate, q_core, q_relate, q_structure, q_text  # noqa: F401
