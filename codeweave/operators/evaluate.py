@@ -22,8 +22,9 @@ def prf(counts: DataFrame, keep_no_gold: bool = False) -> DataFrame:
     classes without gold support dropped unless asked otherwise."""
     c = counts if keep_no_gold else counts.filter(F.col("tp") + F.col("fn") > 0)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    keys = [k for k in c.columns if k not in ("label", "tp", "fp", "fn")]
     return c.select(
-        "label", "tp", "fp", "fn", (tp + fn).alias("support"),
+        *keys, "label", "tp", "fp", "fn", (tp + fn).alias("support"),
         F.coalesce(tp / F.nullif(tp + fp, F.lit(0)), F.lit(0.0)).alias("precision"),
         F.coalesce(tp / F.nullif(tp + fn, F.lit(0)), F.lit(0.0)).alias("recall"),
         F.coalesce((2 * tp) / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0)).alias("f1"))
@@ -43,3 +44,173 @@ def macro(per_class_df: DataFrame, *keys: str) -> DataFrame:
 def evaluate(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """E01+E02: one row (precision, recall, f1)."""
     return macro(per_class(gold, pred))
+
+
+def report(gold: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
+    """Micro / macro / weighted / samples averages (classes with gold only;
+    every evaluated document counts in the samples average)."""
+    pc = per_class(gold, pred)
+    kept = pc.select("label")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    micro = pc.agg(F.lit("micro").alias("average"),
+                   F.coalesce(F.sum(tp) / F.nullif(F.sum(tp + fp), F.lit(0)), F.lit(0.0)).alias("precision"),
+                   F.coalesce(F.sum(tp) / F.nullif(F.sum(tp + fn), F.lit(0)), F.lit(0.0)).alias("recall"),
+                   F.coalesce(2 * F.sum(tp) / F.nullif(F.sum(2 * tp + fp + fn), F.lit(0)), F.lit(0.0)).alias("f1"))
+    mac = macro(pc).select(F.lit("macro").alias("average"), "precision", "recall", "f1")
+    sup = F.col("support")
+    wei = pc.agg(F.lit("weighted").alias("average"),
+                 (F.sum(F.col("precision") * sup) / F.sum(sup)).alias("precision"),
+                 (F.sum(F.col("recall") * sup) / F.sum(sup)).alias("recall"),
+                 (F.sum(F.col("f1") * sup) / F.sum(sup)).alias("f1"))
+    g = gold.join(F.broadcast(kept), "label").select("id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
+    p = (pred.filter("pred") if "pred" in pred.columns else pred).join(F.broadcast(kept), "label") \
+        .select("id", "label", F.lit(0).alias("g"), F.lit(1).alias("p"))
+    cell = g.unionByName(p).groupBy("id", "label").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    d = cell.groupBy("id").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("g").alias("ng"), F.sum("p").alias("np"))
+    d = ids.select("id").distinct().join(d, "id", "left").na.fill(0, ["tp", "ng", "np"])
+    samp = d.agg(F.lit("samples").alias("average"),
+                 F.avg(F.coalesce(F.col("tp") / F.nullif(F.col("np"), F.lit(0)), F.lit(0.0))).alias("precision"),
+                 F.avg(F.coalesce(F.col("tp") / F.nullif(F.col("ng"), F.lit(0)), F.lit(0.0))).alias("recall"),
+                 F.avg(F.coalesce(2 * F.col("tp") / F.nullif(F.col("ng") + F.col("np"), F.lit(0)), F.lit(0.0))).alias("f1"))
+    return micro.unionByName(mac).unionByName(wei).unionByName(samp)
+
+
+def roc_auc(gold: DataFrame, scores: DataFrame, ids: DataFrame, bucket_bits: int = 12) -> DataFrame:
+    """One-vs-rest ROC-AUC per label by the rank-sum (Mann-Whitney) formula
+    with average ranks for ties. Documents without a score row count as score 0.
+
+    Skew-safe ranking: scores first collapse to (label, score) rows with
+    positive/negative counts; those rows are bucketed by score range, bucket
+    totals are prefix-summed on a small table, and only (label, bucket) windows
+    run. Output (label, n_pos, n_neg, auc); auc is null for a one-sided label."""
+    n_docs = ids.select("id").distinct().count()
+    g = gold.select("id", "label").distinct().withColumn("y", F.lit(1))
+    s = scores.select("id", "label", F.col("score").cast("double").alias("score"))
+    j = s.join(g, ["id", "label"], "full_outer").select(
+        "label", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("y", F.lit(0)).alias("y"))
+    col = j.groupBy("label", "score").agg(F.sum("y").alias("np_"), F.count(F.lit(1)).alias("n"))
+    tot = col.groupBy("label").agg(F.sum("np_").alias("P"), F.sum("n").alias("scored"))
+    # rows missing entirely (doc never scored nor gold for the label): score 0, negative
+    miss = tot.select("label", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("np_"),
+                      (F.lit(n_docs) - F.col("scored")).alias("n")).filter(F.col("n") > 0)
+    col = col.unionByName(miss).groupBy("label", "score").agg(F.sum("np_").alias("np_"), F.sum("n").alias("n"))
+    nb = 1 << bucket_bits
+    col = col.withColumn("b", F.least(F.greatest(F.floor(F.col("score") * nb), F.lit(0)), F.lit(nb - 1)).cast("int"))
+    bt = col.groupBy("label", "b").agg(F.sum("n").alias("bn"))
+    bt = bt.withColumn("boff", F.coalesce(F.sum("bn").over(
+        Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = col.join(bt.select("label", "b", "boff"), ["label", "b"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("label", "b").orderBy("score")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("avg_rank", F.col("boff") + before + (F.col("n") + 1) / 2.0)
+    r = c.groupBy("label").agg(F.sum(F.col("np_") * F.col("avg_rank")).alias("rs"), F.sum("np_").alias("n_pos"),
+                               F.sum("n").alias("n_all"))
+    r = r.withColumn("n_neg", F.col("n_all") - F.col("n_pos")).filter(F.col("n_pos") > 0)
+    auc = (F.col("rs") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * F.col("n_neg"))
+    return r.select("label", F.col("n_pos").cast("bigint"), F.col("n_neg").cast("bigint"),
+                    F.when(F.col("n_neg") > 0, auc).alias("auc"))
+
+
+def macro_auc(auc: DataFrame) -> DataFrame:
+    """E04 macro: mean over labels with both classes present."""
+    return auc.filter(F.col("auc").isNotNull()).agg(F.avg("auc").alias("auc"))
+
+
+def first_label_confusion(gold: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
+    """Confusion table of the first (smallest) gold label vs the first
+    predicted label per document (null when a side is empty)."""
+    g = gold.groupBy("id").agg(F.min("label").alias("gold"))
+    p = (pred.filter("pred") if "pred" in pred.columns else pred).groupBy("id").agg(F.min("label").alias("pred"))
+    d = ids.select("id").distinct().join(g, "id", "left").join(p, "id", "left")
+    return d.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def binary_confusion(gold: DataFrame, pred: DataFrame, n_docs: int) -> DataFrame:
+    """Per label tn/fp/fn/tp over all (document, label) cells; tn from the
+    document count, so the dense cell grid is never built."""
+    c = confusion_counts(gold, pred.filter("pred") if "pred" in pred.columns else pred)
+    return c.select("label", (F.lit(n_docs) - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fp", "fn", "tp")
+
+
+def specificity(confusion: DataFrame) -> DataFrame:
+    """Per label, among documents whose first gold label is another label,
+    the share whose first predicted label is not this label (from E06)."""
+    labels = confusion.select(F.col("gold").alias("label")).filter(F.col("label").isNotNull()).distinct()
+    j = confusion.join(F.broadcast(labels), F.col("gold").isNull() | (F.col("gold") != F.col("label")))
+    neg = j.groupBy("label").agg(F.sum("n").alias("neg"),
+                                 F.sum(F.when(F.col("pred").isNull() | (F.col("pred") != F.col("label")), F.col("n"))
+                                       .otherwise(0)).alias("tn"))
+    return neg.select("label", (F.col("tn") / F.col("neg")).alias("specificity"))
+
+
+def majority_baseline(doc_labels: DataFrame, n_classes: int | None = None) -> DataFrame:
+    """Predict the majority class for everyone: recall 1 for it, precision =
+    its share; every other class scores 0; mean F1 over the class count."""
+    from .aggregate import majority_class
+    m = majority_class(doc_labels)
+    c = n_classes or doc_labels.select("label").distinct().count()
+    f1 = 2 * F.col("share") / (1 + F.col("share"))
+    return m.select("label", F.col("share").alias("precision"), F.lit(1.0).alias("recall"),
+                    (f1 / F.lit(c)).alias("f1_macro"))
+
+
+def per_rep_macro(gold: DataFrame, pred: DataFrame, key: str = "rep") -> DataFrame:
+    """Macro P/R/F1 per replicate key; gold and pred both carry ``key``."""
+    g = gold.select(key, "id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
+    p = pred.select(key, "id", "label", F.lit(0).alias("g"), F.lit(1).alias("p"))
+    cell = g.unionByName(p).groupBy(key, "id", "label").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    cnt = cell.groupBy(key, "label").agg(F.sum(F.col("g") * F.col("p")).alias("tp"),
+                                         F.sum((1 - F.col("g")) * F.col("p")).alias("fp"),
+                                         F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
+    return macro(prf(cnt), key)
+
+
+def bootstrap_draws(n: int, reps: int, seed=0) -> "DataFrame":
+    """X06 (exact): replicate r draws n row indexes with replacement,
+    idx = h(seed, r, j) mod n; returned as multiplicities (rep, idx, w)."""
+    from pyspark.sql import SparkSession
+    from ..functions.hashing import stable_hash
+    spark = SparkSession.getActiveSession()
+    r = spark.range(reps).select(F.col("id").alias("rep"))
+    d = r.select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    d = d.select("rep", (stable_hash(seed, "rep", "j") % n).alias("idx"))
+    return d.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
+
+
+def bootstrap_cells(cells: DataFrame, draws: DataFrame) -> DataFrame:
+    """Weighted per-replicate tp/fp/fn per label from per-document cells
+    (idx, label, g, p) and draw multiplicities (rep, idx, w)."""
+    j = cells.join(draws, "idx")
+    return j.groupBy("rep", "label").agg(
+        F.sum(F.col("w") * F.col("g") * F.col("p")).alias("tp"),
+        F.sum(F.col("w") * (1 - F.col("g")) * F.col("p")).alias("fp"),
+        F.sum(F.col("w") * F.col("g") * (1 - F.col("p"))).alias("fn"))
+
+
+def confidence_interval(rep_metrics: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+    """E12 tail: linear-interpolated percentiles of per-replicate macro metrics."""
+    out = []
+    for m in ("precision", "recall", "f1"):
+        out.append(rep_metrics.agg(F.lit(m).alias("metric"),
+                                   F.percentile(m, F.lit(lo)).alias("lo"), F.percentile(m, F.lit(hi)).alias("hi")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
+
+
+def doc_cells(gold: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
+    """Per evaluated document a dense index (0..n-1 by id) and its (label, g, p)
+    cells; used by the bootstrap. The index is a global row_number over the
+    evaluated ids (a bounded evaluation set)."""
+    idx = ids.select("id").distinct().select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("idx"))
+    g = gold.select("id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
+    p = (pred.filter("pred") if "pred" in pred.columns else pred).select("id", "label", F.lit(0).alias("g"), F.lit(1).alias("p"))
+    cell = g.unionByName(p).groupBy("id", "label").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    return cell.join(idx, "id").select("idx", "label", "g", "p")
+
+
+def masked_accuracy(rows: DataFrame) -> DataFrame:
+    """Share of positions with prediction == target, ignoring target -100."""
+    return rows.filter(F.col("target") != -100).agg(
+        F.avg((F.col("pred") == F.col("target")).cast("double")).alias("accuracy"))

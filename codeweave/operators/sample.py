@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_hash
+from ..functions.hashing import stable_hash, unit_uniform
+from ..session import bounded_rows
 
 BUCKET_BITS = 12
 
@@ -40,3 +41,140 @@ def group_split(df: DataFrame, group_cols: list, key: str, fraction: float, seed
     h = df.withColumn("_h", stable_hash(seed, key))
     r = grouped_rank(h, group_cols, "_h", key, bucket_bits)
     return r.withColumn("is_test", F.col("rn") <= F.ceil(F.col("grp_n") * F.lit(fraction))).drop("_h")
+
+
+def multilabel_strata(doc_labels: DataFrame, drop_undersize: bool = False) -> DataFrame:
+    """X02 step 1: each labelled document's stratum.
+
+    Classes are visited rarest first (ties by label); a document belongs to its
+    rarest label. A stratum of one document moves into the next non-empty
+    stratum -- in a run of consecutive size-1 strata the 1st, 3rd, ... move and
+    the 2nd, 4th, ... absorb them (closed form of the sequential carry, computed
+    on the small class table). An undersized last stratum stays (all dev).
+    ``drop_undersize`` drops strata of fewer than 2 documents instead."""
+    dl = doc_labels.select("id", "label").distinct()
+    sizes = dl.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    ranked = sizes.select("label", F.row_number().over(Window.orderBy("size", "label")).alias("crank"))
+    strat = (dl.join(F.broadcast(ranked), "label")
+             .groupBy("id").agg(F.min_by("label", "crank").alias("own")))
+    ss = strat.groupBy("own").agg(F.count(F.lit(1)).alias("n")).join(ranked, ranked.label == F.col("own")).drop("label")
+    w = Window.orderBy("crank")
+    ss = ss.withColumn("_single", (F.col("n") == 1).cast("int"))
+    ss = ss.withColumn("_run", F.sum(1 - F.col("_single")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ss = ss.withColumn("_pos", F.row_number().over(Window.partitionBy("_run", "_single").orderBy("crank")))
+    ss = ss.withColumn("_next", F.lead("own").over(w))
+    moved = (F.col("_single") == 1) & (F.col("_pos") % 2 == 1) & F.col("_next").isNotNull()
+    if drop_undersize:
+        ss = ss.filter(F.col("n") >= 2).select("own", F.col("own").alias("stratum"))
+    else:
+        ss = ss.select("own", F.when(moved, F.col("_next")).otherwise(F.col("own")).alias("stratum"))
+    return strat.join(F.broadcast(ss), "own").select("id", "stratum")
+
+
+def multilabel_split(doc_labels: DataFrame, seed=23490, test_size: float = 0.2,
+                     drop_undersize: bool = False) -> DataFrame:
+    """(id, stratum, is_test); documents without labels are in neither side;
+    a stratum of one document is all dev."""
+    s = multilabel_strata(doc_labels, drop_undersize)
+    h = s.withColumn("_h", stable_hash(seed, "stratum", "id"))
+    r = grouped_rank(h, ["stratum"], "_h", "id")
+    return r.select("id", "stratum",
+                    ((F.col("grp_n") >= 2) & (F.col("rn") <= F.ceil(F.col("grp_n") * test_size))).alias("is_test"))
+
+
+def pair_split(pairs: DataFrame, n_splits: int, seed=0, test_size: float = 0.2) -> DataFrame:
+    """Stratified shuffle split of (id, code) pairs, ``n_splits`` times; the
+    code is the stratum, each split has its own seed. (split, id, code, is_test)."""
+    p = pairs.select("id", "code", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split"))
+    h = p.withColumn("_h", stable_hash(seed, "split", "id", "code"))
+    r = grouped_rank(h, ["split", "code"], "_h", "id")
+    return r.select("split", "id", "code", (F.col("rn") <= F.ceil(F.col("grp_n") * test_size)).alias("is_test"))
+
+
+def stratified_folds(doc_label: DataFrame, k: int = 5, seed=3) -> DataFrame:
+    """fold = (rank within the label in hash order - 1) mod k."""
+    h = doc_label.withColumn("_h", stable_hash(seed, "id"))
+    r = grouped_rank(h, ["label"], "_h", "id")
+    return r.select("id", "label", ((F.col("rn") - 1) % k).cast("int").alias("fold"))
+
+
+def balanced_negatives(items: DataFrame, exclude: DataFrame, seed=0) -> tuple[DataFrame, DataFrame]:
+    """Per label as many negatives as positives, drawn with replacement from
+    items whose label is not excluded for it (own label always excluded).
+
+    Items are numbered once in label-contiguous blocks; each positive makes one
+    draw u in [0, pool) and u is shifted past the excluded blocks with the small
+    (label x excluded-block) table -- then one equi-join on the global index. No
+    label x item product is formed. Labels with an empty pool get no negatives
+    and a report row. Returns (pairs(label, item_id, polarity), report)."""
+    it = items.select("item_id", "label")
+    h = it.withColumn("_h", stable_hash(seed, "label", "item_id"))
+    r = grouped_rank(h, ["label"], "_h", "item_id")
+    blocks = it.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    blocks = blocks.withColumn("off", F.coalesce(F.sum("size").over(
+        Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = blocks.agg(F.sum("size").alias("t"))
+    idx = r.join(F.broadcast(blocks.select("label", "off")), "label").select(
+        "item_id", "label", (F.col("off") + F.col("rn") - 1).alias("g"))
+    ex = (exclude.select("label", F.col("excluded"))
+          .unionByName(blocks.select("label", F.col("label").alias("excluded"))).distinct())
+    eb = ex.join(blocks.select(F.col("label").alias("excluded"), "size", "off"), "excluded")
+    eb = eb.withColumn("p", F.col("off") - F.coalesce(F.sum("size").over(
+        Window.partitionBy("label").orderBy("off").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per = eb.groupBy("label").agg(F.sum("size").alias("ex_n"),
+                                  F.collect_list(F.struct("p", "size")).alias("ex"))
+    tot = bounded_rows(total, 1)[0]["t"]
+    per = per.withColumn("pool", F.lit(tot) - F.col("ex_n"))
+    report = per.filter(F.col("pool") <= 0).select("label", F.lit("no negative candidates").alias("reason"))
+    pos = it.join(F.broadcast(per.filter(F.col("pool") > 0)), "label")
+    u = stable_hash(seed, F.lit("neg"), "label", "item_id") % F.col("pool")
+    draws = pos.select("label", F.col("item_id").alias("pos_item"), u.alias("u"), "ex")
+    draws = draws.select("label", "pos_item", (F.col("u") + F.aggregate(
+        "ex", F.lit(0).cast("bigint"), lambda acc, e: acc + F.when(e["p"] <= F.col("u"), e["size"]).otherwise(0))
+    ).alias("g"))
+    neg = draws.join(idx.select(F.col("item_id"), "g"), "g").select("label", "item_id", F.lit(0).alias("polarity"))
+    posr = it.select("label", "item_id", F.lit(1).alias("polarity"))
+    return posr.unionByName(neg), report
+
+
+def random_labels(ids: DataFrame, labels: list, reps: int, seed=0) -> DataFrame:
+    """Fair-coin label matrix per replicate: (rep, id, label, flag)."""
+    arr = F.array(*[F.lit(l) for l in labels])
+    x = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    x = x.select("rep", "id", F.explode(arr).alias("label"))
+    return x.withColumn("flag", (stable_hash(seed, "rep", "id", "label") % 2).cast("int"))
+
+
+def mask_tokens(tokens: DataFrame, vocab: DataFrame, seed=0, mask_id: int = 1, unk_id: int = 0) -> DataFrame:
+    """Masked-token corpus rows from (id, pos, token, is_target).
+
+    Token ids come from a bounded vocabulary (term, token_id in 2..V+1; 0 = unk,
+    1 = mask). A target token is always masked; otherwise with r uniform:
+    r < .12 mask, < .135 keep, < .15 random id in 1..V-1, else not a target (-100)."""
+    v = F.broadcast(vocab.select(F.col("term").alias("token"), "token_id"))
+    t = tokens.join(v, "token", "left").withColumn("tid", F.coalesce("token_id", F.lit(unk_id)))
+    vsize = bounded_rows(vocab.agg(F.count(F.lit(1)).alias("n")), 1)[0]["n"] + 2
+    r = unit_uniform(seed, "id", "pos")
+    rnd = (stable_hash(seed, F.lit("rand"), "id", "pos") % (vsize - 1) + 1)
+    inp = (F.when(F.col("is_target") | (r < 0.12), F.lit(mask_id))
+           .when(r < 0.135, F.col("tid")).when(r < 0.15, rnd).otherwise(F.col("tid")))
+    tgt = F.when(F.col("is_target") | (r < 0.15), F.col("tid")).otherwise(F.lit(-100))
+    return t.select("id", "pos", inp.cast("bigint").alias("input_id"), tgt.cast("bigint").alias("target"))
+
+
+def train_dev(ids: DataFrame, dev: DataFrame | None = None) -> DataFrame:
+    """All rows are used for both training and development unless a dev
+    set (e.g. an X02 split) is given."""
+    if dev is None:
+        return ids.select("id", F.lit(True).alias("in_train"), F.lit(True).alias("in_dev"))
+    dv = dev.select("id").distinct().withColumn("in_dev", F.lit(True))
+    return (ids.select("id").join(dv, "id", "left")
+            .select("id", (~F.coalesce("in_dev", F.lit(False))).alias("in_train"),
+                    F.coalesce("in_dev", F.lit(False)).alias("in_dev")))
+
+
+def prediction_rows(chunked: DataFrame, prompt: str | None) -> DataFrame:
+    """X11: one row per chunk with the prompt holding the mask slot (or no
+    prompt): (id, chunk_id, text, prompt)."""
+    p = F.lit(prompt.replace("{}", "[MASK]")) if prompt else F.lit(None).cast("string")
+    return chunked.select("id", F.posexplode("chunks").alias("chunk_id", "text")).withColumn("prompt", p)

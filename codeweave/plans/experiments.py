@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,9 @@ def distant_setup(spark: SparkSession, sf_dir: str, label_col: str = "lang", sto
     counts = term_counts(docs, "doc_id", "text", stop)
     split = group_split(docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label")),
                         ["label"], "id", fraction, seed).select("id", "label", "is_test")
-    c = counts.join(split, "id")
+    # tokenised corpus feeds both the description fit and the scoring side:
+    # persisted (recomputable from lineage if an executor is lost)
+    c = counts.join(split, "id").persist(StorageLevel.MEMORY_AND_DISK)
     desc_counts = (c.filter("is_test").groupBy(F.col("label").alias("id"), "term")
                    .agg(F.sum("tf").alias("tf")))
     vocab = fit_vocabulary(desc_counts, max_features).cache()
