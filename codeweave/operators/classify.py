@@ -88,3 +88,229 @@ def multinomial_nb(train_x: DataFrame, train_y: DataFrame, test_ids: DataFrame,
     with posterior > t predicted."""
     classes, model = fit_multinomial_nb(train_x, first_label(train_y), vocab_size, alpha)
     return threshold(score_linear_sparse(test_ids, test_x, classes, model), t)
+
+
+def _expand(ids: DataFrame, per_doc: DataFrame, crow: list, cols: list, body) -> DataFrame:
+    """Per document, evaluate ``body(class_struct)`` for every class of the
+    bounded class table ``crow`` (in-row array expansion, no cross join).
+    ``per_doc`` carries the document's own aggregates (joined on id)."""
+    carr = _class_struct_array(crow, cols)
+    base = ids.select("id").distinct().join(per_doc, "id", "left")
+    return base.select("id", F.inline(F.transform(carr, body)))
+
+
+def binary_nb(train_x: DataFrame, train_y: DataFrame, test_ids: DataFrame, test_x: DataFrame,
+              vocab: DataFrame, vocab_size: int, alpha: float = 0.001, t: float = 0.1) -> DataFrame:
+    """One binary multinomial NB per label (label vs rest), fitted priors;
+    P(label) > t predicted. All labels are fitted in one job: the negative side
+    of a label is the corpus total minus the label's own sums.
+
+    jll_pos = W*(log a - log(N_c+aV)) + sum_{t in c} x*(log(N_ct+a) - log a) + log prior_pos
+    jll_neg = A - W*log(T-N_c+aV) + sum_{t in c} x*(log(T_t-N_ct+a) - log(T_t+a)) + log prior_neg
+    with W = sum x, A = sum x*log(T_t+a) per test document."""
+    y = train_y.select("id", "label").distinct()
+    n = train_x.select("id").union(y.select("id")).distinct().count()
+    tt = train_x.groupBy("term").agg(F.sum("w").alias("T_t"))
+    T = bounded_rows(tt.agg(F.coalesce(F.sum("T_t"), F.lit(0.0)).alias("T")), 1)[0]["T"]
+    nct = train_x.join(y, "id").groupBy("label", "term").agg(F.sum("w").alias("n_ct"))
+    nc = nct.groupBy("label").agg(F.sum("n_ct").alias("n_c"))
+    npos = y.groupBy("label").agg(F.count(F.lit(1)).alias("n_pos"))
+    cls = nc.join(npos, "label", "right").na.fill(0.0, ["n_c"]).select(
+        "label",
+        (F.log(F.lit(alpha)) - F.log(F.col("n_c") + alpha * vocab_size)).alias("kpos"),
+        (-F.log(F.lit(T) - F.col("n_c") + alpha * vocab_size)).alias("kneg"),
+        F.log(F.col("n_pos") / F.lit(n)).alias("ppos"),
+        F.log((F.lit(n) - F.col("n_pos")) / F.lit(n)).alias("pneg"))
+    model = nct.join(tt, "term").select(
+        "label", "term",
+        (F.log(F.col("n_ct") + alpha) - F.log(F.lit(alpha))).alias("dpos"),
+        (F.log(F.col("T_t") - F.col("n_ct") + alpha) - F.log(F.col("T_t") + alpha)).alias("dneg"))
+    lt = F.broadcast(vocab.select("term").join(tt, "term", "left").select(
+        "term", F.log(F.coalesce("T_t", F.lit(0.0)) + alpha).alias("lt")))
+    m = broadcast_if_bounded(model, MAX_MODEL_ROWS)
+    part = (test_x.join(m, "term").groupBy("id", "label")
+            .agg(F.sum(F.col("w") * F.col("dpos")).alias("sp"), F.sum(F.col("w") * F.col("dneg")).alias("sn")))
+    per_doc = (part.groupBy("id").agg(F.map_from_entries(F.collect_list(
+        F.struct("label", F.struct("sp", "sn")))).alias("m"))
+        .join(test_x.join(lt, "term").groupBy("id").agg(F.sum("w").alias("W"), F.sum(F.col("w") * F.col("lt")).alias("A")),
+              "id", "full_outer"))
+    crow = bounded_rows(cls.orderBy("label"), MAX_CLASSES, "class table")
+
+    def body(c):
+        e = F.element_at(F.col("m"), c["label"])
+        W, A = F.coalesce(F.col("W"), F.lit(0.0)), F.coalesce(F.col("A"), F.lit(0.0))
+        jp = W * c["kpos"] + F.coalesce(e["sp"], F.lit(0.0)) + c["ppos"]
+        jn = A + W * c["kneg"] + F.coalesce(e["sn"], F.lit(0.0)) + c["pneg"]
+        p = 1.0 / (1.0 + F.exp(jn - jp))
+        return F.struct(c["label"].alias("label"), (p > t).alias("pred"), p.alias("score"))
+
+    return _expand(test_ids, per_doc, crow, ["label", "kpos", "kneg", "ppos", "pneg"], body)
+
+
+def pad_classes(scores: DataFrame, ids: DataFrame, all_labels: DataFrame) -> DataFrame:
+    """Every document gets every label of the full label dimension; labels
+    the classifier never saw get score 0 and no prediction (aligned by label,
+    not by position)."""
+    crow = bounded_rows(all_labels.select("label").distinct().orderBy("label"), MAX_CLASSES, "labels")
+    per_doc = scores.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("pred", "score")))).alias("m"))
+
+    def body(c):
+        e = F.element_at(F.col("m"), c["label"])
+        return F.struct(c["label"].alias("label"), F.coalesce(e["pred"], F.lit(False)).alias("pred"),
+                        F.coalesce(e["score"], F.lit(0.0)).alias("score"))
+
+    return _expand(ids, per_doc, crow, ["label"], body)
+
+
+def nearest_centroid_dense(train: DataFrame, test: DataFrame, vec: str = "vec") -> DataFrame:
+    """M05 (dense vectors): centroid = per-label mean; predict the label of the
+    nearest centroid (squared euclidean; ties to the smaller label). Scores are
+    the one-hot prediction. Centroids (labels x dims) are a bounded broadcast."""
+    tl = train.select("label", F.posexplode(vec).alias("dim", "v"))
+    cent = tl.groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("c"))
+    x = test.select("id", F.posexplode(vec).alias("dim", "v"))
+    d = (x.join(broadcast_if_bounded(cent, MAX_MODEL_ROWS), "dim")
+         .groupBy("id", "label").agg(F.sum((F.col("v") - F.col("c")) ** 2).alias("d2")))
+    best = d.groupBy("id").agg(F.min_by("label", F.struct("d2", "label")).alias("best"))
+    return d.join(best, "id").select("id", "label", (F.col("label") == F.col("best")).alias("pred"),
+                                     (F.col("label") == F.col("best")).cast("double").alias("score"))
+
+
+def nearest_centroid_sparse(train_x: DataFrame, train_y: DataFrame, test_ids: DataFrame, test_x: DataFrame) -> DataFrame:
+    """M05 (sparse long-form vectors): dist^2 = |x|^2 - 2 x.c + |c|^2 with the
+    centroid mean over the label's documents (zeros count)."""
+    y = first_label(train_y)
+    nd = y.groupBy("label").agg(F.count(F.lit(1)).alias("nd"))
+    cent = (train_x.join(y, "id").groupBy("label", "term").agg(F.sum("w").alias("s"))
+            .join(nd, "label").select("label", "term", (F.col("s") / F.col("nd")).alias("c")))
+    cn = cent.groupBy("label").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+    dots = test_x.join(broadcast_if_bounded(cent, MAX_MODEL_ROWS), "term").groupBy("id", "label").agg(
+        F.sum(F.col("w") * F.col("c")).alias("dot"))
+    per_doc = (dots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "dot"))).alias("m"))
+               .join(test_x.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("xx")), "id", "full_outer"))
+    crow = bounded_rows(cn.orderBy("label"), MAX_CLASSES, "class table")
+
+    def body(c):
+        d2 = (F.coalesce(F.col("xx"), F.lit(0.0)) - 2 * F.coalesce(F.element_at(F.col("m"), c["label"]), F.lit(0.0))
+              + c["cc"])
+        return F.struct(c["label"].alias("label"), d2.alias("d2"))
+
+    d = _expand(test_ids, per_doc, crow, ["label", "cc"], body)
+    # distances equal to 9 decimals are ties (summation order only moves the last bits)
+    best = d.groupBy("id").agg(F.min_by("label", F.struct(F.round("d2", 9), F.col("label"))).alias("best"))
+    return d.join(best, "id").select("id", "label", (F.col("label") == F.col("best")).alias("pred"),
+                                     (F.col("label") == F.col("best")).cast("double").alias("score"))
+
+
+def knn_cosine(train: DataFrame, test: DataFrame, k: int = 3, vec: str = "vec",
+               block_rows: int = 4096) -> DataFrame:
+    """Exact k-nearest neighbours by cosine distance with inverse-distance
+    weights (an exact match takes all the weight); class probabilities.
+
+    Blocked all-pairs: train and test are hashed into blocks of ~block_rows;
+    every (test block, train block) pair is one cogroup task computing local
+    top-k with numpy; candidates (k per test row and train block) are merged per
+    test row. No group is larger than two blocks and only top-k rows are emitted."""
+    import numpy as np
+    import pandas as pd
+
+    spark = train.sparkSession
+    n_tr = train.count()
+    n_te = test.count()
+    nb = max(1, -(-n_tr // block_rows))
+    nt = max(1, -(-n_te // block_rows))
+    from ..functions.hashing import stable_hash
+    tr = train.select(F.col("id").alias("rid"), F.col("label").cast("string").alias("label"),
+                      F.col(vec).cast("array<double>").alias("v"), (stable_hash("trb", "id") % nb).alias("tb"))
+    te = test.select(F.col("id").alias("qid"), F.col(vec).cast("array<double>").alias("v"),
+                     (stable_hash("teb", "id") % nt).alias("qb"))
+    tr = tr.select("*", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("qb"))
+    te = te.select("*", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("tb"))
+
+    def local_topk(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(r) == 0:
+            return pd.DataFrame({"qid": [], "rid": [], "label": [], "dist": []})
+        Q = np.vstack(q["v"].to_numpy())
+        R = np.vstack(r["v"].to_numpy())
+        Q = Q / np.linalg.norm(Q, axis=1, keepdims=True)
+        R = R / np.linalg.norm(R, axis=1, keepdims=True)
+        D = 1.0 - Q @ R.T
+        rid = r["rid"].to_numpy()
+        order = np.lexsort((np.broadcast_to(rid, D.shape), D), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(q)), order.shape[1])
+        cols = order.reshape(-1)
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "rid": rid[cols],
+                             "label": r["label"].to_numpy()[cols], "dist": D[rows, cols]})
+
+    cand = (te.groupBy("qb", "tb").cogroup(tr.groupBy("qb", "tb"))
+            .applyInPandas(local_topk, "qid long, rid long, label string, dist double"))
+    w = Window.partitionBy("qid").orderBy("dist", "rid")
+    top = cand.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    exact = F.max((F.col("dist") <= 0).cast("int")).over(Window.partitionBy("qid"))
+    top = top.withColumn("_ex", exact).withColumn(
+        "wt", F.when(F.col("_ex") == 1, (F.col("dist") <= 0).cast("double")).otherwise(1.0 / F.col("dist")))
+    agg = top.groupBy("qid", "label").agg(F.sum("wt").alias("ws"))
+    prob = agg.withColumn("score", F.col("ws") / F.sum("ws").over(Window.partitionBy("qid")))
+    best = prob.groupBy("qid").agg(F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("best"))
+    return prob.join(best, "qid").select(F.col("qid").alias("id"), "label",
+                                         (F.col("label") == F.col("best")).alias("pred"), "score")
+
+
+def class_word_projection(logits, class_positions: list, threshold: float = 0.0):
+    """Logits at the class words' positions, softmax over them, arg-max,
+    kept when its probability >= threshold. Returns struct(label_idx, prob)."""
+    from ..functions.exprs import let
+    from ..functions.text import softmax as sm
+    sel = F.array(*[F.get(logits, p).cast("double") for p in class_positions])
+    return let(sm(sel), lambda p: let(F.array_max(p), lambda mx: F.struct(
+        F.when(mx >= threshold, F.array_position(p, mx) - 1).alias("label_idx"), mx.alias("prob"))))
+
+
+def term_posteriors(classes: DataFrame, model: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Per vocabulary term, P(class | term) = softmax over classes of the
+    NB log-probabilities (unseen (class, term) pairs at the class base)."""
+    crow = bounded_rows(classes.orderBy("label"), MAX_CLASSES, "class table")
+    per_term = model.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "delta"))).alias("m"))
+    base = vocab.select("term").join(per_term, "term", "left")
+    carr = _class_struct_array(crow, ["label", "base"])
+    lp = F.transform(carr, lambda c: c["base"] + F.coalesce(F.element_at(F.col("m"), c["label"]), F.lit(0.0)))
+    b = with_softmax(base.select("term", lp.alias("_lp")), "_lp", "_p")
+    labels = F.array(*[F.lit(r["label"]) for r in crow])
+    return b.select("term", F.inline(F.arrays_zip(labels.alias("label"), F.col("_p").alias("posterior"))))
+
+
+def pairwise_decisions(df: DataFrame, id_col: str, logits: str, n_labels: int) -> DataFrame:
+    """Per chunk and label a yes/no logit pair (2l, 2l+1): the label is
+    predicted when yes > no; probabilities = softmax over the labels' yes logits."""
+    from ..functions.text import softmax as sm
+    pos = F.array(*[F.get(logits, 2 * i).cast("double") for i in range(n_labels)])
+    neg = F.array(*[F.get(logits, 2 * i + 1).cast("double") for i in range(n_labels)])
+    x = df.select(id_col, pos.alias("_p"), neg.alias("_n"))
+    x = x.select(id_col, "_p", "_n", sm("_p").alias("_s"))
+    z = x.select(id_col, F.posexplode(F.arrays_zip("_p", "_n", "_s")).alias("label", "z"))
+    return z.select(id_col, F.col("label").cast("int"), (F.col("z._p") > F.col("z._n")).alias("pred"),
+                    F.col("z._s").alias("prob"))
+
+
+def ensemble(model_scores: list) -> DataFrame:
+    """Mean of the models' score tables per (id, label), arg-max of the mean
+    (ties to the smaller label); alternative majority vote: a label that is the
+    arg-max of at least two models."""
+    u = model_scores[0]
+    for m in model_scores[1:]:
+        u = u.unionByName(m)
+    avg = u.groupBy("id", "label").agg(F.avg("score").alias("avg_score"))
+    best = avg.groupBy("id").agg(F.min_by("label", F.struct(-F.col("avg_score"), F.col("label"))).alias("best"))
+    mb = u.groupBy("id", "model").agg(F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("label"))
+    votes = mb.groupBy("id", "label").agg(F.count(F.lit(1)).alias("votes"))
+    return (avg.join(best, "id").join(votes, ["id", "label"], "left")
+            .select("id", "label", "avg_score", (F.col("label") == F.col("best")).alias("pred_mean"),
+                    (F.coalesce("votes", F.lit(0)) >= 2).alias("pred_vote")))
+
+
+# Classifier registry with one contract (train_x, train_y, test_ids, test_x, ...)
+CLASSIFIERS = {
+    "mnb": multinomial_nb,
+    "bnb": binary_nb,
+    "centroid": nearest_centroid_sparse,
+}

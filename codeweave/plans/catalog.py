@@ -1,2 +1,2 @@
 """Importing this module registers every query."""
-from . import q_aggregate, q_core, q_relate, q_sample_eval, q_structure, q_text  # noqa: F401
+from . import q_aggregate, q_classify, q_core, q_relate, q_sample_eval, q_structure, q_text  # noqa: F401
