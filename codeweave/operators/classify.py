@@ -229,7 +229,8 @@ def knn_cosine(train: DataFrame, test: DataFrame, k: int = 3, vec: str = "vec",
 
     def local_topk(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(r) == 0:
-            return pd.DataFrame({"qid": [], "rid": [], "label": [], "dist": []})
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64),
+                                 "dist": np.zeros(0, np.float64)})
         Q = np.vstack(q["v"].to_numpy())
         R = np.vstack(r["v"].to_numpy())
         Q = Q / np.linalg.norm(Q, axis=1, keepdims=True)
@@ -239,13 +240,14 @@ def knn_cosine(train: DataFrame, test: DataFrame, k: int = 3, vec: str = "vec",
         order = np.lexsort((np.broadcast_to(rid, D.shape), D), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(q)), order.shape[1])
         cols = order.reshape(-1)
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "rid": rid[cols],
-                             "label": r["label"].to_numpy()[cols], "dist": D[rows, cols]})
+        return pd.DataFrame({"qid": q["qid"].to_numpy().astype(np.int64)[rows],
+                             "rid": rid.astype(np.int64)[cols], "dist": D[rows, cols].astype(np.float64)})
 
-    cand = (te.groupBy("qb", "tb").cogroup(tr.groupBy("qb", "tb"))
-            .applyInPandas(local_topk, "qid long, rid long, label string, dist double"))
+    cand = (te.groupBy("qb", "tb").cogroup(tr.select("rid", "v", "tb", "qb").groupBy("qb", "tb"))
+            .applyInPandas(local_topk, "qid long, rid long, dist double"))
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     top = cand.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    top = top.join(train.select(F.col("id").alias("rid"), F.col("label").cast("string").alias("label")), "rid")
     exact = F.max((F.col("dist") <= 0).cast("int")).over(Window.partitionBy("qid"))
     top = top.withColumn("_ex", exact).withColumn(
         "wt", F.when(F.col("_ex") == 1, (F.col("dist") <= 0).cast("double")).otherwise(1.0 / F.col("dist")))

@@ -50,15 +50,20 @@ def bag_of_terms(terms) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop: list | None = None,
-                ngram: int = 2, pattern: str = ASCII_TOKENS) -> DataFrame:
-    """(id, term, tf) for every document; no shuffle."""
-    t = spread(df.select(F.col(id_col).alias("id"), F.col(text_col)), "id")
-    t = t.select("id", word_tokens(F.col(text_col), stop, pattern).alias("_t"))
+                ngram: int = 2, pattern: str = ASCII_TOKENS, keep: list | None = None,
+                spread_input: bool = True) -> DataFrame:
+    """(id, term, tf[, keep...]) for every document; no shuffle (besides the
+    optional spreading of an under-split input)."""
+    keep = list(keep or [])
+    t = df.select(F.col(id_col).alias("id"), F.col(text_col), *keep)
+    if spread_input:
+        t = spread(t, "id")
+    t = t.select("id", *keep, word_tokens(F.col(text_col), stop, pattern).alias("_t"))
     if ngram >= 2:
-        t = t.select("id", let(F.col("_t"), with_bigrams).alias("_t"))
+        t = t.select("id", *keep, let(F.col("_t"), with_bigrams).alias("_t"))
     # outer generator + null filter: a plain generator would make Catalyst infer
     # a pre-filter that evaluates the whole bag expression a second time
-    return (t.select("id", F.inline_outer(bag_of_terms(F.col("_t"))))
+    return (t.select("id", *keep, F.inline_outer(bag_of_terms(F.col("_t"))))
              .filter(F.col("term").isNotNull()))
 
 

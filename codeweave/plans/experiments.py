@@ -44,17 +44,21 @@ def distant_setup(spark: SparkSession, sf_dir: str, label_col: str = "lang", sto
                   seed=DESC_SEED, fraction: float = DESC_FRACTION, max_features: int = MAX_FEATURES) -> DistantSetup:
     docs = table(spark, sf_dir, "documents")
     stop = stopword_list(stop_sets)
-    counts = term_counts(docs, "doc_id", "text", stop)
     split = group_split(docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label")),
                         ["label"], "id", fraction, seed).select("id", "label", "is_test")
-    # tokenised corpus feeds both the description fit and the scoring side:
-    # persisted (recomputable from lineage if an executor is lost)
-    c = counts.join(split, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    # The split flag joins the documents (one row each), not the exploded terms:
+    # one shuffle of the texts on id, which every later per-document window
+    # (L2 norm, scoring) reuses. The split side grows with the corpus, so no
+    # broadcast: a shuffled hash join.
+    dj = docs.select(F.col("doc_id").alias("id"), "text").join(split.hint("shuffle_hash"), "id")
+    c = term_counts(dj, "id", "text", stop, keep=["label", "is_test"], spread_input=False) \
+        .persist(StorageLevel.MEMORY_AND_DISK)  # feeds both the fit and the scoring side
+    counts = c.select("id", "term", "tf")
     desc_counts = (c.filter("is_test").groupBy(F.col("label").alias("id"), "term")
                    .agg(F.sum("tf").alias("tf")))
     vocab = fit_vocabulary(desc_counts, max_features).cache()
     vsize = vocab.count()
-    desc_w = tfidf(desc_counts, vocab)
+    desc_w = tfidf(desc_counts, vocab).persist(StorageLevel.MEMORY_AND_DISK)  # labels x vocabulary
     test = split.filter(~F.col("is_test"))
     test_x = tfidf(c.filter(~F.col("is_test")).select("id", "term", "tf"), vocab)
     return DistantSetup(counts, split, desc_counts, vocab, vsize, desc_w,
