@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 from . import (q_aggregate, q_classify, q_core, q_relate, q_sample_eval, q_sources,  # noqa: F401
-               q_structure, q_text)
+               q_structure, q_text, q_udf)
