@@ -101,3 +101,42 @@ def fetch_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows for a list of ids (semi-join; the id list is size-checked before
     it is broadcast)."""
     return rows.join(broadcast_if_bounded(ids.select(key).distinct(), MAX_DIM), key, "left_semi")
+
+
+def description_switch(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
+    """Description bags from vocabulary A, B or both (A and B concatenated =
+    their bags summed, label by label, full outer)."""
+    if mode == "a":
+        return a
+    if mode == "b":
+        return b
+    return (a.withColumnRenamed("tf", "ta").join(b.withColumnRenamed("tf", "tb"), ["label", "term"], "full_outer")
+            .select("label", "term", (F.coalesce("ta", F.lit(0)) + F.coalesce("tb", F.lit(0))).alias("tf")))
+
+
+def truth_vs_pred(gold: DataFrame, pred: DataFrame, label: str) -> DataFrame:
+    """For documents whose gold has ``label``: their gold and predicted label lists."""
+    ids = gold.filter(F.col("label") == label).select("id")
+    g = gold.join(ids, "id", "left_semi").groupBy("id").agg(F.concat_ws(",", F.sort_array(F.collect_list("label"))).alias("gold"))
+    p = pred.join(ids, "id", "left_semi").groupBy("id").agg(F.concat_ws(",", F.sort_array(F.collect_list("label"))).alias("pred"))
+    return g.join(p, "id", "left").na.fill("", ["pred"])
+
+
+def granularity_labels(docs: DataFrame, granularity: str, coarse_col: str, fine_col: str) -> DataFrame:
+    """The label column for the coarse (codes) or fine (topics) granularity."""
+    col = coarse_col if granularity == "coarse" else fine_col
+    return docs.select(F.col(col).alias("label"))
+
+
+def inspect_document(one: DataFrame, gold: DataFrame, pred: DataFrame, doc_w: DataFrame, class_w: DataFrame) -> DataFrame:
+    """One document's gold labels, predicted labels and cosine similarity to
+    every class vector, as one row."""
+    g = gold.join(one, "id", "left_semi").groupBy("id").agg(F.concat_ws(",", F.sort_array(F.collect_list("label"))).alias("gold"))
+    p = pred.join(one, "id", "left_semi").groupBy("id").agg(F.concat_ws(",", F.sort_array(F.collect_list("label"))).alias("pred"))
+    c = class_w.select(F.col("id").alias("label"), "term", F.col("w").alias("cw"))
+    cos = (doc_w.join(one, "id", "left_semi").join(c, "term").groupBy("id", "label")
+           .agg(F.sum(F.col("w") * F.col("cw")).alias("cosine")))
+    sim = cos.groupBy("id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("label", "cosine"))),
+                                                             lambda e: F.concat(e["label"], F.lit("="),
+                                                                                F.round(e["cosine"], 4).cast("string")))).alias("similarity"))
+    return one.join(g, "id", "left").join(p, "id", "left").join(sim, "id", "left").na.fill("", ["pred"])

@@ -41,8 +41,11 @@ class DistantSetup:
 
 
 def distant_setup(spark: SparkSession, sf_dir: str, label_col: str = "lang", stop_sets: str = "ce",
-                  seed=DESC_SEED, fraction: float = DESC_FRACTION, max_features: int = MAX_FEATURES) -> DistantSetup:
+                  seed=DESC_SEED, fraction: float = DESC_FRACTION, max_features: int = MAX_FEATURES,
+                  drop_label: str | None = None) -> DistantSetup:
     docs = table(spark, sf_dir, "documents")
+    if drop_label is not None:  # "without class X": its documents and its description both go
+        docs = docs.filter(F.col(label_col) != drop_label)
     stop = stopword_list(stop_sets)
     split = group_split(docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label")),
                         ["label"], "id", fraction, seed).select("id", "label", "is_test")
@@ -71,12 +74,83 @@ def distant_nb(s: DistantSetup, alpha: float = 0.001, t: float = 0.1) -> DataFra
     return M.multinomial_nb(s.desc_w, train_y, s.test_ids, s.test_x, s.vocab_size, alpha, t)
 
 
+def distant_predict(s: DistantSetup, method: str = "mnb") -> DataFrame:
+    """Classifier chosen by name, one contract."""
+    train_y = s.desc_w.select("id").distinct().withColumn("label", F.col("id"))
+    if method == "mnb":
+        return distant_nb(s)
+    if method == "bnb":
+        return M.binary_nb(s.desc_w, train_y, s.test_ids, s.test_x, s.vocab, s.vocab_size)
+    if method == "centroid":
+        return M.nearest_centroid_sparse(s.desc_w, train_y, s.test_ids, s.test_x)
+    raise KeyError(method)
+
+
 def distant_run(spark: SparkSession, sf_dir: str, method: str = "mnb", **kw) -> DataFrame:
     s = distant_setup(spark, sf_dir, **kw)
-    pred = distant_nb(s)
+    pred = distant_predict(s, method)
     return E.evaluate(s.gold, pred.filter("pred")).select(F.lit(method).alias("method"), "*")
 
 
+def distant_grid(spark: SparkSession, sf_dir: str, settings: list, methods: list, **kw) -> DataFrame:
+    """Stopword setting x method grid in long form (method, setting, metric,
+    value) with metric in precision/recall/f1/auc. Each setting tokenises
+    differently (stopwords go before bigrams), so a setting is one pipeline and
+    its methods share the features."""
+    out = None
+    for st in settings:
+        s = distant_setup(spark, sf_dir, stop_sets=st, **kw)
+        for m in methods:
+            p = distant_predict(s, m)
+            met = E.evaluate(s.gold, p.filter("pred"))
+            auc = E.macro_auc(E.roc_auc(s.gold, p.select("id", "label", F.round("score", 10).alias("score")),
+                                        s.test_ids))
+            long = met.unpivot([], ["precision", "recall", "f1"], "metric", "value").unionByName(
+                auc.select(F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+            row = long.select(F.lit(m).alias("method"), F.lit(st).alias("setting"), "metric", "value")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def supervised_setup(spark: SparkSession, sf_dir: str, train_ids: DataFrame, test_ids: DataFrame,
+                     label_col: str = "lang", stop_sets: str = "ce", max_features: int = MAX_FEATURES):
+    """Transcript-style supervision: TF-IDF fitted on the training documents,
+    NB trained on their first label, scored on the test documents."""
+    docs = table(spark, sf_dir, "documents")
+    stop = stopword_list(stop_sets)
+    lab = docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label"))
+    tagged = (train_ids.select("id", F.lit(True).alias("is_train"))
+              .unionByName(test_ids.select("id", F.lit(False).alias("is_train"))))
+    dj = docs.select(F.col("doc_id").alias("id"), "text").join(tagged.hint("shuffle_hash"), "id")
+    c = term_counts(dj, "id", "text", stop, keep=["is_train"], spread_input=False).persist(StorageLevel.MEMORY_AND_DISK)
+    trc = c.filter("is_train").select("id", "term", "tf")
+    vocab = fit_vocabulary(trc, max_features).cache()
+    vsize = vocab.count()
+    train_x = tfidf(trc, vocab)
+    test_x = tfidf(c.filter(~F.col("is_train")).select("id", "term", "tf"), vocab)
+    train_y = lab.join(train_ids.select("id"), "id", "left_semi")
+    gold = lab.join(test_ids.select("id"), "id", "left_semi")
+    pred = M.multinomial_nb(train_x, train_y, test_ids.select("id"), test_x, vsize)
+    return gold, pred
+
+
+def fold_runs(spark: SparkSession, sf_dir: str, k: int = 5, seed=3, without: str | None = None) -> DataFrame:
+    """Stratified k-fold (X04); per fold metrics (fold, precision, recall, f1).
+    The k fold jobs are unioned into one result (k is a small parameter)."""
+    from ..operators.sample import stratified_folds
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    folds = stratified_folds(docs, k, seed).cache()
+    out = None
+    for f in range(k):
+        gold, pred = supervised_setup(spark, sf_dir, folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f))
+        pc = E.per_class(gold, pred)
+        if without is not None:
+            pc = pc.filter(F.col("label") != without)
+        r = E.macro(pc).select(F.lit(f).alias("fold"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def fit_distant_nb(s: DistantSetup, alpha: float = 0.001):
     train_y = s.desc_w.select("id").distinct().withColumn("label", F.col("id"))
     return M.fit_multinomial_nb(s.desc_w, M.first_label(train_y), s.vocab_size, alpha)

@@ -17,6 +17,26 @@ STOP = "ce"
 # ---------------------------------------------------------------- shared SQL
 SPLIT_SQL = group_split_cte("s", "(SELECT doc_id AS id, lang AS label FROM documents)", "label", "id",
                             X.DESC_FRACTION, X.DESC_SEED)
+
+
+def distant_sql(stop: str = STOP, label: str = "lang", drop_label: str | None = None) -> str:
+    """Oracle twin of :func:`experiments.distant_setup` + NB fit and scores."""
+    split = group_split_cte("s", f"(SELECT doc_id AS id, {label} AS label FROM documents"
+                            + (f" WHERE {label} <> '{drop_label}'" if drop_label else "") + ")",
+                            "label", "id", X.DESC_FRACTION, X.DESC_SEED)
+    return f"""{split},
+{terms_cte('documents', 'doc_id', 'text', stop, 'cnt')},
+dc AS (SELECT s.label AS id, term, sum(tf) AS tf FROM cnt JOIN s USING (id) WHERE s.is_test GROUP BY s.label, term),
+{tfidf_ctes('dc', 'v', X.MAX_FEATURES)},
+{weights_cte('dw', 'dc', 'v_vocab')},
+tc AS (SELECT id, term, tf FROM cnt JOIN s USING (id) WHERE NOT s.is_test),
+{weights_cte('tw', 'tc', 'v_vocab')},
+tids AS (SELECT id, label FROM s WHERE NOT is_test),
+ty AS (SELECT DISTINCT id, id AS label FROM dw),
+{nb_ctes('dw', 'ty', 'v_vocab')},
+{nb_score_ctes('tids', 'tw')}"""
+
+
 DISTANT_SQL = f"""{SPLIT_SQL},
 {terms_cte('documents', 'doc_id', 'text', STOP, 'cnt')},
 dc AS (SELECT s.label AS id, term, sum(tf) AS tf FROM cnt JOIN s USING (id) WHERE s.is_test GROUP BY s.label, term),
