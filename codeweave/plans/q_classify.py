@@ -199,3 +199,11 @@ def m14(spark, d):
     s = X.distant_setup(spark, d)
     classes, model = X.fit_distant_nb(s)
     return rounded(M.term_posteriors(classes, model, s.vocab))
+
+
+@query("m03_m04_rbf_svm_rff", None)
+def m03(spark, d):
+    """Rows-only: an approximation of the kernel SVM has no exact SQL twin."""
+    from ..operators.svm import fit_predict_rff_svm
+    tr, te = _emb_split(spark, d)
+    return fit_predict_rff_svm(tr, te, "vec", C=2.0, n_features=256, seed=0)
