@@ -233,3 +233,14 @@ def record_entries(rows: DataFrame) -> DataFrame:
     wide = agg.groupBy("id", "entry_no").pivot("heading", RECORD_FIELDS).agg(F.first("text"))
     out = dates.join(wide, ["id", "entry_no"], "left")
     return out.withColumn("gp", F.coalesce("gp", F.lit("")))
+
+
+def lemmatise(words: DataFrame, lemmas: DataFrame, id_col: str = "id") -> DataFrame:
+    """T04 (re-aimed): token -> lemma through a caller-supplied (form, lemma)
+    table; tokens without an entry stay as they are. Input (id, pos, token);
+    the lemma table is a vocabulary-sized dimension, broadcast after a size check."""
+    from ..session import broadcast_if_bounded
+    lt = broadcast_if_bounded(lemmas.select(F.col("form").alias("token"), "lemma"), 5_000_000)
+    j = words.join(lt, "token", "left").select(id_col, "pos", F.coalesce("lemma", "token").alias("token"))
+    return j.groupBy(id_col).agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))),
+                                                              lambda e: e["token"])).alias("text"))

@@ -192,3 +192,13 @@ def nested_export(records: DataFrame, turns: DataFrame, key: str = "id") -> Data
                                                                         e["utterance"].alias("dialogue"))).alias("conversation"))
                        .alias("transcript"))
     return records.join(conv, key, "left")
+
+
+def read_eval_json(df: DataFrame, col: str) -> DataFrame:
+    """``[[chunks...], [codes...], id]`` -> (id, chunks, codes, split_nums).
+    Elements are read as raw JSON text first (the outer list is heterogeneous)."""
+    parts = F.from_json(F.col(col), "array<string>")
+    x = df.select(parts.alias("_p"))
+    return x.select(F.get("_p", 2).alias("id"),
+                    F.from_json(F.get("_p", 0), "array<string>").alias("chunks"),
+                    F.from_json(F.get("_p", 1), "array<string>").alias("codes")).withColumn("split_nums", F.size("chunks"))
