@@ -199,11 +199,14 @@ def confidence_interval(rep_metrics: DataFrame, lo: float = 0.05, hi: float = 0.
     return res
 
 
-def doc_cells(gold: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per evaluated document a dense index (0..n-1 by id) and its (label, g, p)
-    cells; used by the bootstrap. The index is a global row_number over the
-    evaluated ids (a bounded evaluation set)."""
-    idx = ids.select("id").distinct().select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("idx"))
+def doc_cells(gold: DataFrame, pred: DataFrame, ids: DataFrame, seed=29) -> DataFrame:
+    """Per evaluated document a dense index 0..n-1 (hash order, numbered with the
+    skew-safe bucketed rank, no single-partition window) and its (label, g, p)
+    cells; used by the bootstrap."""
+    from ..functions.hashing import stable_hash
+    from .sample import grouped_rank
+    h = ids.select("id").distinct().withColumn("_h", stable_hash(seed, "id"))
+    idx = grouped_rank(h, [], "_h", "id").select("id", (F.col("rn") - 1).alias("idx"))
     g = gold.select("id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
     p = (pred.filter("pred") if "pred" in pred.columns else pred).select("id", "label", F.lit(0).alias("g"), F.lit(1).alias("p"))
     cell = g.unionByName(p).groupBy("id", "label").agg(F.max("g").alias("g"), F.max("p").alias("p"))
@@ -214,3 +217,30 @@ def masked_accuracy(rows: DataFrame) -> DataFrame:
     """Share of positions with prediction == target, ignoring target -100."""
     return rows.filter(F.col("target") != -100).agg(
         F.avg((F.col("pred") == F.col("target")).cast("double")).alias("accuracy"))
+
+
+def poisson_weight(u) -> "F.Column":
+    """Poisson(1) variate from a uniform in [0,1) by inverse CDF (k <= 12; the
+    tail beyond has probability < 1e-9 and is folded into 12)."""
+    import math
+    cdf, acc = [], 0.0
+    for k in range(13):
+        acc += math.exp(-1.0) / math.factorial(k)
+        cdf.append(acc)
+    expr = F.lit(12)
+    for k in range(11, -1, -1):
+        expr = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(expr)
+    return expr
+
+
+def poisson_bootstrap_cells(cells: DataFrame, reps: int, seed=0, key: str = "id") -> DataFrame:
+    """X06 (scalable mode): every document gets an independent Poisson(1) weight
+    per replicate from a hash of (seed, replicate, document) -- no global index,
+    no join with a draw table; per (rep, label) weighted tp/fp/fn."""
+    from ..functions.hashing import unit_uniform
+    x = cells.select(key, "label", "g", "p", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    x = x.withColumn("w", poisson_weight(unit_uniform(seed, "rep", key)))
+    return x.groupBy("rep", "label").agg(
+        F.sum(F.col("w") * F.col("g") * F.col("p")).alias("tp"),
+        F.sum(F.col("w") * (1 - F.col("g")) * F.col("p")).alias("fp"),
+        F.sum(F.col("w") * F.col("g") * (1 - F.col("p"))).alias("fn"))

@@ -292,7 +292,7 @@ def e11(spark, d):
 
 
 BOOT_B = 50
-BOOT_SQL = f"""ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT DISTINCT id FROM tids)),
+BOOT_SQL = f"""ix AS (SELECT id, row_number() OVER (ORDER BY {sql_hash(29, 'id')}, id) - 1 AS idx FROM (SELECT DISTINCT id FROM tids)),
 nn AS (SELECT count(*) AS n FROM ix),
 bd AS (SELECT rep, {sql_hash(X06_SEED, 'rep', 'j')} % (SELECT n FROM nn) AS idx
   FROM (SELECT unnest(range({BOOT_B})) AS rep), (SELECT unnest(range(n)) AS j FROM nn)),
@@ -369,3 +369,33 @@ def e15(spark, d):
     rows = e.select((F.array_position("l", F.array_max("l")) - 1).alias("pred"),
                     F.when(F.col("label") == 9, F.lit(-100)).otherwise(F.col("label")).alias("target"))
     return rounded(E.masked_accuracy(rows))
+
+
+def _poisson_sql(u: str) -> str:
+    import math
+    cdf, acc = [], 0.0
+    for k in range(13):
+        acc += math.exp(-1.0) / math.factorial(k)
+        cdf.append(acc)
+    return "CASE " + " ".join(f"WHEN {u} < {cdf[k]!r} THEN {k}" for k in range(12)) + " ELSE 12 END"
+
+
+@query("x06_poisson_bootstrap_ci", f"""WITH {PRED_SQL},
+cells AS (SELECT id, label, max(g) AS g, max(p) AS p FROM (SELECT id, label, 1 AS g, 0 AS p FROM tids
+  UNION ALL SELECT id, label, 0, 1 FROM pred) GROUP BY id, label),
+x AS (SELECT cells.*, rep, {_poisson_sql(sql_hash(X06_SEED, 'rep', 'id') + ' / 4294967296.0')} AS w
+  FROM cells, (SELECT unnest(range({BOOT_B})) AS rep)),
+bc AS (SELECT rep, label, sum(w * g * p) AS tp, sum(w * (1 - g) * p) AS fp, sum(w * g * (1 - p)) AS fn FROM x GROUP BY rep, label),
+bp AS (SELECT rep, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM bc WHERE tp + fn > 0),
+bm AS (SELECT rep, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM bp GROUP BY rep)
+SELECT 'precision' AS metric, round(quantile_cont(precision, 0.05), 6) AS lo, round(quantile_cont(precision, 0.95), 6) AS hi FROM bm
+UNION ALL SELECT 'recall', round(quantile_cont(recall, 0.05), 6), round(quantile_cont(recall, 0.95), 6) FROM bm
+UNION ALL SELECT 'f1', round(quantile_cont(f1, 0.05), 6), round(quantile_cont(f1, 0.95), 6) FROM bm""")
+def x06p(spark, d):
+    s, p = _flag(spark, d)
+    g = s.gold.select("id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
+    pr = p.filter("pred").select("id", "label", F.lit(0).alias("g"), F.lit(1).alias("p"))
+    cells = g.unionByName(pr).groupBy("id", "label").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    bc = E.poisson_bootstrap_cells(cells, BOOT_B, X06_SEED)
+    return rounded(E.confidence_interval(E.macro(E.prf(bc), "rep")))
