@@ -39,7 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="codeweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # sessions without a classic SparkContext: the conf is enough
+        pass
     return d
 
 
@@ -74,7 +77,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     per-row text work on one core. Only then, hash-repartition on ``keys`` to the
     session parallelism; the hash layout is reused by later per-key windows.
     Large inputs already have many splits and pass through untouched."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= par:
+            return df
+    except Exception:  # no RDD view of the plan: leave partitioning to the engine
         return df
     return df.repartition(par, *keys) if keys else df.repartition(par)

@@ -17,9 +17,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    except Exception:
+        try:
+            spark.read.parquet(path).schema  # noqa: B018
+            return True
+        except Exception:
+            return False
 
 
 def read_or_build(spark: SparkSession, path: str, build, schema=None) -> DataFrame:
