@@ -84,11 +84,25 @@ def a06(spark, d):
     return inv.select("id", F.concat_ws(",", "labels").alias("labels"))
 
 
-@query("a07_flatten_codes", f"""SELECT doc_id AS id, unnest(regexp_extract_all(text, '{T.CODE_PATTERN}')) AS code
-FROM documents) WHERE code NOT LIKE '-%'""".replace("SELECT doc_id AS id, unnest", "SELECT * FROM (SELECT doc_id AS id, unnest"))
+# Code-bearing free text derived from lineitem: per order, one code per line
+# ('R03' from return flag + line number; open lines become process codes '-03').
+A07_SQL = f"""WITH lc AS (SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_linestatus = 'O' THEN '-' ELSE l_returnflag END || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS c
+  FROM lineitem),
+t AS (SELECT l_orderkey AS id, string_agg(c, ', ' ORDER BY l_linenumber, c) AS text FROM lc GROUP BY l_orderkey)
+SELECT * FROM (SELECT id, unnest(regexp_extract_all(text, '{T.CODE_PATTERN}')) AS code FROM t)
+WHERE code NOT LIKE '-%'"""
+
+
+@query("a07_flatten_codes", A07_SQL)
 def a07(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.extract_codes("text").alias("codes"))
-    return A.flatten_codes(docs, "doc_id", "codes")
+    li = table(spark, d, "lineitem")
+    c = F.concat(F.when(F.col("l_linestatus") == "O", F.lit("-")).otherwise(F.col("l_returnflag")),
+                 F.lpad(F.col("l_linenumber").cast("string"), 2, "0"))
+    t = (li.select(F.col("l_orderkey").alias("id"), "l_linenumber", c.alias("c")).groupBy("id")
+         .agg(F.concat_ws(", ", F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "c"))),
+                                            lambda e: e["c"])).alias("text")))
+    return A.flatten_codes(t.select("id", T.extract_codes("text").alias("codes")), "id", "codes")
 
 
 DOC_W_SQL = f"""{terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt')},

@@ -39,10 +39,8 @@ def j03(spark, d):
 
 @query("j04_resolve_links", """WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS code,
   [CAST(p_size AS VARCHAR), CAST(p_partkey + 5000 AS VARCHAR)] AS refs FROM part)
-SELECT e.code, 'consider' AS rel, x.target FROM (SELECT code, unnest(refs) AS target FROM e) x
-JOIN e ON e.code = x.target JOIN (SELECT code FROM e) src ON src.code = x.code""".replace(
-    "SELECT e.code, 'consider' AS rel, x.target FROM (SELECT code, unnest(refs) AS target FROM e) x\nJOIN e ON e.code = x.target JOIN (SELECT code FROM e) src ON src.code = x.code",
-    "SELECT x.code, 'consider' AS rel, x.target FROM (SELECT code, unnest(refs) AS target FROM e) x\nJOIN (SELECT code AS target FROM e) t USING (target)"))
+SELECT x.code, 'consider' AS rel, x.target FROM (SELECT code, unnest(refs) AS target FROM e) x
+JOIN (SELECT code AS target FROM e) t USING (target)""")
 def j04(spark, d):
     p = table(spark, d, "part")
     e = p.select(F.col("p_partkey").cast("string").alias("code"),
