@@ -125,6 +125,7 @@ def binary_nb(train_x: DataFrame, train_y: DataFrame, test_ids: DataFrame, test_
         "label", "term",
         (F.log(F.col("n_ct") + alpha) - F.log(F.lit(alpha))).alias("dpos"),
         (F.log(F.col("T_t") - F.col("n_ct") + alpha) - F.log(F.col("T_t") + alpha)).alias("dneg"))
+    # one row per vocabulary term (capped by max_features): a proven-small broadcast
     lt = F.broadcast(vocab.select("term").join(tt, "term", "left").select(
         "term", F.log(F.coalesce("T_t", F.lit(0.0)) + alpha).alias("lt")))
     m = broadcast_if_bounded(model, MAX_MODEL_ROWS)

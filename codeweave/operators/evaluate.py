@@ -62,8 +62,8 @@ def report(gold: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
                  (F.sum(F.col("precision") * sup) / F.sum(sup)).alias("precision"),
                  (F.sum(F.col("recall") * sup) / F.sum(sup)).alias("recall"),
                  (F.sum(F.col("f1") * sup) / F.sum(sup)).alias("f1"))
-    g = gold.join(F.broadcast(kept), "label").select("id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
-    p = (pred.filter("pred") if "pred" in pred.columns else pred).join(F.broadcast(kept), "label") \
+    g = gold.join(kept, "label").select("id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
+    p = (pred.filter("pred") if "pred" in pred.columns else pred).join(kept, "label") \
         .select("id", "label", F.lit(0).alias("g"), F.lit(1).alias("p"))
     cell = g.unionByName(p).groupBy("id", "label").agg(F.max("g").alias("g"), F.max("p").alias("p"))
     d = cell.groupBy("id").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("g").alias("ng"), F.sum("p").alias("np"))
@@ -136,7 +136,9 @@ def specificity(confusion: DataFrame) -> DataFrame:
     """Per label, among documents whose first gold label is another label,
     the share whose first predicted label is not this label (from E06)."""
     labels = confusion.select(F.col("gold").alias("label")).filter(F.col("label").isNotNull()).distinct()
-    j = confusion.join(F.broadcast(labels), F.col("gold").isNull() | (F.col("gold") != F.col("label")))
+    from ..session import broadcast_if_bounded
+    # confusion table and label list are labels^2 / labels rows (checked)
+    j = confusion.join(broadcast_if_bounded(labels, 100_000), F.col("gold").isNull() | (F.col("gold") != F.col("label")))
     neg = j.groupBy("label").agg(F.sum("n").alias("neg"),
                                  F.sum(F.when(F.col("pred").isNull() | (F.col("pred") != F.col("label")), F.col("n"))
                                        .otherwise(0)).alias("tn"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash, unit_uniform
-from ..session import bounded_rows
+from ..session import bounded_rows, broadcast_if_bounded
 
 BUCKET_BITS = 12
 
@@ -55,7 +55,9 @@ def multilabel_strata(doc_labels: DataFrame, drop_undersize: bool = False) -> Da
     dl = doc_labels.select("id", "label").distinct()
     sizes = dl.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     ranked = sizes.select("label", F.row_number().over(Window.orderBy("size", "label")).alias("crank"))
-    strat = (dl.join(F.broadcast(ranked), "label")
+    # label-dimension tables are joined without a hint: AQE broadcasts them at
+    # run time once their (small) size is known
+    strat = (dl.join(ranked, "label")
              .groupBy("id").agg(F.min_by("label", "crank").alias("own")))
     ss = strat.groupBy("own").agg(F.count(F.lit(1)).alias("n")).join(ranked, ranked.label == F.col("own")).drop("label")
     w = Window.orderBy("crank")
@@ -68,7 +70,7 @@ def multilabel_strata(doc_labels: DataFrame, drop_undersize: bool = False) -> Da
         ss = ss.filter(F.col("n") >= 2).select("own", F.col("own").alias("stratum"))
     else:
         ss = ss.select("own", F.when(moved, F.col("_next")).otherwise(F.col("own")).alias("stratum"))
-    return strat.join(F.broadcast(ss), "own").select("id", "stratum")
+    return strat.join(ss, "own").select("id", "stratum")
 
 
 def multilabel_split(doc_labels: DataFrame, seed=23490, test_size: float = 0.2,
@@ -114,7 +116,7 @@ def balanced_negatives(items: DataFrame, exclude: DataFrame, seed=0) -> tuple[Da
     blocks = blocks.withColumn("off", F.coalesce(F.sum("size").over(
         Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = blocks.agg(F.sum("size").alias("t"))
-    idx = r.join(F.broadcast(blocks.select("label", "off")), "label").select(
+    idx = r.join(blocks.select("label", "off"), "label").select(
         "item_id", "label", (F.col("off") + F.col("rn") - 1).alias("g"))
     ex = (exclude.select("label", F.col("excluded"))
           .unionByName(blocks.select("label", F.col("label").alias("excluded"))).distinct())
@@ -126,7 +128,7 @@ def balanced_negatives(items: DataFrame, exclude: DataFrame, seed=0) -> tuple[Da
     tot = bounded_rows(total, 1)[0]["t"]
     per = per.withColumn("pool", F.lit(tot) - F.col("ex_n"))
     report = per.filter(F.col("pool") <= 0).select("label", F.lit("no negative candidates").alias("reason"))
-    pos = it.join(F.broadcast(per.filter(F.col("pool") > 0)), "label")
+    pos = it.join(per.filter(F.col("pool") > 0), "label")
     u = stable_hash(seed, F.lit("neg"), "label", "item_id") % F.col("pool")
     draws = pos.select("label", F.col("item_id").alias("pos_item"), u.alias("u"), "ex")
     draws = draws.select("label", "pos_item", (F.col("u") + F.aggregate(
@@ -151,7 +153,7 @@ def mask_tokens(tokens: DataFrame, vocab: DataFrame, seed=0, mask_id: int = 1, u
     Token ids come from a bounded vocabulary (term, token_id in 2..V+1; 0 = unk,
     1 = mask). A target token is always masked; otherwise with r uniform:
     r < .12 mask, < .135 keep, < .15 random id in 1..V-1, else not a target (-100)."""
-    v = F.broadcast(vocab.select(F.col("term").alias("token"), "token_id"))
+    v = broadcast_if_bounded(vocab.select(F.col("term").alias("token"), "token_id"), 5_000_000)
     t = tokens.join(v, "token", "left").withColumn("tid", F.coalesce("token_id", F.lit(unk_id)))
     vsize = bounded_rows(vocab.agg(F.count(F.lit(1)).alias("n")), 1)[0]["n"] + 2
     r = unit_uniform(seed, "id", "pos")
