@@ -48,20 +48,21 @@ def fit_predict_rff_svm(train: DataFrame, test: DataFrame, vec: str = "vec", C:
     W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(n_features, d))
     b = rng.uniform(0.0, 2.0 * np.pi, size=n_features)
     labels = [r["label"] for r in bounded_rows(train.select("label").distinct().orderBy("label"), 100_000)]
-    lid = {l: i for i, l in enumerate(labels)}
-    idx = F.create_map(*[x for l in labels for x in (F.lit(l), F.lit(float(lid[l])))])
+    spark = train.sparkSession
+    lid = spark.createDataFrame([(l, float(i)) for i, l in enumerate(labels)], "label string, y double")
     n = train.count()
     # persisted: every one-vs-rest model iterates over the same feature rows
-    tr = rff_features(train.select("id", "label", vec), vec, W, b).select(
-        array_to_vector("z").alias("features"), idx[F.col("label")].alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = (rff_features(train.select("id", F.col("label").cast("string").alias("label"), vec), vec, W, b)
+          .join(F.broadcast(lid), "label")  # the checked label list
+          .select(array_to_vector("z").alias("features"), "y").persist(StorageLevel.MEMORY_AND_DISK))
     te = rff_features(test.select("id", vec), vec, W, b).select("id", array_to_vector("z").alias("features"))
     svc = LinearSVC(regParam=1.0 / (C * n), maxIter=max_iter, featuresCol="features", labelCol="y")
     model = OneVsRest(classifier=svc, featuresCol="features", labelCol="y", parallelism=4).fit(tr)
     pr = model.transform(te).select("id", vector_to_array("rawPrediction").alias("m"), "prediction")
-    lab_arr = F.array(*[F.lit(l) for l in labels])
     out = pr.select("id", F.col("prediction").cast("int").alias("best"),
                     F.posexplode("m").alias("k", "margin"))
-    return out.select("id", F.get(lab_arr, F.col("k")).alias("label"),
+    out = out.join(F.broadcast(lid.select("label", F.col("y").cast("int").alias("k"))), "k")
+    return out.select("id", "label",
                       (F.col("k") == F.col("best")).alias("pred_argmax"),
                       ((1.0 / (1.0 + F.exp(-F.col("margin")))) > t).alias("pred_threshold"),
                       "margin")
