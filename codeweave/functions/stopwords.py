@@ -2,17 +2,12 @@
 
 Sets are addressed by letter like the reference's settings strings ("mc", "ce", ...):
   c = custom conversational list (fixed values below),
-  e = English list shipped with Spark ML (`StopWordsRemover.loadDefaultStopWords('english')`),
+  e = the English list of Spark ML's StopWordsRemover (fixed values below; no jar or JVM is needed),
   m = medical list: supplied by the caller as a word list or a one-word-per-line file
       (it is a ~200-entry reference vocabulary, so it is a parameter, not code).
 """
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 
 # The custom stopword list, in its original order.
@@ -28,20 +23,29 @@ CUSTOM_STOPWORDS = (
 MEDICAL_DROPPED = ("side-effect", "side-effects", "over-the-counter")
 
 
-@lru_cache(maxsize=None)
-def english_stopwords() -> tuple:
-    """Spark ML's default English list, read from the pyspark mllib jar (no JVM needed)."""
-    import pyspark
+# The default English list of Spark ML's StopWordsRemover, in its original order.
+ENGLISH_STOPWORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her "
+    "hers herself it its itself they them their theirs themselves what which who whom this that these "
+    "those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after "
+    "above below to from up down in out on off over under again further then once here there when where "
+    "why how all any both each few more most other some such no nor not only own same so than too very s "
+    "t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd "
+    "they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't "
+    "weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't "
+    "couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's "
+    "would "
+).split()
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(words)
+
+def english_stopwords() -> tuple:
+    return tuple(ENGLISH_STOPWORDS)
 
 
 def medical_stopwords(words_or_path=None) -> list:
     if words_or_path is None:
-        return []
+        raise ValueError("stopword set 'm' needs a word list or a one-word-per-line file")
     if isinstance(words_or_path, str):
         with open(words_or_path, encoding="utf-8") as fh:
             words = [ln.strip() for ln in fh]
@@ -69,7 +73,7 @@ def stopword_list(sets: str, medical=None) -> list:
     return uniq
 
 
-def stopword_table(spark: SparkSession, sets: str = "mce", medical=None) -> DataFrame:
+def stopword_table(spark: SparkSession, sets: str = "ce", medical=None) -> DataFrame:
     """Long table (set, word) of the chosen sets."""
     rows = []
     if "m" in sets:
