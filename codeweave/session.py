@@ -33,14 +33,19 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder for it."""
+    """The cluster's shared ``spark.checkpoint.dir``. Only a single-machine session
+    (master ``local[...]``) may leave it unset and gets a scratch folder; on a
+    cluster a machine-local folder would lose data, so that raises."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="codeweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
-        spark.sparkContext.setCheckpointDir(d)
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(d)
     except Exception:  # sessions without a classic SparkContext: the conf is enough
         pass
     return d
