@@ -6,7 +6,7 @@ from importlib import import_module
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict = {}
 
-for _name in ("exact_dedup", "mixing", "simhash"):
+for _name in ("exact_dedup", "mixing", "simhash", "warc"):
     _m = import_module(f".{_name}", __package__)
     LLM_QUERIES.update(_m.QUERIES)
     LLM_ORACLES.update(_m.ORACLES)
