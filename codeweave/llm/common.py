@@ -43,3 +43,24 @@ def own_columns(df: DataFrame, **named) -> DataFrame:
 def text_bytes(col: str = "text"):
     """The whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows of ``docs`` whose id is in ``ids`` (null matches null), each (id, text) once:
+    repeated rows stay once, and rows without an id once per text."""
+    null = F.lit((1 << 63) - 1)
+    d = docs.withColumn("_key", F.coalesce(F.col(f"`{id_col}`"), null)) \
+        .withColumn("_sha", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
+    k = ids.select(F.coalesce(F.col(ids.columns[0]), null).alias("_key")).distinct()
+    return d.join(k, "_key", "left_semi").dropDuplicates(["_key", "_sha"]).drop("_key", "_sha")
+
+
+def filter_batches(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """Whole rows of ``docs`` for which ``keep(list of texts)`` (null as empty) says true; no shuffle."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep(texts), pa.bool_()))
+    at = [c.lower() for c in docs.columns].index(text_col)
+    return docs.mapInArrow(run, docs.schema)

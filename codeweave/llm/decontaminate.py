@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, own_columns
+from .common import filter_batches, load, own_columns
 
 SEED = 4
 WINDOW = 3
@@ -149,31 +149,24 @@ def _matches(block: Block, text: str):
             yield item, s / len(x), end - length if back == s else lo, end
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word): documents holding test items."""
-    d = own_columns(docs, doc_id=("doc_id", "long"), text=("text", "string")).filter("text is not null")
+def _blocks(benchmark: DataFrame, block_words: int):
+    """Items in blocks by running words; they come to the driver a block at a time."""
     b = own_columns(benchmark, item_id=("item_id", "long"), text=("text", "string")).filter("text is not null")
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, start_word int, end_word int"
-    # blocks by running words: items come to the driver one block at a time, through an iterator
-    out, held, size = None, [], 0
+    held, size = [], 0
     for row in b.toLocalIterator():
         held.append((row["item_id"], row["text"]))
-        size += len(row["text"]) // 4 + 1
+        size += len(words(row["text"]))
         if size >= block_words:
-            part = _one_block(spark, d, held, schema)
-            out, held, size = part if out is None else out.unionByName(part), [], 0
-    if held or out is None:
-        part = _one_block(spark, d, held, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+            yield Block(held)
+            held, size = [], 0
+    if held:
+        yield Block(held)
 
 
-def _one_block(spark, d: DataFrame, items: list, schema: str) -> DataFrame:
-    block = Block(items)
-    if not len(block.codes):
-        return spark.createDataFrame([], schema)
-    sent = spark.sparkContext.broadcast(block)
+def _seeded(docs: DataFrame, block: Block):
+    """The block, its seeds chosen by the document frequency of its n-grams, as a broadcast."""
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast(block)
 
     def count(batches):
         import pyarrow as pa
@@ -184,12 +177,26 @@ def _one_block(spark, d: DataFrame, items: list, schema: str) -> DataFrame:
                 df[np.unique(x.hits(x.numbers(t))[1])] += 1
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], names=["k", "df"])
+    d = own_columns(docs, text=("text", "string")).filter("text is not null")
     df = np.zeros(len(block.codes), dtype=np.int64)
-    for k, n in d.select("text").mapInArrow(count, "k long, df long").groupBy("k").agg(F.sum("df")).collect():
+    for k, n in d.mapInArrow(count, "k long, df long").groupBy("k").agg(F.sum("df")).collect():
         df[k] = n  # at most one row for each n-gram of the block
     block.choose(df)
-    seeded = spark.sparkContext.broadcast(block)
+    return sc.broadcast(block)
+
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word): documents holding test items."""
+    d = own_columns(docs, doc_id=("doc_id", "long"), text=("text", "string")).filter("text is not null")
+    schema = "doc_id long, item_id long, score double, start_word int, end_word int"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for i, block in enumerate(_blocks(benchmark, block_words)):
+        part = _align(d, _seeded(d, block), schema)
+        out = part if i == 0 else out.unionByName(part)
+    return out
+
+
+def _align(d: DataFrame, seeded, schema: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         x = seeded.value
@@ -203,6 +210,14 @@ def _one_block(spark, d: DataFrame, items: list, schema: str) -> DataFrame:
     return d.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Whole rows of the documents that hold no test item."""
+    for block in _blocks(benchmark, block_words):
+        seeded = _seeded(docs, block)
+        docs = filter_batches(docs, "text", lambda texts, s=seeded: [next(_matches(s.value, t), None) is None for t in texts])
+    return docs
+
+
 def op6_decontamination(spark, sf_dir):
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, load, own_columns, stage, text_bytes
+from .common import SPACE_BYTES, keep_ids, load, own_columns, stage, text_bytes
 
 SHARD_KEYS = 1 << 20
 
@@ -228,6 +228,12 @@ def split_snapshot(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.filter(old), d.filter(~old)
 
 
+def keep_unique(docs: DataFrame) -> DataFrame:
+    """Whole rows of the documents that stay."""
+    d = dedup_against(*split_snapshot(docs)).filter("kept").select("doc_id")
+    return keep_ids(docs, d)
+
+
 def op10_exact_dedup(spark, sf_dir):
     return dedup_against(*split_snapshot(load(spark, sf_dir, "documents")))
 

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, own_columns, stage, text_bytes
+from .common import keep_ids, load, own_columns, stage, text_bytes
 from .components import components
 
 SEED = 42
@@ -134,6 +134,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segmen
                                        "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """Whole rows of one document of each component, the one with the smallest id."""
+    d = near_duplicates(docs, shingle, max_bits)
+    return keep_ids(docs, d.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+
+
 def op3_simhash(spark, sf_dir):
     return near_duplicates(load(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 

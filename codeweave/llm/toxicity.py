@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, own_columns, stage
+from .common import filter_batches, load, own_columns, stage
 
 THRESHOLD = 0.7
 MAX_WORDS = 2000
@@ -262,30 +262,45 @@ def train(docs: DataFrame, labels: DataFrame, lm, max_words: int = MAX_WORDS) ->
     return dict(zip(words, m.coefficients.toArray().tolist())), float(m.intercept)
 
 
-def score(docs: DataFrame, lm, weights: dict, bias: float) -> DataFrame:
-    """(doc_id, score): every whole text, restored, under the model."""
-    wanted = docs.sparkSession.sparkContext.broadcast(weights)
+class Scorer:
+    """Scores of texts; tokens already seen by a worker are looked up."""
+
+    def __init__(self, lm, weights: dict, bias: float):
+        self.lm, self.weights, self.bias, self.cache = lm, weights, bias, {}
+
+    def __call__(self, text: str) -> float:
+        w = self.weights
+        z = self.bias + math.fsum(map(w.get, text_features(text, self.lm, self.cache, w)))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+
+
+def fit(docs: DataFrame, labels: DataFrame):
+    """Broadcast scorer: character model of all documents, weights of the labelled ones."""
+    sc = docs.sparkSession.sparkContext
+    counts = [(r["code"], r["n"]) for r in trigram_counts(docs).collect()]  # at most 64**3 rows
+    model = trigram_model(counts)
+    return sc.broadcast(Scorer(model, *train(docs, labels, sc.broadcast(model))))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted."""
+    scorer = fit(docs, labels)
 
     def run(batches):
         import pyarrow as pa
-        cache: dict = {}
+        score = scorer.value
         for b in batches:
-            s = []
-            for t in b.column("text").to_pylist():
-                z = bias + math.fsum(map(wanted.value.get, text_features(t, lm.value, cache, wanted.value)))
-                s.append(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(score, b.column("text").to_pylist()), pa.float64())],
+                                             names=["doc_id", "score"])
     d = own_columns(docs, doc_id=("doc_id", "long"), text=("text", "string"))
-    return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+    s = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return s.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
-    counts = [(r["code"], r["n"]) for r in trigram_counts(docs).collect()]  # at most 64**3 rows
-    lm = docs.sparkSession.sparkContext.broadcast(trigram_model(counts))
-    weights, bias = train(docs, labels, lm)
-    s = score(docs, lm, weights, bias)
-    return s.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Whole rows of the documents that score below the threshold."""
+    scorer = fit(docs, labels)
+    return filter_batches(docs, "text", lambda texts: [scorer.value(t) < threshold for t in texts])
 
 
 def op9_toxicity(spark, sf_dir):
