@@ -40,7 +40,7 @@ STEMS = (4, 5, 6, 7)
 #: Letters a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-P_LEET, P_SAME, P_DROP = math.log(0.3), 0.0, math.log(0.5)
+P_LEET, P_SAME, P_DROP, P_NO_SIGN = math.log(0.3), 0.0, math.log(0.5), math.log(0.02)
 
 # -- character model --------------------------------------------------------------------
 
@@ -119,7 +119,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                                                          if c == "*" and run == 1 else []))
         elif c in LEET:
             for _ in range(run if run < 3 else 1):
-                out.append([(x, P_LEET) for x in LEET[c]] + ([] if c.isdigit() else [("", P_DROP + P_LEET)]))
+                out.append([(x, P_LEET) for x in LEET[c]] + ([] if c.isdigit() else [("", P_NO_SIGN)]))
         elif _LETTER.match(c):
             out.append([(c, P_SAME)])
             if run == 2:
