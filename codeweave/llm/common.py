@@ -32,6 +32,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A value that travels inside the task closures."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def share(spark: SparkSession, value):
+    """A bounded value for tasks: a broadcast, or where the session has no SparkContext of its
+    own, a part of the closure."""
+    try:
+        return spark.sparkContext.broadcast(value)
+    except AttributeError:
+        return Shared(value)
+
+
 def own_columns(df: DataFrame, **named) -> DataFrame:
     """Only the columns an operator works on, under its own names; columns that are
     missing become typed nulls. Extra columns, also clashing ones, never get in."""

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_batches, load, own_columns
+from .common import filter_batches, load, own_columns, share
 
 SEED = 4
 WINDOW = 3
@@ -165,8 +165,7 @@ def _blocks(benchmark: DataFrame, block_words: int):
 
 def _seeded(docs: DataFrame, block: Block):
     """The block, its seeds chosen by the document frequency of its n-grams, as a broadcast."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(block)
+    sent = share(docs.sparkSession, block)
 
     def count(batches):
         import pyarrow as pa
@@ -182,7 +181,7 @@ def _seeded(docs: DataFrame, block: Block):
     for k, n in d.mapInArrow(count, "k long, df long").groupBy("k").agg(F.sum("df")).collect():
         df[k] = n  # at most one row for each n-gram of the block
     block.choose(df)
-    return sc.broadcast(block)
+    return share(docs.sparkSession, block)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

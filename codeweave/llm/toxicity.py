@@ -7,9 +7,10 @@
    or for a word border. A Viterbi search finds the most likely reading under the model.
    A token without such signs has one reading only, itself.
 3. A logistic model over the presence of restored words and of their first letters (``STEMS``, for
-   inflected forms) is learned (MLlib, weighted rows, one row per label and pattern of candidates)
-   from the labelled documents that are not held out, each different text once. Candidates are the ``MAX_WORDS`` features
-   with the largest log-likelihood ratio.
+   inflected forms) is learned from the labelled documents that are not held out, each
+   different text once. Candidates are the ``MAX_WORDS`` features with the largest log-likelihood
+   ratio over all of them; the documents fold into weighted (label, candidates) patterns, of which
+   at most ``MAX_PATTERNS`` reach the solver.
 4. Every whole text is restored and scored.
 
 The labels only meet texts in training; score inputs are the text alone.
@@ -27,12 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_batches, load, own_columns, stage
+from .common import filter_batches, load, own_columns, share, stage
 
 THRESHOLD = 0.7
 MAX_WORDS = 2000
 MIN_TOXIC = 3
 PRIOR_VARIANCE = 100.0
+#: Bound of what the model is fitted on: different (label, features) patterns of labelled documents.
+MAX_PATTERNS = 100_000
 CACHE = 400_000
 #: Lengths of word beginnings that are features besides whole words.
 STEMS = (4, 5, 6, 7)
@@ -250,16 +253,65 @@ def train(docs: DataFrame, labels: DataFrame, lm, max_words: int = MAX_WORDS) ->
     if not words:
         return {}, math.log(share / (1 - share))
     at = F.array(*[F.lit(x) for x in words])
-    patterns = stage(rows.select("toxic", F.array_sort(F.array_intersect("words", at)).alias("f"))
-                     .groupBy("toxic", "f").agg(F.count(F.lit(1)).cast("double").alias("weight")), "toxic-patterns")
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel
-    cv = CountVectorizerModel.from_vocabulary(words, "f", "x")
-    cv.setBinary(True)
-    x = cv.transform(patterns).select(F.col("toxic").cast("double").alias("label"), "weight", F.col("x").alias("features")).repartition(8)
-    lr = LogisticRegression(weightCol="weight", regParam=1 / (PRIOR_VARIANCE * n), standardization=False, maxIter=200, tol=1e-9)
-    m = lr.fit(x)
-    return dict(zip(words, m.coefficients.toArray().tolist())), float(m.intercept)
+    patterns = (rows.select("toxic", F.array_sort(F.array_intersect("words", at)).alias("f"))
+                .groupBy("toxic", "f").agg(F.count(F.lit(1)).alias("weight")))
+    # the patterns that fit: all of them, or MAX_PATTERNS in the order of a hash
+    sample = patterns.withColumn("h", F.xxhash64("toxic", "f")).orderBy("h").limit(MAX_PATTERNS)
+    number = {x: i for i, x in enumerate(words)}
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            f = [[number[x] for x in row] for row in b.column("f").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("weight"), pa.array(f, pa.list_(pa.int32()))], names=["toxic", "weight", "f"])
+    got = sample.select("toxic", "weight", "f").mapInArrow(run, "toxic int, weight long, f array<int>").collect()
+    w, bias = logistic([r["f"] for r in got], np.array([r["toxic"] for r in got], float), np.array([r["weight"] for r in got], float),
+                       len(words), 1 / PRIOR_VARIANCE)
+    return dict(zip(words, w.tolist())), bias
+
+
+def logistic(patterns: list, y: np.ndarray, weight: np.ndarray, n: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model with a Gaussian prior (the bias is free), by Newton
+    steps; each is solved by conjugate gradients over the sparse rows."""
+    col = np.array([j for f in patterns for j in [*f, n]], dtype=np.int64)  # feature n is the bias
+    row = np.repeat(np.arange(len(patterns)), [len(f) + 1 for f in patterns])
+    penalty = np.append(np.full(n, ridge), 1e-9)
+
+    def times(v):
+        return np.bincount(row, v[col], len(patterns))
+
+    def back(r):
+        return np.bincount(col, r[row], n + 1)
+
+    def loss(w):
+        z = times(w)
+        return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * penalty @ (w * w))
+    w, now = np.zeros(n + 1), None
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(times(w), -50, 50)))
+        g = back(weight * (p - y)) + penalty * w
+        h = weight * p * (1 - p)
+        # conjugate gradients on (X' h X + penalty) d = -g
+        d, r = np.zeros(n + 1), -g
+        q, rr = r.copy(), float(g @ g)
+        first = rr
+        for _ in range(200):
+            if rr <= 1e-12 * first or rr == 0:
+                break
+            hq = back(h * times(q)) + penalty * q
+            a = rr / float(q @ hq)
+            d, r = d + a * q, r - a * hq
+            new = float(r @ r)
+            q, rr = r + new / rr * q, new
+        now = loss(w) if now is None else now
+        step = 1.0
+        while step > 1e-6 and (then := loss(w + step * d)) > now + 1e-4 * step * float(g @ d):
+            step /= 2
+        w = w + step * d
+        if now - then <= 1e-9 * abs(now):
+            break
+        now = then
+    return w[:n], float(w[n])
 
 
 class Scorer:
@@ -276,10 +328,10 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame):
     """Broadcast scorer: character model of all documents, weights of the labelled ones."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     counts = [(r["code"], r["n"]) for r in trigram_counts(docs).collect()]  # at most 64**3 rows
     model = trigram_model(counts)
-    return sc.broadcast(Scorer(model, *train(docs, labels, sc.broadcast(model))))
+    return share(spark, Scorer(model, *train(docs, labels, share(spark, model))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
