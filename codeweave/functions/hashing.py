@@ -1,7 +1,7 @@
 """Deterministic pseudo-randomness as a Column expression.
 
-h(seed, key...) = first 32 bits of md5("seed|key|...") as a non-negative BIGINT.
-Same value in Spark and in DuckDB (`CAST('0x' || substr(md5(...),1,8) AS BIGINT)`),
+h(seed, key...) = first 60 bits of md5("seed|key|...") as a non-negative BIGINT.
+Same value in Spark and in DuckDB (`CAST('0x' || substr(md5(...),1,15) AS BIGINT)`),
 so every seeded choice (splits, folds, draws, bootstrap) is reproducible and checkable.
 """
 from __future__ import annotations
@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296
+HASH_BITS = 60
+SPAN = 1 << HASH_BITS
+#: DuckDB text of the span, for oracles.
+SQL_SPAN = f"CAST({SPAN} AS DOUBLE)"
 
 
 def _c(x) -> Column:
@@ -18,15 +21,15 @@ def _c(x) -> Column:
 
 def stable_hash(seed, *keys) -> Column:
     parts = [F.lit(str(seed))] + [_c(k).cast("string") for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def unit_uniform(seed, *keys) -> Column:
     """Uniform [0,1) from the hash."""
-    return stable_hash(seed, *keys) / F.lit(float(TWO_32))
+    return stable_hash(seed, *keys) / F.lit(float(SPAN))
 
 
 def sql_hash(seed, *keys: str) -> str:
     """DuckDB twin of :func:`stable_hash` (for oracles)."""
     parts = ", ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
-    return f"CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 15)) AS BIGINT)"

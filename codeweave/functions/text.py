@@ -11,7 +11,7 @@ from .hashing import _c
 # ASCII word class used for oracle-checkable tokenisation; the Unicode form
 # (sklearn-like ``\b\w\w+\b``) is available through ``pattern=UNICODE_TOKENS``.
 ASCII_TOKENS = "[a-z0-9_]{2,}"
-UNICODE_TOKENS = r"(?U)\b\w\w+\b"
+UNICODE_TOKENS = r"[\p{L}\p{N}_]{2,}"
 # Characters treated as punctuation (Python's string.punctuation).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Sentence unit: starts at a non-space non-terminator, ends with a run of . ! ? or at text end.
@@ -132,7 +132,7 @@ def expit(x) -> Column:
     return 1.0 / (1.0 + F.exp(-_c(x)))
 
 
-def tokens(text, pattern: str = ASCII_TOKENS) -> Column:
+def tokens(text, pattern: str = UNICODE_TOKENS) -> Column:
     """V01 token list: lower-case then regex word tokens."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(pattern), 0)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows, broadcast_if_bounded
+from ..session import bounded_rows
 from ..functions.text import with_softmax
 
 MAX_CLASSES = 100_000
@@ -50,7 +50,7 @@ def score_linear_sparse(ids: DataFrame, x: DataFrame, classes: DataFrame, model:
     cls_cols = ["label", "base"] + (["prior"] if prior is not None else [])
     cls = classes if prior is None else classes.join(prior, "label")
     crow = bounded_rows(cls.orderBy("label"), MAX_CLASSES, "class table")
-    m = broadcast_if_bounded(model, MAX_MODEL_ROWS)
+    m = model
     part = (x.join(m, "term").groupBy("id", "label")
              .agg(F.sum(F.col("w") * F.col("delta")).alias("s")))
     per_doc = (part.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("m")))
@@ -128,7 +128,7 @@ def binary_nb(train_x: DataFrame, train_y: DataFrame, test_ids: DataFrame, test_
     # one row per vocabulary term (capped by max_features): a proven-small broadcast
     lt = F.broadcast(vocab.select("term").join(tt, "term", "left").select(
         "term", F.log(F.coalesce("T_t", F.lit(0.0)) + alpha).alias("lt")))
-    m = broadcast_if_bounded(model, MAX_MODEL_ROWS)
+    m = model
     part = (test_x.join(m, "term").groupBy("id", "label")
             .agg(F.sum(F.col("w") * F.col("dpos")).alias("sp"), F.sum(F.col("w") * F.col("dneg")).alias("sn")))
     per_doc = (part.groupBy("id").agg(F.map_from_entries(F.collect_list(
@@ -170,7 +170,7 @@ def nearest_centroid_dense(train: DataFrame, test: DataFrame, vec: str = "vec")
     tl = train.select("label", F.posexplode(vec).alias("dim", "v"))
     cent = tl.groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("c"))
     x = test.select("id", F.posexplode(vec).alias("dim", "v"))
-    d = (x.join(broadcast_if_bounded(cent, MAX_MODEL_ROWS), "dim")
+    d = (x.join(cent, "dim")
          .groupBy("id", "label").agg(F.sum((F.col("v") - F.col("c")) ** 2).alias("d2")))
     best = d.groupBy("id").agg(F.min_by("label", F.struct("d2", "label")).alias("best"))
     return d.join(best, "id").select("id", "label", (F.col("label") == F.col("best")).alias("pred"),
@@ -185,7 +185,7 @@ def nearest_centroid_sparse(train_x: DataFrame, train_y: DataFrame, test_ids: Da
     cent = (train_x.join(y, "id").groupBy("label", "term").agg(F.sum("w").alias("s"))
             .join(nd, "label").select("label", "term", (F.col("s") / F.col("nd")).alias("c")))
     cn = cent.groupBy("label").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-    dots = test_x.join(broadcast_if_bounded(cent, MAX_MODEL_ROWS), "term").groupBy("id", "label").agg(
+    dots = test_x.join(cent, "term").groupBy("id", "label").agg(
         F.sum(F.col("w") * F.col("c")).alias("dot"))
     per_doc = (dots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "dot"))).alias("m"))
                .join(test_x.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("xx")), "id", "full_outer"))

@@ -75,14 +75,15 @@ def report(gold: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
     return micro.unionByName(mac).unionByName(wei).unionByName(samp)
 
 
-def roc_auc(gold: DataFrame, scores: DataFrame, ids: DataFrame, bucket_bits: int = 12) -> DataFrame:
+def roc_auc(gold: DataFrame, scores: DataFrame, ids: DataFrame, buckets: int = 256) -> DataFrame:
     """One-vs-rest ROC-AUC per label by the rank-sum (Mann-Whitney) formula
     with average ranks for ties. Documents without a score row count as score 0.
 
     Skew-safe ranking: scores first collapse to (label, score) rows with
-    positive/negative counts; those rows are bucketed by score range, bucket
-    totals are prefix-summed on a small table, and only (label, bucket) windows
-    run. Output (label, n_pos, n_neg, auc); auc is null for a one-sided label."""
+    positive/negative counts; those rows are bucketed at approximate quantiles of the
+    label's scores (any range, however they pile up), bucket totals are prefix-summed on
+    a small table, and only (label, bucket) windows run. The cut points only
+    balance the work; ranks are exact. Output (label, n_pos, n_neg, auc); auc is null for a one-sided label."""
     n_docs = ids.select("id").distinct().count()
     g = gold.select("id", "label").distinct().withColumn("y", F.lit(1))
     s = scores.select("id", "label", F.col("score").cast("double").alias("score"))
@@ -94,8 +95,9 @@ def roc_auc(gold: DataFrame, scores: DataFrame, ids: DataFrame, bucket_bits: int
     miss = tot.select("label", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("np_"),
                       (F.lit(n_docs) - F.col("scored")).alias("n")).filter(F.col("n") > 0)
     col = col.unionByName(miss).groupBy("label", "score").agg(F.sum("np_").alias("np_"), F.sum("n").alias("n"))
-    nb = 1 << bucket_bits
-    col = col.withColumn("b", F.least(F.greatest(F.floor(F.col("score") * nb), F.lit(0)), F.lit(nb - 1)).cast("int"))
+    at = [i / buckets for i in range(1, buckets)]
+    cuts = col.groupBy("label").agg(F.array_distinct(F.percentile_approx("score", at, 10_000)).alias("cuts"))
+    col = col.join(cuts, "label").withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("score")))).drop("cuts")
     bt = col.groupBy("label", "b").agg(F.sum("n").alias("bn"))
     bt = bt.withColumn("boff", F.coalesce(F.sum("bn").over(
         Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -136,9 +138,8 @@ def specificity(confusion: DataFrame) -> DataFrame:
     """Per label, among documents whose first gold label is another label,
     the share whose first predicted label is not this label (from E06)."""
     labels = confusion.select(F.col("gold").alias("label")).filter(F.col("label").isNotNull()).distinct()
-    from ..session import broadcast_if_bounded
     # confusion table and label list are labels^2 / labels rows (checked)
-    j = confusion.join(broadcast_if_bounded(labels, 100_000), F.col("gold").isNull() | (F.col("gold") != F.col("label")))
+    j = confusion.join(labels, F.col("gold").isNull() | (F.col("gold") != F.col("label")))
     neg = j.groupBy("label").agg(F.sum("n").alias("neg"),
                                  F.sum(F.when(F.col("pred").isNull() | (F.col("pred") != F.col("label")), F.col("n"))
                                        .otherwise(0)).alias("tn"))
@@ -167,22 +168,22 @@ def per_rep_macro(gold: DataFrame, pred: DataFrame, key: str = "rep") -> DataFra
     return macro(prf(cnt), key)
 
 
-def bootstrap_draws(n: int, reps: int, seed=0) -> "DataFrame":
+def bootstrap_draws(spark, n: int, reps: int, seed=0) -> "DataFrame":
     """X06 (exact): replicate r draws n row indexes with replacement,
     idx = h(seed, r, j) mod n; returned as multiplicities (rep, idx, w)."""
-    from pyspark.sql import SparkSession
     from ..functions.hashing import stable_hash
-    spark = SparkSession.getActiveSession()
-    r = spark.range(reps).select(F.col("id").alias("rep"))
-    d = r.select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    d = spark.range(reps * n).select(F.floor(F.col("id") / n).cast("bigint").alias("rep"), F.pmod("id", F.lit(n)).alias("j"))
     d = d.select("rep", (stable_hash(seed, "rep", "j") % n).alias("idx"))
     return d.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
 def bootstrap_cells(cells: DataFrame, draws: DataFrame) -> DataFrame:
     """Weighted per-replicate tp/fp/fn per label from per-document cells
-    (idx, label, g, p) and draw multiplicities (rep, idx, w)."""
-    j = cells.join(draws, "idx")
+    (idx, label, g, p) and draw multiplicities (rep, idx, w). Documents with the same cells
+    are interchangeable: draws are summed per replicate and outcome before cells come back."""
+    outcome = cells.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("label", "g", "p"))).alias("cells"))
+    per = draws.join(outcome, "idx").groupBy("rep", "cells").agg(F.sum("w").alias("w"))
+    j = per.select("rep", "w", F.inline("cells"))
     return j.groupBy("rep", "label").agg(
         F.sum(F.col("w") * F.col("g") * F.col("p")).alias("tp"),
         F.sum(F.col("w") * (1 - F.col("g")) * F.col("p")).alias("fp"),

@@ -1,14 +1,14 @@
 """Joins and set operations (J01-J15) on long tables.
 
 Dimension-like sides (codes, topics, labels, prompts) are broadcast only after a
-size check (``broadcast_if_bounded``) or left to AQE; document-sized sides are
+size check or left to AQE; document-sized sides are
 always shuffled/sort-merged."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows, broadcast_if_bounded
+from ..session import bounded_rows
 
 MAX_DIM = 1_000_000
 
@@ -56,7 +56,7 @@ def fine_to_coarse(pred: DataFrame, mapping: DataFrame, fine: str = "label", coa
                    drop_code: str = "Z") -> DataFrame:
     """Predicted fine labels mapped many-to-many to coarse codes; ``drop_code``
     removed; duplicates collapsed. The mapping is a checked-size dimension."""
-    m = broadcast_if_bounded(mapping.select(F.col(fine), F.col(coarse)), MAX_DIM)
+    m = mapping.select(F.col(fine), F.col(coarse))
     cols = [c for c in pred.columns if c != fine]
     return (pred.join(m, fine).filter(F.col(coarse) != drop_code)
             .select(*cols, F.col(coarse).alias(fine)).distinct())
@@ -100,7 +100,7 @@ def lookup_with_fallback(keys: DataFrame, lookup: DataFrame, key: str, value_col
 def fetch_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows for a list of ids (semi-join; the id list is size-checked before
     it is broadcast)."""
-    return rows.join(broadcast_if_bounded(ids.select(key).distinct(), MAX_DIM), key, "left_semi")
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def description_switch(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:

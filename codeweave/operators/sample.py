@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_hash, unit_uniform
-from ..session import bounded_rows, broadcast_if_bounded
+from ..functions.hashing import HASH_BITS, stable_hash, unit_uniform
+from ..session import bounded_rows
+from ..sources.io import scratch_path
 
 BUCKET_BITS = 12
 
@@ -20,8 +21,8 @@ BUCKET_BITS = 12
 def grouped_rank(df: DataFrame, group_cols: list, h: str, tie: str,
                  bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """Adds ``rn`` (1-based order of (h, tie) inside the group) and ``grp_n``
-    (group size).  ``h`` must be a non-negative 32-bit hash column."""
-    b = df.withColumn("_bkt", F.shiftright(F.col(h), 32 - bucket_bits))
+    (group size).  ``h`` must be a :func:`stable_hash` column."""
+    b = df.withColumn("_bkt", F.shiftright(F.col(h), HASH_BITS - bucket_bits))
     keys = list(group_cols) + ["_bkt"]
     cnt = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
@@ -34,13 +35,40 @@ def grouped_rank(df: DataFrame, group_cols: list, h: str, tie: str,
     return j.withColumn("rn", rn + F.coalesce(F.col("_off"), F.lit(0))).drop("_bkt", "_off")
 
 
-def group_split(df: DataFrame, group_cols: list, key: str, fraction: float, seed=0,
-                bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def split_cutoffs(df: DataFrame, group_cols: list, key: str, fraction: float, seed=0,
+                  bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """One row per group: (group columns, cut_h, cut_key), the hash and key of its row number
+    ceil(fraction * n) in hash order. Bucket counts say which bucket holds that row, and only
+    the rows of that one bucket are ranked; no row is joined back."""
+    b = df.select(*group_cols, key).withColumn("_h", stable_hash(seed, key)) \
+        .withColumn("_bkt", F.shiftright("_h", HASH_BITS - bucket_bits))
+    cnt = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group_cols)
+    cum = F.sum("_c").over(w.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0))
+    at = (cnt.withColumn("_upto", cum).withColumn("_k", F.ceil(F.sum("_c").over(w) * F.lit(fraction)))
+          .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
+          .select(*group_cols, "_bkt", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_nth")))
+    rn = F.row_number().over(Window.partitionBy(*group_cols, "_bkt").orderBy("_h", key))
+    return (b.join(at, [*group_cols, "_bkt"]).withColumn("_rn", rn).filter(F.col("_rn") == F.col("_nth"))
+            .select(*group_cols, F.col("_h").alias("cut_h"), F.col(key).alias("cut_key")))
+
+
+def written_cutoffs(df: DataFrame, group_cols: list, key: str, fraction: float, seed=0,
+                    bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """:func:`split_cutoffs` written to the shared folder, so that its true size decides how it is joined."""
+    path = scratch_path(df.sparkSession, "cutoffs")
+    split_cutoffs(df, group_cols, key, fraction, seed, bucket_bits).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def group_split(df: DataFrame, group_cols: list, key: str, fraction: float, seed=0, cutoffs: DataFrame | None = None) -> DataFrame:
     """Per group, the first ceil(fraction*n) rows in hash order go to the
-    test side (``is_test``); the rest are train."""
-    h = df.withColumn("_h", stable_hash(seed, key))
-    r = grouped_rank(h, group_cols, "_h", key, bucket_bits)
-    return r.withColumn("is_test", F.col("rn") <= F.ceil(F.col("grp_n") * F.lit(fraction))).drop("_h")
+    test side (``is_test``); the rest are train. Rows only meet the one-row-per-group
+    table of cutoffs: wide rows (texts) are not shuffled to get the flag."""
+    cut = cutoffs if cutoffs is not None else written_cutoffs(df, group_cols, key, fraction, seed)
+    h = df.withColumn("_h", stable_hash(seed, key)).join(cut, group_cols)
+    first = (F.col("_h") < F.col("cut_h")) | ((F.col("_h") == F.col("cut_h")) & (F.col(key) <= F.col("cut_key")))
+    return h.withColumn("is_test", first).drop("_h", "cut_h", "cut_key")
 
 
 def multilabel_strata(doc_labels: DataFrame, drop_undersize: bool = False) -> DataFrame:
@@ -153,7 +181,7 @@ def mask_tokens(tokens: DataFrame, vocab: DataFrame, seed=0, mask_id: int = 1, u
     Token ids come from a bounded vocabulary (term, token_id in 2..V+1; 0 = unk,
     1 = mask). A target token is always masked; otherwise with r uniform:
     r < .12 mask, < .135 keep, < .15 random id in 1..V-1, else not a target (-100)."""
-    v = broadcast_if_bounded(vocab.select(F.col("term").alias("token"), "token_id"), 5_000_000)
+    v = vocab.select(F.col("term").alias("token"), "token_id")
     t = tokens.join(v, "token", "left").withColumn("tid", F.coalesce("token_id", F.lit(unk_id)))
     vsize = bounded_rows(vocab.agg(F.count(F.lit(1)).alias("n")), 1)[0]["n"] + 2
     r = unit_uniform(seed, "id", "pos")

@@ -192,7 +192,9 @@ def duration_histogram(seconds: DataFrame, col: str = "secs", bins: int = 10) ->
 
 def parse_list_literal(s) -> Column:
     """Python-style list literal of strings -> array<string>."""
-    return F.from_json(F.replace(_c(s), F.lit("'"), F.lit('"')), "array<string>")
+    # quoted items of either kind, with backslash escapes
+    items = F.regexp_extract_all(_c(s), F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""), F.lit(0))
+    return F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
 
 
 def record_entries(rows: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def record_entries(rows: DataFrame) -> DataFrame:
     entry: (id, entry_no, date, <RECORD_FIELDS>).
 
     The text column is the first column (after the first) that differs from
-    column 1 in the first row with a non-empty column 1; a row whose column 1 is a
+    column 1 in the first row with a non-empty column 1 that has such a column; a row whose column 1 is a
     ``dd-MMM-yyyy`` date opens an entry (its text is the GP line); other non-empty
     column-1 texts set the heading (normalised) that following texts append to;
     unknown headings are dropped."""
@@ -208,7 +210,9 @@ def record_entries(rows: DataFrame) -> DataFrame:
     first_ok = F.length(strip_ws("c1")) > 0
     pick = F.array_position(F.transform(cells, lambda x: (F.coalesce(F.length(x), F.lit(0)) > 0)
                                         & (x != F.col("c1"))), True)
-    idx = (rows.filter(first_ok).groupBy("id").agg(F.min_by(pick, "row_no").alias("_idx")))
+    # rows in which no cell differs say nothing: the next row decides
+    idx = (rows.filter(first_ok).withColumn("_pick", F.nullif(pick, F.lit(0).cast("bigint"))).filter("_pick is not null")
+           .groupBy("id").agg(F.min_by("_pick", "row_no").alias("_idx")))
     r = rows.join(idx, "id", "left")
     first = strip_ws("c1")
     third = strip_ws(F.coalesce(F.get(cells, F.col("_idx") - 1), F.lit("")))
@@ -239,8 +243,7 @@ def lemmatise(words: DataFrame, lemmas: DataFrame, id_col: str = "id") -> DataFr
     """T04 (re-aimed): token -> lemma through a caller-supplied (form, lemma)
     table; tokens without an entry stay as they are. Input (id, pos, token);
     the lemma table is a vocabulary-sized dimension, broadcast after a size check."""
-    from ..session import broadcast_if_bounded
-    lt = broadcast_if_bounded(lemmas.select(F.col("form").alias("token"), "lemma"), 5_000_000)
+    lt = lemmas.select(F.col("form").alias("token"), "lemma")
     j = words.join(lt, "token", "left").select(id_col, "pos", F.coalesce("lemma", "token").alias("token"))
     return j.groupBy(id_col).agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))),
                                                               lambda e: e["token"])).alias("text"))

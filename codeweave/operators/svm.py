@@ -42,7 +42,7 @@ def fit_predict_rff_svm(train: DataFrame, test: DataFrame, vec: str = "vec", C:
                         n_features: int = 256, seed: int = 0, max_iter: int = 20, t: float = 0.1) -> DataFrame:
     """Returns (id, label, pred_argmax, pred_threshold, margin)."""
     d = bounded_rows(train.select(F.size(vec).alias("d")).limit(1), 1)[0]["d"]
-    stats = bounded_rows(train.select(F.explode(vec).alias("x")).agg(F.variance("x").alias("v")), 1)[0]
+    stats = bounded_rows(train.select(F.explode(vec).alias("x")).agg(F.var_pop("x").alias("v")), 1)[0]
     gamma = 1.0 / (d * (stats["v"] or 1.0))
     rng = np.random.RandomState(seed)
     W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(n_features, d))
@@ -56,7 +56,8 @@ def fit_predict_rff_svm(train: DataFrame, test: DataFrame, vec: str = "vec", C:
           .join(F.broadcast(lid), "label")  # the checked label list
           .select(array_to_vector("z").alias("features"), "y").persist(StorageLevel.MEMORY_AND_DISK))
     te = rff_features(test.select("id", vec), vec, W, b).select("id", array_to_vector("z").alias("features"))
-    svc = LinearSVC(regParam=1.0 / (C * n), maxIter=max_iter, featuresCol="features", labelCol="y")
+    svc = LinearSVC(regParam=1.0 / (C * n), maxIter=max_iter, featuresCol="features", labelCol="y",
+                    standardization=False)
     model = OneVsRest(classifier=svc, featuresCol="features", labelCol="y", parallelism=4).fit(tr)
     pr = model.transform(te).select("id", vector_to_array("rawPrediction").alias("m"), "prediction")
     out = pr.select("id", F.col("prediction").cast("int").alias("best"),

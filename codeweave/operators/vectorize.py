@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import let
 from ..session import spread
-from ..functions.text import ASCII_TOKENS, remove_words, tokens
+from ..functions.text import UNICODE_TOKENS, remove_words, tokens
 
 
-def word_tokens(text, stop: list | None = None, pattern: str = ASCII_TOKENS) -> Column:
+def word_tokens(text, stop: list | None = None, pattern: str = UNICODE_TOKENS) -> Column:
     """Lower-cased regex tokens with stopwords removed (before n-grams)."""
     return remove_words(tokens(text, pattern), stop or [])
 
@@ -50,7 +50,7 @@ def bag_of_terms(terms) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop: list | None = None,
-                ngram: int = 2, pattern: str = ASCII_TOKENS, keep: list | None = None,
+                ngram: int = 2, pattern: str = UNICODE_TOKENS, keep: list | None = None,
                 spread_input: bool = True) -> DataFrame:
     """(id, term, tf[, keep...]) for every document; no shuffle (besides the
     optional spreading of an under-split input)."""
@@ -67,10 +67,12 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, stop: list | None = N
              .filter(F.col("term").isNotNull()))
 
 
-def fit_vocabulary(counts: DataFrame, max_features: int = 5000) -> DataFrame:
+def fit_vocabulary(counts: DataFrame, max_features: int = 5000, n_docs: int | None = None) -> DataFrame:
     """V03+V04: top ``max_features`` terms by total corpus count (ties by term),
-    smoothed idf ``ln((1+n)/(1+df)) + 1`` with n = documents in the fit corpus."""
-    n_docs = counts.select("id").distinct().count()
+    smoothed idf ``ln((1+n)/(1+df)) + 1`` with n = documents in the fit corpus, those
+    without a term included (``n_docs``; counted from ``counts`` only if not given)."""
+    if n_docs is None:
+        n_docs = counts.select("id").distinct().count()
     stats = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     return top.select(

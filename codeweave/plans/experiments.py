@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.stopwords import stopword_list
 from ..operators import classify as M
 from ..operators import evaluate as E
-from ..operators.sample import group_split
+from ..operators.sample import group_split, written_cutoffs
 from ..operators.vectorize import fit_vocabulary, term_counts, tfidf
 from ..sources.tables import table
 
@@ -47,19 +47,19 @@ def distant_setup(spark: SparkSession, sf_dir: str, label_col: str = "lang", sto
     if drop_label is not None:  # "without class X": its documents and its description both go
         docs = docs.filter(F.col(label_col) != drop_label)
     stop = stopword_list(stop_sets)
-    split = group_split(docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label")),
-                        ["label"], "id", fraction, seed).select("id", "label", "is_test")
-    # The split flag joins the documents (one row each), not the exploded terms:
-    # one shuffle of the texts on id, which every later per-document window
-    # (L2 norm, scoring) reuses. The split side grows with the corpus, so no
-    # broadcast: a shuffled hash join.
-    dj = docs.select(F.col("doc_id").alias("id"), "text").join(split.hint("shuffle_hash"), "id")
-    c = term_counts(dj, "id", "text", stop, keep=["label", "is_test"], spread_input=False) \
+    rows = docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label"), "text")
+    # The split is one cutoff per label, applied at the scan: no text is shuffled for the flag
+    # (only an input with fewer splits than cores is spread).
+    cut = written_cutoffs(rows.select("id", "label"), ["label"], "id", fraction, seed)
+    split = group_split(rows.select("id", "label"), ["label"], "id", fraction, seed, cut).select("id", "label", "is_test")
+    dj = group_split(rows, ["label"], "id", fraction, seed, cut)
+    c = term_counts(dj, "id", "text", stop, keep=["label", "is_test"]) \
         .persist(StorageLevel.MEMORY_AND_DISK)  # feeds both the fit and the scoring side
     counts = c.select("id", "term", "tf")
     desc_counts = (c.filter("is_test").groupBy(F.col("label").alias("id"), "term")
                    .agg(F.sum("tf").alias("tf")))
-    vocab = fit_vocabulary(desc_counts, max_features).cache()
+    n_desc = split.filter("is_test").select("label").distinct().count()
+    vocab = fit_vocabulary(desc_counts, max_features, n_desc).cache()
     vsize = vocab.count()
     desc_w = tfidf(desc_counts, vocab).persist(StorageLevel.MEMORY_AND_DISK)  # labels x vocabulary
     test = split.filter(~F.col("is_test"))
@@ -124,7 +124,7 @@ def supervised_setup(spark: SparkSession, sf_dir: str, train_ids: DataFrame, tes
     dj = docs.select(F.col("doc_id").alias("id"), "text").join(tagged.hint("shuffle_hash"), "id")
     c = term_counts(dj, "id", "text", stop, keep=["is_train"], spread_input=False).persist(StorageLevel.MEMORY_AND_DISK)
     trc = c.filter("is_train").select("id", "term", "tf")
-    vocab = fit_vocabulary(trc, max_features).cache()
+    vocab = fit_vocabulary(trc, max_features, lab.join(train_ids.select("id"), "id", "left_semi").count()).cache()
     vsize = vocab.count()
     train_x = tfidf(trc, vocab)
     test_x = tfidf(c.filter(~F.col("is_train")).select("id", "term", "tf"), vocab)
@@ -161,9 +161,10 @@ def turn_scores(spark: SparkSession, sf_dir: str, t: float = 0.1) -> DataFrame:
     (conv_id, turn, label, pred, score)."""
     s = distant_setup(spark, sf_dir)
     conv = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("tid"), "text")
+        F.concat_ws(":", "conv_id", "turn").alias("tid"), "text")
     sc = score_texts(s, conv, "tid", "text")
-    return sc.select(F.floor(F.col("id") / 100).cast("bigint").alias("conv_id"), (F.col("id") % 100).alias("turn"),
+    return sc.select(F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint").alias("conv_id"),
+                     F.split_part("id", F.lit(":"), F.lit(2)).cast("bigint").alias("turn"),
                      "label", (F.col("score") > t).alias("pred"), "score")
 
 
@@ -191,7 +192,8 @@ def fold_runs_onepass(spark: SparkSession, sf_dir: str, k: int = 5, seed=3, alph
                      "id", "term", "tf")
     test = c.select(F.col("fold").alias("cv"), "id", "term", "tf")
     stats = train.groupBy("cv", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    ndocs = train.groupBy("cv").agg(F.countDistinct("id").alias("n"))
+    ndocs = folds.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col("fold"))).alias("cv"), "id") \
+        .groupBy("cv").agg(F.countDistinct("id").alias("n"))
     top = stats.withColumn("_r", F.row_number().over(W.partitionBy("cv").orderBy(F.desc("total"), "term"))) \
         .filter(F.col("_r") <= max_features)
     vocab = top.join(ndocs, "cv").select("cv", "term", (F.log((1.0 + F.col("n")) / (F.col("df") + 1.0)) + 1.0).alias("idf"))

@@ -18,11 +18,11 @@ from .registry import query, rounded
 from .sqlkit import sql_hash, terms_cte, tfidf_ctes, weights_cte
 
 TURN_SQL = f"""{DISTANT_SQL},
-{terms_cte('conversations', 'conv_id * 100 + turn', 'text', STOP, 'qc')},
+{terms_cte('conversations', "conv_id || ':' || turn", 'text', STOP, 'qc')},
 {weights_cte('qw', 'qc', 'v_vocab')},
-qids AS (SELECT conv_id * 100 + turn AS id FROM conversations),
+qids AS (SELECT conv_id || ':' || turn AS id FROM conversations),
 {__import__('codeweave.plans.sqlkit', fromlist=['nb_score_ctes']).nb_score_ctes('qids', 'qw', 'nb', 'qs')},
-turns AS (SELECT CAST(floor(id / 100) AS BIGINT) AS conv_id, id % 100 AS turn, label, score > 0.1 AS pred, score
+turns AS (SELECT CAST(split_part(id, ':', 1) AS BIGINT) AS conv_id, CAST(split_part(id, ':', 2) AS BIGINT) AS turn, label, score > 0.1 AS pred, score
           FROM qs)"""
 
 
@@ -105,13 +105,14 @@ def a07(spark, d):
     return A.flatten_codes(t.select("id", T.extract_codes("text").alias("codes")), "id", "codes")
 
 
-DOC_W_SQL = f"""{terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt')},
+DOC_W_SQL = f"""{terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt', n='SELECT count(*) AS n FROM documents')},
 {weights_cte('dw', 'cnt', 'v_vocab')}"""
 
 
 def _doc_weights(spark, d):
-    c = V.term_counts(table(spark, d, "documents"), "doc_id", "text", stopword_list(STOP))
-    return V.tfidf(c, V.fit_vocabulary(c, 5000))
+    docs = table(spark, d, "documents")
+    c = V.term_counts(docs, "doc_id", "text", stopword_list(STOP))
+    return V.tfidf(c, V.fit_vocabulary(c, 5000, docs.count()))
 
 
 @query("a08_common_terms", f"""WITH {DOC_W_SQL}

@@ -107,9 +107,7 @@ def m06(spark, d):
 
 
 @query("m07_pad_absent_classes", f"""WITH {DISTANT_SQL.replace("ty AS (SELECT DISTINCT id, id AS label FROM dw)",
-                                                        "ty AS (SELECT DISTINCT id, id AS label FROM dw WHERE id <> 'es')").replace(
-    "nb_nct AS (\n  SELECT y.label, w.term, sum(w.w) AS n_ct FROM dw w JOIN ty y USING (id)",
-    "nb_nct AS (\n  SELECT y.label, w.term, sum(w.w) AS n_ct FROM dw w JOIN ty y USING (id)")},
+                                                        "ty AS (SELECT DISTINCT id, id AS label FROM dw WHERE id <> 'es')")},
 allc AS (SELECT DISTINCT label FROM s)
 SELECT t.id, a.label, coalesce(sc.score > 0.1, false) AS pred, round(coalesce(sc.score, 0.0), 6) AS score
 FROM (SELECT DISTINCT id FROM tids) t CROSS JOIN allc a LEFT JOIN scores sc ON sc.id = t.id AND sc.label = a.label""")
@@ -132,11 +130,11 @@ def m08(spark, d):
 
 EMB_LONG = """el AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x
   FROM embeddings)"""
-M09_POS = [6 * i for i in range(10)]
+M09_POS = list(range(64))
 
 
 @query("m09_class_word_projection", f"""WITH {EMB_LONG},
-s AS (SELECT vec_id, pos // 6 AS k, x FROM el WHERE pos % 6 = 0 AND pos < 60),
+s AS (SELECT vec_id, pos AS k, x FROM el),
 e AS (SELECT vec_id, k, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM s),
 p AS (SELECT vec_id, k, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
 b AS (SELECT vec_id, arg_min(k, (-p, k)) AS k, max(p) AS prob FROM p GROUP BY vec_id)
@@ -148,28 +146,28 @@ def m09(spark, d):
 
 @query("m10_pairwise_decisions", f"""WITH {EMB_LONG},
 pn AS (SELECT vec_id, pos // 2 AS label, max(CASE WHEN pos % 2 = 0 THEN x END) AS pos_l,
-  max(CASE WHEN pos % 2 = 1 THEN x END) AS neg_l FROM el WHERE pos < 20 GROUP BY vec_id, pos // 2),
+  max(CASE WHEN pos % 2 = 1 THEN x END) AS neg_l FROM el GROUP BY vec_id, pos // 2),
 e AS (SELECT *, exp(pos_l - max(pos_l) OVER (PARTITION BY vec_id)) AS e FROM pn)
 SELECT vec_id, CAST(label AS INTEGER) AS label, pos_l > neg_l AS pred, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS prob
 FROM e""")
 def m10(spark, d):
     from ..operators.classify import pairwise_decisions
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return rounded(pairwise_decisions(e, "vec_id", "embedding", 10))
+    return rounded(pairwise_decisions(e, "vec_id", "embedding", 32))
 
 
 @query("m11_argmax_softmax", f"""WITH {EMB_LONG},
-s AS (SELECT vec_id, pos, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM el WHERE pos < 10),
+s AS (SELECT vec_id, pos, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM el),
 p AS (SELECT vec_id, pos, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM s)
 SELECT vec_id, CAST(arg_min(pos, (-p, pos)) AS INTEGER) AS label, round(max(p), 6) AS prob FROM p GROUP BY vec_id""")
 def m11(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", T.softmax(F.slice("embedding", 1, 10)).alias("p"))
+    e = table(spark, d, "embeddings").select("vec_id", T.softmax(F.col("embedding")).alias("p"))
     return rounded(e.select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"),
                             F.array_max("p").alias("prob")))
 
 
 @query("m12_ensemble", f"""WITH {EMB_LONG},
-s AS (SELECT vec_id, pos // 10 AS model, pos % 10 AS label, x FROM el WHERE pos < 30),
+s AS (SELECT vec_id, pos // 16 AS model, pos % 16 AS label, x FROM el),
 e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id, model)) AS e FROM s),
 p AS (SELECT vec_id, model, label, e / sum(e) OVER (PARTITION BY vec_id, model) AS p FROM e),
 mb AS (SELECT vec_id, model, arg_min(label, (-p, label)) AS best FROM p GROUP BY vec_id, model),
@@ -183,8 +181,8 @@ def m12(spark, d):
     from ..operators.classify import ensemble
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     parts = []
-    for m in range(3):
-        p = e.select(F.col("vec_id").alias("id"), T.softmax(F.slice("embedding", 10 * m + 1, 10)).alias("p"))
+    for m in range(4):
+        p = e.select(F.col("vec_id").alias("id"), T.softmax(F.slice("embedding", 16 * m + 1, 16)).alias("p"))
         parts.append(p.select("id", F.lit(m).alias("model"), F.posexplode("p").alias("label", "score")))
     out = ensemble(parts)
     return rounded(out.select(F.col("id").alias("vec_id"), F.col("label").cast("int"), "avg_score", "pred_mean", "pred_vote"))

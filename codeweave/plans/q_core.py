@@ -13,6 +13,8 @@ from .sqlkit import (group_split_cte, nb_ctes, nb_score_ctes, prf_ctes, stop_sql
                      terms_cte, tfidf_ctes, weights_cte)
 
 STOP = "ce"
+N_DOCS = "SELECT count(*) AS n FROM documents"
+N_DESC = "SELECT count(DISTINCT label) AS n FROM s WHERE is_test"
 
 # ---------------------------------------------------------------- shared SQL
 SPLIT_SQL = group_split_cte("s", "(SELECT doc_id AS id, lang AS label FROM documents)", "label", "id",
@@ -27,7 +29,7 @@ def distant_sql(stop: str = STOP, label: str = "lang", drop_label: str | None =
     return f"""{split},
 {terms_cte('documents', 'doc_id', 'text', stop, 'cnt')},
 dc AS (SELECT s.label AS id, term, sum(tf) AS tf FROM cnt JOIN s USING (id) WHERE s.is_test GROUP BY s.label, term),
-{tfidf_ctes('dc', 'v', X.MAX_FEATURES)},
+{tfidf_ctes('dc', 'v', X.MAX_FEATURES, N_DESC)},
 {weights_cte('dw', 'dc', 'v_vocab')},
 tc AS (SELECT id, term, tf FROM cnt JOIN s USING (id) WHERE NOT s.is_test),
 {weights_cte('tw', 'tc', 'v_vocab')},
@@ -37,17 +39,7 @@ ty AS (SELECT DISTINCT id, id AS label FROM dw),
 {nb_score_ctes('tids', 'tw')}"""
 
 
-DISTANT_SQL = f"""{SPLIT_SQL},
-{terms_cte('documents', 'doc_id', 'text', STOP, 'cnt')},
-dc AS (SELECT s.label AS id, term, sum(tf) AS tf FROM cnt JOIN s USING (id) WHERE s.is_test GROUP BY s.label, term),
-{tfidf_ctes('dc', 'v', X.MAX_FEATURES)},
-{weights_cte('dw', 'dc', 'v_vocab')},
-tc AS (SELECT id, term, tf FROM cnt JOIN s USING (id) WHERE NOT s.is_test),
-{weights_cte('tw', 'tc', 'v_vocab')},
-tids AS (SELECT id, label FROM s WHERE NOT is_test),
-ty AS (SELECT DISTINCT id, id AS label FROM dw),
-{nb_ctes('dw', 'ty', 'v_vocab')},
-{nb_score_ctes('tids', 'tw')}"""
+DISTANT_SQL = distant_sql()
 
 
 @query("v01_word_tokens", f"""WITH {terms_cte('documents', 'doc_id', 'text', STOP)}
@@ -65,28 +57,31 @@ def v02(spark, d):
             .withColumnRenamed("id", "doc_id"))
 
 
-@query("v03_vocabulary", f"""WITH {terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt')}
+@query("v03_vocabulary", f"""WITH {terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt', n=N_DOCS)}
 SELECT term, CAST(total AS BIGINT) AS total, CAST(df AS BIGINT) AS df FROM v_vocab""")
 def v03(spark, d):
-    c = V.term_counts(table(spark, d, "documents"), "doc_id", "text", stopword_list(STOP))
-    return V.fit_vocabulary(c, 5000).select("term", "total", "df")
+    docs = table(spark, d, "documents")
+    c = V.term_counts(docs, "doc_id", "text", stopword_list(STOP))
+    return V.fit_vocabulary(c, 5000, docs.count()).select("term", "total", "df")
 
 
-@query("v04_idf", f"""WITH {terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt')}
+@query("v04_idf", f"""WITH {terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt', n=N_DOCS)}
 SELECT term, round(idf, 6) AS idf FROM v_vocab""")
 def v04(spark, d):
-    c = V.term_counts(table(spark, d, "documents"), "doc_id", "text", stopword_list(STOP))
-    return rounded(V.fit_vocabulary(c, 5000).select("term", "idf"))
+    docs = table(spark, d, "documents")
+    c = V.term_counts(docs, "doc_id", "text", stopword_list(STOP))
+    return rounded(V.fit_vocabulary(c, 5000, docs.count()).select("term", "idf"))
 
 
-@query("v05_tfidf_transform", f"""WITH {terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt')},
-{terms_cte('conversations', "conv_id * 100 + turn", 'text', STOP, 'cc')},
+@query("v05_tfidf_transform", f"""WITH {terms_cte('documents', 'doc_id', 'text', STOP)}, {tfidf_ctes('cnt', n=N_DOCS)},
+{terms_cte('conversations', "conv_id || ':' || turn", 'text', STOP, 'cc')},
 {weights_cte('cw', 'cc', 'v_vocab')}
 SELECT id, term, round(w, 6) AS w FROM cw""")
 def v05(spark, d):
     stop = stopword_list(STOP)
-    vocab = V.fit_vocabulary(V.term_counts(table(spark, d, "documents"), "doc_id", "text", stop), 5000)
-    conv = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("tid"), "text")
+    docs = table(spark, d, "documents")
+    vocab = V.fit_vocabulary(V.term_counts(docs, "doc_id", "text", stop), 5000, docs.count())
+    conv = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("tid"), "text")
     return rounded(V.tfidf(V.term_counts(conv, "tid", "text", stop), vocab))
 
 

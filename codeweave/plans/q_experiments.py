@@ -117,7 +117,7 @@ def _sup_sql(train: str, test: str, label_filter: str = "") -> str:
     """Supervised chain over documents: ``train``/``test`` are id subqueries."""
     return f"""(WITH {terms_cte('documents', 'doc_id', 'text', 'ce', 'cnt')},
 trc AS (SELECT id, term, tf FROM cnt WHERE id IN ({train})),
-{tfidf_ctes('trc', 'v')}, {weights_cte('trw', 'trc', 'v_vocab')},
+{tfidf_ctes('trc', 'v', n=f'SELECT count(*) AS n FROM documents WHERE doc_id IN ({train})')}, {weights_cte('trw', 'trc', 'v_vocab')},
 tec AS (SELECT id, term, tf FROM cnt WHERE id IN ({test})), {weights_cte('tew', 'tec', 'v_vocab')},
 ty AS (SELECT doc_id AS id, lang AS label FROM documents WHERE doc_id IN ({train})),
 tids AS (SELECT doc_id AS id, lang AS label FROM documents WHERE doc_id IN ({test})),
@@ -191,7 +191,7 @@ units AS (SELECT id, pos, s FROM (SELECT doc_id AS id, generate_subscripts(s, 1)
   FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\\s](?:[^.!?]*[^.!?\\s])?[.!?]*') AS s FROM documents))
   WHERE id IN (SELECT id FROM tids)),
 {pack_sql('units')},
-ck AS (SELECT id * 10000 + chunk_id AS cid, id AS doc, text FROM chunks),
+ck AS (SELECT id || ':' || chunk_id AS cid, id AS doc, text FROM chunks),
 {terms_cte('ck', 'cid', 'text', 'ce', 'kc')},
 {weights_cte('kw', 'kc', 'v_vocab')},
 kids AS (SELECT cid AS id FROM ck),
@@ -213,7 +213,7 @@ def r10(spark, d):
     s = X.distant_setup(spark, d)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(s.test_ids, "id", "left_semi")
     ch = pack_units(docs.select("id", sentences(F.col("text")).alias("units")), ["id"], "units", 120)
-    keyed = ch.select((F.col("id") * 10000 + F.col("chunk_id")).alias("cid"), F.col("id").alias("doc"), "text")
+    keyed = ch.select(F.concat_ws(":", "id", "chunk_id").alias("cid"), F.col("id").alias("doc"), "text")
     sc = X.score_texts(s, keyed, "cid", "text")
     cp = sc.withColumnRenamed("id", "cid").join(keyed.select("cid", "doc"), "cid").select(
         F.col("doc").alias("doc_id"), "label", (F.col("score") > 0.1).alias("pred"), "score")

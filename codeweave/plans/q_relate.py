@@ -92,12 +92,12 @@ def j06(spark, d):
 
 
 @query("j07_fine_to_coarse", f"""WITH pred AS (SELECT l_orderkey AS id, p_type AS label FROM lineitem
-  JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+  JOIN part ON l_partkey = p_partkey),
 m AS (SELECT DISTINCT p_type AS label, p_brand AS code FROM part)
 SELECT DISTINCT id, code AS label FROM pred JOIN m USING (label) WHERE code <> '{DROP_BRAND}'""")
 def j07(spark, d):
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
-    pred = (li.filter(F.col("l_linenumber") == 1).join(p, li.l_partkey == p.p_partkey)
+    pred = (li.join(p, li.l_partkey == p.p_partkey)
             .select(F.col("l_orderkey").alias("id"), F.col("p_type").alias("label")))
     m = p.select(F.col("p_type").alias("label"), F.col("p_brand").alias("code")).distinct()
     return J.fine_to_coarse(pred, m, "label", "code", DROP_BRAND)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_hash
 from ..operators import evaluate as E
 from ..operators import sample as S
+from ..functions.hashing import SQL_SPAN
 from ..sources.tables import table
 from . import experiments as X
 from .q_core import DISTANT_SQL
@@ -66,7 +67,8 @@ blocks AS (SELECT label, count(*) AS size FROM it GROUP BY label),
 b2 AS (SELECT label, size, coalesce(sum(size) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
   AS off FROM blocks),
 idx AS (SELECT item_id, off + rn - 1 AS g FROM r JOIN b2 USING (label)),
-ex AS (SELECT label, label AS excluded FROM blocks),
+ex AS (SELECT label, label AS excluded FROM blocks UNION SELECT * FROM
+  (SELECT label, lead(label) OVER (ORDER BY label) AS excluded FROM blocks) WHERE excluded IS NOT NULL),
 eb AS (SELECT ex.label, b2.size, b2.off FROM ex JOIN b2 ON b2.label = ex.excluded),
 eb2 AS (SELECT label, size, off - coalesce(sum(size) OVER (PARTITION BY label ORDER BY off
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM eb),
@@ -82,7 +84,10 @@ SELECT label, item_id, 1 AS polarity FROM it
 UNION ALL SELECT dg.label, idx.item_id, 0 FROM dg JOIN idx USING (g)""")
 def x05(spark, d):
     it = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("label"))
-    ex = it.select("label", F.col("label").alias("excluded")).limit(0)
+    # every label also excludes its successor, so that pools differ
+    names = it.select("label").distinct()
+    later = names.select(F.col("label").alias("other"))
+    ex = names.join(later, F.col("other") > F.col("label")).groupBy("label").agg(F.min("other").alias("excluded"))
     pairs, _ = S.balanced_negatives(it, ex, X05_SEED)
     return pairs
 
@@ -98,31 +103,31 @@ def x09(spark, d):
 
 @query("x06_bootstrap_counts", f"""WITH t AS (SELECT doc_id FROM documents),
 n AS (SELECT count(*) AS n FROM t),
-d AS (SELECT rep, j FROM (SELECT unnest(range(20)) AS rep), (SELECT unnest(range(n)) AS j FROM n)),
+d AS (SELECT rep, j FROM (SELECT unnest(range(1000)) AS rep), (SELECT unnest(range(n)) AS j FROM n)),
 x AS (SELECT rep, {sql_hash(X06_SEED, 'rep', 'j')} % (SELECT n FROM n) AS idx FROM d)
 SELECT rep, idx, count(*) AS w FROM x GROUP BY rep, idx""")
 def x06(spark, d):
     n = table(spark, d, "documents").count()
-    return E.bootstrap_draws(n, 20, X06_SEED)
+    return E.bootstrap_draws(spark, n, 1000, X06_SEED)
 
 
 @query("x07_random_label_counts", f"""WITH l AS (SELECT DISTINCT lang AS label FROM documents),
-x AS (SELECT rep, doc_id AS id, label FROM documents, l, (SELECT unnest(range(10)) AS rep))
+x AS (SELECT rep, doc_id AS id, label FROM documents, l, (SELECT unnest(range(1000)) AS rep))
 SELECT rep, label, CAST(sum({sql_hash(X07_SEED, 'rep', 'id', 'label')} % 2) AS BIGINT) AS ones FROM x GROUP BY rep, label""")
 def x07(spark, d):
     docs = table(spark, d, "documents")
     labels = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
-    m = S.random_labels(docs.select(F.col("doc_id").alias("id")), labels, 10, X07_SEED)
+    m = S.random_labels(docs.select(F.col("doc_id").alias("id")), labels, 1000, X07_SEED)
     return m.groupBy("rep", "label").agg(F.sum("flag").cast("bigint").alias("ones"))
 
 
 @query("x08_masked_tokens", f"""WITH tk AS (SELECT doc_id AS id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') AS t FROM documents)),
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM documents)),
 tt AS (SELECT id, pos, token, token = 'the' AS is_target FROM tk),
 voc AS (SELECT term, row_number() OVER (ORDER BY total DESC, term) + 1 AS token_id FROM (
-  SELECT token AS term, count(*) AS total FROM tk GROUP BY token ORDER BY total DESC, term LIMIT 5000)),
+  SELECT token AS term, count(*) AS total FROM tk GROUP BY token)),
 vs AS (SELECT count(*) + 2 AS v FROM voc),
-j AS (SELECT tt.*, coalesce(voc.token_id, 0) AS tid, {sql_hash(X08_SEED, 'tt.id', 'tt.pos')} / 4294967296.0 AS r,
+j AS (SELECT tt.*, coalesce(voc.token_id, 0) AS tid, {sql_hash(X08_SEED, 'tt.id', 'tt.pos')} / {SQL_SPAN} AS r,
         {sql_hash(X08_SEED, "'rand'", 'tt.id', 'tt.pos')} % ((SELECT v FROM vs) - 1) + 1 AS rnd
   FROM tt LEFT JOIN voc ON voc.term = tt.token),
 m AS (SELECT id, pos, CASE WHEN is_target OR r < 0.12 THEN 1 WHEN r < 0.135 THEN tid WHEN r < 0.15 THEN rnd ELSE tid END AS input_id,
@@ -133,10 +138,9 @@ SELECT id, count(*) AS n, CAST(sum(CASE WHEN input_id = 1 THEN 1 ELSE 0 END) AS
 def x08(spark, d):
     docs = table(spark, d, "documents")
     tk = docs.select(F.col("doc_id").alias("id"),
-                     F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), 0)).alias("pos", "token"))
+                     F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("pos", "token"))
     tk = tk.withColumn("is_target", F.col("token") == "the")
-    top = tk.groupBy(F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("total")) \
-        .orderBy(F.desc("total"), "term").limit(5000)
+    top = tk.groupBy(F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("total"))
     from pyspark.sql import Window
     voc = top.select("term", (F.row_number().over(Window.orderBy(F.desc("total"), "term")) + 1).alias("token_id"))
     m = S.mask_tokens(tk, voc, X08_SEED)
@@ -271,9 +275,9 @@ def e10(spark, d):
 
 
 @query("e11_random_baseline", f"""WITH l AS (SELECT DISTINCT lang AS label FROM documents),
-x AS (SELECT rep, doc_id AS id, label FROM documents, l, (SELECT unnest(range(10)) AS rep)),
+x AS (SELECT rep, doc_id AS id, label FROM documents, l, (SELECT unnest(range(1000)) AS rep)),
 rp AS (SELECT rep, id, label FROM x WHERE {sql_hash(X07_SEED, 'rep', 'id', 'label')} % 2 = 1),
-gd AS (SELECT rep, doc_id AS id, lang AS label FROM documents, (SELECT unnest(range(10)) AS rep)),
+gd AS (SELECT rep, doc_id AS id, lang AS label FROM documents, (SELECT unnest(range(1000)) AS rep)),
 cells AS (SELECT rep, id, label, max(g) AS g, max(p) AS p FROM (SELECT rep, id, label, 1 AS g, 0 AS p FROM gd
   UNION ALL SELECT rep, id, label, 0, 1 FROM rp) GROUP BY rep, id, label),
 cnt AS (SELECT rep, label, sum(g * p) AS tp, sum((1 - g) * p) AS fp, sum(g * (1 - p)) AS fn FROM cells GROUP BY rep, label),
@@ -284,14 +288,14 @@ SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, r
 def e11(spark, d):
     docs = table(spark, d, "documents")
     labels = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
-    rnd = S.random_labels(docs.select(F.col("doc_id").alias("id")), labels, 10, X07_SEED).filter("flag = 1")
+    rnd = S.random_labels(docs.select(F.col("doc_id").alias("id")), labels, 1000, X07_SEED).filter("flag = 1")
     gold = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).select(
-        "id", "label", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"))
+        "id", "label", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("rep"))
     per = E.per_rep_macro(gold, rnd.select(F.col("rep").cast("int").alias("rep"), "id", "label"))
     return rounded(per.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1")))
 
 
-BOOT_B = 50
+BOOT_B = 1000
 BOOT_SQL = f"""ix AS (SELECT id, row_number() OVER (ORDER BY {sql_hash(29, 'id')}, id) - 1 AS idx FROM (SELECT DISTINCT id FROM tids)),
 nn AS (SELECT count(*) AS n FROM ix),
 bd AS (SELECT rep, {sql_hash(X06_SEED, 'rep', 'j')} % (SELECT n FROM nn) AS idx
@@ -309,7 +313,7 @@ bm AS (SELECT rep, avg(precision) AS precision, avg(recall) AS recall, avg(f1) A
 def _boot(s, pred, b=BOOT_B):
     cells = E.doc_cells(s.gold, pred, s.test_ids)
     n = s.test_ids.count()
-    bc = E.bootstrap_cells(cells, E.bootstrap_draws(n, b, X06_SEED))
+    bc = E.bootstrap_cells(cells, E.bootstrap_draws(s.test_ids.sparkSession, n, b, X06_SEED))
     return E.macro(E.prf(bc), "rep")
 
 
@@ -361,11 +365,11 @@ def e14(spark, d):
     return rounded(E.evaluate(ids.withColumn("label", F.col("id")), p))
 
 
-@query("e15_masked_accuracy", """WITH e AS (SELECT vec_id, label, embedding[1:10] AS l FROM embeddings)
+@query("e15_masked_accuracy", """WITH e AS (SELECT vec_id, label, embedding AS l FROM embeddings)
 SELECT round(avg(CASE WHEN list_position(l, list_max(l)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM e WHERE label <> 9""")
 def e15(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 10).alias("l"))
+    e = table(spark, d, "embeddings").select("label", F.col("embedding").alias("l"))
     rows = e.select((F.array_position("l", F.array_max("l")) - 1).alias("pred"),
                     F.when(F.col("label") == 9, F.lit(-100)).otherwise(F.col("label")).alias("target"))
     return rounded(E.masked_accuracy(rows))
@@ -383,7 +387,7 @@ def _poisson_sql(u: str) -> str:
 @query("x06_poisson_bootstrap_ci", f"""WITH {PRED_SQL},
 cells AS (SELECT id, label, max(g) AS g, max(p) AS p FROM (SELECT id, label, 1 AS g, 0 AS p FROM tids
   UNION ALL SELECT id, label, 0, 1 FROM pred) GROUP BY id, label),
-x AS (SELECT cells.*, rep, {_poisson_sql(sql_hash(X06_SEED, 'rep', 'id') + ' / 4294967296.0')} AS w
+x AS (SELECT cells.*, rep, {_poisson_sql(sql_hash(X06_SEED, 'rep', 'id') + ' / ' + SQL_SPAN)} AS w
   FROM cells, (SELECT unnest(range({BOOT_B})) AS rep)),
 bc AS (SELECT rep, label, sum(w * g * p) AS tp, sum(w * (1 - g) * p) AS fp, sum(w * g * (1 - p)) AS fn FROM x GROUP BY rep, label),
 bp AS (SELECT rep, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,

@@ -245,10 +245,10 @@ def d17(spark, d):
 
 
 @query("d18_parse_list_literal", """SELECT p_partkey, len(l) AS n, l[1] AS first, l[2] AS second FROM (
-  SELECT p_partkey, [p_brand, p_type] AS l FROM part)""")
+  SELECT p_partkey, [p_brand, 'it''s ' || p_type] AS l FROM part)""")
 def d18(spark, d):
     p = table(spark, d, "part")
-    lit = F.concat(F.lit("['"), F.col("p_brand"), F.lit("', '"), F.col("p_type"), F.lit("']"))
+    lit = F.concat(F.lit("['"), F.col("p_brand"), F.lit("', \"it's "), F.col("p_type"), F.lit('"]'))
     a = p.select("p_partkey", D.parse_list_literal(lit).alias("l"))
     return a.select("p_partkey", F.size("l").alias("n"), F.get("l", 0).alias("first"), F.get("l", 1).alias("second"))
 

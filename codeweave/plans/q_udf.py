@@ -47,7 +47,7 @@ def u04(spark, d):
         .write.mode("overwrite").parquet(src)
 
     def score_chunks(chunks):
-        keyed = chunks.select((F.col("id") * 10000 + F.col("chunk_id")).alias("cid"), "id", "chunk_id", "text")
+        keyed = chunks.select(F.concat_ws(":", "id", "chunk_id").alias("cid"), "id", "chunk_id", "text")
         sc = X.score_texts(s, keyed, "cid", "text")
         return (sc.withColumnRenamed("id", "cid").join(keyed.select("cid", "id", "chunk_id"), "cid")
                 .select("id", "chunk_id", "label", "score"))

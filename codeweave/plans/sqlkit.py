@@ -4,7 +4,7 @@ from __future__ import annotations
 from ..functions.hashing import sql_hash  # noqa: F401
 from ..functions.stopwords import sql_list, stopword_list
 
-TOKENS = "[a-z0-9_]{2,}"
+TOKENS = r"[\p{L}\p{N}_]{2,}"
 
 
 def stop_sql(sets: str = "ce") -> str:
@@ -27,9 +27,10 @@ def terms_cte(src: str, id_col: str, text_col: str, sets: str = "ce", name: str
   GROUP BY id, term)"""
 
 
-def tfidf_ctes(counts: str, prefix: str = "v", k: int = 5000) -> str:
-    """Vocabulary ``{prefix}_vocab(term,total,df,idf)`` fitted on ``counts``."""
-    return f"""{prefix}_n AS (SELECT count(DISTINCT id) AS n FROM {counts}),
+def tfidf_ctes(counts: str, prefix: str = "v", k: int = 5000, n: str | None = None) -> str:
+    """Vocabulary ``{prefix}_vocab(term,total,df,idf)`` fitted on ``counts``; ``n`` is the
+    SELECT that counts the fit corpus' documents."""
+    return f"""{prefix}_n AS ({n or f'SELECT count(DISTINCT id) AS n FROM {counts}'}),
 {prefix}_top AS (
   SELECT term, sum(tf) AS total, count(*) AS df FROM {counts}
   GROUP BY term ORDER BY total DESC, term LIMIT {k}),

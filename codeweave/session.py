@@ -70,13 +70,6 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str = "dimension") -> list:
     return rows
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after the row count is checked; otherwise leave the
-    join strategy to Catalyst/AQE (sort-merge or shuffled hash)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Under-split input (e.g. a text table stored as one row group) would run its
     per-row text work on one core. Only then, hash-repartition on ``keys`` to the

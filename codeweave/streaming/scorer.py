@@ -2,7 +2,7 @@
 
 Files land in a folder; each micro-batch is chunked (C01, no state needed),
 scored by a batch scorer and ranked into supportive chunks per label (A11) in
-``foreachBatch``, then appended to a parquet sink. Stateless, so no watermark;
+``foreachBatch``, then written to the batch's own folder of a parquet sink. Stateless, so no watermark;
 the checkpoint lives under the session's shared checkpoint folder, so a
 restarted query resumes where it stopped."""
 from __future__ import annotations
@@ -26,7 +26,8 @@ def start_scoring_stream(spark: SparkSession, source: str, schema: str, sink: st
         chunks = pack_units(units, ["id"], "units", max_tokens)
         scored = score_chunks(chunks.select("id", "chunk_id", "text"))
         best = supportive_chunks(scored, ["id", "chunk_id"])
-        best.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        # a folder per batch: a batch that is replayed writes the same folder again
+        best.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

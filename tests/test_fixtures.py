@@ -154,3 +154,55 @@ def test_auc_matches_pairwise(spark):
     a = {r["label"]: r["auc"] for r in E.roc_auc(gold, sc, ids).collect()}
     # positives {.9,.4} vs negatives {.4,.1}: pairs won 1+1+0.5+1 = 3.5 of 4
     assert abs(a["A"] - 0.875) < 1e-12
+
+
+def test_record_text_column_is_found_in_a_later_row(spark):
+    from codeweave.operators.structure import record_entries
+    rows = spark.createDataFrame([(1, 0, "Date", "Date", "Date", None), (1, 1, "01-Jan-2020", "", "Dr A", None),
+                                  (1, 2, "Lab-Results", "", "hb 12", None)],
+                                 "id long, row_no long, c1 string, c2 string, c3 string, c4 string")
+    r = record_entries(rows).first()
+    assert (r["gp"], r["lab_results"]) == ("Dr A", "hb 12")
+
+
+def test_list_literals_with_both_quotes(spark):
+    from codeweave.operators.structure import parse_list_literal
+    df = spark.createDataFrame([("""["I'm ok", 'b']""",), ("""['a\\'s', "q\\"x"]""",), ("[]",), (None,)], "s string")
+    assert [r[0] for r in df.select(parse_list_literal("s")).collect()] == [["I'm ok", "b"], ["a's", 'q"x'], [], None]
+
+
+def test_import_reads_no_file_of_pyspark():
+    """Queries and oracles load where pyspark has no jar folder."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import glob, zipfile; glob.glob = zipfile.ZipFile = None; import __spark_entry__ as e; "
+            "assert len(e.queries()) > 150 and len(e.oracle_sql()) > 150")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_long_conversations_and_chunks_keep_their_keys(spark):
+    """Turn 100 of a conversation is not turn 0 of the next; accents stay inside words."""
+    from pyspark.sql import functions as F
+
+    from codeweave.functions.text import tokens
+    from codeweave.operators.vectorize import fit_vocabulary, term_counts
+    df = spark.createDataFrame([(1, 100, "alpha"), (2, 0, "beta"), (3, 0, "")], "conv_id long, turn long, text string")
+    c = term_counts(df.select(F.concat_ws(":", "conv_id", "turn").alias("tid"), "text"), "tid", "text")
+    assert sorted((r["id"], r["term"]) for r in c.collect()) == [("1:100", "alpha"), ("2:0", "beta")]
+    import math
+
+    import pytest
+    one = fit_vocabulary(c, 10, 3).first()
+    assert one["idf"] == pytest.approx(math.log(4 / 2) + 1)
+    assert spark.createDataFrame([("ciónado él",)], "t string").select(tokens("t")).first()[0] == ["ciónado", "él"]
+
+
+def test_stopword_set_m_must_be_given():
+    import pytest
+
+    from codeweave.functions.stopwords import stopword_list
+    with pytest.raises(ValueError):
+        stopword_list("mce")
+    assert "aspirin" in stopword_list("mc", ["aspirin"])
