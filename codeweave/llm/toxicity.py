@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_batches, load, own_columns, share, stage
+from .common import filter_batches, load, own_columns, share, stage, text_bytes
 
 THRESHOLD = 0.7
 MAX_WORDS = 2000
@@ -182,7 +182,18 @@ def features(restored: str) -> list[str]:
     return out
 
 
-def text_features(text: str, lm: np.ndarray, cache: dict, keep=None) -> set:
+def feature_column(words: str):
+    """The same from an array of distinct words, as a Column."""
+    begin = ", ".join(f"IF(length(w) > {k}, concat(left(w, {k}), '-'), w)" for k in STEMS)
+    return F.expr(f"array_distinct(flatten(transform({words}, w -> array(w, {begin}))))")
+
+
+def text_words(text: str, lm: np.ndarray, cache: dict) -> set:
+    """Distinct words of the restored text."""
+    return text_features(text, lm, cache, None, str.split)
+
+
+def text_features(text: str, lm: np.ndarray, cache: dict, keep=None, features=features) -> set:
     """Distinct features of the restored text; with ``keep``, only those in it. ``cache``
     maps tokens to their features."""
     low = text.lower()
@@ -214,17 +225,28 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _word_rows(docs: DataFrame, lm) -> DataFrame:
-    """(doc_id, toxic, words): distinct features of training documents."""
+def _word_rows(docs: DataFrame, ids: DataFrame, lm) -> DataFrame:
+    """(doc_id, toxic, words): distinct restored words of the documents in ``ids`` (doc_id,
+    toxic). Texts are shuffled compressed."""
+    def pack(batches):
+        import pyarrow as pa
+        import zstandard as z
+        c = z.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.compress(x) for x in b.column("b").to_pylist()], pa.binary())],
+                                             names=["doc_id", "z"])
+
     def run(batches):
         import pyarrow as pa
+        import zstandard as z
         cache: dict = {}
+        d = z.ZstdDecompressor()
         for b in batches:
-            words = [sorted(text_features(t, lm.value, cache)) for t in b.column("text").to_pylist()]
+            words = [sorted(text_words(d.decompress(x).decode("utf-8", "replace"), lm.value, cache)) for x in b.column("z").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(words, pa.list_(pa.string()))],
                                              names=["doc_id", "toxic", "words"])
-    return docs.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")) \
-        .mapInArrow(run, "doc_id long, toxic int, words array<string>")
+    packed = docs.select("doc_id", text_bytes("text").alias("b")).mapInArrow(pack, "doc_id long, z binary")
+    return packed.join(ids, "doc_id").dropDuplicates(["doc_id", "toxic"]).mapInArrow(run, "doc_id long, toxic int, words array<string>")
 
 
 def train(docs: DataFrame, labels: DataFrame, lm, max_words: int = MAX_WORDS) -> tuple[dict, float]:
@@ -235,8 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, lm, max_words: int = MAX_WORDS) ->
     # one document per text and label: a copied text is one piece of evidence
     ids = (d.filter(~held_out()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(y, "doc_id")
            .groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
-    d = d.filter(~held_out()).join(ids, "doc_id").dropDuplicates(["doc_id", "toxic"])
-    rows = stage(_word_rows(d, lm), "toxic-words")
+    rows = stage(_word_rows(d.filter(~held_out()), ids, lm), "toxic-words").withColumn("words", feature_column("words"))
     n, t = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if t in (0, n):
         return {}, 40.0 if n and t == n else -40.0
