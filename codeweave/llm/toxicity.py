@@ -36,7 +36,7 @@ MIN_TOXIC = 3
 PRIOR_VARIANCE = 100.0
 #: Bound of what the model is fitted on: different (label, features) patterns of labelled documents.
 MAX_PATTERNS = 100_000
-CACHE = 400_000
+CACHE = 150_000
 #: Lengths of word beginnings that are features besides whole words.
 STEMS = (4, 5, 6, 7)
 
