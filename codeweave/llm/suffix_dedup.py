@@ -34,7 +34,7 @@ from .common import load, own_columns, stage, text_bytes
 MIN_BYTES = 100
 #: Gram lengths of the anchors: first pass, then for anchors with too much content.
 GRAMS = (32, 72, 100)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: An anchor with more bytes of different contents than this is split by the next gram length.
 HOT_BYTES = 4 << 20
 FLUSH_BYTES = 16 << 20
@@ -128,7 +128,7 @@ PLAIN, AGAIN, COPY = 0, 1, 2
 
 def _segment_rows(docs: DataFrame, gram: int, least: int) -> DataFrame:
     """Segments of all texts. Copies of a segment that comes earlier within the same task are
-    known to go; instead of its anchor, which may be hot, they get a mixed one."""
+    known to go; instead of their anchor, which may be hot, they get a mixed one."""
     def run(batches):
         import pyarrow as pa
         held, size = [], 0
@@ -160,25 +160,36 @@ def _segment_rows(docs: DataFrame, gram: int, least: int) -> DataFrame:
 # -- Burrows-Wheeler transform and interval expansion -----------------------------------------
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of all suffixes in the order of their first ``depth`` codes at least."""
+    """Positions of all suffixes in the order of their first ``depth`` codes at least, by
+    doubling. Where key and position fit one integer, values are sorted, which is much
+    faster than sorting positions."""
     n = len(codes)
-    bits = max(1, int(codes.max()).bit_length())
-    have = 62 // bits
+    bits, place = max(1, int(codes.max()).bit_length()), n.bit_length()
+    packed = 3 * place <= 63
+    have = max(1, (63 - place if packed else 62) // bits)
     key = np.zeros(n, dtype=np.int64)
     padded = np.concatenate((codes.astype(np.int64), np.zeros(have, np.int64)))
     for i in range(have):
         key = (key << bits) | padded[i:i + n]
+    at = np.arange(n, dtype=np.int64)
     while True:
-        order = np.argsort(key)
+        if packed:
+            s = np.sort((key << place) | at)
+            order = s & ((1 << place) - 1)
+            s >>= place
+        else:
+            order = np.argsort(key)
+            s = key[order]
         if have >= depth:
             return order
-        s = key[order]
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], s[1:] != s[:-1])))
-        if rank[order[-1]] == n:
+        number = np.cumsum(s[1:] != s[:-1])
+        rank[order[0]] = 0
+        rank[order[1:]] = number
+        if not n or (n > 1 and number[-1] == n - 1):
             return order
-        key = rank * (n + 1)
-        key[:n - have] += rank[have:]
+        key = rank << place
+        key[:n - have] |= rank[have:]  # all texts end in a separator: what runs over the end is of no account
         have *= 2
 
 
@@ -188,41 +199,39 @@ def joined_boundaries(codes: np.ndarray, order: np.ndarray, least: int) -> np.nd
     places next to suffixes that meet a separator before ``least`` codes say nothing."""
     n = len(codes)
     bwt = codes[order - 1]  # the first suffix is preceded by the last code, a separator
+    front = codes[order]
     lf = np.empty(n, dtype=np.int32)
     lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     unset = np.ones(n + 1, dtype=bool)
     unset[0] = unset[n] = False
-    lo, hi = np.array([0]), np.array([n])
-    for level in range(least):
+    lo, hi = np.array([0], dtype=np.int32), np.array([n], dtype=np.int32)
+    for _ in range(least):
         size = hi - lo
-        total = int(size.sum())
+        ends = np.cumsum(size, dtype=np.int64)
         # all places of all intervals, with the interval they are in
         owner = np.repeat(np.arange(len(lo), dtype=np.int32), size)
-        place = np.arange(total) + np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        c = bwt[place]
-        keep = c != 0
+        place = np.arange(ends[-1], dtype=np.int32) + np.repeat(lo - (ends - size).astype(np.int32), size)
+        keep = bwt[place] != 0
         if not keep.all():
-            owner, place, c = owner[keep], place[keep], c[keep]
+            owner, place = owner[keep], place[keep]
         if not len(place):
             break
         to = lf[place]
-        if len(to) * 8 > n:
+        if len(to) * 16 > n:
             # many: mark the targets in place order instead of sorting them
             who = np.full(n, -1, dtype=np.int32)
             who[to] = owner
-            at = np.flatnonzero(who >= 0)
-            who, ch = who[at], None
-            letter = np.empty(n, dtype=codes.dtype)
-            letter[to] = c
-            ch = letter[at]
+            at = np.flatnonzero(who >= 0).astype(np.int32)
+            who = who[at]
         else:
             o = np.argsort(to)
-            at, who, ch = to[o].astype(np.int64), owner[o], c[o]
+            at, who = to[o], owner[o]
+        ch = front[at]
         new = np.ones(len(at), dtype=bool)
         new[1:] = (who[1:] != who[:-1]) | (ch[1:] != ch[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         lo = at[first]
-        hi = at[np.concatenate((first[1:], [len(at)])) - 1] + 1
+        hi = at[np.concatenate((first[1:], [len(at)])) - 1] + np.int32(1)
         fresh = unset[hi]
         unset[hi[fresh]] = False
         lo, hi = lo[fresh], hi[fresh]
@@ -234,34 +243,34 @@ def joined_boundaries(codes: np.ndarray, order: np.ndarray, least: int) -> np.nd
 def repeated_windows(contents: list[bytes], doc: np.ndarray, start: np.ndarray, least: int = MIN_BYTES):
     """(content number, offset) arrays of the windows that also start earlier in order."""
     raw = np.frombuffer(b"".join(contents), dtype=np.uint8)
-    used = np.unique(raw)
-    table = np.zeros(256, dtype=np.uint16)
+    used = np.flatnonzero(np.bincount(raw, minlength=256))
+    table = np.zeros(256, dtype=np.uint16 if len(used) > 254 else np.uint8)
     table[used] = np.arange(1, len(used) + 1)
-    sizes = np.array([len(x) for x in contents])
-    codes = np.zeros(len(raw) + len(contents), dtype=np.uint16 if len(used) > 254 else np.uint8)
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    codes = np.zeros(len(raw) + len(contents), dtype=table.dtype)
     inside = np.ones(len(codes), dtype=bool)
     ends = np.cumsum(sizes + 1) - 1
     inside[ends] = False
     codes[inside] = table[raw]
-    begin = ends - sizes
     order = suffix_order(codes, least)
     joined = joined_boundaries(codes, order, least)
-    which = np.repeat(np.arange(len(contents)), sizes + 1)
-    offset = np.arange(len(codes)) - begin[which]
-    valid = offset[order] + least <= sizes[which[order]]
-    group = np.cumsum(~joined)[valid]
-    pos = order[valid]
-    w, o = which[pos], offset[pos]
-    count = np.bincount(group)
-    many = count[group] > 1
-    group, w, o = group[many], w[many], o[many]
+    # only places joined to a neighbour, and windows that end inside their content
+    near = joined.copy()
+    near[:-1] |= joined[1:]
+    near = np.flatnonzero(near)
+    group = np.cumsum(~joined)[near]
+    pos = order[near]
+    w = np.searchsorted(ends, pos)
+    o = pos - (ends - sizes)[w]
+    valid = o + least <= sizes[w]
+    group, w, o = group[valid], w[valid], o[valid]
     d, s = doc[w], start[w] + o
     by = np.lexsort((s, d, group))
+    if not len(by):
+        return w, o
     group, w, o, d, s = group[by], w[by], o[by], d[by], s[by]
     first = np.ones(len(by), dtype=bool)
     first[1:] = group[1:] != group[:-1]
-    if not len(by):
-        return w, o
     lead = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
     later = (d != d[lead]) | (s != s[lead])
     return w[later], o[later]
@@ -283,7 +292,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, least: int):
 # -- the job ---------------------------------------------------------------------------------
 
 def _judge(rows: DataFrame) -> DataFrame:
-    """Copies, and the segments whose anchor occurs again, with ``first`` (the earliest of its
+    """Copies, and the segments whose anchor has other contents, with ``first`` (the earliest of its
     content) and ``weight``, the bytes of different contents of the anchor. One shuffle, by anchor."""
     alive = F.col("kind") != COPY
     by_content = Window.partitionBy("anchor", "content")
@@ -291,9 +300,10 @@ def _judge(rows: DataFrame) -> DataFrame:
     at = F.struct("doc", "start")
     r = rows.repartition("anchor").withColumn("least", F.min(F.when(alive, at)).over(by_content))
     r = r.withColumn("first", alive & (at == F.col("least")))
-    r = r.withColumn("uses", F.count(F.lit(1)).over(by_anchor)).withColumn(
+    # different contents of the anchor: one alone, that cannot recur inside, has met all its copies
+    r = r.withColumn("contents", F.count(F.when(F.col("first"), 1)).over(by_anchor)).withColumn(
         "weight", F.sum(F.when(F.col("first"), F.col("len")).otherwise(0)).over(by_anchor))
-    return r.filter((F.col("uses") > 1) | (F.col("kind") != PLAIN)).drop("least", "uses")
+    return r.filter((F.col("contents") > 1) | (F.col("kind") != PLAIN) | ~F.col("first")).drop("least", "contents")
 
 
 def _blocks(contents: DataFrame, total: int, least: int, block_bytes: int) -> DataFrame:
