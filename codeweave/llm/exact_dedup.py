@@ -8,7 +8,8 @@ Texts are equal when their bytes are equal after deleting every blank and 0x09-0
   built by one task from at most about ``SHARD_KEYS`` keys; snapshots never change.
 * ``dedup_against`` screens the distinct digests of a batch with the filters, joins
   only the positives with the exact buckets and compares the bytes with the bytes of
-  the snapshot's row; what the filters reject is grouped within the batch alone.
+  the snapshot's row. Equal ones merge their group with the bucket; what the filters
+  reject is grouped within the batch alone, and buckets not met pass through.
 
 Hot groups: digests are aggregated before they are shuffled (map-side), so a text that
 a third of all rows repeat is one row for the filters and the buckets. The result goes
@@ -143,10 +144,10 @@ def _key(sha: str = "sha"):
     return F.conv(F.substring(F.hex(sha), 1, 15), 16, 10).cast("long")
 
 
-def _best():
-    """The row that stays: most code points, then smallest id (null last)."""
+def _best(is_new: bool):
+    """The row that stays: most code points, then smallest id (null last), then the snapshot's."""
     return F.min(F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("doc_id").isNull().alias("no_id"),
-                          F.col("doc_id").alias("doc_id"))).alias("best")
+                          F.col("doc_id").alias("doc_id"), F.lit(is_new).alias("is_new"))).alias("best")
 
 
 class Snapshot:
@@ -156,11 +157,12 @@ class Snapshot:
         self.buckets, self.filters, self.shards = buckets, filters, shards
 
 
-def build_snapshot(digests: DataFrame, shard_keys: int = SHARD_KEYS) -> Snapshot:
-    """Freeze digests (doc_id, n_cp, sha) as an immutable snapshot in the shared folder."""
-    buckets = stage(digests.groupBy("sha").agg(_best(), F.count(F.lit(1)).alias("size"))
+def build_snapshot(digests: DataFrame, shard_keys: int = SHARD_KEYS, batch_keys: int = 0) -> Snapshot:
+    """Freeze digests (doc_id, n_cp, sha) as an immutable snapshot in the shared folder. Shards
+    hold about ``shard_keys`` digests of the snapshot, and of a batch of ``batch_keys``, at most."""
+    buckets = stage(digests.groupBy("sha").agg(_best(False), F.count(F.lit(1)).alias("size"))
                     .withColumn("key", _key()), "exact-buckets")
-    shards = max(1, -(-buckets.count() // shard_keys))
+    shards = max(1, -(-max(buckets.count(), batch_keys) // shard_keys))
 
     def build(pdf):
         import pandas as pd
@@ -189,33 +191,42 @@ def screen(keys: DataFrame, snap: Snapshot) -> DataFrame:
 def dedup_against(old: DataFrame, new: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per row of both tables (doc_id, text): doc_id, keep_id, group_size, kept,
     text_sha256. ``old`` becomes the snapshot, ``new`` is the batch screened by it."""
-    old_d = digest_rows(old).withColumn("is_new", F.lit(False))
-    new_d = digest_rows(new).withColumn("is_new", F.lit(True))
-    rows = stage(old_d.unionByName(new_d), "digests")
-    snap = build_snapshot(rows.filter(~F.col("is_new")), shard_keys)
-    batch = stage(rows.filter("is_new").groupBy("sha").agg(_best(), F.count(F.lit(1)).alias("size"))
-                  .withColumn("key", _key()), "batch")
-    positive = screen(batch.select("key").distinct(), snap)
-    # exact buckets: the rows of the batch whose digest the snapshot really holds
-    held = snap.buckets.join(positive, "key", "left_semi").select("sha", F.col("best.doc_id").alias("old_id"))
-    hits = stage(rows.filter("is_new").select("doc_id", "sha").join(held, "sha"), "hits")
+    rows = stage(digest_rows(old).withColumn("is_new", F.lit(False)).unionByName(digest_rows(new).withColumn("is_new", F.lit(True))), "digests")
+    keys = stage(rows.filter("is_new").select("sha").distinct().withColumn("key", _key()), "batch")
+    snap = build_snapshot(rows.filter(~F.col("is_new")), shard_keys, keys.count())
+    positive = stage(screen(keys.select("key").distinct(), snap), "positives")
+    # exact buckets: the digests of the batch that the snapshot really holds
+    held = stage(snap.buckets.join(positive, "key", "left_semi").join(keys.select("sha"), "sha", "left_semi")
+                 .select("sha", F.col("best").alias("old_best"), F.col("size").alias("old_size")), "held")
+    hits = rows.filter("is_new").select("doc_id", "sha").join(held.select("sha", F.col("old_best.doc_id").alias("old_id")), "sha").distinct()
+    hits = stage(hits, "hits")
     # bytes of both sides, only for rows that hit: same digest, other bytes would be another text
     theirs = new.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select(
         "doc_id", _norm("text").alias("new_norm"))
     ours = old.join(hits.select(F.col("old_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
         F.col("doc_id").alias("old_id"), _norm("text").alias("old_norm"))
-    differ = (hits.distinct().join(theirs, "doc_id").join(ours, "old_id")
+    differ = (hits.join(theirs, "doc_id").join(ours, "old_id")
               .withColumn("same", F.col("new_norm") == F.col("old_norm"))
               .groupBy("doc_id", "sha").agg(F.max("same").alias("same")).filter(~F.col("same"))
               .select("doc_id", "sha", F.lit(True).alias("other")))
     rows = rows.join(differ.withColumn("is_new", F.lit(True)), ["doc_id", "sha", "is_new"], "left")
     rows = rows.withColumn("grp", F.when(F.col("other"), 1).otherwise(0))
-    # repeated rows of a document fold into one with their number; then one row a group
-    folded = rows.groupBy("doc_id", "sha", "grp").agg(F.max("n_cp").alias("n_cp"), F.count(F.lit(1)).alias("n"))
-    groups = folded.groupBy("sha", "grp").agg(_best(), F.sum("n").alias("group_size"))
-    out = folded.join(groups, ["sha", "grp"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("sha"), "n",
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("n_cp") == F.col("best.neg_cp"))).alias("stays"))
+    # repeated rows of a document fold into one with their number
+    folded = rows.groupBy("doc_id", "sha", "grp", "is_new").agg(F.max("n_cp").alias("n_cp"), F.count(F.lit(1)).alias("n"))
+    # groups of the batch alone; the screened ones among them merge with their exact bucket
+    mine = stage(folded.filter("is_new").groupBy("sha", "grp").agg(_best(True), F.sum("n").alias("size")).withColumn("key", _key()), "batch-groups")
+    screened = mine.filter("grp = 0").join(positive, "key", "left_semi").join(held, "sha", "left")
+    merged = stage(screened.select("sha", "grp", F.least("best", "old_best").alias("best"),
+                                   (F.col("size") + F.coalesce("old_size", F.lit(0))).alias("size")), "merged")
+    rejected = mine.filter("grp = 1").unionByName(mine.filter("grp = 0").join(positive, "key", "left_anti")).select("sha", "grp", "best", "size")
+    # buckets the batch does not meet pass through
+    theirs = merged.select("sha", F.col("best").alias("new_best"), F.col("size").alias("new_size"))
+    passed = snap.buckets.join(theirs, "sha", "left").select(
+        "sha", F.lit(0).alias("grp"), F.coalesce("new_best", "best").alias("best"), F.coalesce("new_size", "size").alias("size"))
+    groups = merged.unionByName(rejected).withColumn("is_new", F.lit(True)).unionByName(passed.withColumn("is_new", F.lit(False)))
+    out = folded.join(groups, ["sha", "grp", "is_new"]).select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("sha"), "n",
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("n_cp") == F.col("best.neg_cp")) & (F.col("is_new") == F.col("best.is_new"))).alias("stays"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"),
                       F.lower(F.hex("sha")).alias("text_sha256"))

@@ -41,6 +41,28 @@ def test_exact_empty_table(spark):
     assert exact_dedup.dedup_against(*exact_dedup.split_snapshot(d)).collect() == []
 
 
+def test_screen_decides(spark, monkeypatch):
+    old, new = docs(spark, [(1, "a b"), (2, "old")]), docs(spark, [(3, "ab"), (4, "n w"), (5, "nw")] + [(10 + i, f"t {i}") for i in range(40)])
+    seen = []
+
+    def nothing(keys, snap):
+        seen.append(snap.shards)
+        return keys.limit(0)
+
+    def groups():
+        return {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup_against(old, new, 16).filter("doc_id < 10").collect()}
+    assert groups() == {1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False), 4: (4, 2, True), 5: (4, 2, False)}
+    monkeypatch.setattr(exact_dedup, "screen", nothing)
+    assert groups() == {1: (1, 1, True), 2: (2, 1, True), 3: (3, 1, True), 4: (4, 2, True), 5: (4, 2, False)}
+    assert seen == [3]  # 42 digests of the batch, 2 of the snapshot
+
+
+def test_same_row_on_both_sides_stays_once(spark):
+    d = docs(spark, [(1, "a b"), (None, "z")])
+    got = exact_dedup.dedup_against(d, d).collect()
+    assert sorted(((r["doc_id"], r["group_size"], r["kept"]) for r in got), key=repr) == [(1, 2, False), (1, 2, True), (None, 2, False), (None, 2, True)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 5000])
 def test_fuse_filter(n):
     r = np.random.default_rng(n)
