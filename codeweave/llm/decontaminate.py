@@ -5,9 +5,10 @@ of at most ``BLOCK_WORDS`` words (the stated bound of what tasks receive); for a
 
 1. all documents are scanned and, for each n-gram of the block's items, the documents that hold it
    are counted (one number per n-gram and task, summed in Spark);
-2. of every ``WINDOW`` neighbouring n-grams of an item the rarest becomes a seed, so frequent
-   phrases start no alignments and yet every stretch of ``SEED + WINDOW - 1`` unchanged
-   words holds a seed, however often the whole item is repeated in the corpus;
+2. every n-gram of an item that any document holds becomes a seed, so every stretch of ``SEED``
+   unchanged words holds one, however often the whole item is repeated in the corpus. Rare
+   seeds start alignments at once; those of more than ``FREQUENT`` documents only in passages that
+   hold enough of the item's words to reach the score, which loses nothing;
 3. all documents are scanned again: seeds lead to (item, passage) candidates, each passage the
    stretch around a seed where the item could lie, merged where they overlap, and word-level
    Smith-Waterman (match +1, mismatch and gap -1) scores the item against the passage.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import filter_batches, load, own_columns, share
 
 SEED = 4
-WINDOW = 3
+#: Seeds in more documents than this are tested by the passage's words before an alignment.
+FREQUENT = 100
 MIN_SCORE = 0.5
 MIN_WORDS = 8
 BLOCK_WORDS = 1 << 20
@@ -63,18 +65,18 @@ class Block:
         grams = [_grams(x, SEED) for x in self.items]
         self.codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
         self.places: dict = {}
+        self.rare = np.zeros(len(self.codes), dtype=bool)
         self.grams = grams
 
     def choose(self, df: np.ndarray) -> None:
         """Seeds by document frequency; ``places``: seed number -> [(item, position)]."""
         keep: dict = {}
         for k, g in enumerate(self.grams):
-            at = np.searchsorted(self.codes, g)
-            for i in range(max(0, len(at) - WINDOW + 1) or min(1, len(at))):
-                near = at[i:i + WINDOW]
-                j = i + int(np.argmin(df[near]))
-                keep.setdefault(int(at[j]), set()).add((k, j))
-        self.places = {s: sorted(p) for s, p in keep.items()}
+            for j, c in enumerate(np.searchsorted(self.codes, g).tolist()):
+                if df[c]:
+                    keep.setdefault(c, []).append((k, j))
+        self.places = keep
+        self.rare = df <= FREQUENT
 
     def hits(self, ids: np.ndarray):
         """(positions, code numbers) of the block's n-grams in a document."""
@@ -123,6 +125,7 @@ def _matches(block: Block, text: str):
     """(item number, score, start, end) of the items a text holds; offsets in words."""
     ids = block.numbers(text)
     at, k = block.hits(ids)
+    rare = block.rare
     passages: dict = {}
     for p, c in zip(at.tolist(), k.tolist()):
         for item, pos in block.places.get(c, ()):
@@ -133,12 +136,16 @@ def _matches(block: Block, text: str):
             if mine and lo <= mine[-1][1]:
                 mine[-1][1] = max(hi, mine[-1][1])
                 mine[-1][0] = min(lo, mine[-1][0])
+                mine[-1][2] |= rare[c]
             else:
-                mine.append([lo, hi])
+                mine.append([lo, hi, rare[c]])
     for item, spans in passages.items():
         x, found = block.items[item], None
         need = max(MIN_SCORE * len(x), min(len(x), MIN_WORDS))
-        for lo, hi in spans:
+        for lo, hi, direct in spans:
+            # a score needs as many matches, each with another word of the item
+            if not direct and np.isin(x, ids[lo:hi]).sum() < need:
+                continue
             s, end = smith_waterman(x, ids[lo:hi])
             if s >= need and (found is None or s > found[1]):
                 found = (item, s, lo, lo + end)

@@ -203,6 +203,18 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(docs(spark, rows), b.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("frequent", [100, 0])
+@pytest.mark.parametrize("copies", [0, 3])
+def test_every_unchanged_run_is_a_seed(spark, monkeypatch, copies, frequent):
+    monkeypatch.setattr(decontaminate, "FREQUENT", frequent)
+    item = [f"w{i}" for i in range(40)]
+    every = {n: " ".join(f"x{i}" if i % n == n - 1 else w for i, w in enumerate(item)) for n in (5, 6)}
+    rows = [(5, every[5]), (6, every[6]), (7, " ".join(item[:12]))] + [(100 + i, " ".join(item)) for i in range(copies)]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, rows), b).collect()
+    assert sorted(r["doc_id"] for r in got) == [5, 6] + [100 + i for i in range(copies)]
+
+
 # -- WARC ----------------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
