@@ -5,7 +5,7 @@ document with a smaller id or earlier in the same one. Strings never cross docum
 
 Distribution. Each string (a *window* of MIN_BYTES bytes) belongs to its smallest hashed
 ``GRAM``-byte gram, its anchor; equal windows have equal anchors. Neighbouring windows with one
-anchor form a segment, about 1 for every 35 bytes. Only (anchor, content hash, document, start,
+anchor form a segment, about 1 for every 35 bytes. Only (anchor, content hash, document key, start,
 length) is shuffled; segments that are copies of an earlier one are removed whole (already inside
 a task where both are there), and anchors that occur once drop out. The different contents
 left, a small part of the text, are fetched and dealt by anchor to blocks of a bounded size.
@@ -18,9 +18,11 @@ boundary that an interval of length l + 1 reaches first has a common prefix of l
 expansion stops at ``MIN_BYTES``: boundaries not reached until then join equal windows. In
 each class of equal windows the earliest stays, the others are removed.
 
-Defined cases: null text is empty text; texts under MIN_BYTES bytes lose nothing; null ids come
-last and count as one document, as do repeated rows: equal positions of one id are one
-string, so repeated rows lose the same bytes; an empty table gives an empty result; other columns are ignored."""
+Documents are keyed by (id, 64-bit hash of the text), in this order, null ids last.
+
+Defined cases: null text is empty text; texts under MIN_BYTES bytes lose nothing; rows of one id (or
+none) with different texts are documents of their own, ordered by the hash; rows of one id and text
+are one document, so repeated rows lose the same bytes; an empty table gives an empty result; other columns are ignored."""
 from __future__ import annotations
 
 import hashlib
@@ -106,9 +108,9 @@ def _content_hashes(text: bytes, starts, ends) -> np.ndarray:
     return np.fromiter((xxh3_64_intdigest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)).view(np.int64)
 
 
-def _first_copies(anchor, content, doc, start):
+def _first_copies(anchor, content, doc, txt, start):
     """Mask of the rows that are the earliest of their (anchor, content)."""
-    order = np.lexsort((start, doc, content, anchor))
+    order = np.lexsort((start, txt, doc, content, anchor))
     a, c = anchor[order], content[order]
     first = np.ones(len(order), dtype=bool)
     first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
@@ -117,11 +119,11 @@ def _first_copies(anchor, content, doc, start):
     # the earliest row may be there more than once (repeated rows): all of them stay
     if len(order):
         lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        mask[order] |= (doc[order] == doc[lead]) & (start[order] == start[lead])
+        mask[order] |= (doc[order] == doc[lead]) & (txt[order] == txt[lead]) & (start[order] == start[lead])
     return mask
 
 
-SEGMENT = "anchor long, content long, doc long, start long, len long, kind long"
+SEGMENT = "anchor long, content long, doc long, txt long, start long, len long, kind long"
 #: Kinds of segments: plain, with a window that may recur inside, copy of an earlier one.
 PLAIN, AGAIN, COPY = 0, 1, 2
 
@@ -134,20 +136,20 @@ def _segment_rows(docs: DataFrame, gram: int, least: int) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            anchor, content, doc, start, length, kind = (np.concatenate(c) for c in zip(*held))
-            first = _first_copies(anchor, content, doc, start)
+            anchor, content, doc, txt, start, length, kind = (np.concatenate(c) for c in zip(*held))
+            first = _first_copies(anchor, content, doc, txt, start)
             kind = np.where(first, kind, COPY)
-            mixed = ((doc.view(np.uint64) * np.uint64(_P) ^ start.view(np.uint64)) * np.uint64(_P)).view(np.int64)
+            mixed = (((doc ^ txt).view(np.uint64) * np.uint64(_P) ^ start.view(np.uint64)) * np.uint64(_P)).view(np.int64)
             anchor = np.where(first, anchor, mixed)
             for i in range(0, len(anchor), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 50_000]) for x in (anchor, content, doc, start, length, kind)],
-                                                 names=["anchor", "content", "doc", "start", "len", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 50_000]) for x in (anchor, content, doc, txt, start, length, kind)],
+                                                 names=["anchor", "content", "doc", "txt", "start", "len", "kind"])
         for b in batches:
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("b").to_pylist()):
+            for doc, txt, text in zip(b.column("doc").to_pylist(), b.column("txt").to_pylist(), b.column("b").to_pylist()):
                 anchor, start, end, again = segments(text, gram, least)
                 if len(anchor):
-                    held.append((anchor, _content_hashes(text, start, end), np.full(len(anchor), doc, np.int64), start.astype(np.int64),
-                                 (end - start).astype(np.int64), again.astype(np.int64)))
+                    held.append((anchor, _content_hashes(text, start, end), np.full(len(anchor), doc, np.int64), np.full(len(anchor), txt, np.int64),
+                                 start.astype(np.int64), (end - start).astype(np.int64), again.astype(np.int64)))
                     size += len(text)
                     if size >= FLUSH_BYTES:
                         yield from flush()
@@ -297,7 +299,7 @@ def _judge(rows: DataFrame) -> DataFrame:
     alive = F.col("kind") != COPY
     by_content = Window.partitionBy("anchor", "content")
     by_anchor = Window.partitionBy("anchor")
-    at = F.struct("doc", "start")
+    at = F.struct("doc", "txt", "start")
     r = rows.repartition("anchor").withColumn("least", F.min(F.when(alive, at)).over(by_content))
     r = r.withColumn("first", alive & (at == F.col("least")))
     # different contents of the anchor: one alone, that cannot recur inside, has met all its copies
@@ -307,53 +309,62 @@ def _judge(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(contents: DataFrame, total: int, least: int, block_bytes: int) -> DataFrame:
-    """Ranges removed among contents (anchor, doc, start, b), dealt by anchor to blocks."""
+    """Ranges removed among contents (anchor, doc, txt, start, b), dealt by anchor to blocks."""
     def run(pdf):
         import pandas as pd
-        w, o = repeated_windows(pdf["b"].tolist(), pdf["doc"].to_numpy(), pdf["start"].to_numpy(), least)
-        d, s, e = _runs(pdf["doc"].to_numpy()[w], pdf["start"].to_numpy()[w] + o, least)
-        return pd.DataFrame({"doc": d, "start": s, "end": e})
+        doc, txt = pdf["doc"].to_numpy(), pdf["txt"].to_numpy()
+        # documents of the block numbered in order
+        by = np.lexsort((txt, doc))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (doc[by[1:]] != doc[by[:-1]]) | (txt[by[1:]] != txt[by[:-1]])
+        number = np.empty(len(by), dtype=np.int64)
+        number[by] = np.cumsum(new) - 1
+        lead = by[new]
+        w, o = repeated_windows(pdf["b"].tolist(), number, pdf["start"].to_numpy(), least)
+        d, s, e = _runs(number[w], pdf["start"].to_numpy()[w] + o, least)
+        return pd.DataFrame({"doc": doc[lead[d]], "txt": txt[lead[d]], "start": s, "end": e})
     n = max(1, -(-total // block_bytes))
     return contents.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int")).groupBy("block").applyInPandas(
-        run, "doc long, start long, end long")
+        run, "doc long, txt long, start long, end long")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Bytes of the wanted segments (anchor, doc, start, len). Texts travel compressed."""
+    """Bytes of the wanted segments (anchor, doc, txt, start, len). Texts travel compressed."""
     def pack(batches):
         import pyarrow as pa
         import zstandard as z
         c = z.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([c.compress(x) for x in b.column("b").to_pylist()], pa.binary())],
-                                             names=["doc", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("txt"), pa.array([c.compress(x) for x in b.column("b").to_pylist()], pa.binary())],
+                                             names=["doc", "txt", "z"])
 
     def cut(batches):
         import pyarrow as pa
         import zstandard as z
         dc = z.ZstdDecompressor()
         for b in batches:
-            anchor, doc, start, out, size = [], [], [], [], 0
-            for d, x, ranges in zip(b.column("doc").to_pylist(), b.column("z").to_pylist(), b.column("ranges").to_pylist()):
+            anchor, doc, txt, start, out, size = [], [], [], [], [], 0
+            for d, h, x, ranges in zip(b.column("doc").to_pylist(), b.column("txt").to_pylist(), b.column("z").to_pylist(), b.column("ranges").to_pylist()):
                 t = dc.decompress(x)
                 for r in ranges:
                     anchor.append(r["anchor"])
                     doc.append(d)
+                    txt.append(h)
                     start.append(r["start"])
                     out.append(t[r["start"]:r["start"] + r["len"]])
                     size += r["len"]
                     if size > 8 << 20:
-                        yield row(anchor, doc, start, out)
-                        anchor, doc, start, out, size = [], [], [], [], 0
-            yield row(anchor, doc, start, out)
+                        yield row(anchor, doc, txt, start, out)
+                        anchor, doc, txt, start, out, size = [], [], [], [], [], 0
+            yield row(anchor, doc, txt, start, out)
 
-    def row(anchor, doc, start, out):
+    def row(anchor, doc, txt, start, out):
         import pyarrow as pa
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()),
-                                           pa.array(out, pa.binary())], names=["anchor", "doc", "start", "b"])
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "len")).alias("ranges"))
-    packed = docs.mapInArrow(pack, "doc long, z binary")
-    return packed.join(per_doc, "doc").mapInArrow(cut, "anchor long, doc long, start long, b binary")
+        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(txt, pa.int64()),
+                                           pa.array(start, pa.int64()), pa.array(out, pa.binary())], names=["anchor", "doc", "txt", "start", "b"])
+    per_doc = wanted.groupBy("doc", "txt").agg(F.collect_list(F.struct("anchor", "start", "len")).alias("ranges"))
+    packed = docs.mapInArrow(pack, "doc long, txt long, z binary")
+    return packed.join(per_doc, ["doc", "txt"]).mapInArrow(cut, "anchor long, doc long, txt long, start long, b binary")
 
 
 def _split(contents: DataFrame, gram: int, least: int) -> DataFrame:
@@ -361,38 +372,38 @@ def _split(contents: DataFrame, gram: int, least: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            for doc, start, text in zip(b.column("doc").to_pylist(), b.column("start").to_pylist(), b.column("b").to_pylist()):
+            for doc, txt, start, text in zip(b.column("doc").to_pylist(), b.column("txt").to_pylist(), b.column("start").to_pylist(), b.column("b").to_pylist()):
                 anchor, s, e, again = segments(text, gram, least)
                 h = _content_hashes(text, s, e)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor, pa.int64()), pa.array(h, pa.int64()), pa.array(np.full(len(s), doc, np.int64)), pa.array(s + start, pa.int64()),
-                     pa.array(e - s, pa.int64()), pa.array(again.astype(np.int64)), pa.array([text[i:j] for i, j in zip(s.tolist(), e.tolist())], pa.binary())],
-                    names=["anchor", "content", "doc", "start", "len", "kind", "b"])
-    return contents.select("doc", "start", "b").mapInArrow(run, SEGMENT + ", b binary")
+                    [pa.array(anchor, pa.int64()), pa.array(h, pa.int64()), pa.array(np.full(len(s), doc, np.int64)),
+                     pa.array(np.full(len(s), txt, np.int64)), pa.array(s + start, pa.int64()), pa.array(e - s, pa.int64()), pa.array(again.astype(np.int64)), pa.array([text[i:j] for i, j in zip(s.tolist(), e.tolist())], pa.binary())],
+                    names=["anchor", "content", "doc", "txt", "start", "len", "kind", "b"])
+    return contents.select("doc", "txt", "start", "b").mapInArrow(run, SEGMENT + ", b binary")
 
 
 def removed_ranges(d: DataFrame, least: int = MIN_BYTES, grams=None, block_bytes: int = BLOCK_BYTES,
                    hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(doc, start, end): byte ranges of texts (doc, b) to remove; ranges may overlap."""
+    """(doc, txt, start, end): byte ranges of texts (doc, txt, b) to remove; ranges may overlap."""
     grams = tuple(g for g in (grams or GRAMS) if g < least) + (least,)
     judged = stage(_judge(_segment_rows(d, grams[0], least)), "segments")
-    copies = judged.filter(~F.col("first")).select("doc", "start", (F.col("start") + F.col("len")).alias("end"))
+    copies = judged.filter(~F.col("first")).select("doc", "txt", "start", (F.col("start") + F.col("len")).alias("end"))
     out = copies
     firsts = judged.filter("first")
     total = firsts.agg(F.sum(F.when(F.col("weight") <= hot_bytes, F.col("len"))), F.max("weight")).first()
-    contents = _fetch(d, firsts.filter(F.col("weight") <= hot_bytes).select("anchor", "doc", "start", "len"))
+    contents = _fetch(d, firsts.filter(F.col("weight") <= hot_bytes).select("anchor", "doc", "txt", "start", "len"))
     out = out.unionByName(_blocks(contents, total[0] or 0, least, block_bytes))
     if (total[1] or 0) > hot_bytes:
-        hot = _fetch(d, firsts.filter(F.col("weight") > hot_bytes).select("anchor", "doc", "start", "len"))
+        hot = _fetch(d, firsts.filter(F.col("weight") > hot_bytes).select("anchor", "doc", "txt", "start", "len"))
         for i, gram in enumerate(grams[1:]):
             # the last grams are whole windows: their contents differ in length only
             limit = hot_bytes if gram < least else 1 << 62
             part = stage(_judge(_split(hot, gram, least)), "split")
-            out = out.unionByName(part.filter(~F.col("first")).select("doc", "start", (F.col("start") + F.col("len")).alias("end")))
-            cold = part.filter(F.col("first") & (F.col("weight") <= limit)).select("anchor", "doc", "start", "b")
+            out = out.unionByName(part.filter(~F.col("first")).select("doc", "txt", "start", (F.col("start") + F.col("len")).alias("end")))
+            cold = part.filter(F.col("first") & (F.col("weight") <= limit)).select("anchor", "doc", "txt", "start", "b")
             size = cold.agg(F.sum(F.length("b"))).first()[0] or 0
             out = out.unionByName(_blocks(cold, size, least, block_bytes))
-            hot = part.filter(F.col("first") & (F.col("weight") > limit)).select("anchor", "doc", "start", "b")
+            hot = part.filter(F.col("first") & (F.col("weight") > limit)).select("anchor", "doc", "txt", "start", "b")
             if not hot.head(1):
                 break
     return out
@@ -402,17 +413,17 @@ def dedup_substrings(docs: DataFrame, least: int = MIN_BYTES, texts: bool = Fals
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the
     remaining bytes as ``kept`` if ``texts``)."""
     d = own_columns(docs, doc_id=("doc_id", "long"), text=("text", "string"))
-    d = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_bytes("text").alias("b"))
+    d = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_bytes("text").alias("b")).withColumn("txt", F.xxhash64("b"))
     ranges = removed_ranges(d, least, **limits)
-    per_doc = stage(ranges.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    per_doc = stage(ranges.distinct().groupBy("doc", "txt").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
 
     def pack(batches):
         import pyarrow as pa
         import zstandard as z
         c = z.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([c.compress(x) for x in b.column("b").to_pylist()], pa.binary())],
-                                             names=["doc", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("txt"), pa.array([c.compress(x) for x in b.column("b").to_pylist()], pa.binary())],
+                                             names=["doc", "txt", "z"])
 
     def run(batches):
         import pyarrow as pa
@@ -437,9 +448,9 @@ def dedup_substrings(docs: DataFrame, least: int = MIN_BYTES, texts: bool = Fals
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             k = 6 if texts else 5
             yield pa.RecordBatch.from_arrays(arrays[:k], names=names[:k])
-    packed = d.mapInArrow(pack, "doc long, z binary")
+    packed = d.mapInArrow(pack, "doc long, txt long, z binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return packed.join(per_doc, "doc", "left").mapInArrow(run, schema)
+    return packed.join(per_doc, ["doc", "txt"], "left").mapInArrow(run, schema)
 
 
 def op8_suffix_dedup(spark, sf_dir):

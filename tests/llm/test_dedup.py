@@ -193,6 +193,23 @@ def test_substrings(spark, limits):
     assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got), key=repr) == brute_substrings(rows)
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    r = random.Random(5)
+
+    def text(n):
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = text(150)
+    a, b = text(50) + shared + text(200), text(50) + text(300)
+    c = text(50) + shared + text(90)
+    rows = [(1, text(400) + shared), (None, a), (None, b), (7, c), (7, text(400)), (8, text(60) + shared), (8, text(60) + shared)]
+    got = suffix_dedup.dedup_substrings(docs(spark, rows), texts=True).collect()
+    kept = sorted((x["doc_id"] or -1, bytes(x["kept"]).decode()) for x in got)
+    assert kept == sorted((d or -1, t if d == 1 else t.replace(shared, "")) for d, t in rows)
+    # copies at equal offsets of one id: one of them stays
+    two = suffix_dedup.dedup_substrings(docs(spark, [(None, a), (None, c)]), texts=True).collect()
+    assert sorted(x["n_removed"] for x in two) == [0, 150]
+
+
 def test_substrings_empty_table_and_texts(spark):
     assert suffix_dedup.dedup_substrings(docs(spark, [])).collect() == []
     got = {r["doc_id"]: r["kept"] for r in suffix_dedup.dedup_substrings(docs(spark, [(1, "q" * 100), (2, "p" + "q" * 100)]), texts=True).collect()}
