@@ -9,7 +9,7 @@
 3. A logistic model over the presence of restored words and of their first letters (``STEMS``, for
    inflected forms) is learned from the labelled documents that are not held out, each
    different text once. Candidates are the ``MAX_WORDS`` features with the largest log-likelihood
-   ratio over all of them; the documents fold into weighted (label, candidates) patterns, of which
+   ratio of those with an odds ratio over ``MIN_ODDS``; the documents fold into weighted (label, candidates) patterns, of which
    at most ``MAX_PATTERNS`` reach the solver.
 4. Every whole text is restored and scored.
 
@@ -33,6 +33,8 @@ from .common import filter_batches, load, own_columns, share, stage, text_bytes
 THRESHOLD = 0.7
 MAX_WORDS = 2000
 MIN_TOXIC = 3
+#: A candidate raises the odds of a toxic text by more than this factor.
+MIN_ODDS = 2
 PRIOR_VARIANCE = 100.0
 #: Bound of what the model is fitted on: different (label, features) patterns of labelled documents.
 MAX_PATTERNS = 100_000
@@ -264,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, lm, max_words: int = MAX_WORDS) ->
     w = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("k"))
     share = t / n
-    w = w.filter((F.col("a") >= MIN_TOXIC) & (F.col("a") / F.col("k") > 2 * share))
+    # odds of toxic texts among those with the feature, against the odds of all: works at any share
+    w = w.filter((F.col("a") >= MIN_TOXIC) & (F.col("a") * (1 - share) > MIN_ODDS * share * (F.col("k") - F.col("a"))))
     p = F.col("a") / F.col("k")
 
     def term(x, y):

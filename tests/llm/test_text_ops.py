@@ -126,6 +126,20 @@ def test_toxicity_learns_and_restores(spark):
     assert sorted((r["doc_id"] for r in clean.collect()), key=repr) == sorted((r["doc_id"] for r in got if not r["predicted"]), key=repr)
 
 
+@pytest.mark.parametrize("share", [0.4, 0.5, 0.8])
+def test_toxicity_learns_at_any_share(spark, share):
+    rows, labels = [], []
+    for i in range(300):
+        w, bad = words(i + 10, 40), i % 10 < 10 * share
+        if bad:
+            w[7] = ["idiot", "moron", "stupid"][i % 3]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    got = toxicity.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    right = [r["predicted"] == int(r["doc_id"] % 10 < 10 * share) for r in got if r["held_out"]]
+    assert sum(right) >= 0.97 * len(right)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(docs(spark, [(1, "a"), (2, None)]), none).collect()} == {0}
