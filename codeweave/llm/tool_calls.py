@@ -157,8 +157,11 @@ def levels(calls: DataFrame) -> DataFrame:
         ground = stage(ground.unionByName(lift).groupBy("conv_id", "c").agg(F.max("g").alias("g")), "ground")
         nxt = j.filter("k >= 1").select("conv_id", "c", F.when(few, F.col("pp")).otherwise(F.col("p")).alias("p"),
                                         F.when(few, F.col("w") + F.col("pw")).otherwise(F.col("w")).alias("w"))
-        # a chain longer than all calls goes round in a circle: its edge stays as it is
-        nxt = nxt.groupBy("conv_id", "c", "p").agg(F.max("w").alias("w")).withColumn("w", F.least("w", F.lit(count + 1)))
+        # a chain longer than all calls goes round in a circle: its edge becomes one to the call
+        # itself, which is replaced by itself from then on
+        circle = F.col("w") > count
+        nxt = nxt.select("conv_id", "c", F.when(circle, F.col("c")).otherwise(F.col("p")).alias("p"), F.least("w", F.lit(count + 1)).alias("w"))
+        nxt = nxt.groupBy("conv_id", "c", "p").agg(F.max("w").alias("w"))
         open_edges = stage(nxt, "edges")
     stuck = open_edges.select("conv_id", "c").distinct()
     return ground.join(stuck, ["conv_id", "c"], "left_anti").select("conv_id", F.col("c").alias("call_id"), F.col("g").alias("level"))

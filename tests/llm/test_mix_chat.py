@@ -128,6 +128,18 @@ def test_levels_brute(spark):
     assert {(x["conv_id"], x["call_id"]): x["level"] for x in got} == want
 
 
+def test_levels_of_cycles_end(spark):
+    calls, free = [], {}
+    for n in (3, 5, 6):
+        calls += [(n, str(i), 0, "f", "{}", [str((i + 1) % n)]) for i in range(n)] + [(n, "behind", 0, "f", "{}", ["1"])]
+        calls += [(n, "x", 0, "f", "{}", []), (n, "y", 0, "f", "{}", ["x"]), (n, "both", 0, "f", "{}", ["y", "2"])]
+        free |= {(n, "x"): 0, (n, "y"): 1}
+    # two cycles through one call, with a way out
+    calls += [(9, "a", 0, "f", "{}", ["b", "d", "z"]), (9, "b", 0, "f", "{}", ["c"]), (9, "c", 0, "f", "{}", ["a"]), (9, "d", 0, "f", "{}", ["a"]), (9, "z", 0, "f", "{}", [])]
+    got = tool_calls.levels(spark.createDataFrame([(*x, "q", "r") for x in calls], CALLS)).collect()
+    assert {(x["conv_id"], x["call_id"]): x["level"] for x in got} == free | {(9, "z"): 0}
+
+
 def test_canonical_json():
     c = tool_calls.canonical
     assert c({"\U0001F600": 1, "דּ": 2, "b": [None, True, False, "é\n\u0001/"]}) == '{"b":[null,true,false,"é\\n\\u0001/"],"😀":1,"דּ":2}'
