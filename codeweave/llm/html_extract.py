@@ -11,7 +11,8 @@
 
 Content is text outside boilerplate: scripts, styles, menus, headers and footers of the
 page, sidebars, notices, adverts, forms and reader comments, by tag, role, class or id, also
-inside the winning container. The winners, one row per host, are written before the join, so the
+inside the winning container. A class or id word does not count on an element that holds most of
+the page's content, the page's only article or a main element. The winners, one row per host, are written before the join, so the
 optimiser knows their size; if there are too many hosts to broadcast, the join splits hot hosts.
 
 Defined cases: null or empty html gives an empty text; text without any container belongs to the
@@ -45,6 +46,10 @@ BOILER = re.compile(r"(^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|bann
                     r"site-?header|page-?header|top-?bar|header|breadcrumbs?|cookies?\w*|consent|gdpr|notices?|alert|comments?\w*|commentlist|disqus\w*|"
                     r"respond|repl(y|ies)|share|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscri\w*|sign-?up|login|"
                     r"popup|modal|overlay|widget\w*|pagination|pager|search\w*|skip-?link|toolbar|complementary|contentinfo|navigation)($|[\s_-])", re.I)
+#: State words about other elements ("no-sidebar", "has-sidebar", "with-comments") say nothing of their own.
+STATE = re.compile(r"(?<![^\s_-])(?:no|has|with|without)[_-][\w-]+", re.I)
+#: Boilerplate words of reader comments, which may be longer than the article.
+READERS = re.compile(r"comment|disqus|respond|repl(y|ies)", re.I)
 ARTICLE = re.compile(r"(^|[\s_-])(article\w*|main|content|post|entry|story|body-?text|article-?body)($|[\s_-])", re.I)
 PREFER, PAGE_WIDE = 1.5, 0.7
 #: A path names at most this many of the innermost containers.
@@ -59,17 +64,20 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "boiler", "link", "content", "total", "like")
+    __slots__ = ("tag", "parent", "path", "boiler", "link", "content", "total", "like", "hard", "soft", "readers")
 
-    def __init__(self, tag, parent, path, boiler, link, like):
-        self.tag, self.parent, self.path, self.boiler, self.link, self.like = tag, parent, path, boiler, link, like
+    def __init__(self, tag, parent, path, link, like, hard=False, soft=False, readers=False):
+        self.tag, self.parent, self.path, self.link, self.like = tag, parent, path, link, like
+        # marks of the element itself: by tag or hidden, by class, id or role, of reader comments
+        self.hard, self.soft, self.readers = hard, soft, readers
+        self.boiler = hard or soft or (parent is not None and parent.boiler)
         self.content = self.total = 0
 
 
 def parse(html: str):
     """(elements in page order, blocks): a block is a list of pieces (element, text) of the
     flowing text between two block borders."""
-    root = Node("body", None, "body", False, False, False)
+    root = Node("body", None, "body", False, False)
     stack, nodes, blocks, piece = [root], [root], [], []
     for m in _TOKEN.finditer(html):
         text = m["text"]
@@ -126,25 +134,61 @@ def parse(html: str):
                     if k == "class" and v:
                         step = tag + "." + ".".join(sorted(_DIGITS.sub("#", v).split()))
         inside = top.like or any(n.like for n in stack) if tag == "header" else False
-        boiler = (top.boiler or tag in NEVER or (tag == "header" and not inside) or hidden
-                  or (bool(names) and not (like and tag == "article" and "comment" not in names.lower()) and bool(BOILER.search(names))))
-        like = not boiler and (like or bool(names and ARTICLE.search(names)))
+        hard = tag in NEVER or (tag == "header" and not inside) or hidden
+        soft = bool(names) and not (like and tag == "article" and "comment" not in names.lower()) and bool(BOILER.search(STATE.sub("", names)))
+        like = like or bool(names and ARTICLE.search(names))
         container = tag in CONTAINER
         path = top.path
         if container:
             path += ">" + step
             if path.count(">") >= PATH_STEPS:
                 path = path.split(">", 1)[1]
-        node = Node(tag, top, path, boiler, top.link or tag == "a", like)
+        node = Node(tag, top, path, top.link or tag == "a", like, hard, soft, soft and bool(READERS.search(names)))
         nodes.append(node)
         stack.append(node)
         if attr and attr.endswith("/") and not block:
             stack.pop()
     if piece:
         blocks.append(piece)
+    if any(n.soft for n in nodes):
+        _spare(nodes, blocks)
+    for n in nodes:
+        n.like = n.like and not n.boiler
     return nodes, blocks
 
 
+def _spare(nodes, blocks) -> None:
+    """Takes the mark of a class or id word off the element that holds more than all that is
+    unmarked, off those around it, and off those around a main element or the only article."""
+    held: dict = {id(n): 0 for n in nodes}
+    for piece in blocks:
+        for node, text in piece:
+            if not node.link:
+                held[id(node)] += len(text) - text.count(" ")
+    hard, readers = {}, {}
+    for n in nodes:
+        hard[id(n)] = n.hard or (n.parent is not None and hard[id(n.parent)])
+        readers[id(n)] = n.readers or (n.parent is not None and readers[id(n.parent)])
+    for n in reversed(nodes):
+        if n.parent is not None and not (n.hard or n.soft):
+            held[id(n.parent)] += held[id(n)]
+    inner = [n for n in nodes if not hard[id(n)] and held[id(n)]]
+    articles = [n for n in inner if n.tag == "article" and not n.soft and not readers[id(n)]]
+    keep = [n for n in inner if n.tag == "main"] + (articles if len(articles) == 1 else [])
+    marked = [n for n in inner if n.soft and not readers[id(n)]]
+    if marked:
+        most = max(marked, key=lambda n: held[id(n)])
+        if held[id(most)] > held[id(nodes[0])]:
+            keep.append(most)
+    spared = set()
+    for n in keep:
+        while n is not None and id(n) not in spared:
+            spared.add(id(n))
+            n = n.parent
+    for n in nodes:
+        n.boiler = n.hard or (n.soft and id(n) not in spared) or (n.parent is not None and n.parent.boiler)
+
+
 def _measure(nodes, blocks) -> None:
     """Content and total characters of each element, its descendants included."""
     for piece in blocks:

@@ -169,6 +169,18 @@ def test_main_text(spark):
     assert html_extract.main_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("wrapper", ['id="content" class="site-content no-sidebar"', 'class="page has-sidebar-left"', 'class="with-comments"',
+                                     'class="layout sidebar-right"', 'id="search-page"'])
+def test_wrappers_named_after_boilerplate(wrapper):
+    text = "The text of the page is here. " * 10
+    side = "<div class=sidebar>side text</div><div class=comments><p>" + "reader " * 100 + "</div>"
+    for inner in (f"<p>{text}</p>", f"<main><p>{text}</main>", f"<div class=nav-wrap><article>{text}</article></div>"):
+        page = f"<body><div class=ad>BUY</div><div {wrapper}>{inner}{side}</div>"
+        assert html_extract.extract(page, None) == text.strip()
+        assert html_extract.scores(*html_extract.parse(page))
+    assert html_extract.extract(f"<div class=story>{text}</div>{side}", None) == text.strip()
+
+
 def test_host_votes_win(spark):
     """Most pages of the host have the text in div.body; one page's side text is longer than its text."""
     side = "<div class=extra>" + "<p>side text that is long enough" * 6 + "</div>"
