@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import load, own_columns, share
 
 #: Pieces remembered per worker, their longest length, and characters of a text worked on at once.
-MEMO, MEMO_CHARS, PART = 1 << 18, 64, 1 << 20
+MEMO, MEMO_CHARS, PART = 1 << 16, 64, 1 << 20
+#: Rows per batch of results.
+ROWS = 256
 
 #: Characters whose tables no recent Unicode version changed; texts with others are normalised and
 #: cut by the tokenizer's own library, so that both follow one version.
@@ -271,9 +273,10 @@ class Bpe:
         return b"".join([pack("<I", added) if added is not None else b"".join(map(piece_ids, self.pieces(part)))
                          for part, added in self._parts(text)])
 
-    def decode(self, ids: bytes) -> str:
-        """The tokens' names with blanks between, as a tokenizer file without a decoder has it."""
-        return " ".join(filter(None, map(self.names.get, unpack(f"<{len(ids) // 4}I", ids))))
+
+def decoded(ids: bytes, names: dict) -> str:
+    """The tokens' names with blanks between, as a tokenizer file without a decoder has it."""
+    return " ".join(filter(None, map(names.get, unpack(f"<{len(ids) // 4}I", ids))))
 
 
 def read_tables(path: str) -> Bpe:
@@ -282,6 +285,12 @@ def read_tables(path: str) -> Bpe:
         return Bpe(f.read())
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, tables: Bpe) -> DataFrame:
     """(doc_id, ids): the whole text's token ids, as little-endian 32-bit integers in a binary."""
     held = share(docs.sparkSession, tables)
@@ -289,7 +298,7 @@ def encode(docs: DataFrame, tables: Bpe) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         bpe = held.value
-        for b in batches:
+        for b in _slices(batches):
             ids = [bpe.encode(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
     d = own_columns(docs, doc_id=("doc_id", "long"), text=("text", "string"))
@@ -298,13 +307,13 @@ def encode(docs: DataFrame, tables: Bpe) -> DataFrame:
 
 def decode(encoded: DataFrame, tables: Bpe) -> DataFrame:
     """Adds ``text``, decoded from ``ids`` of (doc_id, ids)."""
-    held = share(encoded.sparkSession, tables)
+    held = share(encoded.sparkSession, tables.names)
 
     def run(batches):
         import pyarrow as pa
-        bpe = held.value
-        for b in batches:
-            texts = [bpe.decode(x or b"") for x in b.column("ids").to_pylist()]
+        names = held.value
+        for b in _slices(batches):
+            texts = [decoded(x or b"", names) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
