@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import load, own_columns, share
 
 #: Pieces remembered per worker, their longest length, and characters of a text worked on at once.
-MEMO, MEMO_CHARS, PART = 1 << 16, 64, 1 << 20
+MEMO, MEMO_CHARS, PART = 1 << 17, 64, 1 << 20
 #: Rows per batch of results.
 ROWS = 256
 
@@ -99,16 +99,19 @@ class SuffixAutomaton:
 
 
 class Memo(dict):
-    """Results of a function for recent short arguments, a bounded number."""
+    """Results of a function for recent short arguments: a bounded number, the older half of them in ``old``."""
 
     def __init__(self, function):
         super().__init__()
-        self.function = function
+        self.function, self.old = function, {}
 
     def __missing__(self, piece):
-        got = self.function(piece)
+        got = self.old.get(piece)
+        if got is None:
+            got = self.function(piece)
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[piece] = got
         return got
