@@ -61,14 +61,19 @@ def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole rows of ``docs`` whose id is in ``ids`` (null matches null), each (id, text) once:
-    repeated rows stay once, and rows without an id once per text."""
+def text_key(col: str = "text"):
+    """64-bit hash of the whole text (null as empty); with the id it tells rows apart that share an id."""
+    return F.xxhash64(text_bytes(col))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows of ``docs`` whose id and text key are in ``kept`` (doc_id, txt); null ids are equal.
+    Repeated rows of one id and text stay once (any of them). Rows are reduced to one per id and text
+    before they are shuffled, and rows without an id are dealt by their text."""
     null = F.lit((1 << 63) - 1)
-    d = docs.withColumn("_key", F.coalesce(F.col(f"`{id_col}`"), null)) \
-        .withColumn("_sha", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
-    k = ids.select(F.coalesce(F.col(ids.columns[0]), null).alias("_key")).distinct()
-    return d.join(k, "_key", "left_semi").dropDuplicates(["_key", "_sha"]).drop("_key", "_sha")
+    d = docs.withColumn("_key", F.coalesce(F.col(f"`{id_col}`"), null)).withColumn("_txt", text_key(f"`{text_col}`"))
+    k = kept.select(F.coalesce("doc_id", null).alias("_key"), F.col("txt").alias("_txt")).distinct()
+    return d.dropDuplicates(["_key", "_txt"]).join(k, ["_key", "_txt"], "left_semi").drop("_key", "_txt")
 
 
 def filter_batches(docs: DataFrame, text_col: str, keep) -> DataFrame:

@@ -27,9 +27,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, keep_ids, load, own_columns, stage, text_bytes
+from .common import SPACE_BYTES, keep_rows, load, own_columns, stage, text_bytes, text_key
 
 SHARD_KEYS = 1 << 20
+NO_ID = (1 << 63) - 1
 
 _M64 = (1 << 64) - 1
 
@@ -122,32 +123,36 @@ def probe_fuse(fuse: tuple, keys: np.ndarray) -> np.ndarray:
 # -- digests --------------------------------------------------------------------------
 
 def digest_rows(df: DataFrame) -> DataFrame:
-    """(doc_id, n_cp, sha, rows): SHA-256 of the normalised bytes; repeated rows of one
-    document are folded into one row with their number."""
+    """(doc_id, n_cp, txt, sha): code points and key of the text, SHA-256 of the normalised bytes."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
             shas = [hashlib.sha256(x.translate(None, SPACE_BYTES)).digest() for x in b.column("b").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_cp"), pa.array(shas, pa.binary())],
-                                             names=["doc_id", "n_cp", "sha"])
-    raw = df.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"),
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_cp"), b.column("txt"), pa.array(shas, pa.binary())],
+                                             names=["doc_id", "n_cp", "txt", "sha"])
+    raw = df.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"), text_key("text").alias("txt"),
                     text_bytes("text").alias("b"))
-    return raw.mapInArrow(run, "doc_id long, n_cp long, sha binary")
+    return raw.mapInArrow(run, "doc_id long, n_cp long, txt long, sha binary")
 
 
 def _norm(col: str):
     return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"[\x20\x09-\x0D]", "")
 
 
+def _texts(df: DataFrame, id_name: str, key_name: str, text_name: str) -> DataFrame:
+    """Ids (null as NO_ID), text keys and texts under other names."""
+    return df.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(id_name), text_key("text").alias(key_name), F.col("text").alias(text_name))
+
+
 def _key(sha: str = "sha"):
     """First 8 bytes of the digest as a long: the key of filters and buckets."""
     return F.conv(F.substring(F.hex(sha), 1, 15), 16, 10).cast("long")
 
 
 def _best(is_new: bool):
-    """The row that stays: most code points, then smallest id (null last), then the snapshot's."""
+    """The row that stays: most code points, then smallest id (null last), smallest text key, then the snapshot's."""
     return F.min(F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("doc_id").isNull().alias("no_id"),
-                          F.col("doc_id").alias("doc_id"), F.lit(is_new).alias("is_new"))).alias("best")
+                          F.col("doc_id").alias("doc_id"), F.col("txt").alias("txt"), F.lit(is_new).alias("is_new"))).alias("best")
 
 
 class Snapshot:
@@ -190,7 +195,7 @@ def screen(keys: DataFrame, snap: Snapshot) -> DataFrame:
 
 def dedup_against(old: DataFrame, new: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per row of both tables (doc_id, text): doc_id, keep_id, group_size, kept,
-    text_sha256. ``old`` becomes the snapshot, ``new`` is the batch screened by it."""
+    text_sha256, txt (the text's key). ``old`` becomes the snapshot, ``new`` is the batch screened by it."""
     rows = stage(digest_rows(old).withColumn("is_new", F.lit(False)).unionByName(digest_rows(new).withColumn("is_new", F.lit(True))), "digests")
     keys = stage(rows.filter("is_new").select("sha").distinct().withColumn("key", _key()), "batch")
     snap = build_snapshot(rows.filter(~F.col("is_new")), shard_keys, keys.count())
@@ -198,21 +203,20 @@ def dedup_against(old: DataFrame, new: DataFrame, shard_keys: int = SHARD_KEYS)
     # exact buckets: the digests of the batch that the snapshot really holds
     held = stage(snap.buckets.join(positive, "key", "left_semi").join(keys.select("sha"), "sha", "left_semi")
                  .select("sha", F.col("best").alias("old_best"), F.col("size").alias("old_size")), "held")
-    hits = rows.filter("is_new").select("doc_id", "sha").join(held.select("sha", F.col("old_best.doc_id").alias("old_id")), "sha").distinct()
+    # repeated rows of a document fold into one with their number
+    folded = rows.groupBy("doc_id", "txt", "sha", "is_new").agg(F.max("n_cp").alias("n_cp"), F.count(F.lit(1)).alias("n"))
+    folded = stage(folded.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))), "folded")
+    # a join alone, without an aggregate on its key, so that a digest with many documents is split
+    hits = folded.filter("is_new").select("id", "txt", "sha").join(
+        held.select("sha", F.coalesce("old_best.doc_id", F.lit(NO_ID)).alias("old_id"), F.col("old_best.txt").alias("old_txt")), "sha")
     hits = stage(hits, "hits")
     # bytes of both sides, only for rows that hit: same digest, other bytes would be another text
-    theirs = new.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select(
-        "doc_id", _norm("text").alias("new_norm"))
-    ours = old.join(hits.select(F.col("old_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("old_id"), _norm("text").alias("old_norm"))
-    differ = (hits.join(theirs, "doc_id").join(ours, "old_id")
-              .withColumn("same", F.col("new_norm") == F.col("old_norm"))
-              .groupBy("doc_id", "sha").agg(F.max("same").alias("same")).filter(~F.col("same"))
-              .select("doc_id", "sha", F.lit(True).alias("other")))
-    rows = rows.join(differ.withColumn("is_new", F.lit(True)), ["doc_id", "sha", "is_new"], "left")
-    rows = rows.withColumn("grp", F.when(F.col("other"), 1).otherwise(0))
-    # repeated rows of a document fold into one with their number
-    folded = rows.groupBy("doc_id", "sha", "grp", "is_new").agg(F.max("n_cp").alias("n_cp"), F.count(F.lit(1)).alias("n"))
+    theirs = _texts(new, "id", "txt", "b").join(hits.select("id", "txt"), ["id", "txt"], "left_semi").select("id", "txt", _norm("b").alias("new_norm"))
+    ours = _texts(old, "old_id", "old_txt", "b").dropDuplicates(["old_id", "old_txt"]).join(
+        hits.select("old_id", "old_txt").distinct(), ["old_id", "old_txt"], "left_semi").select("old_id", "old_txt", _norm("b").alias("old_norm"))
+    differ = (hits.join(theirs, ["id", "txt"]).join(ours, ["old_id", "old_txt"]).filter(F.col("new_norm") != F.col("old_norm"))
+              .select("id", "txt", "sha", F.lit(True).alias("is_new"), F.lit(1).alias("other")).distinct())
+    folded = folded.join(differ, ["id", "txt", "sha", "is_new"], "left").withColumn("grp", F.coalesce("other", F.lit(0))).drop("other")
     # groups of the batch alone; the screened ones among them merge with their exact bucket
     mine = stage(folded.filter("is_new").groupBy("sha", "grp").agg(_best(True), F.sum("n").alias("size")).withColumn("key", _key()), "batch-groups")
     screened = mine.filter("grp = 0").join(positive, "key", "left_semi").join(held, "sha", "left")
@@ -225,11 +229,11 @@ def dedup_against(old: DataFrame, new: DataFrame, shard_keys: int = SHARD_KEYS)
         "sha", F.lit(0).alias("grp"), F.coalesce("new_best", "best").alias("best"), F.coalesce("new_size", "size").alias("size"))
     groups = merged.unionByName(rejected).withColumn("is_new", F.lit(True)).unionByName(passed.withColumn("is_new", F.lit(False)))
     out = folded.join(groups, ["sha", "grp", "is_new"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("sha"), "n",
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("n_cp") == F.col("best.neg_cp")) & (F.col("is_new") == F.col("best.is_new"))).alias("stays"))
+        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("sha"), "txt", "n",
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("txt") == F.col("best.txt")) & (F.col("is_new") == F.col("best.is_new"))).alias("stays"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"),
-                      F.lower(F.hex("sha")).alias("text_sha256"))
+                      F.lower(F.hex("sha")).alias("text_sha256"), "txt")
 
 
 def split_snapshot(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,12 +245,11 @@ def split_snapshot(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def keep_unique(docs: DataFrame) -> DataFrame:
     """Whole rows of the documents that stay."""
-    d = dedup_against(*split_snapshot(docs)).filter("kept").select("doc_id")
-    return keep_ids(docs, d)
+    return keep_rows(docs, dedup_against(*split_snapshot(docs)).filter("kept"))
 
 
 def op10_exact_dedup(spark, sf_dir):
-    return dedup_against(*split_snapshot(load(spark, sf_dir, "documents")))
+    return dedup_against(*split_snapshot(load(spark, sf_dir, "documents"))).drop("txt")
 
 
 QUERIES = {"op10_exact_dedup": op10_exact_dedup}

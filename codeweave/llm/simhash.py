@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, load, own_columns, stage, text_bytes
+from .common import keep_rows, load, own_columns, stage, text_bytes, text_key
 from .components import components
 
 SEED = 42
@@ -61,14 +61,14 @@ def simhash(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, txt, fp): txt is the text's key, fp the fingerprint's 64 bits as a signed long."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
             fps = np.array([simhash(x, shingle) for x in b.column("b").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array(fps)], names=["doc_id", "txt", "fp"])
     d = own_columns(docs, doc_id=("doc_id", "long"), text=("text", "string"))
-    return d.select("doc_id", text_bytes("text").alias("b")).mapInArrow(run, "doc_id long, fp long")
+    return d.select("doc_id", text_key("text").alias("txt"), text_bytes("text").alias("b")).mapInArrow(run, "doc_id long, txt long, fp long")
 
 
 def _segments(count: int) -> list[tuple[int, int]]:
@@ -121,27 +121,30 @@ def link(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = HOT) -
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int = 2, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest
-    doc_id reachable over links of at most ``max_bits`` bits)."""
+    doc_id reachable over links of at most ``max_bits`` bits), txt and first_txt (keys of the
+    document's text and of the one that a component keeps: smallest id, null last, then smallest key)."""
     f = stage(fingerprints(docs, shingle), "fingerprints")
-    groups = stage(f.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-groups")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("txt"))
+    groups = stage(f.groupBy("fp").agg(F.min(first).alias("first")), "fp-groups")
     pairs = stage(link(groups.select("fp"), max_bits, segments, hot), "links")
     comp = components(pairs)
     named = groups.join(comp, groups.fp == comp.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    per_fp = named.join(least, "component").select("fp", "component_id")
+    least = named.groupBy("component").agg(F.min("first").alias("first"))
+    per_fp = named.select("fp", "component").join(least, "component").select(
+        "fp", F.col("first.doc_id").alias("component_id"), F.col("first.txt").alias("first_txt"))
     return f.join(per_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                                       "component_id")
+                                       "component_id", "txt", "first_txt")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """Whole rows of one document of each component, the one with the smallest id."""
     d = near_duplicates(docs, shingle, max_bits)
-    return keep_ids(docs, d.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    return keep_rows(docs, d.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("txt") == F.col("first_txt"))))
 
 
 def op3_simhash(spark, sf_dir):
-    return near_duplicates(load(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return near_duplicates(load(spark, sf_dir, "documents"), shingle=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {"op3_simhash": op3_simhash}

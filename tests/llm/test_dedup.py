@@ -228,3 +228,39 @@ def test_interval_expansion_kernel():
             for j in range(len(c) - least + 1):
                 at.setdefault(c[j:j + least], []).append((doc[i], start[i] + j, i, j))
         assert set(zip(w.tolist(), o.tolist())) == {x[2:] for v in at.values() for x in v if x[:2] != min(v)[:2]}
+
+
+# -- what the pipeline keeps: null ids, shared ids, repeated rows ---------------------------------
+
+KEEP = [(1, "aa bb"), (None, "aabb"), (None, "only here"), (2, "aaaaalonger"), (2, "aaaaa longer"), (2, "other text of id two"), (3, "aaaaalonger"),
+        (5, "row again"), (5, "row again"), (5, "row again"), (6, "rowagain"), (None, "twice"), (None, "twice"), (None, None), (8, ""), (9, " "),
+        (10, "same length a b"), (10, "same length ab "), (11, "z"), (None, "no id no copy")] + [(20, f"shared id {i} of many texts") for i in range(40)]
+
+
+def test_exact_stage_keeps_the_row_that_stays(spark):
+    got = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.keep_unique(docs(spark, KEEP).repartition(3)).collect()), key=repr)
+    groups = {}
+    for d, t in KEEP:
+        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), d is None, d or 0, d, t))
+    assert len(got) == len(groups)
+    for rows in groups.values():
+        best = min(x[:3] for x in rows)
+        assert any((x[3], x[4]) in got for x in rows if x[:3] == best)
+    assert len(set(got)) == len(got)
+
+
+def test_simhash_stage_keeps_one_row_of_each_component(spark):
+    rows = KEEP + [(30, "one two three four five six"), (None, "One two three four five six"), (31, "one two three four five six ")]
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows).repartition(3)).collect()), key=repr)
+    prints = [simhash.simhash((t or "").encode()) for _, t in rows]
+    left, want = set(range(len(rows))), []
+    while left:
+        group, new = set(), {left.pop()}
+        while new:
+            group |= new
+            left -= new
+            new = {j for j in left if any((prints[i] ^ prints[j]).bit_count() <= 2 for i in new)}
+        best = min((rows[i][0] is None, rows[i][0] or 0) for i in group)
+        want.append({rows[i] for i in group if (rows[i][0] is None, rows[i][0] or 0) == best})
+    assert len(got) == len(want)
+    assert all(len(set(got) & group) == 1 for group in want)
