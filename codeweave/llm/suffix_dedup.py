@@ -9,7 +9,8 @@ anchor form a segment, about 1 for every 35 bytes. Only (anchor, content hash, d
 length) is shuffled; segments that are copies of an earlier one are removed whole (already inside
 a task where both are there), and anchors that occur once drop out. The different contents
 left, a small part of the text, are fetched and dealt by anchor to blocks of a bounded size.
-Anchors whose contents exceed a block are split again by longer grams, up to the whole window.
+Anchors whose contents exceed a block are split again by longer grams, up to the whole window, where
+all windows of an anchor are equal and the earliest stays.
 
 Per block, the suffix array is built to the needed depth (prefix doubling), from it the
 Burrows-Wheeler transform, and common prefixes are derived breadth-first: all intervals of
@@ -40,6 +41,8 @@ BLOCK_BYTES = 1 << 20
 #: An anchor with more bytes of different contents than this is split by the next gram length.
 HOT_BYTES = 4 << 20
 FLUSH_BYTES = 16 << 20
+#: Documents a task remembers to pass over repeated rows.
+SEEN = 1 << 18
 NO_ID = (1 << 63) - 1
 
 # -- segments -----------------------------------------------------------------------------
@@ -133,7 +136,7 @@ def _segment_rows(docs: DataFrame, gram: int, least: int) -> DataFrame:
     known to go; instead of their anchor, which may be hot, they get a mixed one."""
     def run(batches):
         import pyarrow as pa
-        held, size = [], 0
+        held, size, seen = [], 0, set()
 
         def flush():
             anchor, content, doc, txt, start, length, kind = (np.concatenate(c) for c in zip(*held))
@@ -146,6 +149,11 @@ def _segment_rows(docs: DataFrame, gram: int, least: int) -> DataFrame:
                                                  names=["anchor", "content", "doc", "txt", "start", "len", "kind"])
         for b in batches:
             for doc, txt, text in zip(b.column("doc").to_pylist(), b.column("txt").to_pylist(), b.column("b").to_pylist()):
+                if len(text) < least or (doc, txt) in seen:
+                    continue  # repeated rows are one document
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((doc, txt))
                 anchor, start, end, again = segments(text, gram, least)
                 if len(anchor):
                     held.append((anchor, _content_hashes(text, start, end), np.full(len(anchor), doc, np.int64), np.full(len(anchor), txt, np.int64),
@@ -297,15 +305,26 @@ def _judge(rows: DataFrame) -> DataFrame:
     """Copies, and the segments whose anchor has other contents, with ``first`` (the earliest of its
     content) and ``weight``, the bytes of different contents of the anchor. One shuffle, by anchor."""
     alive = F.col("kind") != COPY
-    by_content = Window.partitionBy("anchor", "content")
+    by_content = Window.partitionBy("anchor", "content").orderBy(F.desc("alive"), "doc", "txt", "start")
     by_anchor = Window.partitionBy("anchor")
     at = F.struct("doc", "txt", "start")
-    r = rows.repartition("anchor").withColumn("least", F.min(F.when(alive, at)).over(by_content))
-    r = r.withColumn("first", alive & (at == F.col("least")))
+    r = rows.withColumn("alive", alive).repartition("anchor").withColumn("least", F.first(at).over(by_content)).withColumn("nth", F.row_number().over(by_content))
+    # the earliest segment, met again in a repeated row, is no copy of itself
+    r = r.filter(~F.col("alive") | (F.col("nth") == 1) | (at != F.col("least"))).withColumn("first", F.col("alive") & (F.col("nth") == 1))
     # different contents of the anchor: one alone, that cannot recur inside, has met all its copies
     r = r.withColumn("contents", F.count(F.when(F.col("first"), 1)).over(by_anchor)).withColumn(
         "weight", F.sum(F.when(F.col("first"), F.col("len")).otherwise(0)).over(by_anchor))
-    return r.filter((F.col("contents") > 1) | (F.col("kind") != PLAIN) | ~F.col("first")).drop("least", "contents")
+    return r.filter((F.col("contents") > 1) | (F.col("kind") != PLAIN) | ~F.col("first")).drop("least", "contents", "alive", "nth")
+
+
+def _whole(parts: DataFrame, least: int) -> DataFrame:
+    """Ranges removed among segments whose gram is the whole window: all windows of an anchor are equal,
+    so the earliest one stays and everything else goes. No contents are compared."""
+    at = F.struct("doc", "txt", "start")
+    p = parts.select("doc", "txt", "start", "len", F.substring("b", 1, least).alias("w"))
+    stays = p.groupBy("w").agg(F.min(at).alias("stays"))
+    start = F.col("start") + F.when(at == F.col("stays"), 1).otherwise(0)
+    return p.join(stays, "w").select("doc", "txt", start.alias("start"), (F.col("start") + F.col("len")).alias("end")).filter(F.col("end") - F.col("start") >= least)
 
 
 def _blocks(contents: DataFrame, total: int, least: int, block_bytes: int) -> DataFrame:
@@ -364,7 +383,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                                            pa.array(start, pa.int64()), pa.array(out, pa.binary())], names=["anchor", "doc", "txt", "start", "b"])
     per_doc = wanted.groupBy("doc", "txt").agg(F.collect_list(F.struct("anchor", "start", "len")).alias("ranges"))
     packed = docs.mapInArrow(pack, "doc long, txt long, z binary")
-    return packed.join(per_doc, ["doc", "txt"]).mapInArrow(cut, "anchor long, doc long, txt long, start long, b binary")
+    return packed.dropDuplicates(["doc", "txt"]).join(per_doc, ["doc", "txt"]).mapInArrow(cut, "anchor long, doc long, txt long, start long, b binary")
 
 
 def _split(contents: DataFrame, gram: int, least: int) -> DataFrame:
@@ -395,17 +414,17 @@ def removed_ranges(d: DataFrame, least: int = MIN_BYTES, grams=None, block_bytes
     out = out.unionByName(_blocks(contents, total[0] or 0, least, block_bytes))
     if (total[1] or 0) > hot_bytes:
         hot = _fetch(d, firsts.filter(F.col("weight") > hot_bytes).select("anchor", "doc", "txt", "start", "len"))
-        for i, gram in enumerate(grams[1:]):
-            # the last grams are whole windows: their contents differ in length only
-            limit = hot_bytes if gram < least else 1 << 62
+        for gram in grams[1:-1]:
             part = stage(_judge(_split(hot, gram, least)), "split")
             out = out.unionByName(part.filter(~F.col("first")).select("doc", "txt", "start", (F.col("start") + F.col("len")).alias("end")))
-            cold = part.filter(F.col("first") & (F.col("weight") <= limit)).select("anchor", "doc", "txt", "start", "b")
+            cold = part.filter(F.col("first") & (F.col("weight") <= hot_bytes)).select("anchor", "doc", "txt", "start", "b")
             size = cold.agg(F.sum(F.length("b"))).first()[0] or 0
             out = out.unionByName(_blocks(cold, size, least, block_bytes))
-            hot = part.filter(F.col("first") & (F.col("weight") > limit)).select("anchor", "doc", "txt", "start", "b")
+            hot = part.filter(F.col("first") & (F.col("weight") > hot_bytes)).select("anchor", "doc", "txt", "start", "b")
             if not hot.head(1):
                 break
+        else:
+            out = out.unionByName(_whole(_split(hot, least, least), least))
     return out
 
 

@@ -210,6 +210,25 @@ def test_substrings_of_rows_that_share_an_id(spark):
     assert sorted(x["n_removed"] for x in two) == [0, 150]
 
 
+def test_substrings_of_many_repeated_rows(spark):
+    r = random.Random(7)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(6000))
+    rows = [(5, text)] * 10_000 + [(9, "other " + text[100:700] + " end"), (3, text[5000:])]
+    got = suffix_dedup.dedup_substrings(docs(spark, rows, extra=False).repartition(12)).collect()
+    counts = {}
+    for x in got:
+        key = (x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"])
+        counts[key] = counts.get(key, 0) + 1
+    want = {x: 1 for x in brute_substrings([(5, text), rows[-2], rows[-1]])}
+    assert counts == {x: 10_000 if x[0] == 5 else n for x, n in want.items()}
+
+
+def test_whole_windows_of_one_anchor_need_no_contents(spark):
+    rows = [(1, "b" * 120 + "a" * 400), (2, "a" * 5000), (3, "a" * 100), (4, "x" + "a" * 700 + "y"), (None, "a" * 101)]
+    got = suffix_dedup.dedup_substrings(docs(spark, rows), hot_bytes=0).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got), key=repr) == brute_substrings(rows)
+
+
 def test_substrings_empty_table_and_texts(spark):
     assert suffix_dedup.dedup_substrings(docs(spark, [])).collect() == []
     got = {r["doc_id"]: r["kept"] for r in suffix_dedup.dedup_substrings(docs(spark, [(1, "q" * 100), (2, "p" + "q" * 100)]), texts=True).collect()}
