@@ -14,12 +14,15 @@
 Statuses: linked, no_result, orphan_result (no such call), no_id (null id or conversation: never linked).
 
 Defined cases: later rows of a repeated id only count in ``n_calls`` and ``n_results``; null arguments
-are no JSON (invalid); an unknown tool is an error; null dependencies and those on missing calls are ignored;
+are no JSON (invalid), and so are texts that do not parse; arguments with numbers beyond doubles, unpaired surrogates or
+more than ``MAX_DEPTH`` levels stay their text, with an error; integers beyond 2^53 become the nearest double;
+an unknown tool and a schema that is none are errors; null dependencies and those on missing calls are ignored;
 null content is JSON null; empty tables give an empty result; other columns are ignored."""
 from __future__ import annotations
 
 import json
 import math
+import re
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -30,11 +33,28 @@ from .common import WORD, load, own_columns, stage
 # -- canonical JSON and schemas -----------------------------------------------------------
 
 
+class NotCanonical(ValueError):
+    """A value without canonical JSON; the text says why."""
+
+
+#: Arguments nested deeper than this are refused.
+MAX_DEPTH = 100
+_UNPAIRED = re.compile("[\ud800-\udfff]")
+
+
+def _string(x: str) -> str:
+    if _UNPAIRED.search(x):
+        raise NotCanonical("unpaired surrogate")
+    return json.dumps(x, ensure_ascii=False)
+
+
 def _number(x) -> str:
     if isinstance(x, int):
-        return str(x)
+        if abs(x) <= 1 << 53:
+            return str(x)
+        x = float(x) if abs(x) < 1 << 1023 else math.inf  # numbers are doubles
     if not math.isfinite(x):
-        raise ValueError("not a JSON number")
+        raise NotCanonical("number out of range")
     if x == 0:
         return "0"
     # digits and decimal exponent of the shortest text that reads back as x
@@ -49,18 +69,21 @@ def _number(x) -> str:
     return "-" * sign + out
 
 
-def canonical(x) -> str:
-    """Canonical JSON text of a parsed value."""
+def canonical(x, deep: int = MAX_DEPTH) -> str:
+    """Canonical JSON text of a parsed value. Raises NotCanonical for unpaired surrogates, numbers beyond
+    doubles and values nested deeper than ``deep``."""
+    if deep < 0:
+        raise NotCanonical("too deep")
     if x is None or isinstance(x, bool):
         return {None: "null", True: "true", False: "false"}[x]
     if isinstance(x, (int, float)):
         return _number(x)
     if isinstance(x, str):
-        return json.dumps(x, ensure_ascii=False)
+        return _string(x)
     if isinstance(x, dict):
         keys = sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(x[k])}" for k in keys) + "}"
-    return "[" + ",".join(map(canonical, x)) + "]"
+        return "{" + ",".join(f"{_string(k)}:{canonical(x[k], deep - 1)}" for k in keys) + "}"
+    return "[" + ",".join(canonical(y, deep - 1) for y in x) + "]"
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -120,18 +143,32 @@ def format_link(call_id, name, arguments, schema, content, has_call, has_result)
     """(errors, canonical JSON of the call's and the result's message) of one link."""
     errors, messages = [], []
     if has_call:
-        try:
-            args = json.loads(arguments, parse_constant=_no_constant)
-        except (TypeError, ValueError):
-            args, errors = arguments, ["$: no JSON"]
-        else:
-            errors = ["$: unknown tool"] if schema is None else validate(args, json.loads(schema))
+        args, errors = read_arguments(arguments, schema)
         messages.append({"role": "assistant", "tool_calls": [{"id": call_id, "type": "function", "function": {"name": name, "arguments": args}}]})
     if has_result:
         messages.append({"role": "tool", "tool_call_id": call_id, "content": content})
     return errors, canonical(messages)
 
 
+def read_arguments(arguments: str | None, schema: str | None):
+    """(parsed arguments, errors); arguments that cannot be read or written canonically stay their text."""
+    try:
+        args = json.loads(arguments, parse_constant=_no_constant)
+        canonical(args)
+    except NotCanonical as e:
+        return arguments, [f"$: {e}"]
+    except RecursionError:
+        return arguments, ["$: too deep"]
+    except (TypeError, ValueError):
+        return arguments, ["$: no JSON"]
+    if schema is None:
+        return args, ["$: unknown tool"]
+    try:
+        return args, validate(args, json.loads(schema))
+    except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError):
+        return args, ["$: bad schema"]
+
+
 # -- levels ------------------------------------------------------------------------------------
 
 def levels(calls: DataFrame) -> DataFrame:

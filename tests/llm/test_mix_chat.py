@@ -151,6 +151,22 @@ def test_canonical_json():
 
 # -- pipeline -------------------------------------------------------------------------------------
 
+def test_arguments_that_have_no_canonical_json(spark):
+    deep = "[" * 20_000 + "]" * 20_000
+    bad = {"big": '{"turn":1e400}', "half": '{"text":"\\ud800"}', "deep": deep, "levels": "[" * 150 + "]" * 150, "digits": "9" * 5000, "none": None, "nan": "[NaN]"}
+    calls = [(1, k, i, "f", v, None) for i, (k, v) in enumerate(bad.items())] + [(1, "ok", 90, "f", '{"x":9007199254740993}', None), (1, "odd", 91, "broken", "5", None)]
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, parents array<string>")
+    r = spark.createDataFrame([(1, k, 95, "done") for k in bad], "conv_id long, call_id string, turn long, content string")
+    tools = spark.createDataFrame([("f", '{"type":"object"}'), ("broken", "{no schema")], "name string, schema string")
+    got = {x["call_id"]: x for x in tool_calls.link(c, r, tools).collect()}
+    assert {k: got[k]["errors"] for k in got} == {
+        "big": "$: number out of range", "half": "$: unpaired surrogate", "deep": "$: too deep", "levels": "$: too deep", "digits": "$: no JSON",
+        "none": "$: no JSON", "nan": "$: no JSON", "ok": "", "odd": "$: bad schema"}
+    assert '"arguments":{"x":9007199254740992}' in got["ok"]["json"]
+    assert json.loads(got["half"]["json"])[0]["tool_calls"][0]["function"]["arguments"] == bad["half"]
+    assert json.loads(got["deep"]["json"])[0]["tool_calls"][0]["function"]["arguments"] == deep
+
+
 def test_pipeline_stages(spark):
     """Each stage against its own operator's (brute-force tested) decisions on sf0.001."""
     import corpus_pipeline as P
