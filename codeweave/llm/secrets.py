@@ -27,6 +27,8 @@ HEX = r"[0-9a-f]{24,}"
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 
 WINDOW = 20
+#: Matches whose places are summed in one go.
+RUN = 64
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Entropy in bits a window must reach, by character class.
 HEX_BITS, MIXED_BITS = 3.0, 3.8
@@ -40,12 +42,17 @@ def located(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
     m, p = f"_{name}_m", f"_{name}_p"
     df = df.withColumn(m, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     df = df.withColumn(p, F.when(F.size(m) > 0, F.split(text, pattern, -1)))
-    steps = F.expr(f"""aggregate(sequence(0, size({m}) - 1),
-      named_struct('at', 0, 'out', CAST(array() AS array<struct<s:int,e:int,m:string>>)),
-      (a, i) -> named_struct('at', a.at + length({p}[i]) + length({m}[i]),
-        'out', concat(a.out, array(named_struct('s', a.at + length({p}[i]),
-          'e', a.at + length({p}[i]) + length({m}[i]), 'm', {m}[i])))),
-      a -> a.out)""")
+    # running places by blocks of RUN matches, so that no long array is appended to match by match
+    # (columns stand outside of lambdas, where they would be computed again for each match)
+    lens = f"zip_with(slice({p}, 1, size({m})), {m}, (g, x) -> named_struct('g', length(g), 'n', length(x), 'm', x))"
+    steps = F.expr(f"""element_at(transform(array({lens}), l -> element_at(transform(array(
+        aggregate(transform(sequence(0, (size(l) - 1) div {RUN}), b -> aggregate(slice(l, b * {RUN} + 1, {RUN}), 0, (a, x) -> a + x.g + x.n)),
+          array(0), (a, t) -> concat(a, array(element_at(a, -1) + t)))), begin ->
+      flatten(transform(sequence(0, (size(l) - 1) div {RUN}), b -> aggregate(sequence(b * {RUN}, least((b + 1) * {RUN}, size(l)) - 1),
+        named_struct('at', begin[b], 'out', CAST(array() AS array<struct<s:int,e:int,m:string>>)),
+        (a, i) -> named_struct('at', a.at + l[i].g + l[i].n,
+          'out', concat(a.out, array(named_struct('s', a.at + l[i].g, 'e', a.at + l[i].g + l[i].n, 'm', l[i].m)))),
+        a -> a.out)))), 1)), 1)""")
     none = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string>>)")
     return df.withColumn(name, F.when(F.size(m) > 0, steps).otherwise(none)).drop(m, p)
 
@@ -57,18 +64,20 @@ def _entropy_bounds(s: str, bits: str) -> str:
     gain = "IF({c} > 0, {c} * log2({c}), 0D)"
     def f(c):
         return gain.format(c=c)
-    code_in, code_out = f"ascii(substr({s}, i, 1))", f"IF(i > {WINDOW}, ascii(substr({s}, i - {WINDOW}, 1)), -1)"
-    return f"""aggregate(sequence(1, length({s})),
-      named_struct('n', array_repeat(0, 128), 'q', 0D, 'lo', CAST(NULL AS int), 'hi', CAST(NULL AS int)),
-      (a, i) -> element_at(transform(array(named_struct('x', {code_in}, 'y', {code_out})), c ->
+    # codes and threshold are made once: reading the i-th character of a string would walk there from its start;
+    # slot 128 of the counts stands for no character leaving the window
+    return f"""element_at(transform(array(named_struct('codes', transform(split({s}, ''), c -> ascii(c)), 'bits', {bits})), z -> aggregate(sequence(1, size(z.codes)),
+      named_struct('n', array_repeat(0, 129), 'q', 0D, 'lo', CAST(NULL AS int), 'hi', CAST(NULL AS int)),
+      (a, i) -> element_at(transform(array(named_struct('x', z.codes[i - 1], 'y', IF(i > {WINDOW}, z.codes[i - 1 - {WINDOW}], 128))), c ->
         element_at(transform(array(named_struct('q', IF(c.x = c.y, a.q, a.q
             + {f('(a.n[c.x] + 1)')} - {f('a.n[c.x]')}
-            + IF(c.y < 0, 0D, {f('(a.n[c.y] - 1)')} - {f('a.n[c.y]')})))), v ->
-          named_struct('n', IF(c.x = c.y, a.n, transform(a.n, (k, j) -> k + IF(j = c.x, 1, 0) - IF(j = c.y, 1, 0))),
+            + IF(c.y = 128, 0D, {f('(a.n[c.y] - 1)')} - {f('a.n[c.y]')})), 'low', least(c.x, c.y), 'high', greatest(c.x, c.y))), v ->
+          named_struct('n', IF(c.x = c.y, a.n, concat(slice(a.n, 1, v.low), array(a.n[v.low] + IF(v.low = c.x, 1, -1)),
+              slice(a.n, v.low + 2, v.high - v.low - 1), array(a.n[v.high] + IF(v.high = c.x, 1, -1)), slice(a.n, v.high + 2, 128 - v.high))),
             'q', v.q,
-            'lo', IF(i >= {WINDOW} AND log2({WINDOW}) - v.q / {WINDOW} >= {bits}, coalesce(a.lo, i - {WINDOW}), a.lo),
-            'hi', IF(i >= {WINDOW} AND log2({WINDOW}) - v.q / {WINDOW} >= {bits}, i, a.hi))), 1)), 1),
-      a -> named_struct('lo', a.lo, 'hi', a.hi))"""
+            'lo', IF(i >= {WINDOW} AND log2({WINDOW}) - v.q / {WINDOW} >= z.bits, coalesce(a.lo, i - {WINDOW}), a.lo),
+            'hi', IF(i >= {WINDOW} AND log2({WINDOW}) - v.q / {WINDOW} >= z.bits, i, a.hi))), 1)), 1),
+      a -> named_struct('lo', a.lo, 'hi', a.hi))), 1)"""
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 import hashlib
 import io
 import math
+import random
 import re
 
 import numpy as np
@@ -287,3 +288,14 @@ def test_archive_layout_and_damage():
                 records[0].replace(b"WARC-Type: response", b"WARC-Type: odd"), records[0].replace(b"WARC-Date", b"X-Date")):
         with pytest.raises(ValueError):
             warc.parse_record(bad)
+
+
+def test_secrets_in_a_very_long_candidate_and_many_matches(spark):
+    r = random.Random(4)
+    run = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000))
+    hexes = [f"{r.getrandbits(100):025x}" for _ in range(1000)]
+    rows = [(1, "x " + run + " y"), (2, "é".join(hexes)), (3, "aaaa" * 30_000)]
+    got = {x["doc_id"]: x for x in secrets.scan(docs(spark, rows)).collect()}
+    assert [(s["start"], s["end"], s["kind"]) for s in got[1]["spans"] if s["kind"] == "entropy_mixed"] == [(2, 60_002, "entropy_mixed")]
+    assert [(s["start"], s["end"]) for s in got[2]["base"]] == [(26 * i, 26 * i + 25) for i in range(1000)]
+    assert got[3]["spans"] == []
