@@ -12,7 +12,8 @@
 Content is text outside boilerplate: scripts, styles, menus, headers and footers of the
 page, sidebars, notices, adverts, forms and reader comments, by tag, role, class or id, also
 inside the winning container. A class or id word does not count on an element that holds most of
-the page's content, the page's only article or a main element. The winners, one row per host, are written before the join, so the
+the page's content, the page's only article or a main element, nor does a form that is wrapped
+around these (its controls and labels are still left out). The winners, one row per host, are written before the join, so the
 optimiser knows their size; if there are too many hosts to broadcast, the join splits hot hosts.
 
 Defined cases: null or empty html gives an empty text; text without any container belongs to the
@@ -134,16 +135,18 @@ def parse(html: str):
                     if k == "class" and v:
                         step = tag + "." + ".".join(sorted(_DIGITS.sub("#", v).split()))
         inside = top.like or any(n.like for n in stack) if tag == "header" else False
-        hard = tag in NEVER or (tag == "header" and not inside) or hidden
+        # a form may be wrapped around the page: it is marked like a class word, and may be spared
+        hard = (tag in NEVER and tag != "form") or (tag == "header" and not inside) or hidden
         soft = bool(names) and not (like and tag == "article" and "comment" not in names.lower()) and bool(BOILER.search(STATE.sub("", names)))
         like = like or bool(names and ARTICLE.search(names))
+        soft = soft or tag == "form"
         container = tag in CONTAINER
         path = top.path
         if container:
             path += ">" + step
             if path.count(">") >= PATH_STEPS:
                 path = path.split(">", 1)[1]
-        node = Node(tag, top, path, top.link or tag == "a", like, hard, soft, soft and bool(READERS.search(names)))
+        node = Node(tag, top, path, top.link or tag == "a", like, hard, soft, soft and bool(names) and bool(READERS.search(names)))
         nodes.append(node)
         stack.append(node)
         if attr and attr.endswith("/") and not block:
@@ -158,8 +161,9 @@ def parse(html: str):
 
 
 def _spare(nodes, blocks) -> None:
-    """Takes the mark of a class or id word off the element that holds more than all that is
-    unmarked, off those around it, and off those around a main element or the only article."""
+    """Takes the mark of a class or id word, or of a form, off the element that holds more than all that is
+    unmarked, off those around it, and off those around a main element or the only article. A form
+    holds the page only if there are headings or at least two paragraphs with content in it."""
     held: dict = {id(n): 0 for n in nodes}
     for piece in blocks:
         for node, text in piece:
@@ -175,7 +179,14 @@ def _spare(nodes, blocks) -> None:
     inner = [n for n in nodes if not hard[id(n)] and held[id(n)]]
     articles = [n for n in inner if n.tag == "article" and not n.soft and not readers[id(n)]]
     keep = [n for n in inner if n.tag == "main"] + (articles if len(articles) == 1 else [])
-    marked = [n for n in inner if n.soft and not readers[id(n)]]
+    form, prose = {}, {}
+    for n in nodes:
+        form[id(n)] = n if n.tag == "form" else form.get(id(n.parent))
+    for n in inner:
+        around = form[id(n)]
+        if around is not None and not n.soft and n.tag in ("p", "h1", "h2", "h3", "article", "main"):
+            prose[id(around)] = prose.get(id(around), 0) + (1 if n.tag == "p" else 2)
+    marked = [n for n in inner if n.soft and not readers[id(n)] and (n.tag != "form" or prose.get(id(n), 0) >= 2)]
     if marked:
         most = max(marked, key=lambda n: held[id(n)])
         if held[id(most)] > held[id(nodes[0])]:

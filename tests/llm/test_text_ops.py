@@ -294,8 +294,110 @@ def test_secrets_in_a_very_long_candidate_and_many_matches(spark):
     r = random.Random(4)
     run = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000))
     hexes = [f"{r.getrandbits(100):025x}" for _ in range(1000)]
-    rows = [(1, "x " + run + " y"), (2, "é".join(hexes)), (3, "aaaa" * 30_000)]
+
+    def entropy(w):
+        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+    rows = [(1, "x " + run + " y"), (2, "é".join(hexes)), (3, "zzzz" * 30_000)]
     got = {x["doc_id"]: x for x in secrets.scan(docs(spark, rows)).collect()}
-    assert [(s["start"], s["end"], s["kind"]) for s in got[1]["spans"] if s["kind"] == "entropy_mixed"] == [(2, 60_002, "entropy_mixed")]
+    first, last = (next(i for i in order if entropy(run[i:i + secrets.WINDOW]) >= secrets.MIXED_BITS) for order in (range(60_000), range(59_980, 0, -1)))
+    assert [(s["start"], s["end"], s["kind"]) for s in got[1]["spans"] if s["kind"] == "entropy_mixed"] == [(2 + first, 2 + last + secrets.WINDOW, "entropy_mixed")]
     assert [(s["start"], s["end"]) for s in got[2]["base"]] == [(26 * i, 26 * i + 25) for i in range(1000)]
     assert got[3]["spans"] == []
+
+
+# -- main text against a plain walk of the tree -----------------------------------------------------
+
+FORM_PAGE = ("<html><body><form id='aspnetForm' action='x'><div class=header>Site name</div><div class='menu'><a href=/>Home</a></div>"
+             "<div class='content'><h1>Title of it</h1><p>First paragraph of the text.</p><p>Second one, <b>bold</b>.</p><label>Name</label><input><button>Send</button></div>"
+             "<div class=footer>imprint</div></form></body></html>")
+
+
+def test_a_form_around_the_page_keeps_its_text(spark):
+    want = "Title of it First paragraph of the text. Second one, bold."
+    assert html_extract.extract(FORM_PAGE, None) == want
+    rows = [(i, f"http://f.example/{i}", FORM_PAGE) for i in range(3)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {want}
+    # forms beside or inside the text stay out
+    side = "<body><article><p>Short text.</p><form><p>Write to us and we will answer you soon, every day of the week.</p><label>Mail</label></form></article></body>"
+    assert html_extract.extract(side, None) == "Short text."
+    only = "<body><div><form><label>Name</label><input><p>Send</p></form></div></body>"
+    assert html_extract.extract(only, None) == ""
+
+
+class _Walk:
+    """Text of the article element of a well-formed page, by walking its tree."""
+
+    SKIP = {"nav", "aside", "form", "script", "style", "footer", "button", "header"}
+
+    def __init__(self, html):
+        from html.parser import HTMLParser
+        walk = self
+
+        class P(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag in ("br", "img"):
+                    walk.cut()
+                    return
+                walk.stack.append((tag, walk.skipped() or tag in walk.SKIP or bool({"ad", "comments", "share", "cookie"} & set((dict(attrs).get("class") or "").split()))))
+                if tag in html_extract.BLOCK:
+                    walk.cut()
+
+            def handle_endtag(self, tag):
+                if tag in html_extract.BLOCK:
+                    walk.cut()
+                assert walk.stack.pop()[0] == tag
+
+            def handle_data(self, data):
+                if not walk.skipped() and any(t == "article" for t, _ in walk.stack):
+                    walk.piece.append(data)
+        self.stack, self.piece, self.blocks = [], [], []
+        P(convert_charrefs=True).feed(html)
+        self.cut()
+
+    def skipped(self):
+        return bool(self.stack) and self.stack[-1][1]
+
+    def cut(self):
+        self.blocks.append(" ".join("".join(self.piece).split()))
+        self.piece = []
+
+    def text(self):
+        return " ".join(b for b in self.blocks if b)
+
+
+VOCABULARY = sorted(set(words(3, 300)))
+
+
+def _random_page(r):
+    def inline(deep=2):
+        out = []
+        for _ in range(r.randint(1, 4)):
+            t = " ".join(r.choices(VOCABULARY, k=r.randint(1, 8))) + r.choice(["", " &amp; more", "&nbsp;x", " &#233;t&eacute;", "\n  y", "<!-- note -->"])
+            out.append(f"<{k}>{inline(deep - 1)}</{k}>" if deep and (k := r.choice(["b", "i", "span", "em", ""])) else t)
+        return " ".join(out)
+
+    def block(deep):
+        k = r.choice(["p", "p", "p", "h2", "ul", "blockquote", "div", "boiler", "br"])
+        if k == "boiler":
+            return r.choice([f"<nav>{inline()}</nav>", f"<aside><p>{inline()}</p></aside>", f"<form><p>{inline()}</p><button>go</button></form>", f"<div class='ad'><p>{inline()}</p></div>",
+                             "<script>if (a < b) { x('<p>no</p>') }</script>", f"<div class='share x1'>{inline()}</div>"])
+        if k == "ul":
+            return "<ul>" + "".join(f"<li>{inline()}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
+        if k == "br":
+            return f"<p>{inline()}<br>{inline()}</p>"
+        if k in ("div", "blockquote") and deep:
+            return f"<{k}>{''.join(block(deep - 1) for _ in range(r.randint(1, 3)))}</{k}>"
+        return f"<{k if k in ('p', 'h2') else 'p'}>{inline()}</{k if k in ('p', 'h2') else 'p'}>"
+    body = "\n".join(block(2) for _ in range(r.randint(8, 20)))
+    return (f"<html><head><title>t</title><style>p {{}}</style></head><body><header><p>{inline()}</p></header><nav><ul><li>{inline()}</li></ul></nav>"
+            f"<div class='cookie'><p>{inline()}</p></div><div class=wrap><article><h1>{inline()}</h1><p>{inline()}</p>{body}</article></div>"
+            f"<section class='comments'><p>{inline()}</p></section><footer>{inline()}</footer></body></html>")
+
+
+def test_main_text_equals_a_walk_of_the_article(spark):
+    r = random.Random(12)
+    pages = [(i, f"http://h{i % 4}.example/{i}", _random_page(r)) for i in range(150)]
+    got = {x["page_id"]: x["text"] for x in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, html in pages:
+        assert got[i] == _Walk(html).text(), html
