@@ -267,7 +267,8 @@ def trie(convs: DataFrame, turns: DataFrame, most_cells: int = MOST) -> DataFram
 
 
 def op11_prefix_trie(spark, sf_dir):
-    return trie(*rebuild(turn_digests(load(spark, sf_dir, "conversations"))))
+    # written first: dealing by ranges reads its input twice, and texts should be hashed once
+    return trie(*rebuild(stage(turn_digests(load(spark, sf_dir, "conversations")), "digests")))
 
 
 QUERIES = {"op11_prefix_trie": op11_prefix_trie}
