@@ -207,13 +207,12 @@ def dedup_against(old: DataFrame, new: DataFrame, shard_keys: int = SHARD_KEYS)
     folded = rows.groupBy("doc_id", "txt", "sha", "is_new").agg(F.max("n_cp").alias("n_cp"), F.count(F.lit(1)).alias("n"))
     folded = stage(folded.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))), "folded")
     # a join alone, without an aggregate on its key, so that a digest with many documents is split
-    hits = folded.filter("is_new").select("id", "txt", "sha").join(
-        held.select("sha", F.coalesce("old_best.doc_id", F.lit(NO_ID)).alias("old_id"), F.col("old_best.txt").alias("old_txt")), "sha")
-    hits = stage(hits, "hits")
+    rivals = held.select("sha", F.coalesce("old_best.doc_id", F.lit(NO_ID)).alias("old_id"), F.col("old_best.txt").alias("old_txt"))
+    hits = stage(folded.filter("is_new").select("id", "txt", "sha").join(rivals, "sha"), "hits")
     # bytes of both sides, only for rows that hit: same digest, other bytes would be another text
     theirs = _texts(new, "id", "txt", "b").join(hits.select("id", "txt"), ["id", "txt"], "left_semi").select("id", "txt", _norm("b").alias("new_norm"))
     ours = _texts(old, "old_id", "old_txt", "b").dropDuplicates(["old_id", "old_txt"]).join(
-        hits.select("old_id", "old_txt").distinct(), ["old_id", "old_txt"], "left_semi").select("old_id", "old_txt", _norm("b").alias("old_norm"))
+        rivals.select("old_id", "old_txt"), ["old_id", "old_txt"], "left_semi").select("old_id", "old_txt", _norm("b").alias("old_norm"))
     differ = (hits.join(theirs, ["id", "txt"]).join(ours, ["old_id", "old_txt"]).filter(F.col("new_norm") != F.col("old_norm"))
               .select("id", "txt", "sha", F.lit(True).alias("is_new"), F.lit(1).alias("other")).distinct())
     folded = folded.join(differ, ["id", "txt", "sha", "is_new"], "left").withColumn("grp", F.coalesce("other", F.lit(0))).drop("other")
