@@ -67,6 +67,20 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, stop: list | None = N
              .filter(F.col("term").isNotNull()))
 
 
+def term_counts_by(df: DataFrame, id_col: str, text_col: str, stops: dict[str, list], keep: list | None = None) -> DataFrame:
+    """(key, id, term, tf[, keep...]) for every stopword setting (key -> words): the text is read and
+    cut into tokens once, and each setting removes its words and counts within the row."""
+    keep = list(keep or [])
+    t = spread(df.select(F.col(id_col).alias("id"), F.col(text_col), *keep), "id")
+    t = t.select("id", *keep, tokens(F.col(text_col), UNICODE_TOKENS).alias("_t"))
+
+    def setting(toks, key, stop):
+        bag = bag_of_terms(let(remove_words(toks, stop), with_bigrams))
+        return F.transform(bag, lambda e: F.struct(F.lit(key).alias("key"), e["term"].alias("term"), e["tf"].alias("tf")))
+    bags = let(F.col("_t"), lambda toks: F.concat(*[setting(toks, key, stop) for key, stop in stops.items()]))
+    return t.select("id", *keep, F.inline_outer(bags)).filter(F.col("term").isNotNull()).select("key", "id", "term", "tf", *keep)
+
+
 def fit_vocabulary(counts: DataFrame, max_features: int = 5000, n_docs: int | None = None) -> DataFrame:
     """V03+V04: top ``max_features`` terms by total corpus count (ties by term),
     smoothed idf ``ln((1+n)/(1+df)) + 1`` with n = documents in the fit corpus, those

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.stopwords import stopword_list
 from ..operators import classify as M
 from ..operators import evaluate as E
-from ..operators.sample import group_split, written_cutoffs
-from ..operators.vectorize import fit_vocabulary, term_counts, tfidf
+from ..operators.sample import group_split, stratified_folds, written_cutoffs
+from ..operators import keyed as K
+from ..operators.scan import written
+from ..operators.vectorize import fit_vocabulary, term_counts, term_counts_by, tfidf
 from ..sources.tables import table
 
 DESC_SEED = 7
@@ -92,26 +94,103 @@ def distant_run(spark: SparkSession, sf_dir: str, method: str = "mnb", **kw) ->
     return E.evaluate(s.gold, pred.filter("pred")).select(F.lit(method).alias("method"), "*")
 
 
-def distant_grid(spark: SparkSession, sf_dir: str, settings: list, methods: list, **kw) -> DataFrame:
-    """Stopword setting x method grid in long form (method, setting, metric,
-    value) with metric in precision/recall/f1/auc. Each setting tokenises
-    differently (stopwords go before bigrams), so a setting is one pipeline and
-    its methods share the features."""
-    out = None
-    for st in settings:
-        s = distant_setup(spark, sf_dir, stop_sets=st, **kw)
-        for m in methods:
-            p = distant_predict(s, m)
-            met = E.evaluate(s.gold, p.filter("pred"))
-            auc = E.macro_auc(E.roc_auc(s.gold, p.select("id", "label", F.round("score", 10).alias("score")),
-                                        s.test_ids))
-            long = met.unpivot([], ["precision", "recall", "f1"], "metric", "value").unionByName(
-                auc.select(F.lit("auc").alias("metric"), F.col("auc").alias("value")))
-            row = long.select(F.lit(m).alias("method"), F.lit(st).alias("setting"), "metric", "value")
-            out = row if out is None else out.unionByName(row)
+@dataclass
+class GridSetup:
+    """Features of all settings of a grid, keyed by ``key``."""
+    train_x: DataFrame     # (key, id=label, term, w)
+    train_y: DataFrame     # (key, id, label)
+    test_ids: DataFrame    # (key, id)
+    test_x: DataFrame      # (key, id, term, w)
+    vocab: DataFrame       # (key, term, idf)
+    gold: DataFrame        # (id, label)
+
+    def predict(self, methods: list) -> DataFrame:
+        return K.predict(methods, self.train_x, self.train_y, self.test_ids, self.test_x, self.vocab)
+
+
+def grid_setup(spark: SparkSession, sf_dir: str, settings: list, label_col: str = "lang", seed=DESC_SEED,
+               fraction: float = DESC_FRACTION, max_features: int = MAX_FEATURES, drop_label: str | None = None,
+               text=None, description=None) -> GridSetup:
+    """Distant supervision for several stopword settings in one pass over the texts. ``text`` picks what of a
+    scored document counts (its whole text if None), ``description`` what of the sampled documents describes a label."""
+    docs = table(spark, sf_dir, "documents")
+    if drop_label is not None:
+        docs = docs.filter(F.col(label_col) != drop_label)
+    rows = docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label"), "text")
+    cut = written_cutoffs(rows.select("id", "label"), ["label"], "id", fraction, seed)
+    split = group_split(rows.select("id", "label"), ["label"], "id", fraction, seed, cut)
+    dj = group_split(rows, ["label"], "id", fraction, seed, cut)
+    whole = F.col("text")
+    dj = dj.withColumn("text", F.when(F.col("is_test"), whole if description is None else description(whole)).otherwise(whole if text is None else text(whole)))
+    stops = {st: stopword_list(st) for st in settings}
+    c = written(term_counts_by(dj, "id", "text", stops, ["label", "is_test"]), "grid-counts")
+    desc = c.filter("is_test").groupBy("key", F.col("label").alias("id"), "term").agg(F.sum("tf").alias("tf"))
+    key = F.explode(F.array(*[F.lit(st) for st in settings])).alias("key")
+    n_desc = split.filter("is_test").agg(F.countDistinct("label").alias("n")).select(key, "n")
+    vocab = written(K.vocabulary(desc, n_desc, max_features), "grid-vocabulary")
+    train_x = written(K.weights(desc, vocab), "grid-train")
+    test = split.filter(~F.col("is_test"))
+    test_x = written(K.weights(c.filter(~F.col("is_test")).select("key", "id", "term", "tf"), vocab), "grid-test")
+    train_y = train_x.select("key", "id").distinct().withColumn("label", F.col("id"))
+    return GridSetup(train_x, train_y, test.select(key, "id"), test_x, vocab, test.select("id", "label"))
+
+
+def folds_setup(spark: SparkSession, sf_dir: str, folds: DataFrame, cvs: list, settings: list, label_col: str = "lang",
+                max_features: int = MAX_FEATURES) -> GridSetup:
+    """Supervision by documents: for each setting and each ``cv`` of ``cvs`` the folds other than cv train and cv is
+    scored; keys are 'setting|cv'. ``folds`` is (id, fold). Texts are read once for all of them."""
+    docs = table(spark, sf_dir, "documents")
+    label = docs.select(F.col("doc_id").alias("id"), F.col(label_col).alias("label"))
+    dj = docs.select(F.col("doc_id").alias("id"), "text").join(folds.select("id", "fold").hint("shuffle_hash"), "id")
+    c = written(term_counts_by(dj, "id", "text", {st: stopword_list(st) for st in settings}, ["fold"]), "folds-counts")
+    others = F.explode(F.filter(F.array(*[F.lit(cv) for cv in cvs]), lambda x: x != F.col("fold"))).alias("cv")
+    name = F.concat_ws("|", "st", "cv").alias("key")
+    train = c.select(F.col("key").alias("st"), "id", "term", "tf", others).select(name, "id", "term", "tf")
+    test = c.filter(F.col("fold").isin(cvs)).select(F.concat_ws("|", "key", "fold").alias("key"), "id", "term", "tf")
+    st = F.explode(F.array(*[F.lit(x) for x in settings])).alias("st")
+    train_ids = folds.select("id", others).select("id", "cv", st).select(name, "id")
+    test_ids = folds.filter(F.col("fold").isin(cvs)).select("id", F.col("fold").alias("cv"), st).select(name, "id")
+    vocab = written(K.vocabulary(train, train_ids.groupBy("key").agg(F.count(F.lit(1)).alias("n")), max_features), "folds-vocabulary")
+    first = label.groupBy("id").agg(F.min("label").alias("label"))
+    return GridSetup(written(K.weights(train, vocab), "folds-train"), train_ids.join(first, "id").select("key", "id", "label"), test_ids,
+                     written(K.weights(test, vocab), "folds-test"), vocab, test_ids.join(label, "id").select("key", "id", "label"))
+
+
+def grid_per_class(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """E01 for every run: (method, key, label, tp, fp, fn, support, precision, recall, f1) of predictions
+    (method, key, id, label, pred); gold is (id, label) for all runs, or (key, id, label)."""
+    run, both = F.concat_ws("|", "method", "key"), F.concat_ws("|", "method", "key", "label").alias("label")
+    runs = pred.select("method", "key").distinct().withColumn("_", F.lit(1))
+    g = gold.withColumn("_", F.lit(1)).join(runs, ["key", "_"] if "key" in gold.columns else ["_"])
+    pc = E.per_class(g.select("id", both), pred.filter("pred").select("id", both))
+    n = F.size(F.split("label", "[|]"))
+    parts = F.split("label", "[|]")
+    return pc.select(parts[0].alias("method"), F.array_join(F.slice(parts, F.lit(2), n - 2), "|").alias("key"), F.element_at(parts, -1).alias("label"),
+                     *[c for c in pc.columns if c != "label"])
+
+
+def grid_metrics(gold: DataFrame, pred: DataFrame, auc: bool = True) -> DataFrame:
+    """(method, key, metric, value): macro precision, recall, F1 and AUC of every run of predictions
+    (method, key, id, label, pred, score); gold (id, label) is the same for all runs."""
+    out = E.macro(grid_per_class(gold, pred), "method", "key").unpivot(["method", "key"], ["precision", "recall", "f1"], "metric", "value")
+    if auc:
+        both = F.concat_ws("|", "method", "key", "label").alias("label")
+        g = gold.withColumn("_", F.lit(1)).join(pred.select("method", "key").distinct().withColumn("_", F.lit(1)), "_")
+        a = E.roc_auc(g.select("id", both), pred.select("id", both, F.round("score", 10).alias("score")), gold.select("id"))
+        parts = F.split("label", "[|]")
+        a = a.filter("auc is not null").select(parts[0].alias("method"), parts[1].alias("key"), "auc")
+        out = out.unionByName(a.groupBy("method", "key").agg(F.avg("auc").alias("value")).select("method", "key", F.lit("auc").alias("metric"), "value"))
     return out
 
 
+def distant_grid(spark: SparkSession, sf_dir: str, settings: list, methods: list, **kw) -> DataFrame:
+    """Stopword setting x method grid in long form (method, setting, metric, value) with metric in
+    precision/recall/f1/auc; all settings and methods in one pass over the texts."""
+    s = grid_setup(spark, sf_dir, settings, **kw)
+    pred = written(s.predict(methods), "grid-predictions")
+    return grid_metrics(s.gold, pred).select("method", F.col("key").alias("setting"), "metric", "value")
+
+
 def supervised_setup(spark: SparkSession, sf_dir: str, train_ids: DataFrame, test_ids: DataFrame,
                      label_col: str = "lang", stop_sets: str = "ce", max_features: int = MAX_FEATURES):
     """Transcript-style supervision: TF-IDF fitted on the training documents,
@@ -134,10 +213,15 @@ def supervised_setup(spark: SparkSession, sf_dir: str, train_ids: DataFrame, tes
     return gold, pred
 
 
-def fold_runs(spark: SparkSession, sf_dir: str, k: int = 5, seed=3) -> DataFrame:
-    """Stratified k-fold (X04) metrics per fold (fold, precision, recall, f1),
-    all folds in one job (see :func:`fold_runs_onepass`)."""
-    return fold_runs_onepass(spark, sf_dir, k, seed)
+def fold_runs(spark: SparkSession, sf_dir: str, k: int, seed, methods: list, settings: list) -> DataFrame:
+    """Stratified k-fold (X04) metrics (method, setting, fold, precision, recall, f1) of every method and
+    setting, all folds in one job."""
+    lab = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    folds = written(stratified_folds(lab, k, seed).select("id", "fold"), "folds")
+    s = folds_setup(spark, sf_dir, folds, list(range(k)), settings)
+    m = E.macro(grid_per_class(s.gold, written(s.predict(methods), "folds-predictions")), "method", "key")
+    parts = F.split("key", "[|]")
+    return m.select("method", parts[0].alias("setting"), parts[1].cast("int").alias("fold"), "precision", "recall", "f1")
 
 
 def fit_distant_nb(s: DistantSetup, alpha: float = 0.001):
@@ -166,70 +250,3 @@ def turn_scores(spark: SparkSession, sf_dir: str, t: float = 0.1) -> DataFrame:
     return sc.select(F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint").alias("conv_id"),
                      F.split_part("id", F.lit(":"), F.lit(2)).cast("bigint").alias("turn"),
                      "label", (F.col("score") > t).alias("pred"), "score")
-
-
-def fold_runs_onepass(spark: SparkSession, sf_dir: str, k: int = 5, seed=3, alpha: float = 0.001,
-                      t: float = 0.1, max_features: int = MAX_FEATURES, stop_sets: str = "ce") -> DataFrame:
-    """R06 with the fold as a column: one job for all k folds.
-
-    Each document's term counts are copied to the k-1 folds it trains (``cv``)
-    and kept once for the fold it tests. Vocabulary (top terms per cv), idf, L2
-    norms, the NB model and scores are all keyed by ``cv``; the per-cv class
-    lists (k x labels rows, checked) expand each test document's score vector
-    in-row. Output (fold, precision, recall, f1)."""
-    from ..operators.sample import stratified_folds
-    from ..session import bounded_rows
-    from ..functions.text import softmax
-    from pyspark.sql import Window as W
-
-    docs = table(spark, sf_dir, "documents")
-    lab = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    folds = stratified_folds(lab, k, seed).select("id", "fold")
-    dj = docs.select(F.col("doc_id").alias("id"), "text").join(folds.hint("shuffle_hash"), "id")
-    c = term_counts(dj, "id", "text", stopword_list(stop_sets), keep=["fold"], spread_input=False) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    train = c.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col("fold"))).alias("cv"),
-                     "id", "term", "tf")
-    test = c.select(F.col("fold").alias("cv"), "id", "term", "tf")
-    stats = train.groupBy("cv", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    ndocs = folds.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col("fold"))).alias("cv"), "id") \
-        .groupBy("cv").agg(F.countDistinct("id").alias("n"))
-    top = stats.withColumn("_r", F.row_number().over(W.partitionBy("cv").orderBy(F.desc("total"), "term"))) \
-        .filter(F.col("_r") <= max_features)
-    vocab = top.join(ndocs, "cv").select("cv", "term", (F.log((1.0 + F.col("n")) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    vocab = F.broadcast(vocab)  # k x max_features rows
-    vsz = top.groupBy("cv").agg(F.count(F.lit(1)).alias("V"))
-
-    def weights(x):
-        r = x.join(vocab, ["cv", "term"]).select("cv", "id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-        return r.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("cv", "id"))))
-
-    trw, tew = weights(train), weights(test)
-    y = lab.groupBy("id").agg(F.min("label").alias("label"))
-    nct = trw.join(y, "id").groupBy("cv", "label", "term").agg(F.sum("w").alias("n_ct"))
-    nc = nct.groupBy("cv", "label").agg(F.sum("n_ct").alias("n_c")).join(vsz, "cv")
-    cls = nc.select("cv", "label", F.log(F.lit(alpha) / (F.col("n_c") + alpha * F.col("V"))).alias("base"))
-    model = nct.join(nc, ["cv", "label"]).select(
-        "cv", "label", "term",
-        (F.log((F.col("n_ct") + alpha) / (F.col("n_c") + alpha * F.col("V")))
-         - F.log(F.lit(alpha) / (F.col("n_c") + alpha * F.col("V")))).alias("delta"))
-    rows = bounded_rows(cls.orderBy("cv", "label"), 1_000_000, "per-fold class table")
-    per_cv = {}
-    for r in rows:
-        per_cv.setdefault(r["cv"], []).append((r["label"], r["base"]))
-    cmap = F.create_map(*[x for cv, lst in per_cv.items() for x in (
-        F.lit(cv), F.array(*[F.struct(F.lit(l).alias("label"), F.lit(b).alias("base")) for l, b in lst]))])
-    part = tew.join(model, ["cv", "term"]).groupBy("cv", "id", "label").agg(F.sum(F.col("w") * F.col("delta")).alias("s"))
-    per_doc = part.groupBy("cv", "id").agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("m"))
-    ws = tew.groupBy("cv", "id").agg(F.sum("w").alias("wsum"))
-    base = folds.select(F.col("fold").alias("cv"), "id").join(ws, ["cv", "id"], "left").join(per_doc, ["cv", "id"], "left")
-    jll = F.transform(F.element_at(cmap, F.col("cv")), lambda e: F.struct(
-        e["label"].alias("label"),
-        (F.coalesce(F.col("wsum"), F.lit(0.0)) * e["base"]
-         + F.coalesce(F.element_at(F.col("m"), e["label"]), F.lit(0.0))).alias("jll")))
-    b = base.select("cv", "id", jll.alias("_j"))
-    b = b.select("cv", "id", "_j", softmax(F.transform("_j", lambda e: e["jll"])).alias("_p"))
-    sc = b.select("cv", "id", F.inline(F.arrays_zip(F.col("_j.label").alias("label"), F.col("_p").alias("score"))))
-    pred = sc.filter(F.col("score") > t).select("cv", "id", "label")
-    gold = folds.join(lab, "id").select(F.col("fold").alias("cv"), "id", "label")
-    return E.per_rep_macro(gold, pred, "cv").withColumnRenamed("cv", "fold")

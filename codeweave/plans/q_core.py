@@ -21,13 +21,13 @@ SPLIT_SQL = group_split_cte("s", "(SELECT doc_id AS id, lang AS label FROM docum
                             X.DESC_FRACTION, X.DESC_SEED)
 
 
-def distant_sql(stop: str = STOP, label: str = "lang", drop_label: str | None = None) -> str:
+def distant_sql(stop: str = STOP, label: str = "lang", drop_label: str | None = None, src: str = "documents") -> str:
     """Oracle twin of :func:`experiments.distant_setup` + NB fit and scores."""
     split = group_split_cte("s", f"(SELECT doc_id AS id, {label} AS label FROM documents"
                             + (f" WHERE {label} <> '{drop_label}'" if drop_label else "") + ")",
                             "label", "id", X.DESC_FRACTION, X.DESC_SEED)
     return f"""{split},
-{terms_cte('documents', 'doc_id', 'text', stop, 'cnt')},
+{terms_cte(src, 'doc_id', 'text', stop, 'cnt')},
 dc AS (SELECT s.label AS id, term, sum(tf) AS tf FROM cnt JOIN s USING (id) WHERE s.is_test GROUP BY s.label, term),
 {tfidf_ctes('dc', 'v', X.MAX_FEATURES, N_DESC)},
 {weights_cte('dw', 'dc', 'v_vocab')},

@@ -8,6 +8,7 @@ from ..operators import aggregate as A
 from ..operators import evaluate as E
 from ..operators import relate as J
 from ..operators.sample import multilabel_split
+from ..operators.structure import nonempty_lines
 from ..sources import io as S
 from ..sources.tables import table
 from . import experiments as X
@@ -15,26 +16,29 @@ from .q_aggregate import SENT_UNITS, pack_sql
 from .q_core import distant_sql
 from .q_sample_eval import AUC_SQL, X02_SEED
 from .registry import query, rounded
-from .sqlkit import nb_ctes, nb_score_ctes, prf_ctes, sql_hash, terms_cte, tfidf_ctes, weights_cte
+from .sqlkit import method_ctes, nb_ctes, nb_score_ctes, prf_ctes, sql_hash, terms_cte, tfidf_ctes, weights_cte
 
 GRID_SETTINGS = ["ce", "e", "c"]
 
 
-def _grid_sql_one(st: str) -> str:
-    return f"""(WITH {distant_sql(st)},
-pred AS (SELECT id, label FROM scores WHERE score > 0.1), {prf_ctes('tids', 'pred')}, {AUC_SQL},
+METHODS = ["mnb", "bnb", "centroid", "knn"]
+
+
+def _grid_sql_one(st: str, method: str) -> str:
+    return f"""(WITH {distant_sql(st)}, {method_ctes(method, 'dw', 'tw')},
+pred AS (SELECT id, label FROM ms WHERE pred), {prf_ctes('tids', 'pred')}, {AUC_SQL.replace('FROM scores s', 'FROM ms s')},
 m AS (SELECT avg(precision) AS p, avg(recall) AS r, avg(f1) AS f FROM pc),
 a AS (SELECT avg(auc) AS auc FROM auc WHERE auc IS NOT NULL)
-SELECT 'mnb' AS method, '{st}' AS setting, metric, value FROM (
+SELECT '{method}' AS method, '{st}' AS setting, metric, value FROM (
   SELECT 'precision' AS metric, round(p, 6) AS value FROM m UNION ALL SELECT 'recall', round(r, 6) FROM m
   UNION ALL SELECT 'f1', round(f, 6) FROM m UNION ALL SELECT 'auc', round(auc, 6) FROM a))"""
 
 
-GRID_SQL = " UNION ALL ".join(_grid_sql_one(s) for s in GRID_SETTINGS)
+GRID_SQL = " UNION ALL ".join(_grid_sql_one(s, m) for s in GRID_SETTINGS for m in METHODS)
 
 
 def _grid(spark, d):
-    return rounded(X.distant_grid(spark, d, GRID_SETTINGS, ["mnb"]))
+    return rounded(X.distant_grid(spark, d, GRID_SETTINGS, METHODS))
 
 
 @query("r02_stopword_grid", f"SELECT * FROM ({GRID_SQL})")
@@ -70,19 +74,47 @@ def r08(spark, d):
     return b.select("method", "b.setting", "b.f1", "b.auc")
 
 
-def _macro_sql(dsql: str, label_filter: str = "") -> str:
-    return f"""(WITH {dsql}, pred AS (SELECT id, label FROM scores WHERE score > 0.1), {prf_ctes('tids', 'pred')}
-SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1
-FROM pc {label_filter})"""
+#: Lines of a document alternate between two speakers; the odd ones are taken as the practitioner's.
+def _speech(text):
+    return F.concat_ws("\n", F.filter(nonempty_lines(text), lambda x, i: i % 2 == 0))
+
+
+def _first_line(text):
+    return F.coalesce(F.get(nonempty_lines(text), 0), F.lit(""))
+
+
+LINES_SQL = "list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: length(x) > 0)"
+SPEECH_SQL = f"array_to_string(list_filter({LINES_SQL}, lambda x, i: i % 2 = 1), chr(10))"
+FIRST_SQL = f"coalesce({LINES_SQL}[1], '')"
+#: Scenario: (dropped class, what of a scored document counts); description: what of a sampled document describes its class.
+SCENARIOS = {"all": (None, None), "without_en": ("en", None), "speech_only": (None, (_speech, SPEECH_SQL))}
+DESCRIPTIONS = {"whole": None, "first_line": (_first_line, FIRST_SQL)}
+
+
+def _scenario_sql(scenario: str, description: str, method: str) -> str:
+    drop, text = SCENARIOS[scenario]
+    desc = DESCRIPTIONS[description]
+    src = (f"(SELECT d.doc_id, CASE WHEN s.is_test THEN {desc[1] if desc else 'text'} ELSE {text[1] if text else 'text'} END AS text "
+           "FROM documents d JOIN s ON s.id = d.doc_id)")
+    return f"""(WITH {distant_sql(drop_label=drop, src=src)}, {method_ctes(method, 'dw', 'tw')},
+pred AS (SELECT id, label FROM ms WHERE pred), {prf_ctes('tids', 'pred')}
+SELECT '{scenario}' AS scenario, '{description}' AS description, '{method}' AS method, round(avg(precision), 6) AS precision,
+  round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM pc)"""
 
 
-@query("r03_scenarios", f"""SELECT 'all' AS scenario, * FROM {_macro_sql(distant_sql())}
-UNION ALL SELECT 'without_en', * FROM {_macro_sql(distant_sql(drop_label='en'))}""")
+R03_METHODS = ["mnb", "centroid"]
+
+
+@query("r03_scenarios", " UNION ALL ".join(_scenario_sql(s, t, m) for s in SCENARIOS for t in DESCRIPTIONS for m in R03_METHODS))
 def r03(spark, d):
-    a = X.distant_run(spark, d, "mnb").select(F.lit("all").alias("scenario"), "precision", "recall", "f1")
-    b = X.distant_run(spark, d, "mnb", drop_label="en").select(F.lit("without_en").alias("scenario"),
-                                                               "precision", "recall", "f1")
-    return rounded(a.unionByName(b))
+    out = None
+    for scenario, (drop, text) in SCENARIOS.items():
+        for name, desc in DESCRIPTIONS.items():
+            s = X.grid_setup(spark, d, ["ce"], drop_label=drop, text=text and text[0], description=desc and desc[0])
+            m = E.macro(X.grid_per_class(s.gold, s.predict(R03_METHODS)), "method")
+            m = m.select(F.lit(scenario).alias("scenario"), F.lit(name).alias("description"), "method", "precision", "recall", "f1")
+            out = m if out is None else out.unionByName(m)
+    return rounded(out)
 
 
 DEVTEST_SQL = f"""dt AS (SELECT id, rn <= ceil(n * 0.2) AS is_test FROM (
@@ -90,79 +122,108 @@ DEVTEST_SQL = f"""dt AS (SELECT id, rn <= ceil(n * 0.2) AS is_test FROM (
     SELECT doc_id AS id, lang AS label, {sql_hash(X02_SEED, 'lang', 'doc_id')} AS h FROM documents)))"""
 
 
-@query("r04_dev_test", f"""WITH {distant_sql()}, {DEVTEST_SQL},
-pred AS (SELECT id, label FROM scores WHERE score > 0.1),
+def _devtest_sql(method: str) -> str:
+    return f"""(WITH {distant_sql()}, {DEVTEST_SQL}, {method_ctes(method, 'dw', 'tw')},
+pred AS (SELECT id, label FROM ms WHERE pred),
 gd AS (SELECT t.id, t.label FROM tids t JOIN dt USING (id) WHERE NOT dt.is_test),
 pd AS (SELECT p.id, p.label FROM pred p JOIN dt USING (id) WHERE NOT dt.is_test),
 gt AS (SELECT t.id, t.label FROM tids t JOIN dt USING (id) WHERE dt.is_test),
 pt AS (SELECT p.id, p.label FROM pred p JOIN dt USING (id) WHERE dt.is_test),
 {prf_ctes('gd', 'pd', 'pcd')}, {prf_ctes('gt', 'pt', 'pct')}
-SELECT 'dev' AS split, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM pcd
-UNION ALL SELECT 'test', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM pct""")
+SELECT '{method}' AS method, 'dev' AS split, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM pcd
+UNION ALL SELECT '{method}', 'test', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM pct)"""
+
+
+@query("r04_dev_test", " UNION ALL ".join(_devtest_sql(m) for m in METHODS))
 def r04(spark, d):
-    s = X.distant_setup(spark, d)
-    p = X.distant_nb(s).filter("pred")
+    s = X.grid_setup(spark, d, ["ce"])
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    sp = multilabel_split(docs, X02_SEED, 0.2).select("id", "is_test")
-    out = None
-    for name, flag in (("dev", False), ("test", True)):
-        ids = sp.filter(F.col("is_test") == flag).select("id")
-        m = E.evaluate(s.gold.join(ids, "id", "left_semi"), p.join(ids, "id", "left_semi")).select(
-            F.lit(name).alias("split"), "*")
-        out = m if out is None else out.unionByName(m)
-    return rounded(out)
+    side = multilabel_split(docs, X02_SEED, 0.2).select("id", F.when(F.col("is_test"), "test").otherwise("dev").alias("key"))
+    # the two sides are evaluated as the two keys of one run
+    pred = s.predict(METHODS).drop("key").join(side, "id")
+    m = E.macro(X.grid_per_class(s.gold.join(side, "id"), pred), "method", "key")
+    return rounded(m.select("method", F.col("key").alias("split"), "precision", "recall", "f1"))
 
 
-def _sup_sql(train: str, test: str, label_filter: str = "") -> str:
+def _sup_sql(train: str, test: str, label_filter: str = "", method: str = "mnb", setting: str = "ce") -> str:
     """Supervised chain over documents: ``train``/``test`` are id subqueries."""
-    return f"""(WITH {terms_cte('documents', 'doc_id', 'text', 'ce', 'cnt')},
+    return f"""(WITH {_sup_ctes(train, test, method, setting)},
+pred AS (SELECT id, label FROM ms WHERE pred), {prf_ctes('tids', 'pred')}
+SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM pc {label_filter})"""
+
+
+def _sup_ctes(train: str, test: str, method: str, setting: str) -> str:
+    return f"""{terms_cte('documents', 'doc_id', 'text', setting, 'cnt')},
 trc AS (SELECT id, term, tf FROM cnt WHERE id IN ({train})),
 {tfidf_ctes('trc', 'v', n=f'SELECT count(*) AS n FROM documents WHERE doc_id IN ({train})')}, {weights_cte('trw', 'trc', 'v_vocab')},
 tec AS (SELECT id, term, tf FROM cnt WHERE id IN ({test})), {weights_cte('tew', 'tec', 'v_vocab')},
 ty AS (SELECT doc_id AS id, lang AS label FROM documents WHERE doc_id IN ({train})),
 tids AS (SELECT doc_id AS id, lang AS label FROM documents WHERE doc_id IN ({test})),
-{nb_ctes('trw', 'ty', 'v_vocab')}, {nb_score_ctes('tids', 'tew')},
-pred AS (SELECT id, label FROM scores WHERE score > 0.1), {prf_ctes('tids', 'pred')}
-SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM pc {label_filter})"""
+{nb_ctes('trw', 'ty', 'v_vocab')}, {nb_score_ctes('tids', 'tew')}, {method_ctes(method, 'trw', 'tew')}"""
 
 
 _DT = f"SELECT id FROM (WITH {DEVTEST_SQL} SELECT * FROM dt) WHERE {{}}"
 
 
-@query("r05_single_split", f"""SELECT 'all' AS scenario, round(precision, 6) AS precision, round(recall, 6) AS recall,
-  round(f1, 6) AS f1 FROM {_sup_sql(_DT.format('NOT is_test'), _DT.format('is_test'))}
-UNION ALL SELECT 'without_en', round(precision, 6), round(recall, 6), round(f1, 6)
-  FROM {_sup_sql(_DT.format('NOT is_test'), _DT.format('is_test'), "WHERE label <> 'en'")}""")
-def r05(spark, d):
+def _single_split(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    sp = multilabel_split(docs, X02_SEED, 0.2).cache()
-    gold, pred = X.supervised_setup(spark, d, sp.filter(~F.col("is_test")).select("id"), sp.filter("is_test").select("id"))
-    pc = E.per_class(gold, pred)
-    a = E.macro(pc).select(F.lit("all").alias("scenario"), "*")
-    b = E.macro(pc.filter(F.col("label") != "en")).select(F.lit("without_en").alias("scenario"), "*")
-    return rounded(a.unionByName(b))
+    sp = multilabel_split(docs, X02_SEED, 0.2).select("id", F.col("is_test").cast("int").alias("fold"))
+    return X.folds_setup(spark, d, sp, [1], ["ce"])
+
+
+@query("r05_single_split", " UNION ALL ".join(f"""SELECT '{m}' AS method, '{name}' AS scenario, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1 FROM {_sup_sql(_DT.format('NOT is_test'), _DT.format('is_test'), where, m)}"""
+                                              for m in METHODS for name, where in (("all", ""), ("without_en", "WHERE label <> 'en'"))))
+def r05(spark, d):
+    s = _single_split(spark, d)
+    pc = X.grid_per_class(s.gold, s.predict(METHODS))
+    a = E.macro(pc, "method").withColumn("scenario", F.lit("all"))
+    b = E.macro(pc.filter(F.col("label") != "en"), "method").withColumn("scenario", F.lit("without_en"))
+    return rounded(a.unionByName(b).select("method", "scenario", "precision", "recall", "f1"))
+
+
+@query("m06_knn_tfidf", f"""WITH {_sup_ctes(_DT.format('NOT is_test'), _DT.format('is_test'), 'knn', 'ce')}
+SELECT id, label, pred, round(score, 6) AS score FROM ms WHERE score > 0""")
+def m06_tfidf(spark, d):
+    """k nearest training documents of every test document on TF-IDF rows, exact."""
+    s = _single_split(spark, d)
+    return rounded(s.predict(["knn"]).select("id", "label", "pred", "score"))
+
+
+@query("m13_classifier_dispatch", " UNION ALL ".join(
+    f"""(WITH {_sup_ctes(_DT.format('NOT is_test'), _DT.format('is_test'), m, 'ce')}
+SELECT '{m}' AS method, label, count(*) FILTER (WHERE pred) AS n_pred, round(sum(score), 4) AS total FROM ms GROUP BY label)""" for m in METHODS))
+def m13(spark, d):
+    """Every method by its name on the same features: documents predicted and summed scores per class."""
+    p = _single_split(spark, d).predict(METHODS)
+    return rounded(p.groupBy("method", "label").agg(F.count(F.when(F.col("pred"), 1)).alias("n_pred"), F.round(F.sum("score"), 4).alias("total")))
 
 
 FOLD_K = 5
+FOLD_SETTINGS = ["ce", "e"]
 _FOLDS = f"""SELECT id FROM (SELECT doc_id AS id, (row_number() OVER (PARTITION BY lang ORDER BY
   {sql_hash(3, 'doc_id')}, doc_id) - 1) % {FOLD_K} AS fold FROM documents) WHERE fold {{}} {{}}"""
 
 
-@query("r06_kfold_mean", " UNION ALL ".join(
-    f"SELECT {f} AS fold, precision, recall, f1 FROM {_sup_sql(_FOLDS.format('<>', f), _FOLDS.format('=', f))}"
-    for f in range(FOLD_K)).join(["SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, "
-                                  "round(avg(f1), 6) AS f1 FROM (", ")"]))
+def _kfold_sql(settings: list) -> str:
+    return " UNION ALL ".join(f"SELECT '{m}' AS method, '{st}' AS setting, {f} AS fold, precision, recall, f1 FROM "
+                              f"{_sup_sql(_FOLDS.format('<>', f), _FOLDS.format('=', f), '', m, st)}"
+                              for m in METHODS for st in settings for f in range(FOLD_K))
+
+
+@query("r06_kfold_mean", f"""SELECT method, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+  round(avg(f1), 6) AS f1 FROM ({_kfold_sql(['ce'])}) GROUP BY method""")
 def r06(spark, d):
-    r = X.fold_runs(spark, d, FOLD_K, 3)
-    return rounded(r.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1")))
+    r = X.fold_runs(spark, d, FOLD_K, 3, METHODS, ["ce"])
+    return rounded(r.groupBy("method").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1")))
 
 
-@query("a13_fold_mean_best", " UNION ALL ".join(
-    f"SELECT {f} AS fold, f1 FROM {_sup_sql(_FOLDS.format('<>', f), _FOLDS.format('=', f))}"
-    for f in range(FOLD_K)).join(["SELECT 'mnb' AS method, 'ce' AS setting, round(avg(f1), 6) AS f1 FROM (", ")"]))
+@query("a13_fold_mean_best", f"""WITH m AS (SELECT method, setting, round(avg(f1), 6) AS f1 FROM ({_kfold_sql(FOLD_SETTINGS)}) GROUP BY method, setting)
+SELECT method, arg_min(setting, (-f1, setting)) AS setting, max(f1) AS f1 FROM m GROUP BY method""")
 def a13(spark, d):
-    r = X.fold_runs(spark, d, FOLD_K, 3).select(F.lit("mnb").alias("method"), F.lit("ce").alias("setting"), "f1")
-    return rounded(A.fold_mean_best(r, "method", "setting", "f1"))
+    r = X.fold_runs(spark, d, FOLD_K, 3, METHODS, FOLD_SETTINGS)
+    mean = rounded(r.groupBy("method", "setting").agg(F.avg("f1").alias("f1")))
+    return rounded(A.fold_mean_best(mean, "method", "setting", "f1"))
 
 
 MAJ_SQL = """mp AS (SELECT source, arg_min(lang, (-n, lang)) AS code FROM (

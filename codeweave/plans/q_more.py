@@ -12,7 +12,6 @@ from ..sources import io as S
 from ..sources.tables import table
 from . import experiments as X
 from .q_aggregate import TURN_SQL
-from .q_classify import BNB_SQL
 from .q_core import distant_sql
 from .registry import query, rounded
 from .sqlkit import prf_ctes, stop_sql
@@ -60,14 +59,6 @@ def u03(spark, d):
     return z.select("conv_id", "turn", F.col("x.speaker").alias("speaker"), F.col("x.utterance").alias("utterance"))
 
 
-@query("m13_classifier_dispatch", f"""WITH {BNB_SQL},
-pred AS (SELECT id, label FROM bn_j WHERE 1 / (1 + exp(jn - jp)) > 0.1), {prf_ctes('tids', 'pred')}
-SELECT 'bnb' AS method, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
-  round(avg(f1), 6) AS f1 FROM pc""")
-def m13(spark, d):
-    return rounded(X.distant_run(spark, d, "bnb"))
-
-
 @query("s14_read_eval_json", f"""SELECT CAST(doc_id AS VARCHAR) AS id,
   len(regexp_extract_all(text, '{T.SENTENCE}')) AS split_nums, lang AS codes FROM documents""")
 def s14(spark, d):
