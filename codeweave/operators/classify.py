@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_rows
 from ..functions.text import with_softmax
+from .knn import knn_sparse
+from .svm_sparse import svm
 
 MAX_CLASSES = 100_000
 MAX_MODEL_ROWS = 2_000_000
@@ -311,9 +313,24 @@ def ensemble(model_scores: list) -> DataFrame:
                     (F.coalesce("votes", F.lit(0)) >= 2).alias("pred_vote")))
 
 
-# Classifier registry with one contract (train_x, train_y, test_ids, test_x, ...)
+def _svm(several: bool):
+    def run(train_x, train_y, test_ids, test_x, vocab):
+        return svm(train_x, train_y, test_ids, test_x, vocab.count(), several)
+    return run
+
+
+#: Classifiers by name, one contract: train (id, term, w), labels (id, label), ids, test (id, term, w) and
+#: vocabulary (term) give (id, label, pred, score).
 CLASSIFIERS = {
-    "mnb": multinomial_nb,
-    "bnb": binary_nb,
-    "centroid": nearest_centroid_sparse,
+    "mnb": lambda tx, ty, ids, x, vocab: multinomial_nb(tx, ty, ids, x, vocab.count()),
+    "bnb": lambda tx, ty, ids, x, vocab: binary_nb(tx, ty, ids, x, vocab, vocab.count()),
+    "centroid": lambda tx, ty, ids, x, vocab: nearest_centroid_sparse(tx, ty, ids, x),
+    "knn": lambda tx, ty, ids, x, vocab: knn_sparse(tx, ty, ids, x),
+    "svm": _svm(False),
+    "bsvm": _svm(True),
 }
+
+
+def classify(method: str, train_x: DataFrame, train_y: DataFrame, test_ids: DataFrame, test_x: DataFrame, vocab: DataFrame) -> DataFrame:
+    """M13."""
+    return CLASSIFIERS[method](train_x, train_y, test_ids, test_x, vocab).select("id", "label", "pred", "score")

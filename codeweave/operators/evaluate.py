@@ -137,13 +137,15 @@ def binary_confusion(gold: DataFrame, pred: DataFrame, n_docs: int) -> DataFrame
 def specificity(confusion: DataFrame) -> DataFrame:
     """Per label, among documents whose first gold label is another label,
     the share whose first predicted label is not this label (from E06)."""
-    labels = confusion.select(F.col("gold").alias("label")).filter(F.col("label").isNotNull()).distinct()
-    # confusion table and label list are labels^2 / labels rows (checked)
-    j = confusion.join(labels, F.col("gold").isNull() | (F.col("gold") != F.col("label")))
-    neg = j.groupBy("label").agg(F.sum("n").alias("neg"),
-                                 F.sum(F.when(F.col("pred").isNull() | (F.col("pred") != F.col("label")), F.col("n"))
-                                       .otherwise(0)).alias("tn"))
-    return neg.select("label", (F.col("tn") / F.col("neg")).alias("specificity"))
+    n, gold, pred = F.col("n"), F.col("gold"), F.col("pred")
+    total = confusion.agg(F.sum("n").alias("all"))
+    own = confusion.filter(gold.isNotNull()).groupBy(gold.alias("label")).agg(
+        F.sum("n").alias("own"), F.sum(F.when(pred == gold, n).otherwise(0)).alias("hit"))
+    named = confusion.filter(pred.isNotNull()).groupBy(pred.alias("label")).agg(F.sum("n").alias("named"))
+    all_docs = total.first()["all"]
+    neg = F.lit(all_docs) - F.col("own")
+    false = F.coalesce("named", F.lit(0)) - F.col("hit")
+    return own.join(named, "label", "left").filter(neg > 0).select("label", ((neg - false) / neg).alias("specificity"))
 
 
 def majority_baseline(doc_labels: DataFrame, n_classes: int | None = None) -> DataFrame:
@@ -177,6 +179,75 @@ def bootstrap_draws(spark, n: int, reps: int, seed=0) -> "DataFrame":
     return d.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
+#: Children of a node of the splitting tree.
+FAN = 256
+
+
+def multinomial_outcomes(outcomes: DataFrame, reps: int, seed=0) -> DataFrame:
+    """X06 over distinct outcomes: rows (o, m) of an outcome and its number of documents give
+    (rep, o, w): how often replicate ``rep`` draws it, with n = sum of m draws with replacement.
+
+    The draws of a node are split among its children by conditional binomials, from the
+    whole down to single outcomes, so a replicate costs its outcomes and not its n draws; no
+    table has n rows. Generators are seeded by (seed, replicate, node): reruns agree."""
+    from functools import partial
+
+    import numpy as np
+
+    from ..functions.hashing import stable_hash
+    from .sample import grouped_rank
+    from .scan import written
+    h = outcomes.groupBy("o").agg(F.sum("m").alias("m")).filter("m > 0").withColumn("_h", stable_hash(seed, "o"))
+    leaves = written(grouped_rank(h, [], "_h", "o").select((F.col("rn") - 1).alias("node"), "o", "m"), "outcomes")
+    size, depth = leaves.count(), 1
+    while FAN ** depth < size:
+        depth += 1
+    levels = [leaves.select("node", "m")]
+    for _ in range(depth):
+        levels.append(levels[-1].groupBy(F.floor(F.col("node") / FAN).cast("bigint").alias("node")).agg(F.sum("m").alias("m")))
+
+    def split(batches, level):
+        import pyarrow as pa
+        for b in batches:
+            reps_, nodes, counts = [], [], []
+            for rep, node, w, kids in zip(*(b.column(c).to_pylist() for c in ("rep", "node", "w", "kids"))):
+                rng = np.random.Generator(np.random.Philox(key=[(int(seed) << 32) ^ rep, (node << 8) ^ level]))
+                kids = sorted((k["node"], k["m"]) for k in kids)
+                left = sum(m for _, m in kids)
+                for child, m in kids:
+                    drawn = int(rng.binomial(w, m / left)) if m < left else w
+                    left -= m
+                    w -= drawn
+                    if drawn:
+                        reps_.append(rep)
+                        nodes.append(child)
+                        counts.append(drawn)
+            yield pa.RecordBatch.from_arrays([pa.array(reps_, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=["rep", "node", "w"])
+    spark = outcomes.sparkSession
+    drawn = levels[-1].select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("rep"), F.col("node").cast("bigint"), F.col("m").cast("bigint").alias("w"))
+    for at in reversed(range(depth)):
+        kids = levels[at].groupBy(F.floor(F.col("node") / FAN).cast("bigint").alias("node")).agg(
+            F.collect_list(F.struct(F.col("node").cast("bigint").alias("node"), F.col("m").cast("bigint").alias("m"))).alias("kids"))  # FAN at most
+        drawn = drawn.repartition(spark.sparkContext.defaultParallelism, "rep").join(kids, "node").mapInArrow(partial(split, level=at), "rep long, node long, w long")
+    return drawn.join(leaves.select("node", "o"), "node").select("rep", "o", "w")
+
+
+def bootstrap_metrics(gold: DataFrame, pred: DataFrame, ids: DataFrame, reps: int, seed=0) -> DataFrame:
+    """E12 over distinct outcomes: (rep, precision, recall, f1). Documents with the same gold and predicted
+    labels are interchangeable; those with neither count as draws too."""
+    g = gold.select("id", "label", F.lit(1).alias("g"), F.lit(0).alias("p"))
+    p = (pred.filter("pred") if "pred" in pred.columns else pred).select("id", "label", F.lit(0).alias("g"), F.lit(1).alias("p"))
+    cell = g.unionByName(p).groupBy("id", "label").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    doc = cell.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("label", "g", "p"))).alias("cells"))
+    kinds = ids.select("id").distinct().join(doc, "id", "left").groupBy("cells").agg(F.count(F.lit(1)).alias("m"))
+    kinds = kinds.withColumn("o", F.coalesce(F.to_json(F.struct("cells")), F.lit("{}")))
+    w = multinomial_outcomes(kinds.select("o", "m"), reps, seed)
+    j = w.join(kinds.select("o", "cells"), "o").select("rep", "w", F.inline("cells"))
+    counts = j.groupBy("rep", "label").agg(F.sum(F.col("w") * F.col("g") * F.col("p")).alias("tp"), F.sum(F.col("w") * (1 - F.col("g")) * F.col("p")).alias("fp"),
+                                           F.sum(F.col("w") * F.col("g") * (1 - F.col("p"))).alias("fn"))
+    return macro(prf(counts), "rep")
+
+
 def bootstrap_cells(cells: DataFrame, draws: DataFrame) -> DataFrame:
     """Weighted per-replicate tp/fp/fn per label from per-document cells
     (idx, label, g, p) and draw multiplicities (rep, idx, w). Documents with the same cells

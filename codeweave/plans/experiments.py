@@ -79,13 +79,7 @@ def distant_nb(s: DistantSetup, alpha: float = 0.001, t: float = 0.1) -> DataFra
 def distant_predict(s: DistantSetup, method: str = "mnb") -> DataFrame:
     """Classifier chosen by name, one contract."""
     train_y = s.desc_w.select("id").distinct().withColumn("label", F.col("id"))
-    if method == "mnb":
-        return distant_nb(s)
-    if method == "bnb":
-        return M.binary_nb(s.desc_w, train_y, s.test_ids, s.test_x, s.vocab, s.vocab_size)
-    if method == "centroid":
-        return M.nearest_centroid_sparse(s.desc_w, train_y, s.test_ids, s.test_x)
-    raise KeyError(method)
+    return M.classify(method, s.desc_w, train_y, s.test_ids, s.test_x, s.vocab)
 
 
 def distant_run(spark: SparkSession, sf_dir: str, method: str = "mnb", **kw) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators import classify as M
 from ..operators import evaluate as E
 from ..operators import relate as J
 from ..operators.sample import multilabel_split
@@ -190,6 +191,23 @@ def m06_tfidf(spark, d):
     return rounded(s.predict(["knn"]).select("id", "label", "pred", "score"))
 
 
+def _svm_on_split(spark, d, method):
+    s = _single_split(spark, d)
+    one = s.train_y.select("id", "label"), s.test_ids.select("id"), s.test_x.drop("key"), s.vocab.select("term")
+    return rounded(M.classify(method, s.train_x.drop("key"), *one))
+
+
+@query("m03_svm_tfidf")
+def m03_tfidf(spark, d):
+    """Rows-only: random features have no SQL twin; tests hold the solver against the optimum of every class."""
+    return _svm_on_split(spark, d, "svm")
+
+
+@query("m04_binary_svm_tfidf")
+def m04_tfidf(spark, d):
+    return _svm_on_split(spark, d, "bsvm")
+
+
 @query("m13_classifier_dispatch", " UNION ALL ".join(
     f"""(WITH {_sup_ctes(_DT.format('NOT is_test'), _DT.format('is_test'), m, 'ce')}
 SELECT '{m}' AS method, label, count(*) FILTER (WHERE pred) AS n_pred, round(sum(score), 4) AS total FROM ms GROUP BY label)""" for m in METHODS))

@@ -326,6 +326,13 @@ def e12(spark, d):
     return rounded(E.confidence_interval(_boot(s, p)))
 
 
+@query("e12_bootstrap_ci_outcomes")
+def e12_outcomes(spark, d):
+    """Rows-only: the same law by splitting over distinct outcomes (tests hold it against the multinomial)."""
+    s, p = _flag(spark, d)
+    return rounded(E.confidence_interval(E.bootstrap_metrics(s.gold, p, s.test_ids, BOOT_B, X06_SEED)))
+
+
 @query("e13_paired_bootstrap_pvalue", f"""WITH {PRED_SQL}, {BOOT_SQL},
 pred2 AS (SELECT id, label FROM scores WHERE score > 0.5),
 cells2 AS (SELECT idx, label, max(g) AS g, max(p) AS p FROM (SELECT id, label, 1 AS g, 0 AS p FROM tids
