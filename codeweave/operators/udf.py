@@ -56,3 +56,27 @@ def keyword_scorer(keywords: list) -> Callable:
             return np.stack([texts.str.count(" " + k + " ").to_numpy(dtype=np.float64) for k in keywords], axis=1)
         return score
     return make
+
+
+def score_chunks_best(chunks: DataFrame, make_scorer: Callable, labels: list, digits: int | None = None) -> DataFrame:
+    """(id, chunk_id, label, score): each chunk (id, chunk_id, text) with its best label by an injected scorer
+    (softmax; ties to the smaller label), row by row, so it also runs inside a stream."""
+    import numpy as np
+    import pandas as pd
+
+    lab = sorted(labels)
+    place = [list(labels).index(x) for x in lab]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = make_scorer()
+        for b in batches:
+            if len(b) == 0:
+                continue
+            z = np.asarray(scorer(b["text"]), dtype=np.float64)[:, place]
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p = p / p.sum(axis=1, keepdims=True)
+            p = p if digits is None else p.round(digits)
+            at = p.argmax(axis=1)
+            yield pd.DataFrame({"id": b["id"], "chunk_id": b["chunk_id"], "label": np.array(lab, dtype=object)[at], "score": p[np.arange(len(b)), at]})
+
+    return chunks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), "text").mapInPandas(run, "id long, chunk_id long, label string, score double")

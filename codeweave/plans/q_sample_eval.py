@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_hash
 from ..operators import evaluate as E
 from ..operators import sample as S
+from ..operators.scan import running
 from ..functions.hashing import SQL_SPAN
 from ..sources.tables import table
 from . import experiments as X
@@ -141,8 +142,9 @@ def x08(spark, d):
                      F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("pos", "token"))
     tk = tk.withColumn("is_target", F.col("token") == "the")
     top = tk.groupBy(F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("total"))
-    from pyspark.sql import Window
-    voc = top.select("term", (F.row_number().over(Window.orderBy(F.desc("total"), "term")) + 1).alias("token_id"))
+    # token ids in order of totals: ranges of (total, term), their sizes summed, numbered inside; no task sorts all terms
+    top = top.withColumn("often", -F.col("total"))
+    voc = running(top, [], ["often", "term"], {"nth": F.lit(1).cast("long")}).select("term", (F.col("nth") + 1).alias("token_id"))
     m = S.mask_tokens(tk, voc, X08_SEED)
     return m.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("input_id") == 1).cast("int")).cast("bigint").alias("n_mask"),
