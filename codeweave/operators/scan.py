@@ -65,3 +65,24 @@ def running(df: DataFrame, by: list, order: list, sums: dict[str, Column] | None
     first = F.row_number().over(w) == 1
     out += [F.when(first, F.col(f"_c_{n}.v")).otherwise(F.lag(f"_v_{n}").over(w)).alias(n) for n in previous]
     return j.select(*out)
+
+
+#: Rows of a group that one task may scan.
+LONG = 1_000_000
+
+
+def scanned(df: DataFrame, by: list, order: list, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
+            previous: dict[str, Column] | None = None, long_group: int | None = LONG) -> DataFrame:
+    """Like :func:`running`. Where no group has more than ``long_group`` rows (counted first) a window per group does,
+    with one shuffle; ``None`` says that groups are known to be short, as lines of one input row are."""
+    sums, lasts, previous = sums or {}, lasts or {}, previous or {}
+    if long_group is not None:
+        most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most > long_group:
+            return running(df, by, order, sums, lasts, previous)
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(*[c for c in df.columns if c not in sums | lasts | previous],
+                     *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(n) for n, c in sums.items()],
+                     *[F.last(c, ignorenulls=True).over(upto).alias(n) for n, c in lasts.items()],
+                     *[F.lag(c).over(w).alias(n) for n, c in previous.items()])

@@ -2,17 +2,19 @@
 
 Raw transcript = one text per document: 4 header lines (Date/File, Time,
 Duration, ID) then ``Speaker: text`` lines with continuation lines and
-``[...]`` info spans. Everything is Column expressions plus windows that are
-partitioned by document (a transcript is a document: its lines all come from one
-input row), so one shuffle on the document id serves every per-document window.
+``[...]`` info spans. Everything is Column expressions plus ordered scans per
+document: a window where documents are short (counted, or known because the lines all
+come from one input row), and block summaries with carried state (``scan.running``)
+where one document has more lines than a task should hold.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import _c
 from ..session import bounded_rows
+from .scan import LONG, scanned
 
 INFO = "info"
 # The record attributes a patient-table heading may fill, in order.
@@ -118,28 +120,26 @@ def parse_transcripts(raw: DataFrame, id_col: str = "id", text_col: str = "raw")
                       start_timestamp(d8, t6).alias("start_ts"),
                       duration_seconds(F.get(F.col("_l"), 2)).alias("duration_s"))
     body = l.select("id", F.posexplode(F.slice("_l", 5, 1 << 30)).alias("line_no", "line"))
-    turns = merge_turns(line_parts(body))
+    turns = merge_turns(line_parts(body, None), None)  # lines of one row
     return header, turns
 
 
-def line_parts(lines: DataFrame) -> DataFrame:
+def line_parts(lines: DataFrame, long_group: int | None = LONG) -> DataFrame:
     """D07+D08+D09: (id, line_no, line) -> (id, line_no, part_no, speaker, text)."""
-    s = lines.select("id", "line_no", speaker_split("line").alias("_s"))
-    w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.select("id", "line_no", F.last("_s.speaker", ignorenulls=True).over(w).alias("speaker"),
-                 F.col("_s.content").alias("content"))
+    s = lines.select("id", "line_no", speaker_split("line").alias("_s")).select("id", "line_no", F.col("_s.speaker").alias("own"), F.col("_s.content").alias("content"))
+    s = scanned(s, ["id"], ["line_no"], lasts={"speaker": F.col("own")}, long_group=long_group)
     p = s.select("id", "line_no", F.posexplode(bracket_parts(F.col("speaker"), F.col("content"))).alias("part_no", "p"))
     return p.select("id", "line_no", "part_no", F.col("p.speaker").alias("speaker"), F.col("p.text").alias("text"))
 
 
-def merge_turns(parts: DataFrame) -> DataFrame:
+def merge_turns(parts: DataFrame, long_group: int | None = LONG) -> DataFrame:
     """Merge a line's first part into the previous turn when the speaker is
     the same (gaps-and-islands); later parts of a line are never merged."""
-    w = Window.partitionBy("id").orderBy("line_no", "part_no")
-    merge = ((F.col("part_no") == 0) & F.lag("line_no").over(w).isNotNull()
-             & F.col("speaker").eqNullSafe(F.lag("speaker").over(w)))
-    m = parts.withColumn("_start", F.when(merge, 0).otherwise(1))
-    m = m.withColumn("turn_no", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    order = ["line_no", "part_no"]
+    m = scanned(parts, ["id"], order, previous={"_line": F.col("line_no"), "_speaker": F.col("speaker")}, long_group=long_group)
+    merge = (F.col("part_no") == 0) & F.col("_line").isNotNull() & F.col("speaker").eqNullSafe(F.col("_speaker"))
+    m = m.withColumn("_start", F.when(merge, 0).otherwise(1)).drop("_line", "_speaker")
+    m = scanned(m, ["id"], order, sums={"turn_no": F.col("_start")}, long_group=long_group).withColumn("turn_no", F.col("turn_no") - 1)
     g = m.groupBy("id", "turn_no").agg(
         F.max("speaker").alias("speaker"),
         F.sort_array(F.collect_list(F.struct("line_no", "part_no", "text"))).alias("_t"))
@@ -197,7 +197,7 @@ def parse_list_literal(s) -> Column:
     return F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
 
 
-def record_entries(rows: DataFrame) -> DataFrame:
+def record_entries(rows: DataFrame, long_group: int | None = LONG) -> DataFrame:
     """D12+D13: patient-table rows (id, row_no, c1, c2, c3, c4) -> one row per
     entry: (id, entry_no, date, <RECORD_FIELDS>).
 
@@ -219,15 +219,13 @@ def record_entries(rows: DataFrame) -> DataFrame:
     is_date = F.try_to_timestamp(first, F.lit("dd-MMM-yyyy")).isNotNull()
     r = r.select("id", "row_no", first.alias("first"), third.alias("third"), is_date.alias("is_date"),
                  F.to_date(F.try_to_timestamp(first, F.lit("dd-MMM-yyyy"))).alias("date"))
-    w = Window.partitionBy("id").orderBy("row_no")
-    skip = (F.col("first") == "Date") & (F.row_number().over(w) == 1)
-    r = r.withColumn("_skip", skip).filter(~F.col("_skip"))
+    # the heading row "Date" counts only as the first row of its record
+    lead = r.groupBy("id").agg(F.min("row_no").alias("_first"))
+    r = r.join(lead, "id").filter((F.col("first") != "Date") | (F.col("row_no") != F.col("_first"))).drop("_first")
     r = r.filter((F.length("first") > 0) | (F.length("third") > 0))
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("is_date"), F.lit("gp")).when(F.length("first") > 0, F.lower(F.translate("first", "- ", "__")))
-    r = r.select("id", "row_no", "third", "is_date", "date",
-                 F.sum(F.col("is_date").cast("int")).over(wr).alias("entry_no"),
-                 F.last(head, ignorenulls=True).over(wr).alias("heading"))
+    r = scanned(r, ["id"], ["row_no"], sums={"entry_no": F.col("is_date").cast("int")}, lasts={"heading": head}, long_group=long_group)
+    r = r.select("id", "row_no", "third", "is_date", "date", "entry_no", "heading")
     r = r.filter(F.col("entry_no") > 0)
     dates = r.filter("is_date").select("id", "entry_no", "date")
     texts = r.filter(F.col("heading").isin(RECORD_FIELDS) & (F.length("third") > 0))
