@@ -1,9 +1,11 @@
 """Evaluation (E01-E15) over long tables gold(id, label) and pred(id, label, pred[, score])."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def confusion_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Per label tp/fp/fn from gold (id,label) and predicted (id,label) sets.
@@ -75,15 +77,13 @@ def report(gold: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
     return micro.unionByName(mac).unionByName(wei).unionByName(samp)
 
 
-def roc_auc(gold: DataFrame, scores: DataFrame, ids: DataFrame, buckets: int = 256) -> DataFrame:
+def roc_auc(gold: DataFrame, scores: DataFrame, ids: DataFrame) -> DataFrame:
     """One-vs-rest ROC-AUC per label by the rank-sum (Mann-Whitney) formula
     with average ranks for ties. Documents without a score row count as score 0.
 
     Skew-safe ranking: scores first collapse to (label, score) rows with
-    positive/negative counts; those rows are bucketed at approximate quantiles of the
-    label's scores (any range, however they pile up), bucket totals are prefix-summed on
-    a small table, and only (label, bucket) windows run. The cut points only
-    balance the work; ranks are exact. Output (label, n_pos, n_neg, auc); auc is null for a one-sided label."""
+    positive/negative counts; those rows are dealt by ranges of (label, score) and their counts
+    summed up block by block (``scan.running``), however scores pile up. Output (label, n_pos, n_neg, auc); auc is null for a one-sided label."""
     n_docs = ids.select("id").distinct().count()
     g = gold.select("id", "label").distinct().withColumn("y", F.lit(1))
     s = scores.select("id", "label", F.col("score").cast("double").alias("score"))
@@ -95,16 +95,8 @@ def roc_auc(gold: DataFrame, scores: DataFrame, ids: DataFrame, buckets: int = 2
     miss = tot.select("label", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("np_"),
                       (F.lit(n_docs) - F.col("scored")).alias("n")).filter(F.col("n") > 0)
     col = col.unionByName(miss).groupBy("label", "score").agg(F.sum("np_").alias("np_"), F.sum("n").alias("n"))
-    at = [i / buckets for i in range(1, buckets)]
-    cuts = col.groupBy("label").agg(F.array_distinct(F.percentile_approx("score", at, 10_000)).alias("cuts"))
-    col = col.join(cuts, "label").withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("score")))).drop("cuts")
-    bt = col.groupBy("label", "b").agg(F.sum("n").alias("bn"))
-    bt = bt.withColumn("boff", F.coalesce(F.sum("bn").over(
-        Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    c = col.join(bt.select("label", "b", "boff"), ["label", "b"])
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("label", "b").orderBy("score")
-                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("avg_rank", F.col("boff") + before + (F.col("n") + 1) / 2.0)
+    c = running(col, ["label"], ["score"], {"upto": F.col("n")})
+    c = c.withColumn("avg_rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0)
     r = c.groupBy("label").agg(F.sum(F.col("np_") * F.col("avg_rank")).alias("rs"), F.sum("np_").alias("n_pos"),
                                F.sum("n").alias("n_all"))
     r = r.withColumn("n_neg", F.col("n_all") - F.col("n_pos")).filter(F.col("n_pos") > 0)

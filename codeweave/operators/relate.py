@@ -52,14 +52,28 @@ def linked_only(topics: DataFrame, link: DataFrame, topic: str) -> tuple[DataFra
     return topics.join(l, topic, "left_semi"), topics.join(l, topic, "left_anti")
 
 
+#: Most fine labels whose codes are held in a map expression; more go through a join.
+MAP_LABELS = 1000
+
+
 def fine_to_coarse(pred: DataFrame, mapping: DataFrame, fine: str = "label", coarse: str = "code",
-                   drop_code: str = "Z") -> DataFrame:
+                   drop_code: str = "Z", map_labels: int = MAP_LABELS) -> DataFrame:
     """Predicted fine labels mapped many-to-many to coarse codes; ``drop_code``
-    removed; duplicates collapsed. The mapping is a checked-size dimension."""
-    m = mapping.select(F.col(fine), F.col(coarse))
+    removed; duplicates collapsed.
+
+    Rows are reduced to the different labels of each document before codes fan out, and with at most
+    ``map_labels`` labels (counted) the codes of a document are united within its row, so the
+    fan-out itself is never shuffled. A larger mapping is joined after the same reduction."""
     cols = [c for c in pred.columns if c != fine]
-    return (pred.join(m, fine).filter(F.col(coarse) != drop_code)
-            .select(*cols, F.col(coarse).alias(fine)).distinct())
+    per = mapping.filter(F.col(coarse) != drop_code).groupBy(F.col(fine).alias("_label")).agg(F.collect_set(coarse).alias("_codes"))
+    rows = per.limit(map_labels + 1).collect()
+    if not rows or len(rows) > map_labels:
+        one = pred.select(*cols, F.col(fine).alias("_label")).distinct().join(per, "_label")
+        return one.select(*cols, F.explode("_codes").alias(fine)).distinct()
+    known = pred.filter(F.col(fine).isNotNull()).groupBy(*cols).agg(F.collect_set(fine).alias("_labels"))
+    table = F.map_from_arrays(F.array(*[F.lit(r["_label"]) for r in rows]), F.array(*[F.array(*[F.lit(c) for c in sorted(r["_codes"])]) for r in rows]))
+    codes = F.filter(F.transform("_labels", lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull())
+    return known.select(*cols, F.explode(F.array_distinct(F.flatten(codes))).alias(fine))
 
 
 def label_overlap(link: DataFrame, code: str, topic: str) -> DataFrame:

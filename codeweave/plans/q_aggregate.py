@@ -10,6 +10,7 @@ from ..operators import chunk as C
 from ..operators import vectorize as V
 from ..operators.sample import grouped_rank
 from ..functions.hashing import stable_hash
+from ..session import bounded_rows
 from ..sources.tables import table
 from . import experiments as X
 from .q_core import DISTANT_SQL, STOP
@@ -71,7 +72,7 @@ SELECT user_id AS id, array_to_string(list_transform(cs, lambda c: CASE WHEN lis
   AS onehot FROM ut, cls""")
 def a05(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("label"))
-    classes = [r["label"] for r in e.select("label").distinct().orderBy("label").collect()]
+    classes = [r["label"] for r in bounded_rows(e.select("label").distinct().orderBy("label"), 100_000, "classes")]
     oh = A.one_hot(e, classes)
     return oh.select("id", F.concat_ws(",", F.col("onehot").cast("array<string>")).alias("onehot"))
 

@@ -8,6 +8,7 @@ from ..operators import evaluate as E
 from ..operators import sample as S
 from ..operators.scan import running
 from ..functions.hashing import SQL_SPAN
+from ..session import bounded_rows
 from ..sources.tables import table
 from . import experiments as X
 from .q_core import DISTANT_SQL
@@ -117,7 +118,7 @@ x AS (SELECT rep, doc_id AS id, label FROM documents, l, (SELECT unnest(range(10
 SELECT rep, label, CAST(sum({sql_hash(X07_SEED, 'rep', 'id', 'label')} % 2) AS BIGINT) AS ones FROM x GROUP BY rep, label""")
 def x07(spark, d):
     docs = table(spark, d, "documents")
-    labels = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    labels = [r["lang"] for r in bounded_rows(docs.select("lang").distinct().orderBy("lang"), 100_000, "labels")]
     m = S.random_labels(docs.select(F.col("doc_id").alias("id")), labels, 1000, X07_SEED)
     return m.groupBy("rep", "label").agg(F.sum("flag").cast("bigint").alias("ones"))
 
@@ -289,7 +290,7 @@ m AS (SELECT rep, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS
 SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM m""")
 def e11(spark, d):
     docs = table(spark, d, "documents")
-    labels = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    labels = [r["lang"] for r in bounded_rows(docs.select("lang").distinct().orderBy("lang"), 100_000, "labels")]
     rnd = S.random_labels(docs.select(F.col("doc_id").alias("id")), labels, 1000, X07_SEED).filter("flag = 1")
     gold = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).select(
         "id", "label", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("rep"))

@@ -6,19 +6,25 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as D
 from ..sources import io as S
+from ..session import bounded_rows, ensure_checkpoint_dir
 from ..sources.tables import table
 from . import experiments as X
 from .q_core import DISTANT_SQL
 from .registry import query, rounded
 
+#: Most columns of a wide table.
+MAX_COLUMNS = 10_000
+
 
 @query("s01_read_or_build", """SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM conversations GROUP BY conv_id""")
 def s01(spark, d):
+    c = table(spark, d, "conversations")
+
     def build():
-        c = table(spark, d, "conversations")
         return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
-    return S.read_or_build(spark, S.scratch_path(spark, "prepared"), build)
+    # one place for all calls: a second call over the same files reads what the first one built
+    return S.read_or_build(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/codeweave-out/prepared-turns", build, [c], "turn counts 1")
 
 
 def _s04_sql():
@@ -64,7 +70,7 @@ def s04(spark, d):
     from .q_structure import patient_rows
     e = D.record_entries(patient_rows(spark, d)).select("id", "entry_no", "date", "gp", "lab_results", "medication")
     path = S.scratch_path(spark, "records")
-    S.write_json_per_id(e.withColumn("date", F.date_format("date", "yyyy-MM-dd")), path)
+    S.write_json_by_id(e.withColumn("date", F.date_format("date", "yyyy-MM-dd")), path)
     schema = StructType([StructField("entry_no", LongType()), StructField("date", StringType()),
                          StructField("gp", StringType()), StructField("lab_results", StringType()),
                          StructField("medication", StringType()), StructField("id", LongType())])
@@ -106,7 +112,7 @@ def s09(spark, d):
 FROM part""")
 def s10(spark, d):
     p = table(spark, d, "part").select("p_type", F.lower(F.split("p_name", " ").getItem(0)).alias("w"))
-    words = [r["w"] for r in p.select("w").distinct().orderBy("w").collect()]
+    words = [r["w"] for r in bounded_rows(p.select("w").distinct().orderBy("w"), MAX_COLUMNS, "matrix columns")]
     wide = p.groupBy("p_type").pivot("w", words).agg(F.lit(1)).withColumn("*", F.lit(1))
     return S.matrix_to_links(wide, "p_type")
 
@@ -162,7 +168,7 @@ long AS (SELECT t.id, c.k, CASE WHEN g.id IS NOT NULL THEN 1 ELSE 0 END AS gold,
 def _wide(spark, d):
     s = X.distant_setup(spark, d)
     p = X.distant_nb(s)
-    classes = [r["label"] for r in s.desc_w.select(F.col("id").alias("label")).distinct().orderBy("label").collect()]
+    classes = [r["label"] for r in bounded_rows(s.desc_w.select(F.col("id").alias("label")).distinct().orderBy("label"), MAX_COLUMNS, "classes")]
     return S.wide_predictions(s.gold, p, s.test_ids, classes), len(classes)
 
 

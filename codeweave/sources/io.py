@@ -29,49 +29,90 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
-def read_or_build(spark: SparkSession, path: str, build, schema=None) -> DataFrame:
-    """Read the prepared table if it exists, else build, write (parquet,
-    overwrite) and read it back."""
-    if not _exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
+def fingerprint(inputs: list[DataFrame], version: str = "") -> str:
+    """Digest of the files the inputs are read from (path, length, modification time) and of ``version``, which stands
+    for whatever else the prepared table depends on. Folders are listed, no file is opened."""
+    import hashlib
+    seen = []
+    for df in inputs:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        files = set(df.inputFiles())
+        for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            for st in p.getFileSystem(conf).listStatus(p):
+                name = f"{folder}/{st.getPath().getName()}"
+                if name in files or jvm.java.net.URI(name).getPath() in {jvm.java.net.URI(f).getPath() for f in files}:
+                    seen.append(f"{name}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha256("\n".join([version, *sorted(seen)]).encode()).hexdigest()[:24]
+
+
+def read_or_build(spark: SparkSession, path: str, build, inputs: list[DataFrame] | None = None, version: str = "", schema=None) -> DataFrame:
+    """The prepared table of these inputs if it was written to its end, else build, write and read it back.
+
+    Every state of the inputs has a folder of its own below ``path``, named by its fingerprint, so changed inputs
+    are built anew and an older table is never mistaken for theirs. The marker that the writing job leaves at
+    its commit is checked first: a table whose writing was broken off is built again."""
+    target = f"{path.rstrip('/')}/{fingerprint(inputs or [], version)}"
+    if not _exists(spark, f"{target}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(target)
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.parquet(path)
+    return r.parquet(target)
+
+
+#: Ends a transcript within a bundle: a line that holds the record separator alone.
+RECORD_END = "\n\x1e\n"
 
 
 def write_transcripts(turns: DataFrame, path: str, id_col: str = "id") -> None:
-    """One text file per transcript (partitioned by id): start, duration,
-    then alternating speaker / utterance lines (the id is the partition value)."""
+    """Transcripts in bundles, as many files as the job has partitions. Each is one record: id, start,
+    duration, then alternating speaker and utterance lines. A line break or record separator inside a field becomes a blank. Beside
+    the bundles, ``_index`` tells which file holds an id."""
     body = turns.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("turn_no", "speaker", "utterance"))).alias("_t"),
         F.first("start").alias("start"), F.first("duration").alias("duration"))
-    text = F.concat_ws("\n", F.col("start"), F.col("duration"),
-                       F.concat_ws("\n", F.flatten(F.transform("_t", lambda e: F.array(e["speaker"], e["utterance"])))))
-    body.select(id_col, text.alias("value")).write.mode("overwrite").partitionBy(id_col).text(path)
-
-
-def read_transcripts(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
-    """Whole-file read; line 1 start (time only if ':' present), line 2
-    duration, then (speaker, utterance) line pairs -> (id, start, duration,
-    turn_no, speaker, utterance)."""
-    raw = spark.read.text(path, wholetext=True)
-    raw = raw.withColumn(id_col, F.regexp_extract(F.col("_metadata.file_path"), f"{id_col}=([^/]+)", 1))
-    l = raw.select(id_col, F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("l"))
-    start = F.get(F.col("l"), 0)
-    hdr = l.select(id_col, F.when(start.contains(":"), F.try_to_timestamp(start, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    def line(c):
+        return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[\r\n\x1e]", " ")
+    lines = F.concat(F.array(line(F.col(id_col)), line(F.col("start")), line(F.col("duration"))),
+                     F.flatten(F.transform("_t", lambda e: F.array(line(e["speaker"]), line(e["utterance"])))))
+    body.select(F.array_join(lines, "\n").alias("value")).write.mode("overwrite").option("lineSep", RECORD_END).text(f"{path}/bundles")
+    files = _records(turns.sparkSession, f"{path}/bundles").select(F.get("l", 0).alias("id"), F.col("file"))
+    files.write.mode("overwrite").parquet(f"{path}/_index")
+
+
+def _records(spark: SparkSession, files) -> DataFrame:
+    raw = spark.read.option("lineSep", RECORD_END).text(files)
+    return raw.filter(F.length("value") > 0).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("l"))
+
+
+def read_transcripts(spark: SparkSession, path: str, id_col: str = "id", ids: list | None = None) -> DataFrame:
+    """Line 1 id, 2 start (with a time only if ':' is in it), 3 duration, then (speaker, utterance) line pairs ->
+    (id, start, duration, turn_no, speaker, utterance). For a few ``ids`` only the files that hold them are read."""
+    files = f"{path}/bundles"
+    if ids is not None:
+        held = spark.read.parquet(f"{path}/_index").filter(F.col("id").isin([str(i) for i in ids])).select("file").distinct()
+        files = [r["file"] for r in held.collect()]  # one row per asked id at most
+        if not files:
+            return read_transcripts(spark, path, id_col).limit(0)
+    l = _records(spark, files)
+    if ids is not None:
+        l = l.filter(F.get("l", 0).isin([str(i) for i in ids]))
+    start = F.get(F.col("l"), 1)
+    hdr = l.select(F.get("l", 0).alias(id_col), F.when(start.contains(":"), F.try_to_timestamp(start, F.lit("yyyy-MM-dd HH:mm:ss")))
                    .otherwise(F.try_to_timestamp(start, F.lit("yyyy-MM-dd"))).alias("start"),
-                   F.get(F.col("l"), 1).alias("duration"), F.slice("l", 3, 1 << 30).alias("b"))
-    pairs = hdr.select(id_col, "start", "duration", F.posexplode("b").alias("k", "line"))
-    w = Window.partitionBy(id_col).orderBy("k")
-    p = pairs.withColumn("utterance", F.lead("line").over(w)).filter(F.col("k") % 2 == 0)
-    return p.select(id_col, "start", "duration", (F.col("k") / 2).cast("int").alias("turn_no"),
-                    F.col("line").alias("speaker"), "utterance")
+                   F.get(F.col("l"), 2).alias("duration"), F.slice("l", 4, 1 << 30).alias("b"))
+    # pairs within the row: no window, no shuffle
+    pairs = F.transform(F.sequence(F.lit(0), F.size("b") - 2, F.lit(2)), lambda i: F.struct(
+        (i / 2).cast("int").alias("turn_no"), F.get("b", i).alias("speaker"), F.get("b", i + 1).alias("utterance")))
+    return hdr.filter(F.size("b") >= 2).select(id_col, "start", "duration", F.inline(pairs))
 
 
-def write_json_per_id(df: DataFrame, path: str, id_col: str = "id") -> None:
-    """JSON lines, one folder per id; UTF-8 text, nothing escaped to ASCII."""
-    df.write.mode("overwrite").partitionBy(id_col).json(path)
+def write_json_by_id(df: DataFrame, path: str, id_col: str = "id") -> None:
+    """JSON lines in bundles, each a range of ids in their order (no folder or file per id, and readers skip
+    nothing but what they filter); UTF-8 text, nothing escaped to ASCII."""
+    df.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema, date_cols=(), date_format: str = "yyyy-MM-dd") -> DataFrame:
