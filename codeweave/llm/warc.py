@@ -7,11 +7,12 @@ Writing: payloads that occur more than once are found on (digest, page id) rows,
 map-side, so a payload that a third of all pages share is one row; the pages then meet the
 duplicate digests in a join that adaptive execution splits. Each task rolls its records into
 archives of at most about ``ARCHIVE_BYTES`` and trains each archive's dictionary on the first
-``SAMPLE_RECORDS`` records of it (a documented bound; the dictionary only changes the size). Files carry
-the task attempt in their names, and only those of committed tasks are in the manifest,
-so lost or repeated tasks leave nothing that a reader would see twice.
+``SAMPLE_RECORDS`` records of it (a documented bound; the dictionary only changes the size). Archives
+are written by Spark itself, one to a file, into any file system it can write to: its text writer
+puts the bytes out as they are, and as line end a skippable frame without content, which every Zstandard reader
+passes over. Its commit of tasks and of the job keeps the files of lost or repeated tasks out of the folder.
 
-Reading: one task per archive; the archive, bounded by its size, is split at frame borders
+Reading: Spark lists and reads the files; an archive, bounded by its size, is split at frame borders
 by walking block headers, each frame is decoded with the archive's dictionary, and version,
 required headers, lengths and the payload digest are validated.
 
@@ -22,17 +23,19 @@ no WARC-Target-URI and reads back as null; an empty table gives no archives and
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import struct
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, own_columns, scratch, stage
+from .common import load, own_columns, scratch
 
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
+#: Skippable frame without content (magic 0x184D2A50, length 0); all its bytes are ASCII.
+EMPTY_FRAME = b"P*M\x18\0\0\0\0"
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_RECORDS = 200
 SAMPLE_BYTES = 1 << 20
@@ -175,14 +178,8 @@ def read_archive(buf: bytes):
         yield dc.decompress(buf[a:b])
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes archives below ``folder`` (a URI all executors reach) and returns the manifest
-    (path, records) of the committed ones."""
+    """Writes archives to the new folder ``folder`` and returns them as rows (path, length, content)."""
     p = own_columns(pages, page_id=("page_id", "long"), url=("url", "string"), html=("html", "string"))
     p = p.withColumn("html", F.coalesce("html", F.lit("")))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("n", F.octet_length("html").cast("long"))
@@ -195,21 +192,12 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
-        t = TaskContext.get()
-        tag, seq = f"{t.partitionId():05d}-{t.taskAttemptId()}-{uuid.uuid4().hex[:8]}", 0
-        fs, base = _filesystem(folder)
-        fs.create_dir(base, recursive=True)
         held, size = [], 0
 
         def flush():
-            nonlocal held, size, seq
-            name = f"part-{tag}-{seq:04d}.warc.zst"
-            with fs.open_output_stream(f"{base}/{name}") as out:
-                write_archive(held, out)
-            row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [len(held)]})
-            held, size, seq = [], 0, seq + 1
-            return row
+            out = io.BytesIO()
+            write_archive(held, out)
+            return pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["content"])
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "n")]
             for row in zip(*cols):
@@ -217,29 +205,35 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
-    return stage(j.mapInArrow(run, "path string, records long"), "warc-manifest")
+    archives = j.mapInArrow(run, "content binary").select(F.col("content").cast("string"))
+    archives.write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("maxRecordsPerFile", 1).text(folder)
+    return open_warc(pages.sparkSession, folder)
+
+
+def open_warc(spark, folder: str) -> DataFrame:
+    """(path, length, content) of the archives in a folder."""
+    return spark.read.format("binaryFile").load(folder).filter("length > 0").select("path", "length", "content")
 
 
-def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """Rows of all records in the manifest's archives: page_id, url, payload_bytes,
+def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
+    """Rows of all records in archives (content): page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, problem (null if valid), and the payload if asked."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            for path in b.column("path").to_pylist():
-                fs, p = _filesystem(path)
-                with fs.open_input_stream(p) as f:
-                    buf = f.read()
+            for i in range(b.num_rows):
+                buf = b.column("content")[i].as_py()
                 got = []
                 for raw in read_archive(buf):
                     try:
                         got.append(parse_record(raw) | {"problem": None})
                     except ValueError as e:
                         got.append({"problem": str(e)})
-                for i in range(0, len(got), 1000):
-                    part = got[i:i + 1000]
+                for at in range(0, len(got), 1000):
+                    part = got[at:at + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array([x.get(k) for x in part], kind) for k, kind in cols],
                                                      names=[k for k, _ in cols])
     import pyarrow as pa
@@ -249,8 +243,7 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     if payloads:
         cols.append(("payload", pa.binary()))
         schema += ", payload binary"
-    archives = manifest.count()
-    return manifest.select("path").repartition(max(1, archives), "path").mapInArrow(run, schema)
+    return archives.select("content").mapInArrow(run, schema)
 
 
 def op7_warc(spark, sf_dir):

@@ -251,7 +251,9 @@ def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "2 AS n", "'y' AS payload")
     m = warc.write_warc(df, f"file://{tmp_path}/w", archive_bytes=1000)
     assert m.count() > 2
-    got = warc.read_warc(m, payloads=True).collect()
+    for r in m.collect():  # whole files are valid Zstandard streams that begin with the dictionary
+        assert bytes(r["content"][:4]) == b"]*M\x18" and bytes(r["content"]).endswith(warc.EMPTY_FRAME) and list(warc.read_archive(bytes(r["content"])))
+    got = warc.read_warc(warc.open_warc(spark, f"file://{tmp_path}/w"), payloads=True).collect()
     assert len(got) == len(rows) and all(r["problem"] is None for r in got)
     first = {}
     for i, u, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
