@@ -211,8 +211,9 @@ def dedup_against(old: DataFrame, new: DataFrame, shard_keys: int = SHARD_KEYS)
     hits = stage(folded.filter("is_new").select("id", "txt", "sha").join(rivals, "sha"), "hits")
     # bytes of both sides, only for rows that hit: same digest, other bytes would be another text
     theirs = _texts(new, "id", "txt", "b").join(hits.select("id", "txt"), ["id", "txt"], "left_semi").select("id", "txt", _norm("b").alias("new_norm"))
-    ours = _texts(old, "old_id", "old_txt", "b").dropDuplicates(["old_id", "old_txt"]).join(
-        rivals.select("old_id", "old_txt"), ["old_id", "old_txt"], "left_semi").select("old_id", "old_txt", _norm("b").alias("old_norm"))
+    # written, so that the next join has no aggregate beside it and a rival of many documents is split
+    ours = stage(_texts(old, "old_id", "old_txt", "b").dropDuplicates(["old_id", "old_txt"]).join(
+        rivals.select("old_id", "old_txt"), ["old_id", "old_txt"], "left_semi").select("old_id", "old_txt", _norm("b").alias("old_norm")), "rivals")
     differ = (hits.join(theirs, ["id", "txt"]).join(ours, ["old_id", "old_txt"]).filter(F.col("new_norm") != F.col("old_norm"))
               .select("id", "txt", "sha", F.lit(True).alias("is_new"), F.lit(1).alias("other")).distinct())
     folded = folded.join(differ, ["id", "txt", "sha", "is_new"], "left").withColumn("grp", F.coalesce("other", F.lit(0))).drop("other")
