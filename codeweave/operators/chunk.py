@@ -1,9 +1,9 @@
 """Chunking (C01-C04): greedy non-overlapping packing of ordered units.
 
-A document's units live in one row (array), so packing is an in-row fold
+Where a document's units live in one row (array), packing is an in-row fold
 (``aggregate``) with state (chunk_no, running_tokens, assignments) and the chunk
-texts are assembled in-row too: no shuffle. Limit: one document's units must fit
-in a row (documents, not corpora, are the unit of work).
+texts are assembled in-row too: no shuffle. ``pack_rows`` packs units that come as rows,
+for documents longer than a row or a task should hold.
 """
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import let
 from ..functions.text import word_count
+from .scan import running, written
 
 
 def chunk_assignments(units, max_tokens: int) -> Column:
@@ -60,3 +61,38 @@ def keep_docs_with_chunks(chunks: DataFrame, id_col: str, more_than: int = 2) ->
     """Keep documents with more than ``more_than`` chunks."""
     n = F.count(F.lit(1)).over(Window.partitionBy(id_col))
     return chunks.withColumn("_n", n).filter(F.col("_n") > more_than).drop("_n")
+
+
+def pack_rows(units: DataFrame, max_tokens: int, blocks: int | None = None) -> DataFrame:
+    """C01 over rows (id, pos, s): (id, chunk_id, text, n_units), as :func:`pack_units` packs the same units in one row.
+
+    A chunk that starts at unit i ends before the first later unit j with tokens(i..j) >= max, so each unit
+    knows the start of the next chunk if one started at it: with running sums S that is the first j
+    with S_j >= S_(i-1) + max, found for all units by one ordered scan over sums and thresholds. The
+    chunks that really start are those reached from the first unit; they are found by pointer
+    doubling, all documents at once, in as many rounds as the logarithm of the most chunks. No task
+    holds more of a document than a block of the scans, and no fold runs along it."""
+    u = units.select("id", "pos", "s", word_count(F.col("s")).cast("long").alias("t"))
+    u = written(running(u, ["id"], ["pos"], {"n": F.lit(1).cast("long"), "sum": F.col("t")}, blocks=blocks), "units")
+    null = F.lit(None).cast("long")
+    ends = u.select("id", (-F.col("sum")).alias("v"), F.lit(0).alias("kind"), (-F.col("n")).alias("m"), F.col("n").alias("unit"))
+    asks = u.select("id", (F.col("t") - F.col("sum") - max_tokens).alias("v"), F.lit(1).alias("kind"), (-F.col("n")).alias("m"), null.alias("unit"))
+    # from large sums to small: the last unit seen is the first one that reaches the threshold
+    seen = running(ends.unionByName(asks), ["id"], ["v", "kind", "m"], lasts={"nxt": F.col("unit")}, blocks=blocks)
+    first = F.greatest("nxt", 1 - F.col("m"))  # an over-long unit stands alone
+    last = u.groupBy("id").agg(F.max("n").alias("last"))
+    jump = seen.filter("kind = 1 and nxt is not null").select("id", (-F.col("m")).alias("n"), first.alias("nxt"))
+    jump = written(jump.join(last, "id").filter(F.col("nxt") <= F.col("last")).select("id", "n", "nxt"), "jumps")
+    starts = written(u.filter("n = 1").select("id", "n"), "starts")
+    while True:
+        new = written(starts.join(jump, ["id", "n"]).select("id", F.col("nxt").alias("n")), "starts")
+        if not new.head(1):
+            break
+        starts = starts.unionByName(new)
+        far = jump.select("id", F.col("n").alias("nxt"), F.col("nxt").alias("far"))
+        jump = written(jump.join(far, ["id", "nxt"]).select("id", "n", F.col("far").alias("nxt")), "jumps")
+    marked = u.join(starts.withColumn("start", F.lit(1).cast("long")), ["id", "n"], "left")
+    c = running(marked, ["id"], ["n"], {"chunk": F.col("start")}, blocks=blocks)
+    out = c.groupBy("id", "chunk").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("p"), F.min_by("t", "n").alias("t"), F.count(F.lit(1)).cast("int").alias("n_units"))
+    space = F.when((F.col("chunk") == 1) & (F.col("t") < max_tokens), F.lit(" ")).otherwise(F.lit(""))
+    return out.select("id", (F.col("chunk") - 1).cast("int").alias("chunk_id"), F.concat(space, F.concat_ws(" ", F.transform("p", lambda e: e["s"]))).alias("text"), "n_units")

@@ -205,6 +205,15 @@ def c01(spark, d):
     return _doc_chunks(spark, d).drop("lang")
 
 
+@query("c01_pack_rows", f"""WITH RECURSIVE {SENT_UNITS}, {pack_sql('units')}
+SELECT id, chunk_id, text, n_units FROM chunks""")
+def c01_rows(spark, d):
+    """The same chunks from sentences as rows: next-chunk pointers and pointer doubling, for documents of any length."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    ch = C.pack_rows(docs, MAX_TOK)
+    return ch.select("id", F.col("chunk_id").cast("bigint"), "text", F.col("n_units").cast("bigint"))
+
+
 @query("c02_labelled_chunks", f"""WITH RECURSIVE {SENT_UNITS}, {pack_sql('units')}
 SELECT c.id, c.chunk_id, d.lang AS label, CAST(count(*) OVER (PARTITION BY c.id) AS BIGINT) AS n_chunks
 FROM chunks c JOIN documents d ON d.doc_id = c.id""")
