@@ -129,39 +129,3 @@ def test_svm_decision_rules(spark, data):
     for x in several:
         p = 1 / (1 + math.exp(-margin[x["id"], x["label"]]))
         assert abs(x["score"] - p) < 1e-3 and (x["pred"] == (x["score"] > 0.1))
-
-
-def test_keyed_methods_equal_single_runs(spark, data):
-    from codeweave.operators import classify as M
-    from codeweave.operators import keyed as K
-    train, test, labels = data
-    x, t = long_rows(spark, train), long_rows(spark, test)
-    y = spark.createDataFrame(list(labels.items()), "id long, label string")
-    ids = spark.createDataFrame([(i,) for i in test], "id long")
-    vocab = x.select("term").distinct()
-    half = F.col("id") % 2 == 0
-
-    def keyed(df, flt=True):
-        a = df.withColumn("key", F.lit("all"))
-        return a.unionByName(df.filter(half).withColumn("key", F.lit("even"))) if flt else a.unionByName(df.withColumn("key", F.lit("even")))
-    kx, ky, kv = keyed(x), keyed(y), x.select("term", "id").transform(keyed).select("key", "term").distinct()
-    got = K.predict(["mnb", "bnb", "centroid", "knn"], kx, ky, keyed(ids, False), keyed(t, False).join(kv, ["key", "term"], "left_semi"), kv).collect()
-    for key, flt in (("all", F.lit(True)), ("even", half)):
-        for method in ("mnb", "bnb", "centroid", "knn"):
-            v = x.filter(flt).select("term").distinct()
-            want = M.classify(method, x.filter(flt), y.filter(flt), ids, t.join(v, "term", "left_semi"), v).collect()
-            a = {(r["id"], r["label"]): (r["pred"], round(r["score"], 7)) for r in want if r["score"] or r["pred"]}
-            b = {(r["id"], r["label"]): (r["pred"], round(r["score"], 7)) for r in got if r["key"] == key and r["method"] == method and (r["score"] or r["pred"])}
-            assert a == b, (method, key)
-
-
-def test_codes_of_a_document_are_united_either_way(spark):
-    from codeweave.operators import relate as J
-    r = random.Random(3)
-    pred = [(r.randrange(30), r.choice("abcdefg")) for _ in range(200)] + [(99, None), (98, "unknown")]
-    links = [(x, str(r.randrange(12))) for x in "abcdef" for _ in range(4)] + [("a", "Z")]
-    p, m = spark.createDataFrame(pred, "id long, label string"), spark.createDataFrame(links, "label string, code string")
-    want = sorted({(i, c) for i, x in pred for y, c in links if x == y and c != "Z"})
-    for most in (1000, 3):
-        assert sorted(map(tuple, J.fine_to_coarse(p, m, map_labels=most).select("id", "label").collect())) == want
-    assert J.fine_to_coarse(p, m.limit(0)).collect() == []
