@@ -211,17 +211,19 @@ def record_entries(rows: DataFrame, long_group: int | None = LONG) -> DataFrame:
     pick = F.array_position(F.transform(cells, lambda x: (F.coalesce(F.length(x), F.lit(0)) > 0)
                                         & (x != F.col("c1"))), True)
     # rows in which no cell differs say nothing: the next row decides
-    idx = (rows.filter(first_ok).withColumn("_pick", F.nullif(pick, F.lit(0).cast("bigint"))).filter("_pick is not null")
-           .groupBy("id").agg(F.min_by("_pick", "row_no").alias("_idx")))
+    picks = F.when(first_ok & (pick > 0), F.col("row_no"))
+    idx = rows.groupBy("id").agg(F.min_by(pick, picks).alias("_idx"), F.min("row_no").alias("_first"))
+    if long_group is not None:  # records are counted before any text is looked at
+        most = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        long_group = None if most <= long_group else 0
     r = rows.join(idx, "id", "left")
     first = strip_ws("c1")
     third = strip_ws(F.coalesce(F.get(cells, F.col("_idx") - 1), F.lit("")))
     is_date = F.try_to_timestamp(first, F.lit("dd-MMM-yyyy")).isNotNull()
-    r = r.select("id", "row_no", first.alias("first"), third.alias("third"), is_date.alias("is_date"),
+    r = r.select("id", "row_no", "_first", first.alias("first"), third.alias("third"), is_date.alias("is_date"),
                  F.to_date(F.try_to_timestamp(first, F.lit("dd-MMM-yyyy"))).alias("date"))
-    # the heading row "Date" counts only as the first row of its record
-    lead = r.groupBy("id").agg(F.min("row_no").alias("_first"))
-    r = r.join(lead, "id").filter((F.col("first") != "Date") | (F.col("row_no") != F.col("_first"))).drop("_first")
+    # a heading "Date" in the first row is skipped
+    r = r.filter((F.col("first") != "Date") | ~F.col("row_no").eqNullSafe(F.col("_first"))).drop("_first")
     r = r.filter((F.length("first") > 0) | (F.length("third") > 0))
     head = F.when(F.col("is_date"), F.lit("gp")).when(F.length("first") > 0, F.lower(F.translate("first", "- ", "__")))
     r = scanned(r, ["id"], ["row_no"], sums={"entry_no": F.col("is_date").cast("int")}, lasts={"heading": head}, long_group=long_group)
