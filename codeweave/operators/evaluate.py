@@ -215,12 +215,11 @@ def multinomial_outcomes(outcomes: DataFrame, reps: int, seed=0) -> DataFrame:
                         nodes.append(child)
                         counts.append(drawn)
             yield pa.RecordBatch.from_arrays([pa.array(reps_, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=["rep", "node", "w"])
-    spark = outcomes.sparkSession
     drawn = levels[-1].select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("rep"), F.col("node").cast("bigint"), F.col("m").cast("bigint").alias("w"))
     for at in reversed(range(depth)):
         kids = levels[at].groupBy(F.floor(F.col("node") / FAN).cast("bigint").alias("node")).agg(
             F.collect_list(F.struct(F.col("node").cast("bigint").alias("node"), F.col("m").cast("bigint").alias("m"))).alias("kids"))  # FAN at most
-        drawn = drawn.repartition(spark.sparkContext.defaultParallelism, "rep").join(kids, "node").mapInArrow(partial(split, level=at), "rep long, node long, w long")
+        drawn = drawn.repartition("rep").join(kids, "node").mapInArrow(partial(split, level=at), "rep long, node long, w long")
     return drawn.join(leaves.select("node", "o"), "node").select("rep", "o", "w")
 
 

@@ -35,6 +35,12 @@ def fingerprint(inputs: list[DataFrame], version: str = "") -> str:
     import hashlib
     seen = []
     for df in inputs:
+        try:
+            df.sparkSession.sparkContext._jvm
+        except Exception:  # sessions without a classic SparkContext: the reader's own file columns
+            m = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+            seen += ["|".join(map(str, r)) for r in m.collect()]  # one row per file
+            continue
         jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         files = set(df.inputFiles())
         for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
