@@ -24,6 +24,17 @@ def stable_hash(seed, *keys) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
+def key_text(*keys) -> Column:
+    """The part of the hashed text that ``keys`` make, each with the bar before it (nulls leave none)."""
+    return F.concat(*[F.coalesce(F.concat(F.lit("|"), _c(k).cast("string")), F.lit("")) for k in keys])
+
+
+def stable_bit(head, rest) -> Column:
+    """``stable_hash(...) % 2`` as an int, of the two parts of the hashed text; read off the last of the
+    hexadecimal digits, so that no number is parsed."""
+    return F.substring(F.md5(F.concat(_c(head), _c(rest))), 15, 1).isin(*"13579bdf").cast("int")
+
+
 def unit_uniform(seed, *keys) -> Column:
     """Uniform [0,1) from the hash."""
     return stable_hash(seed, *keys) / F.lit(float(SPAN))

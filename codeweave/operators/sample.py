@@ -8,11 +8,11 @@ table), prefix sums give each bucket's offset, and ``row_number`` runs inside
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import HASH_BITS, stable_hash, unit_uniform
-from ..session import bounded_rows
+from ..functions.hashing import HASH_BITS, key_text, stable_bit, stable_hash, unit_uniform
+from ..session import bounded_rows, dealt
 from ..sources.io import scratch_path
 
 BUCKET_BITS = 12
@@ -167,12 +167,16 @@ def balanced_negatives(items: DataFrame, exclude: DataFrame, seed=0) -> tuple[Da
     return posr.unionByName(neg), report
 
 
-def random_labels(ids: DataFrame, labels: list, reps: int, seed=0) -> DataFrame:
-    """Fair-coin label matrix per replicate: (rep, id, label, flag)."""
-    arr = F.array(*[F.lit(l) for l in labels])
-    x = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    x = x.select("rep", "id", F.explode(arr).alias("label"))
-    return x.withColumn("flag", (stable_hash(seed, "rep", "id", "label") % 2).cast("int"))
+def random_labels(ids: DataFrame, labels: list, reps: int, seed=0, cols: dict[str, Column] | None = None) -> DataFrame:
+    """Fair-coin label matrix per replicate: (rep, id, label, flag). ``cols`` are more columns of ``ids`` and
+    ``label``; they are computed per (id, label), before replicates are expanded."""
+    cols = cols or {}
+    x = ids.withColumn("label", F.explode(F.array(*[F.lit(l) for l in labels]))).withColumns(cols)
+    # by both columns: a deal by id alone is dropped after a grouping by id, and that one is merged to few partitions
+    x = dealt(x.select("id", "label", *cols), "id", "label")
+    # the text of (id, label) is made once, not once per replicate
+    x = x.select("id", "label", *cols, key_text("id", "label").alias("_rest"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    return x.select("rep", "id", "label", *cols, stable_bit(F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string")), "_rest").alias("flag"))
 
 
 def mask_tokens(tokens: DataFrame, vocab: DataFrame, seed=0, mask_id: int = 1, unk_id: int = 0) -> DataFrame:

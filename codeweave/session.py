@@ -70,6 +70,16 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str = "dimension") -> list:
     return rows
 
 
+def dealt(df: DataFrame, *keys: str, times: int = 4) -> DataFrame:
+    """Narrow rows that the next step expands a lot: dealt on ``keys`` to ``times`` partitions a core, whatever their
+    present size (a small table would be merged into one partition and expanded in one task)."""
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # no classic SparkContext: the session's own number of partitions
+        par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(times * par, *keys)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Under-split input (e.g. a text table stored as one row group) would run its
     per-row text work on one core. Only then, hash-repartition on ``keys`` to the
