@@ -94,19 +94,54 @@ def fit_vocabulary(counts: DataFrame, max_features: int = 5000, n_docs: int | No
         (F.log((F.lit(1.0 + n_docs)) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """tf*idf on the fitted vocabulary, L2-normalised per id; unseen terms
-    dropped; a document with no vocabulary term has no rows (zero vector)."""
+def weighted(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, term, w): tf*idf on the fitted vocabulary, not yet of unit length; no shuffle."""
     v = F.broadcast(vocab.select("term", "idf"))  # bounded by max_features
-    raw = counts.join(v, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return counts.join(v, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def unit(raw: DataFrame) -> DataFrame:
+    """Rows (id, term, w) scaled to unit length per id."""
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / norm).alias("w"))
 
 
-def cosine_to_classes(doc_w: DataFrame, class_w: DataFrame) -> DataFrame:
+def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """tf*idf on the fitted vocabulary, L2-normalised per id; unseen terms
+    dropped; a document with no vocabulary term has no rows (zero vector)."""
+    return unit(weighted(counts, vocab))
+
+
+#: Most classes whose products are summed side by side.
+SIDE_BY_SIDE = 64
+
+
+def unit_dots(raw: DataFrame, model: DataFrame, labels: list, value: str) -> DataFrame:
+    """(id, wsum, dots): of the unit vector of each id of ``raw`` (id, term, w) the sum of its weights and its products
+    with the vectors ``model`` (label, term, value), in the order of ``labels`` (null: no term shared).
+
+    All are sums over the rows of an id, and so is the squared length they are divided by in the end: tasks sum
+    before the shuffle, which has one row per id and task instead of one per (id, term)."""
+    of = [F.sum(F.when(F.col("label") == label, F.col(value))).alias(f"_d{i}") for i, label in enumerate(labels)]
+    per_term = F.broadcast(model.groupBy("term").agg(*of))  # bounded by max_features
+    w = F.col("w")
+    sums = raw.join(per_term, "term", "left").groupBy("id").agg(
+        F.sqrt(F.sum(w * w)).alias("_n"), F.sum("w").alias("_w"), *[F.sum(w * F.col(f"_d{i}")).alias(f"_s{i}") for i in range(len(labels))])
+    dots = F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(len(labels))]).cast("array<double>")
+    return sums.select("id", (F.col("_w") / F.col("_n")).alias("wsum"), dots.alias("dots"))
+
+
+def cosine_to_classes(doc_w: DataFrame, class_w: DataFrame, raw: bool = False) -> DataFrame:
     """Cosine similarity of each document with each class vector (both unit
-    vectors in long form): sum of products over shared terms."""
+    vectors in long form): sum of products over shared terms. ``raw``: ``doc_w`` is not of unit length yet."""
     c = class_w.select(F.col("id").alias("label"), "term", F.col("w").alias("cw"))
+    if raw:
+        labels = [r["label"] for r in c.select("label").distinct().orderBy("label").limit(SIDE_BY_SIDE + 1).collect()]
+        if len(labels) <= SIDE_BY_SIDE:
+            d = unit_dots(doc_w, c, labels, "cw")
+            z = F.arrays_zip(F.array(*[F.lit(x) for x in labels]).alias("label"), F.col("dots").alias("cosine"))
+            return d.select("id", F.inline(z)).filter(F.col("cosine").isNotNull())
+        doc_w = unit(doc_w)
     return (doc_w.join(c, "term")
             .groupBy("id", "label").agg(F.sum(F.col("w") * F.col("cw")).alias("cosine")))
 

@@ -21,7 +21,7 @@ from ..operators import evaluate as E
 from ..operators.sample import group_split, stratified_folds, written_cutoffs
 from ..operators import keyed as K
 from ..operators.scan import written
-from ..operators.vectorize import fit_vocabulary, term_counts, term_counts_by, tfidf
+from ..operators.vectorize import fit_vocabulary, term_counts, term_counts_by, tfidf, unit, weighted
 from ..sources.tables import table
 
 DESC_SEED = 7
@@ -39,6 +39,7 @@ class DistantSetup:
     desc_w: DataFrame      # (id=label, term, w)
     test_ids: DataFrame    # (id)
     test_x: DataFrame      # (id, term, w)
+    test_raw: DataFrame    # (id, term, w) before scaling to unit length
     gold: DataFrame        # (id, label)
 
 
@@ -55,25 +56,25 @@ def distant_setup(spark: SparkSession, sf_dir: str, label_col: str = "lang", sto
     cut = written_cutoffs(rows.select("id", "label"), ["label"], "id", fraction, seed)
     split = group_split(rows.select("id", "label"), ["label"], "id", fraction, seed, cut).select("id", "label", "is_test")
     dj = group_split(rows, ["label"], "id", fraction, seed, cut)
-    c = term_counts(dj, "id", "text", stop, keep=["label", "is_test"]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)  # feeds both the fit and the scoring side
-    counts = c.select("id", "term", "tf")
-    desc_counts = (c.filter("is_test").groupBy(F.col("label").alias("id"), "term")
-                   .agg(F.sum("tf").alias("tf")))
+    # Each document is on one side, so counting the sides apart counts no text twice; the counts of all documents
+    # are never stored, only those of the labels.
+    counts = term_counts(dj, "id", "text", stop)
+    described = term_counts(dj.filter("is_test"), "id", "text", stop, keep=["label"])
+    desc_counts = written(described.groupBy(F.col("label").alias("id"), "term").agg(F.sum("tf").alias("tf")), "desc-counts")
     n_desc = split.filter("is_test").select("label").distinct().count()
     vocab = fit_vocabulary(desc_counts, max_features, n_desc).cache()
     vsize = vocab.count()
     desc_w = tfidf(desc_counts, vocab).persist(StorageLevel.MEMORY_AND_DISK)  # labels x vocabulary
     test = split.filter(~F.col("is_test"))
-    test_x = tfidf(c.filter(~F.col("is_test")).select("id", "term", "tf"), vocab)
+    test_raw = weighted(term_counts(dj.filter(~F.col("is_test")), "id", "text", stop), vocab)
     return DistantSetup(counts, split, desc_counts, vocab, vsize, desc_w,
-                        test.select("id"), test_x, test.select("id", "label"))
+                        test.select("id"), unit(test_raw), test_raw, test.select("id", "label"))
 
 
 def distant_nb(s: DistantSetup, alpha: float = 0.001, t: float = 0.1) -> DataFrame:
     """R01 with M01: predictions (id, label, pred, score)."""
     train_y = s.desc_w.select("id").distinct().withColumn("label", F.col("id"))
-    return M.multinomial_nb(s.desc_w, train_y, s.test_ids, s.test_x, s.vocab_size, alpha, t)
+    return M.multinomial_nb(s.desc_w, train_y, s.test_ids, s.test_raw, s.vocab_size, alpha, t, raw=True)
 
 
 def distant_predict(s: DistantSetup, method: str = "mnb") -> DataFrame:
@@ -229,9 +230,9 @@ def score_texts(s: DistantSetup, texts: DataFrame, id_col: str, text_col: str, s
     (id, label, jll, score)."""
     from ..operators.vectorize import term_counts as tc
     classes, model = fit_distant_nb(s, alpha)
-    x = tfidf(tc(texts, id_col, text_col, stopword_list(stop_sets)), s.vocab)
+    x = weighted(tc(texts, id_col, text_col, stopword_list(stop_sets)), s.vocab)
     ids = texts.select(F.col(id_col).alias("id"))
-    return M.score_linear_sparse(ids, x, classes, model)
+    return M.score_linear_sparse(ids, x, classes, model, raw=True)
 
 
 def turn_scores(spark: SparkSession, sf_dir: str, t: float = 0.1) -> DataFrame:

@@ -90,7 +90,7 @@ cos AS (SELECT t.id, d.id AS label, sum(t.w * d.w) AS cosine FROM tw t JOIN dw d
 SELECT id, label, round(cosine, 6) AS cosine FROM cos""")
 def v06(spark, d):
     s = X.distant_setup(spark, d)
-    return rounded(V.cosine_to_classes(s.test_x, s.desc_w))
+    return rounded(V.cosine_to_classes(s.test_raw, s.desc_w, raw=True))
 
 
 @query("v07_density", f"""WITH {DISTANT_SQL}
@@ -98,7 +98,7 @@ SELECT round(count(*) / ((SELECT count(*) FROM tids) * (SELECT count(*) FROM v_v
 def v07(spark, d):
     s = X.distant_setup(spark, d)
     n_docs = s.test_ids.count()
-    return rounded(V.density(s.test_x, n_docs, s.vocab_size))
+    return rounded(V.density(s.test_raw, n_docs, s.vocab_size))
 
 
 @query("m01_multinomial_nb", f"""WITH {DISTANT_SQL}
