@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .scan import running
 
 
@@ -297,13 +298,33 @@ def poisson_weight(u) -> "F.Column":
     return expr
 
 
+def poisson_weight_of_digest(digest) -> "F.Column":
+    """:func:`poisson_weight` of the uniform that a digest's first 15 hexadecimal digits stand for: they are compared
+    as text with the smallest digest of each weight, so that no number is parsed and the digest is made once."""
+    import math
+
+    from ..functions.hashing import HASH_BITS, SPAN
+    acc, reached = 0.0, None
+    for k in range(12):
+        acc += math.exp(-1.0) / math.factorial(k)
+        lo, hi = 0, SPAN
+        while lo < hi:  # smallest hash whose uniform, as a double, is not below the distribution function
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if float(mid) / float(SPAN) < acc else (lo, mid)
+        step = (digest >= F.lit(format(lo, f"0{HASH_BITS // 4}x"))).cast("int")
+        reached = step if reached is None else reached + step
+    return reached
+
+
 def poisson_bootstrap_cells(cells: DataFrame, reps: int, seed=0, key: str = "id") -> DataFrame:
     """X06 (scalable mode): every document gets an independent Poisson(1) weight
     per replicate from a hash of (seed, replicate, document) -- no global index,
     no join with a draw table; per (rep, label) weighted tp/fp/fn."""
-    from ..functions.hashing import unit_uniform
-    x = cells.select(key, "label", "g", "p", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    x = x.withColumn("w", poisson_weight(unit_uniform(seed, "rep", key)))
+    from ..functions.hashing import key_text
+    x = dealt(cells.select(key, "label", "g", "p"), key, "label", "p")
+    x = x.select("label", "g", "p", key_text(key).alias("_rest"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"), F.col("_rest"))), 1, 15)
+    x = x.withColumn("w", poisson_weight_of_digest(digest))
     return x.groupBy("rep", "label").agg(
         F.sum(F.col("w") * F.col("g") * F.col("p")).alias("tp"),
         F.sum(F.col("w") * (1 - F.col("g")) * F.col("p")).alias("fp"),
