@@ -2,8 +2,8 @@
 
 Where a document's units live in one row (array), packing is an in-row fold
 (``aggregate``) with state (chunk_no, running_tokens, assignments) and the chunk
-texts are assembled in-row too: no shuffle. ``pack_rows`` packs units that come as rows,
-for documents longer than a row or a task should hold.
+texts are assembled in-row too: no shuffle. ``pack_rows`` packs units that come as rows, also
+of documents longer than a row or a task should hold.
 """
 from __future__ import annotations
 
@@ -63,9 +63,37 @@ def keep_docs_with_chunks(chunks: DataFrame, id_col: str, more_than: int = 2) ->
     return chunks.withColumn("_n", n).filter(F.col("_n") > more_than).drop("_n")
 
 
-def pack_rows(units: DataFrame, max_tokens: int, blocks: int | None = None) -> DataFrame:
+#: Units of a document that are packed in one row.
+SHORT = 5_000
+
+
+def pack_rows(units: DataFrame, max_tokens: int, blocks: int | None = None, short: int = SHORT) -> DataFrame:
     """C01 over rows (id, pos, s): (id, chunk_id, text, n_units), as :func:`pack_units` packs the same units in one row.
 
+    Units are counted first. Documents of at most ``short`` units are gathered and packed in the row, with one
+    shuffle of their texts; longer ones (and units without id, position or text) go through :func:`_pack_long`."""
+    sizes = units.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("pos").alias("p"), F.count("s").alias("t"))
+    rest = written(sizes.filter(f"id is null or n > {short} or p < n or t < n").select("id"), "long")
+    if not rest.head(1):
+        return _pack_short(units, max_tokens)
+    of = F.broadcast(rest) if rest.count() <= NARROW else rest
+    same = units["id"].eqNullSafe(of["id"])
+    few, many = units.join(of, same, "left_anti"), units.join(of, same, "left_semi")
+    return _pack_short(few, max_tokens).unionByName(_pack_long(many, max_tokens, blocks))
+
+
+#: Most documents whose ids are sent to all tasks.
+NARROW = 100_000
+
+
+def _pack_short(units: DataFrame, max_tokens: int) -> DataFrame:
+    doc = units.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("u"))
+    return pack_units(doc.select("id", F.transform("u", lambda e: e["s"]).alias("units")), ["id"], "units", max_tokens)
+
+
+def _pack_long(units: DataFrame, max_tokens: int, blocks: int | None = None) -> DataFrame:
+    """:func:`pack_rows` for documents of any length.
+
     A chunk that starts at unit i ends before the first later unit j with tokens(i..j) >= max, so each unit
     knows the start of the next chunk if one started at it: with running sums S that is the first j
     with S_j >= S_(i-1) + max, found for all units by one ordered scan over sums and thresholds. The

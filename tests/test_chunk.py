@@ -32,3 +32,17 @@ def test_documents(spark):
     a = sorted(map(tuple, C.pack_rows(rows, 120).select("id", "chunk_id", "text", "n_units").collect()))
     b = sorted(map(tuple, C.pack_units(docs, ["id"], "units", 120).select("id", "chunk_id", "text", "n_units").collect()))
     assert a == b and len(a) > 100
+
+
+def test_short_documents_take_one_shuffle(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i if i else None, p, " ".join("w" * r.randint(0, 9))) for i in range(12) for p in range(5 + 9 * (i % 3))]
+    df = spark.createDataFrame(rows, "id long, pos long, s string")
+    calls, scan = [], C.running
+    monkeypatch.setattr(C, "running", lambda *a, **k: calls.append(1) or scan(*a, **k))
+    known = df.filter("id is not null")
+    near = sorted(map(tuple, C.pack_rows(known, 10).collect()))
+    assert not calls
+    assert sorted(map(tuple, C._pack_long(known, 10).collect())) == near
+    assert sorted(map(tuple, C.pack_rows(known, 10, short=15).collect())) == near and calls  # long and short ones together
+    assert sorted(map(str, map(tuple, C.pack_rows(df, 10).collect()))) == sorted(map(str, map(tuple, C._pack_long(df, 10).collect())))
