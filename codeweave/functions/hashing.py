@@ -44,3 +44,50 @@ def sql_hash(seed, *keys: str) -> str:
     """DuckDB twin of :func:`stable_hash` (for oracles)."""
     parts = ", ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
     return f"CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 15)) AS BIGINT)"
+
+
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+
+
+def hashes_of_numbers(head: str, lo: int, hi: int):
+    """numpy twin of ``stable_hash`` for the keys lo..hi-1: hashes of head + key, ``head`` being "seed|key...|" of at most
+    36 bytes. The steps of MD5 are done for all keys at once, as a task needs millions of them."""
+    import math
+
+    import numpy as np
+    text = head.encode()
+    if len(text) + 19 > 55:
+        raise ValueError("the hashed text must fit in one MD5 block")
+    out, start = [], lo
+    while start < hi:
+        digits = len(str(start))
+        end = min(hi, 10 ** digits)
+        n, size = end - start, len(text) + digits
+        raw = np.zeros((n, 64), np.uint8)
+        raw[:, :len(text)] = np.frombuffer(text, np.uint8)
+        rest = np.arange(start, end, dtype=np.int64)
+        for at in range(size - 1, len(text) - 1, -1):
+            raw[:, at] = rest % 10 + 48
+            rest = rest // 10
+        raw[:, size] = 0x80
+        raw[:, 56:58] = (size * 8 & 255, size * 8 >> 8)
+        words = np.ascontiguousarray(raw.view("<u4").T)
+        first = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        a, b, c, d = (np.full(n, x, np.uint32) for x in first)
+        for i, turn in enumerate(_TURNS):
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            f += a
+            f += words[g]
+            f += np.uint32(int(abs(math.sin(i + 1)) * 2 ** 32))
+            a, d, c, b = d, c, b, b + (f << np.uint32(turn) | f >> np.uint32(32 - turn))
+        high, low = ((x + y).byteswap().astype(np.uint64) for x, y in ((a, first[0]), (b, first[1])))
+        out.append((high << np.uint64(32) | low) >> np.uint64(64 - HASH_BITS))
+        start = end
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)

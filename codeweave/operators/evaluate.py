@@ -162,15 +162,99 @@ def per_rep_macro(cells: DataFrame, key: str = "rep") -> DataFrame:
     return macro(prf(cnt), key)
 
 
+#: Most rows whose draws a task counts in one array; draws it hashes at once; rows of a packed block of outcomes;
+#: most kinds of outcomes, and groups of replicates, of a tally.
+COUNTED, AT_ONCE, PACKED, KINDS, PARTS = 1 << 23, 1 << 15, 1 << 16, 1 << 16, 128
+
+
+def _drawn(seed, rep: int, n: int):
+    """The indexes that replicate ``rep`` draws, a piece at a time."""
+    from ..functions.hashing import hashes_of_numbers
+    for lo in range(0, n, AT_ONCE):
+        yield hashes_of_numbers(f"{seed}|{rep}|", lo, min(n, lo + AT_ONCE)) % n
+
+
 def bootstrap_draws(spark, n: int, reps: int, seed=0) -> "DataFrame":
     """X06 (exact): replicate r draws n row indexes with replacement,
-    idx = h(seed, r, j) mod n; returned as multiplicities (rep, idx, w)."""
+    idx = h(seed, r, j) mod n; returned as multiplicities (rep, idx, w).
+
+    A replicate of up to COUNTED rows is drawn and counted in one task, so that no draw is shuffled; draws of
+    longer ones are summed by Spark."""
     from ..functions.hashing import stable_hash
+    if 0 < n <= COUNTED:
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+            for b in batches:
+                for rep in b.column("rep").to_pylist():
+                    w = np.zeros(n, np.int64)
+                    for idx in _drawn(seed, rep, n):
+                        np.add.at(w, idx, 1)
+                    for lo in range(0, n, PACKED):
+                        part = w[lo:lo + PACKED]
+                        at = np.flatnonzero(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rep, np.int64)), pa.array(at + lo), pa.array(part[at])], names=["rep", "idx", "w"])
+        return spark.range(0, reps, 1, min(reps, 2 * PARTS)).select(F.col("id").alias("rep")).mapInArrow(run, "rep long, idx long, w long")
     d = spark.range(reps * n).select(F.floor(F.col("id") / n).cast("bigint").alias("rep"), F.pmod("id", F.lit(n)).alias("j"))
     d = d.select("rep", (stable_hash(seed, "rep", "j") % n).alias("idx"))
     return d.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
+def _tallied(outcome: DataFrame, kinds: DataFrame, size: int, n: int, reps: int, seed) -> DataFrame:
+    """(rep, kind, w): how often each replicate draws rows of each of ``size`` kinds; ``outcome`` is (idx, o), ``kinds``
+    (o, kind). Rows' kinds go packed (4 bytes a row) to every group of replicates, which draw and count there."""
+    from .scan import written
+
+    def pack(key, t):
+        import numpy as np
+        import pyarrow as pa
+        codes = np.full(PACKED, size, np.int32)
+        codes[t.column("idx").to_numpy() % PACKED] = t.column("kind").to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+    def tally(key, t):
+        import numpy as np
+        import pyarrow as pa
+        codes = np.full(-(-n // PACKED) * PACKED, size, np.int32)
+        for block, packed in zip(t.column("block").to_pylist(), t.column("codes")):
+            codes[block * PACKED:(block + 1) * PACKED] = np.frombuffer(packed.as_buffer(), np.int32)
+        out = []
+        for rep in range(key[0].as_py(), reps, parts):
+            w = np.zeros(size + 1, np.int64)
+            for idx in _drawn(seed, rep, n):
+                w += np.bincount(codes[idx], minlength=size + 1)
+            at = np.flatnonzero(w[:size])
+            out.append(pa.table({"rep": pa.array(np.full(len(at), rep, np.int64)), "kind": pa.array(at), "w": pa.array(w[at])}))
+        return pa.concat_tables(out)
+    parts = min(reps, PARTS)
+    block = F.floor(F.col("idx") / PACKED).cast("bigint").alias("block")
+    blocks = written(outcome.join(kinds, "o").select(block, "idx", "kind").groupBy("block").applyInArrow(pack, "block long, codes binary"), "outcome-kinds")
+    copies = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return dealt(copies, "part").groupBy("part").applyInArrow(tally, "rep long, kind long, w long")
+
+
+def bootstrap_sums(cells: DataFrame, n: int, reps: int, seed, *keys: str) -> DataFrame:
+    """(rep, keys..., label, tp, fp, fn) of :func:`bootstrap_cells` over the draws of :func:`bootstrap_draws`, for cells
+    (idx, keys..., label, g, p). Few kinds of outcomes are tallied where they are drawn: no draw is shuffled."""
+    from ..functions.hashing import stable_hash
+    from .sample import grouped_rank
+    from .scan import written
+    outcome = cells.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct(*keys, "label", "g", "p"))).alias("cells"))
+    outcome = written(outcome.withColumn("o", F.to_json(F.struct("cells"))), "outcomes")
+    kinds = outcome.groupBy("o").agg(F.first("cells").alias("cells")).withColumn("_h", stable_hash(seed, "o"))
+    kinds = written(grouped_rank(kinds, [], "_h", "o").select((F.col("rn") - 1).cast("int").alias("kind"), "o", "cells"), "kinds")
+    size = kinds.count()
+    if 0 < n <= COUNTED and 0 < size <= KINDS:
+        per = _tallied(outcome.select("idx", "o"), kinds.select("o", "kind"), size, n, reps, seed).join(kinds, "kind")
+    else:
+        per = bootstrap_draws(cells.sparkSession, n, reps, seed).join(outcome, "idx").groupBy("rep", "cells").agg(F.sum("w").alias("w"))
+    j = per.select("rep", "w", F.inline("cells"))
+    return j.groupBy("rep", *keys, "label").agg(
+        F.sum(F.col("w") * F.col("g") * F.col("p")).alias("tp"),
+        F.sum(F.col("w") * (1 - F.col("g")) * F.col("p")).alias("fp"),
+        F.sum(F.col("w") * F.col("g") * (1 - F.col("p"))).alias("fn"))
+
+
 #: Children of a node of the splitting tree.
 FAN = 256
 

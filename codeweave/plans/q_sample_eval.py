@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_hash
 from ..operators import evaluate as E
 from ..operators import sample as S
-from ..operators.scan import running
+from ..operators.scan import running, written
 from ..functions.hashing import SQL_SPAN
 from ..session import bounded_rows
 from ..sources.tables import table
@@ -317,8 +317,7 @@ bm AS (SELECT rep, avg(precision) AS precision, avg(recall) AS recall, avg(f1) A
 def _boot(s, pred, b=BOOT_B):
     cells = E.doc_cells(s.gold, pred, s.test_ids)
     n = s.test_ids.count()
-    bc = E.bootstrap_cells(cells, E.bootstrap_draws(s.test_ids.sparkSession, n, b, X06_SEED))
-    return E.macro(E.prf(bc), "rep")
+    return E.macro(E.prf(E.bootstrap_sums(cells, n, b, X06_SEED)), "rep")
 
 
 @query("e12_bootstrap_ci", f"""WITH {PRED_SQL}, {BOOT_SQL}
@@ -352,12 +351,15 @@ SELECT round((SELECT diff FROM obs), 6) AS observed_diff,
 FROM bm a JOIN bm2 b USING (rep)""")
 def e13(spark, d):
     s, p = _flag(spark, d)
+    p = written(p, "predictions")  # texts are scored once for both models
     p2 = p.withColumn("pred", F.col("score") > 0.5)
-    ba, bb = _boot(s, p), _boot(s, p2)
+    cells = [E.doc_cells(s.gold, x, s.test_ids).withColumn("model", F.lit(m)) for m, x in (("a", p), ("b", p2))]
+    sums = E.bootstrap_sums(cells[0].unionByName(cells[1]), s.test_ids.count(), BOOT_B, X06_SEED, "model")
+    f1 = {m: F.max(F.when(F.col("model") == m, F.col("f1"))).alias(f"f{m}") for m in "ab"}
     fa = E.evaluate(s.gold, p).first()["f1"]
     fb = E.evaluate(s.gold, p2).first()["f1"]
     diff = fa - fb
-    j = ba.select("rep", F.col("f1").alias("fa")).join(bb.select("rep", F.col("f1").alias("fb")), "rep")
+    j = E.macro(E.prf(sums), "rep", "model").groupBy("rep").agg(*f1.values()).filter("fa is not null and fb is not null")
     return rounded(j.agg(F.lit(diff).alias("observed_diff"),
                          F.avg(((F.col("fa") - F.col("fb")) > 2 * diff).cast("double")).alias("p_value")))
 

@@ -2,6 +2,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from codeweave.operators import evaluate as E
 
 
@@ -40,3 +42,37 @@ def test_interval_agrees_with_index_draws(spark):
 
 def test_empty(spark):
     assert E.multinomial_outcomes(spark.createDataFrame([], "o string, m long"), 5, 1).collect() == []
+
+
+def test_draws_are_counted_without_a_shuffle(spark, monkeypatch):
+    from codeweave.functions.hashing import hashes_of_numbers, stable_hash
+    want = [r[0] for r in spark.range(95, 1203).select(stable_hash(29, F.lit(7), "id")).collect()]
+    assert hashes_of_numbers("29|7|", 95, 1203).tolist() == want
+    got = E.bootstrap_draws(spark, 130, 9, 29)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    near = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(E, "COUNTED", 50)
+    assert near == sorted(map(tuple, E.bootstrap_draws(spark, 130, 9, 29).collect())) and sum(w for _, _, w in near) == 9 * 130
+
+
+@pytest.mark.parametrize("kinds", [1 << 16, 1])
+def test_sums_are_those_of_the_draws(spark, monkeypatch, kinds):
+    monkeypatch.setattr(E, "PACKED", 32)
+    monkeypatch.setattr(E, "KINDS", kinds)
+    rows = [(i, m, lab, int((i + k) % 3 > 0), int((i * k) % 5 < 2)) for i in range(100) if i != 40 for m in "ab" for k, lab in enumerate(("x", None, "z")) if (i + k) % 4]
+    cells = spark.createDataFrame(rows, "idx long, model string, label string, g int, p int")
+    got = E.bootstrap_sums(cells, 120, 20, 29, "model")  # some rows have no cells
+    draws = E.bootstrap_draws(spark, 120, 20, 29)
+    want = [(r[0], m, *r[1:]) for m in "ab" for r in E.bootstrap_cells(cells.filter(F.col("model") == m).drop("model"), draws).collect()]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 100
+
+
+def test_paired_bootstrap_scores_once(spark, tmp_path, monkeypatch):
+    from codeweave.plans import experiments as X
+    from codeweave.plans import q_sample_eval as Q
+    docs = [(i, " ".join(["aa", "bb", "cc", "dd"][(i * k) % 4] for k in range(6)), ["en", "de"][i % 2], "src1") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    names, write = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df, name="table", *a: names.append(name) or write(df, name, *a))
+    monkeypatch.setattr(Q, "BOOT_B", 20)
+    assert Q.e13(spark, str(tmp_path)).count() == 1 and names == ["predictions"]
