@@ -296,11 +296,12 @@ def r10(spark, d):
     s = X.distant_setup(spark, d)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(s.test_ids, "id", "left_semi")
     ch = pack_units(docs.select("id", sentences(F.col("text")).alias("units")), ["id"], "units", 120)
-    keyed = ch.select(F.concat_ws(":", "id", "chunk_id").alias("cid"), F.col("id").alias("doc"), "text")
+    # texts are packed once and chunks are scored once, for all that reads them
+    keyed = written(ch.select(F.concat_ws(":", "id", "chunk_id").alias("cid"), "text"), "chunks", "zstd")
     sc = X.score_texts(s, keyed, "cid", "text")
-    cp = sc.withColumnRenamed("id", "cid").join(keyed.select("cid", "doc"), "cid").select(
-        F.col("doc").alias("doc_id"), "label", (F.col("score") > 0.1).alias("pred"), "score")
-    merged = A.merge_chunks(cp, "doc_id").withColumnRenamed("doc_id", "id")
+    doc = F.regexp_extract("id", "(?s)^(.*):", 1).cast(docs.schema["id"].dataType).alias("doc_id")
+    cp = sc.select(doc, "label", (F.col("score") > 0.1).alias("pred"), "score")
+    merged = written(A.merge_chunks(cp, "doc_id").withColumnRenamed("doc_id", "id"), "merged")
     met = E.evaluate(s.gold, merged.filter("pred"))
     auc = E.macro_auc(E.roc_auc(s.gold, merged.select("id", "label", F.round("score", 10).alias("score")), s.test_ids))
     long = met.unpivot([], ["precision", "recall", "f1"], "k", "v").unionByName(
