@@ -21,6 +21,7 @@ from ..operators import evaluate as E
 from ..operators.sample import group_split, stratified_folds, written_cutoffs
 from ..operators import keyed as K
 from ..operators.scan import written
+from ..session import bounded_rows
 from ..operators.vectorize import fit_vocabulary, term_counts, term_counts_by, tfidf, unit, weighted
 from ..sources.tables import table
 
@@ -43,6 +44,7 @@ class DistantSetup:
     test_x: DataFrame      # (id, term, w)
     test_raw: DataFrame    # (id, term, w) before scaling to unit length
     gold: DataFrame        # (id, label)
+    terms: list            # the vocabulary's terms, max_features at most
 
 
 def distant_setup(spark: SparkSession, sf_dir: str, label_col: str = "lang", stop_sets: str = "ce",
@@ -65,12 +67,12 @@ def distant_setup(spark: SparkSession, sf_dir: str, label_col: str = "lang", sto
     desc_counts = written(described.groupBy(F.col("label").alias("id"), "term").agg(F.sum("tf").alias("tf")), "desc-counts")
     n_desc = split.filter("is_test").select("label").distinct().count()
     vocab = fit_vocabulary(desc_counts, max_features, n_desc).cache()
-    vsize = vocab.count()
+    terms = [r["term"] for r in bounded_rows(vocab.select("term"), max_features, "vocabulary")]
     desc_w = tfidf(desc_counts, vocab).persist(StorageLevel.MEMORY_AND_DISK)  # labels x vocabulary
     test = split.filter(~F.col("is_test"))
-    test_raw = weighted(term_counts(dj.filter(~F.col("is_test")), "id", "text", stop), vocab)
-    return DistantSetup(counts, split, desc_counts, vocab, vsize, desc_w,
-                        test.select("id"), unit(test_raw), test_raw, test.select("id", "label"))
+    test_raw = weighted(term_counts(dj.filter(~F.col("is_test")), "id", "text", stop, only=terms), vocab)
+    return DistantSetup(counts, split, desc_counts, vocab, len(terms), desc_w,
+                        test.select("id"), unit(test_raw), test_raw, test.select("id", "label"), terms)
 
 
 def distant_nb(s: DistantSetup, alpha: float = 0.001, t: float = 0.1) -> DataFrame:
@@ -271,7 +273,7 @@ def score_texts(s: DistantSetup, texts: DataFrame, id_col: str, text_col: str, s
     (id, label, jll, score)."""
     from ..operators.vectorize import term_counts as tc
     classes, model = fit_distant_nb(s, alpha)
-    x = weighted(tc(texts, id_col, text_col, stopword_list(stop_sets)), s.vocab)
+    x = weighted(tc(texts, id_col, text_col, stopword_list(stop_sets), only=s.terms), s.vocab)
     ids = texts.select(F.col(id_col).alias("id"))
     return M.score_linear_sparse(ids, x, classes, model, raw=True)
 
