@@ -32,6 +32,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose sides both grow with the corpus: sorted and merged, never broadcast. Spark
+    takes an exploded table for as small as the table before, and would gather all of it in the driver."""
+    return df.hint("merge")
+
+
 class Shared:
     """A value that travels inside the task closures."""
 
@@ -73,7 +79,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     null = F.lit((1 << 63) - 1)
     d = docs.withColumn("_key", F.coalesce(F.col(f"`{id_col}`"), null)).withColumn("_txt", text_key(f"`{text_col}`"))
     k = kept.select(F.coalesce("doc_id", null).alias("_key"), F.col("txt").alias("_txt")).distinct()
-    return d.dropDuplicates(["_key", "_txt"]).join(k, ["_key", "_txt"], "left_semi").drop("_key", "_txt")
+    return d.dropDuplicates(["_key", "_txt"]).join(grown(k), ["_key", "_txt"], "left_semi").drop("_key", "_txt")
 
 
 def filter_batches(docs: DataFrame, text_col: str, keep) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import grown, stage
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     if both_ways:
         e = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    j = e.join(low, "u")
+    j = e.join(grown(low), "u")
     if both_ways:
         out = j.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node is itself a larger neighbour of its minimum

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, load, own_columns, stage, text_bytes, text_key
+from .common import grown, keep_rows, load, own_columns, stage, text_bytes, text_key
 from .components import components
 
 SEED = 42
@@ -98,11 +98,11 @@ def link(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = HOT) -
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
         table = fps.select("fp", value.alias("v"))
         size = table.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        rows = table.join(size.filter(F.col("n") <= hot), "v").select("v", F.col("fp").alias("b"))
+        rows = table.join(grown(size.filter(F.col("n") <= hot)), "v").select("v", F.col("fp").alias("b"))
         probes = table.select(F.col("fp").alias("a"), F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)])).alias("m"),
                               F.col("v").alias("own")).select("a", F.col("own").bitwiseXOR(F.col("m")).alias("v"))
-        pairs = probes.join(rows, "v").filter((F.col("a") != F.col("b")) & near).select("a", "b")
-        over = table.join(size.filter(F.col("n") > hot), "v", "left_semi").select("fp")
+        pairs = probes.join(grown(rows), "v").filter((F.col("a") != F.col("b")) & near).select("a", "b")
+        over = table.join(grown(size.filter(F.col("n") > hot)), "v", "left_semi").select("fp")
         out = pairs if out is None else out.unionByName(pairs)
         hot_fps = over if hot_fps is None else hot_fps.unionByName(over)
     # hot entries: both sides walk half of the distance and meet
@@ -112,9 +112,9 @@ def link(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = HOT) -
     # an odd max_bits lets visitors be max_bits + 1 apart: then only verified neighbours are linked
     if max_bits % 2 == 0:
         least = met.groupBy("at").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        more = met.join(least, "at")
+        more = met.join(grown(least), "at")
     else:
-        more = met.join(met.select("at", F.col("fp").alias("b")), "at")
+        more = met.join(grown(met.select("at", F.col("fp").alias("b"))), "at")
     more = more.select(F.col("fp").alias("a"), "b").filter((F.col("a") != F.col("b")) & near)
     return out.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -128,12 +128,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segmen
     groups = stage(f.groupBy("fp").agg(F.min(first).alias("first")), "fp-groups")
     pairs = stage(link(groups.select("fp"), max_bits, segments, hot), "links")
     comp = components(pairs)
-    named = groups.join(comp, groups.fp == comp.node, "left").select(
+    named = groups.join(grown(comp), groups.fp == comp.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("first"))
-    per_fp = named.select("fp", "component").join(least, "component").select(
+    per_fp = named.select("fp", "component").join(grown(least), "component").select(
         "fp", F.col("first.doc_id").alias("component_id"), F.col("first.txt").alias("first_txt"))
-    return f.join(per_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+    return f.join(grown(per_fp), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                                        "component_id", "txt", "first_txt")
 
 
