@@ -166,5 +166,6 @@ def cosine_to_classes(doc_w: DataFrame, class_w: DataFrame, raw: bool = False) -
 
 
 def density(weights: DataFrame, n_docs: Column | int, vocab_size: Column | int) -> DataFrame:
-    """Share of non-zero cells of the (docs x vocabulary) matrix."""
-    return weights.agg((F.count(F.lit(1)) / (F.lit(n_docs) * F.lit(vocab_size))).alias("density"))
+    """Share of non-zero cells of the (docs x vocabulary) matrix; its cells are more than an int holds."""
+    cells = F.lit(n_docs).cast("bigint") * F.lit(vocab_size).cast("bigint")
+    return weights.agg((F.count(F.lit(1)) / cells).alias("density"))

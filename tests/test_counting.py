@@ -34,3 +34,9 @@ def test_chunks_are_packed_and_scored_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q, "written", lambda df, name="table", *a: sizes.setdefault(name, write(df, name, *a)))
     assert Q.r10(spark, str(tmp_path)).count() == 1
     assert sizes["chunks"].count() == 24 and sizes["merged"].select("id").distinct().count() == 24
+
+
+def test_density_of_more_cells_than_an_int_holds(spark):
+    w = spark.createDataFrame([(1, "aa", 0.5), (2, "bb", 0.5)], "id long, term string, w double")
+    assert V.density(w, 500_000, 5000).first()["density"] == 2 / (500_000 * 5000)
+    assert V.density(w, 2, 2).first()["density"] == 0.5
