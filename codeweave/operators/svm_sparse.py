@@ -6,9 +6,10 @@
   gamma = 1 / (V var(X)), var over all cells of the (documents x vocabulary) matrix.
 * Solver. All classes are fitted together, each against the rest: minimise
   |w_c|^2 / 2 + C sum_i max(0, 1 - y_ic w_c z_i)^2, strictly convex and differentiable. Every pass over
-  the projected rows gives losses and gradients of all classes in long form (label, dim, value), summed
-  within tasks and then by Spark; the driver holds one vector per class and takes L-BFGS steps with
-  a step length of its own for each class.
+  the projected rows gives losses, gradients and second derivatives of all classes, summed within tasks and
+  then by Spark; the driver takes Newton steps with a step length of its own for each class, a few of which
+  do. Where the second derivatives are over ``CURVED`` numbers, passes give losses and gradients only, and
+  the steps are those of L-BFGS.
 
 M03 predicts the class with the largest margin, M04 every class with expit(margin) > t."""
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .scan import written
 
 #: Most numbers in all class vectors together; directions of terms a task keeps.
 MODEL_CELLS, KEPT_TERMS = 1 << 24, 20_000
+#: Most numbers of the second derivatives of all classes.
+CURVED = 1 << 22
 
 
 def direction(term: str, features: int, seed: int) -> np.ndarray:
@@ -37,6 +40,7 @@ def offsets(features: int, seed: int) -> np.ndarray:
 
 def scale(x: DataFrame, n_docs: int, vocab_size: int) -> float:
     """gamma of the kernel over all cells, the zero ones too."""
+    x = x.select(F.explode("ws").alias("w")) if "ws" in x.columns else x
     r = x.agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).first()
     cells = max(1, n_docs * vocab_size)
     var = (r["q"] or 0.0) / cells - ((r["s"] or 0.0) / cells) ** 2
@@ -44,9 +48,13 @@ def scale(x: DataFrame, n_docs: int, vocab_size: int) -> float:
 
 
 def project(x: DataFrame, ids: DataFrame, gamma: float, features: int = 256, seed: int = 0) -> DataFrame:
-    """(id, z): random Fourier features and the constant of every id; without terms those of the zero vector."""
-    rows = ids.select("id").distinct().join(x.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")), "id", "left")
+    """(id, z): random Fourier features and the constant of every id; without terms those of the zero vector. ``x`` is
+    (id, term, w), or (id, terms, ws) with a row for every one of the ids."""
     kind = dict(ids.dtypes)["id"]
+    if "terms" in x.columns:
+        rows = x.select("id", "terms", "ws")
+    else:
+        rows = ids.select("id").distinct().join(x.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")), "id", "left")
 
     def run(batches):
         import pyarrow as pa
@@ -72,30 +80,54 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def losses(rows: DataFrame, model: np.ndarray, labels: list, c: float) -> tuple[np.ndarray, np.ndarray]:
-    """(loss, gradient) of every class at ``model`` over rows (z, ys); one pass, sums in long form."""
-    at = {label: i for i, label in enumerate(labels)}
+def _stored(z: DataFrame, y: DataFrame) -> DataFrame:
+    """(z, ys) of all ids with labels, z as bytes, in a few partitions a core."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            m = _matrix(b.column("z")) if b.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in m], pa.binary()), b.column("ys")], names=["z", "ys"])
+    rows = z.join(y.groupBy("id").agg(F.collect_set("label").alias("ys")), "id").select("z", "ys")
+    rows = written(rows.mapInArrow(run, f"z binary, ys {dict(rows.dtypes)['ys']}"), "svm-rows")
+    try:
+        return rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # no classic SparkContext
+        return rows
+
+
+def losses(rows: DataFrame, model: np.ndarray, labels: list, c: float, curved: bool = False) -> tuple:
+    """(loss, gradient, second derivatives or None) of every class at ``model`` over rows (z, ys); one pass. A task's sums
+    are one row per class, added up by class."""
+    at, dims = {label: i for i, label in enumerate(labels)}, model.shape[1]
+    size = 1 + dims + (dims * dims if curved else 0)
 
     def run(batches):
         import pyarrow as pa
-        loss, grad = np.zeros(len(labels)), np.zeros_like(model)
+        sums = np.zeros((len(labels), size))
         for b in batches:
             if not b.num_rows:
                 continue
-            z, y = _matrix(b.column("z")), np.full((b.num_rows, len(labels)), -1.0)
+            z, y = np.frombuffer(b"".join(b.column("z").to_pylist())).reshape(b.num_rows, dims), np.full((b.num_rows, len(labels)), -1.0)
             for i, ys in enumerate(b.column("ys").to_pylist()):
                 y[i, [at[x] for x in ys]] = 1.0
             gap = np.maximum(0.0, 1.0 - y * (z @ model.T))
-            loss += (gap * gap).sum(axis=0)
-            grad -= 2 * (y * gap).T @ z
-        label = np.repeat(np.arange(len(labels)), model.shape[1] + 1)
-        dim = np.tile(np.arange(-1, model.shape[1]), len(labels))
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(dim), pa.array(np.hstack([loss[:, None], grad]).ravel())], names=["label", "dim", "value"])
-    sums = rows.select("z", "ys").mapInArrow(run, "label long, dim long, value double").groupBy("label", "dim").agg(F.sum("value").alias("value"))
-    out = np.zeros((len(labels), model.shape[1] + 1))
-    for r in sums.collect():  # one row per class and dimension, checked by fit
-        out[r["label"], r["dim"] + 1] = r["value"]
-    return (model * model).sum(axis=1) / 2 + c * out[:, 0], model + c * out[:, 1:]
+            sums[:, 0] += (gap * gap).sum(axis=0)
+            sums[:, 1:1 + dims] -= 2 * (y * gap).T @ z
+            for k in range(len(labels) if curved else 0):
+                on = z[gap[:, k] > 0]
+                sums[k, 1 + dims:] += 2 * (on.T @ on).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(labels)), pa.int64()), pa.array([r.tobytes() for r in sums], pa.binary())], names=["label", "sums"])
+
+    def add(table):
+        import pyarrow as pa
+        total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
+        return pa.table({"label": table.column("label")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    found = rows.select("z", "ys").mapInArrow(run, "label long, sums binary").groupBy("label").applyInArrow(add, "label long, sums binary")
+    out = np.zeros((len(labels), size))
+    for r in found.collect():  # one row per class, sizes checked by fit
+        out[r["label"]] = np.frombuffer(bytes(r["sums"]))
+    second = np.eye(dims) + c * out[:, 1 + dims:].reshape(-1, dims, dims) if curved else None
+    return (model * model).sum(axis=1) / 2 + c * out[:, 0], model + c * out[:, 1:1 + dims], second
 
 
 def _steps(grad, past) -> np.ndarray:
@@ -122,17 +154,17 @@ def fit(z: DataFrame, y: DataFrame, c: float = 2.0, passes: int = 150, tolerance
         return labels, np.zeros((len(labels), 1))
     if len(labels) * first["n"] > MODEL_CELLS:
         raise ValueError("too many classes for one model")
-    rows = written(z.join(y.groupBy("id").agg(F.collect_set("label").alias("ys")), "id").select("z", "ys"), "svm-rows")
+    rows, curved = _stored(z, y), len(labels) * first["n"] ** 2 <= CURVED
     w = np.zeros((len(labels), first["n"]))
-    f, g = losses(rows, w, labels, c)
+    f, g, h = losses(rows, w, labels, c, curved)
     start, past, used = np.maximum(1.0, np.linalg.norm(g, axis=1)), [], 1
     while used < passes and (np.linalg.norm(g, axis=1) > tolerance * start).any():
-        d = _steps(g, past)
+        d = -np.linalg.solve(h, g[:, :, None])[:, :, 0] if curved else _steps(g, past)
         slope = (d * g).sum(axis=1)
         d, slope = np.where((slope < 0)[:, None], d, -g), np.where(slope < 0, slope, -(g * g).sum(axis=1))
-        t = np.ones(len(labels)) if past else 1.0 / start
+        t = np.ones(len(labels)) if past or curved else 1.0 / start
         while True:
-            f2, g2 = losses(rows, w + t[:, None] * d, labels, c)
+            f2, g2, h2 = losses(rows, w + t[:, None] * d, labels, c, curved)
             used += 1
             short = f2 > f + 1e-4 * t * slope + 1e-12 * np.abs(f)
             if not short.any() or used >= passes:
@@ -142,6 +174,9 @@ def fit(z: DataFrame, y: DataFrame, c: float = 2.0, passes: int = 150, tolerance
         s, dy = t[:, None] * d, np.where((t > 0)[:, None], g2 - g, 0.0)
         past = (past + [(s, dy, (s * dy).sum(axis=1) > 1e-12 * (dy * dy).sum(axis=1))])[-10:]
         w, f, g = w + s, np.where(t > 0, f2, f), np.where((t > 0)[:, None], g2, g)
+        h = np.where((t > 0)[:, None, None], h2, h) if curved else None
+        if not (t > 0).any():
+            break
     return labels, w
 
 

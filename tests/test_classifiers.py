@@ -165,3 +165,21 @@ def test_codes_of_a_document_are_united_either_way(spark):
     for most in (1000, 3):
         assert sorted(map(tuple, J.fine_to_coarse(p, m, map_labels=most).select("id", "label").collect())) == want
     assert J.fine_to_coarse(p, m.limit(0)).collect() == []
+
+
+def test_svm_takes_few_passes_either_way(spark, data, monkeypatch):
+    train, _, labels = data
+    x = long_rows(spark, train)
+    y = spark.createDataFrame(list(labels.items()), "id long, label string")
+    z = svm_sparse.project(x, y, 1.0, 16, 5).cache()
+    calls, count = [], svm_sparse.losses
+    monkeypatch.setattr(svm_sparse, "losses", lambda *a: calls.append(1) or count(*a))
+    names, model = svm_sparse.fit(z, y, 2.0, 150, 1e-6)
+    assert 0 < len(calls) <= 15
+    monkeypatch.setattr(svm_sparse, "CURVED", 0)
+    other = svm_sparse.fit(z, y, 2.0, 400, 1e-6)
+    assert other[0] == names and np.allclose(model, other[1], atol=1e-3)
+    packed = x.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    again = {r["id"]: r["z"] for r in svm_sparse.project(packed, y, 1.0, 16, 5).collect()}
+    assert len(again) > 100 and all(np.allclose(again[r["id"]], r["z"]) for r in z.collect() if r["id"] in again)
+    assert abs(svm_sparse.scale(packed, 150, 40) - svm_sparse.scale(x, 150, 40)) < 1e-9
