@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import dealt
 from .scan import running
@@ -338,14 +339,9 @@ def bootstrap_cells(cells: DataFrame, draws: DataFrame) -> DataFrame:
 
 def confidence_interval(rep_metrics: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """E12 tail: linear-interpolated percentiles of per-replicate macro metrics."""
-    out = []
-    for m in ("precision", "recall", "f1"):
-        out.append(rep_metrics.agg(F.lit(m).alias("metric"),
-                                   F.percentile(m, F.lit(lo)).alias("lo"), F.percentile(m, F.lit(hi)).alias("hi")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    names = ("precision", "recall", "f1")
+    one = rep_metrics.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{end}") for m in names for end, q in (("lo", lo), ("hi", hi))])  # replicates are made once
+    return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_lo").alias("lo"), F.col(f"{m}_hi").alias("hi")) for m in names])))
 
 
 def doc_cells(gold: DataFrame, pred: DataFrame, ids: DataFrame, seed=29) -> DataFrame:
@@ -385,30 +381,73 @@ def poisson_weight(u) -> "F.Column":
 def poisson_weight_of_digest(digest) -> "F.Column":
     """:func:`poisson_weight` of the uniform that a digest's first 15 hexadecimal digits stand for: they are compared
     as text with the smallest digest of each weight, so that no number is parsed and the digest is made once."""
+    from ..functions.hashing import HASH_BITS
+    reached = None
+    for lo in poisson_bounds():
+        step = (digest >= F.lit(format(lo, f"0{HASH_BITS // 4}x"))).cast("int")
+        reached = step if reached is None else reached + step
+    return reached
+
+
+def poisson_bounds() -> list:
+    """The smallest hash of each weight from 1 to 12."""
     import math
 
-    from ..functions.hashing import HASH_BITS, SPAN
-    acc, reached = 0.0, None
+    from ..functions.hashing import SPAN
+    acc, out = 0.0, []
     for k in range(12):
         acc += math.exp(-1.0) / math.factorial(k)
         lo, hi = 0, SPAN
         while lo < hi:  # smallest hash whose uniform, as a double, is not below the distribution function
             mid = (lo + hi) // 2
             lo, hi = (mid + 1, hi) if float(mid) / float(SPAN) < acc else (lo, mid)
-        step = (digest >= F.lit(format(lo, f"0{HASH_BITS // 4}x"))).cast("int")
-        reached = step if reached is None else reached + step
-    return reached
+        out.append(lo)
+    return out
 
 
 def poisson_bootstrap_cells(cells: DataFrame, reps: int, seed=0, key: str = "id") -> DataFrame:
     """X06 (scalable mode): every document gets an independent Poisson(1) weight
     per replicate from a hash of (seed, replicate, document) -- no global index,
-    no join with a draw table; per (rep, label) weighted tp/fp/fn."""
+    no join with a draw table; per (rep, label) weighted tp/fp/fn. A document is hashed once for all its cells, and tasks
+    sum the weights by kind of cell."""
     from ..functions.hashing import key_text
-    x = dealt(cells.select(key, "label", "g", "p"), key, "label", "p")
-    x = x.select("label", "g", "p", key_text(key).alias("_rest"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"), F.col("_rest"))), 1, 15)
-    x = x.withColumn("w", poisson_weight_of_digest(digest))
+    kind = cells.schema["label"].dataType
+    each = cells.select(key_text(key).alias("_rest"), F.struct("label", F.col("g").cast("int").alias("g"), F.col("p").cast("int").alias("p")).alias("cell"))
+    each = dealt(each.groupBy("_rest").agg(F.collect_list("cell").alias("cells")), "_rest")
+    bounds = poisson_bounds()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions.hashing import hashes_of_texts
+        sums: dict = {}
+        of_label = None
+
+        def out():
+            for (label, g, p), w in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), pa.array([label] * reps, of_label), pa.array([g] * reps, pa.int32()),
+                                                  pa.array([p] * reps, pa.int32()), pa.array(w)], names=["rep", "label", "g", "p", "w"])
+        for b in batches:
+            flat = b.column("cells").flatten()
+            of_label = flat.field("label").type
+            doc = np.repeat(np.arange(b.num_rows), b.column("cells").value_lengths().to_numpy(zero_copy_only=False))
+            kinds: dict = {}
+            code = np.fromiter((kinds.setdefault(x, len(kinds)) for x in zip(*(flat.field(c).to_pylist() for c in ("label", "g", "p")))), np.int64, len(flat))
+            total = np.zeros((reps, len(kinds)), np.int64)
+            rests = [x.encode() for x in b.column("_rest").to_pylist()]
+            for rep, start, hashes in hashes_of_texts(seed, reps, rests):
+                lo, hi = np.searchsorted(doc, (start, start + len(hashes)))
+                w = np.searchsorted(bounds, hashes, side="right")
+                total[rep] += np.bincount(code[lo:hi], weights=w[doc[lo:hi] - start], minlength=len(kinds)).astype(np.int64)
+            for x, i in kinds.items():
+                sums[x] = sums.get(x, 0) + total[:, i]
+            if len(sums) > 4096:
+                yield from out()
+                sums.clear()
+        yield from out()
+    schema = StructType([StructField("rep", IntegerType()), StructField("label", kind), StructField("g", IntegerType()), StructField("p", IntegerType()), StructField("w", LongType())])
+    x = each.mapInArrow(run, schema)
     return x.groupBy("rep", "label").agg(
         F.sum(F.col("w") * F.col("g") * F.col("p")).alias("tp"),
         F.sum(F.col("w") * (1 - F.col("g")) * F.col("p")).alias("fp"),

@@ -24,3 +24,22 @@ def test_cells_are_dealt_and_sums_agree(spark):
                                          F.sum(F.col("w") * F.col("g") * (1 - F.col("p"))))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashes_of_texts_are_stable_hashes(spark, monkeypatch):
+    import hashlib
+
+    from codeweave.functions import hashing as H
+    monkeypatch.setattr(H, "TEXTS", 5)
+    rests = [f"|{i}".encode() for i in (0, 7, 12, 99, 12345, 10 ** 17)] + [b"", b"|" + b"x" * 60]
+    got = {}
+    for rep, start, h in H.hashes_of_texts(29, 120, rests):
+        got |= {(rep, start + i): x for i, x in enumerate(h.tolist())}
+    assert got == {(rep, i): int(hashlib.md5(f"29|{rep}".encode() + x).hexdigest()[:15], 16) for rep in range(120) for i, x in enumerate(rests)}
+
+
+def test_interval_reads_replicates_once(spark):
+    m = spark.createDataFrame([(i, i / 10, i / 5, 1.0 - i / 10) for i in range(11)], "rep int, precision double, recall double, f1 double")
+    ci = E.confidence_interval(m, 0.1, 0.9)
+    assert {r["metric"]: (round(r["lo"], 9), round(r["hi"], 9)) for r in ci.collect()} == {"precision": (0.1, 0.9), "recall": (0.2, 1.8), "f1": (0.1, 0.9)}
+    assert "Union" not in ci._jdf.queryExecution().optimizedPlan().toString()
