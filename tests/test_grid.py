@@ -73,3 +73,24 @@ def test_scenarios_cut_each_text_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "term_counts_by", lambda *a, **k: calls.append(1) or count(*a, **k))
     assert Q.r03(spark, str(tmp_path)).count() == 12
     assert len(calls) == 4
+
+
+def test_vectors_of_several_settings_in_one_batch(spark):
+    idfs = spark.createDataFrame([("s", "s|0", [1.0, 2.0]), ("t", "t|0", [1.0, 1.0, 3.0, None, 1.0])], "setting string, key string, idfs array<double>")
+    rows = [("s", ["s|0"], 1, [(0, 3), (1, 2)], "a"), ("t", ["t|0"], 1, [(4, 3), (3, 5), (2, 1)], "a"), ("s", ["s|0"], 2, [], "b"), ("t", ["t|0"], 2, [(0, 1)], None)]
+    bags = spark.createDataFrame(rows, "setting string, keys array<string>, id long, bag array<struct<t:int,tf:bigint>>, label string").coalesce(1)
+    v = K.Vectors(bags, idfs)
+    want = {(r["key"], r["id"], r["term"]): r["w"] for r in v.long().collect()}
+    packed = {(key, r["id"], t): w for key in ("s|0", "t|0") for r in v.packed(key).collect() for t, w in zip(r["ts"], r["ws"])}
+    assert len(want) == 5 and want.keys() == packed.keys() and all(abs(want[x] - packed[x]) < 1e-12 for x in want)
+    sums = {(r["key"], r["label"], r["term"]): r["n_ct"] for r in v.label_sums().collect()}
+    assert sums.keys() == {("s|0", "a", 0), ("s|0", "a", 1), ("t|0", "a", 4), ("t|0", "a", 2), ("t|0", None, 0)}
+    assert v.packed("s|0").count() == 2
+
+
+def test_ids_that_come_twice_keep_their_rows(spark, tmp_path):
+    docs = [(i % 20, f"aa bb w{i % 7} w{i % 5} cc", ["en", "de"][i % 2], "src1") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    folds = spark.createDataFrame([(i % 20, i % 3) for i in range(40)], "id long, fold int")
+    s = X.folds_setup(spark, str(tmp_path), folds, [0, 1, 2], ["ce"])
+    assert s.train_v is None and s.test_v is None and s.predict(["centroid"]).count() > 0
